@@ -4,8 +4,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintwise.constants import SESSION_KEYS
+from stintwise.operators import catalog as C
+from stintwise.operators import corners as K
 from stintwise.operators import laps as L
-from stintwise.sources.landing import Tables
+from stintwise.operators import pace as P
+from stintwise.operators import telemetry as T
+from stintwise.sources.landing import CORNERS, Tables
 
 
 class Marts(Tables):
@@ -26,3 +30,63 @@ class Marts(Tables):
     @property
     def paced(self) -> DataFrame:
         return self.pace_table.where(~F.col("opening")).drop("opening")
+
+    @property
+    def results(self) -> DataFrame:
+        return self.stored("results", lambda: C.session_results(self.results_raw))
+
+    @property
+    def sessions(self) -> DataFrame:
+        return self.stored("sessions", lambda: self.laps.select(*SESSION_KEYS).distinct())
+
+    @property
+    def team_pace(self) -> DataFrame:
+        return self.stored("team_pace", lambda: P.constructor_median_gaps(self.paced))
+
+    @property
+    def race_pace(self) -> DataFrame:
+        """Team pace of each weekend's race, or of its sprint where there was no race."""
+        race = C.pick_session(self.sessions, ["R", "SPRINT"])
+        return self.team_pace.join(race, SESSION_KEYS)
+
+    @property
+    def items(self) -> DataFrame:
+        """Published texts: first rounds only, so that second rounds still need them."""
+        return C.published_items(self.race_pace.where(F.col("round") == 1))
+
+    @property
+    def prints(self) -> DataFrame:
+        return self.stored("prints", lambda: K.corner_prints(self.telemetry, CORNERS))
+
+    @property
+    def pairs(self) -> DataFrame:
+        return self.stored("pairs", lambda: K.attribution(self.prints))
+
+    @property
+    def zones(self) -> DataFrame:
+        return self.stored(
+            "zones", lambda: K.zone_speeds(K.fastest(self.telemetry, "is_clean"), CORNERS)
+        )
+
+    @property
+    def sector_bests(self) -> DataFrame:
+        return self.stored("sector_bests", lambda: L.sector_bests(self.laps))
+
+    @property
+    def quali_rows(self) -> DataFrame:
+        return self.stored("quali_rows", lambda: K.lap_character(self.telemetry))
+
+    @property
+    def quali_corners(self) -> DataFrame:
+        return self.stored("quali_corners", lambda: K.lap_corner_speeds(self.telemetry, CORNERS))
+
+    @property
+    def clip_straights(self) -> DataFrame:
+        return self.stored(
+            "clip_straights",
+            lambda: T.detect_clipping(K.fastest(self.telemetry, "is_representative")),
+        )
+
+    @property
+    def accel(self) -> DataFrame:
+        return self.stored("accel", lambda: T.accel_samples(self.telemetry))

@@ -140,13 +140,14 @@ SELECT vec_id AS lap_id, CAST(2000 AS INT) AS year, CAST(vec_id % 2 + 1 AS INT)
        CASE (vec_id // 2) % 3 WHEN 0 THEN 'FP1' WHEN 1 THEN 'Q' ELSE 'R' END AS session_type,
        label AS driver, n_name AS constructor,
        CASE WHEN (vec_id // 6) % 10 < 7 THEN 'SOFT' ELSE 'MEDIUM' END AS compound,
+       CAST(80 AS DOUBLE) + (vec_id % 4) * CAST(0.5 AS DOUBLE) + CASE WHEN vec_id % 29 = 0 THEN 4 ELSE 0 END AS step,
        vec_id % 11 <> 0 AS is_representative, vec_id % 13 <> 0 AS is_clean, embedding,
        CAST(80 AS DOUBLE) + list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) / len(embedding) * 10 AS lap_time_s
 FROM embeddings JOIN nation ON label // 2 = n_nationkey""",
     "tel": """
 SELECT lap_id, year, round, session_type, driver, constructor, compound, is_representative, is_clean,
-       lap_time_s, CAST(i AS INT) AS sample_idx,
-       CAST((i - 1) * 80 AS DOUBLE) AS distance_m,
+       lap_time_s, step, embedding, CAST(i AS INT) AS sample_idx,
+       (i - 1) * step AS distance_m,
        CAST(230 AS DOUBLE) + CAST(300 AS DOUBLE) * CAST(embedding[i] AS DOUBLE) AS speed_kmh,
        CASE WHEN CAST(embedding[i] AS DOUBLE) > -0.1 THEN CAST(100 AS DOUBLE) ELSE CAST(50 AS DOUBLE) END AS throttle,
        CAST(embedding[i] AS DOUBLE) < -0.2 AS brake,
@@ -180,4 +181,56 @@ SELECT t.*, slope_s_per_lap * 13 AS cost_s,
        coalesce(ref_slope > 0 AND slope_s_per_lap >= 1.5 * ref_slope, false) AS flagged
 FROM team_fit t LEFT JOIN (SELECT year, round, session_type, compound, quantile_cont(slope_s_per_lap, 0.5) AS ref_slope
   FROM team_fit WHERE slope_s_per_lap > 0 GROUP BY ALL) f USING (year, round, session_type, compound)""",
+    "race_team_pace": """
+SELECT * FROM team_pace WHERE (year, round, session_type) IN (SELECT (year, round, session_type) FROM race_session)""",
+    "items": """
+SELECT year, round, CAST(slot AS INT) AS slot, constructor, printf('%s ran %.3f seconds off the pace', constructor, gap_s) AS header
+FROM (SELECT *, row_number() OVER (PARTITION BY year, round ORDER BY gap_s DESC, constructor) AS slot
+      FROM race_team_pace WHERE round = 1) WHERE slot <= 3""",
+    "corner_speed": """
+SELECT lap_id, year, round, session_type, driver, constructor, compound, is_clean, is_representative, lap_time_s,
+       corner_number, min(speed_kmh) AS min_speed_kmh
+FROM tel JOIN corners ON distance_m BETWEEN at_m - 75 AND at_m + 75 GROUP BY ALL""",
+    "prints": """
+SELECT year, round, session_type, driver, constructor, corner_number, compound,
+       avg(min_speed_kmh) AS min_speed_kmh, count(*) AS clean_laps
+FROM corner_speed WHERE is_clean GROUP BY ALL""",
+    "driver_corner": """
+SELECT year, round, session_type, corner_number, constructor, driver,
+       sum(min_speed_kmh * clean_laps) / sum(clean_laps) AS metric, CAST(sum(clean_laps) AS BIGINT) AS laps
+FROM prints WHERE clean_laps >= 5 GROUP BY ALL""",
+    "team_corner": """
+SELECT year, round, session_type, corner_number, constructor, avg(metric) AS car_kmh,
+       CASE WHEN count(*) >= 2 THEN max(metric) - min(metric) END AS spread, min(laps) AS min_laps,
+       count(*) >= 2 AND min(least(1.0, laps / 8)) >= 0.6 AS reliable
+FROM driver_corner GROUP BY ALL""",
+    "attribution": """
+SELECT year, round, session_type, corner_number, constructor_a, constructor_b, delta_kmh,
+       CASE WHEN mean_kmh < 125 THEN 'low' WHEN mean_kmh < 200 THEN 'mid' ELSE 'high' END AS speed_class,
+       car_pct, 1 - car_pct AS driver_pct, conf * CASE WHEN both_reliable THEN 1.0 ELSE 0.5 END AS confidence
+FROM (SELECT a.year, a.round, a.session_type, a.corner_number, a.constructor AS constructor_a, b.constructor AS constructor_b,
+        a.car_kmh - b.car_kmh AS delta_kmh, (a.car_kmh + b.car_kmh) / 2 AS mean_kmh,
+        a.reliable AND b.reliable AS both_reliable, least(CAST(1 AS DOUBLE), least(a.min_laps, b.min_laps) / 8) AS conf,
+        CASE WHEN abs(a.car_kmh - b.car_kmh) + sp = 0 THEN 1.0
+             ELSE abs(a.car_kmh - b.car_kmh) / (abs(a.car_kmh - b.car_kmh) + sp) END AS car_pct
+      FROM team_corner a JOIN team_corner b ON a.year = b.year AND a.round = b.round AND a.session_type = b.session_type
+        AND a.corner_number = b.corner_number AND a.constructor < b.constructor,
+      LATERAL (SELECT coalesce(CASE WHEN a.spread IS NULL THEN b.spread WHEN b.spread IS NULL THEN a.spread
+               ELSE (a.spread + b.spread) / 2 END, 0) AS sp))""",
+    "zones": """
+SELECT corner_number AS zone, lag(at_m) OVER (ORDER BY at_m) + 50 AS lo, at_m - 50 AS hi FROM corners
+QUALIFY lo IS NOT NULL""",
+    "zone_speed": """
+SELECT lap_id, year, round, session_type, driver, constructor, zone,
+       max(speed_kmh) AS max_speed_kmh, arg_max(speed_kmh, distance_m) AS trap_speed_kmh
+FROM (SELECT t.*, z.zone - 1 AS zone FROM tel t JOIN zones z ON t.distance_m BETWEEN z.lo AND z.hi
+      UNION ALL SELECT t.*, 0 FROM tel t WHERE distance_m >= 4450 OR distance_m <= 350)
+WHERE lap_id IN (SELECT lap_id FROM fast_clean) GROUP BY ALL""",
+    "quali_row": """
+SELECT lap_id, year, round, session_type, driver, constructor, lap_time_s, max(speed_kmh) AS top_speed_kmh, min(speed_kmh) AS min_speed_kmh,
+       coalesce(count(*) FILTER (WHERE throttle BETWEEN 99 AND 100) / nullif(count(*) FILTER (WHERE throttle <= 100), 0), 0) AS full_throttle_share
+FROM tel WHERE lap_id IN (SELECT lap_id FROM fast_rep) GROUP BY ALL""",
+    "quali_rep": """
+SELECT * FROM quali_row
+QUALIFY row_number() OVER (PARTITION BY year, round, session_type, constructor ORDER BY lap_time_s, driver) = 1""",
 }

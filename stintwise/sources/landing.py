@@ -230,6 +230,10 @@ def telemetry_laps(embeddings: DataFrame, nation: DataFrame) -> DataFrame:
     return (
         samples.join(nation, F.col("_team") == nation.n_nationkey)
         .withColumn("_kind", (F.floor(n / 2) % 3).cast("int"))
+        .withColumn(
+            "_step",
+            F.lit(80.0) + (n % 4) * F.lit(0.5) + F.when(n % 29 == 0, F.lit(4.0)).otherwise(0.0),
+        )
         .select(
             F.lit(2000).alias("year"),
             (n % 2 + 1).cast("int").alias("round"),
@@ -244,7 +248,7 @@ def telemetry_laps(embeddings: DataFrame, nation: DataFrame) -> DataFrame:
             (F.lit(80.0) + mean * F.lit(10.0)).alias("lap_time_s"),
             (n % 11 != 0).alias("is_representative"),
             (n % 13 != 0).alias("is_clean"),
-            at(lambda x, i: (i * 80).cast("double")).alias("distance_m"),
+            at(lambda x, i: i * F.col("_step")).alias("distance_m"),
             at(lambda x: F.lit(230.0) + F.lit(300.0) * x).alias("speed_kmh"),
             at(lambda x: F.when(x > -0.1, F.lit(100.0)).otherwise(F.lit(50.0))).alias("throttle"),
             at(lambda x: x < -0.2).alias("brake"),
