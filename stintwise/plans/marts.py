@@ -8,6 +8,8 @@ from stintwise.operators import catalog as C
 from stintwise.operators import corners as K
 from stintwise.operators import laps as L
 from stintwise.operators import pace as P
+from stintwise.operators import season as N
+from stintwise.operators import signals as G
 from stintwise.operators import telemetry as T
 from stintwise.sources.landing import CORNERS, Tables
 
@@ -90,3 +92,66 @@ class Marts(Tables):
     @property
     def accel(self) -> DataFrame:
         return self.stored("accel", lambda: T.accel_samples(self.telemetry))
+
+    @property
+    def clips(self) -> DataFrame:
+        return T.clip_summary(self.clip_straights)
+
+    @property
+    def accel_points(self) -> DataFrame:
+        """Full-throttle race samples with unsmoothed acceleration."""
+        metres = F.transform("speed_kmh", lambda v: v / F.lit(3.6))
+        race = self.telemetry.where((F.col("session_type") == "R") & F.col("is_representative"))
+        laps = race.withColumn("accel_ms2", T.gradient(metres, F.col("time_s"))).withColumn(
+            "lateral_ms2", F.transform("speed_kmh", lambda v: v * 0.0)
+        )
+        long = T.samples(laps, T.LAP, "speed_kmh", "accel_ms2", "lateral_ms2", "throttle", "brake")
+        return T.deployment_samples(long).select(*T.LAP, "sample_idx", "speed_kmh", "accel_ms2")
+
+    @property
+    def clean_air(self) -> DataFrame:
+        return self.stored("clean_air", lambda: P.clean_air_pace(self.paced))
+
+    @property
+    def wear(self) -> DataFrame:
+        return self.stored("wear", lambda: P.degradation_fits(self.paced))
+
+    @property
+    def race_wear(self) -> DataFrame:
+        return self.wear.join(C.pick_session(self.sessions, ["R", "SPRINT"]), SESSION_KEYS)
+
+    @property
+    def stints(self) -> DataFrame:
+        return self.stored("stints", lambda: L.stint_summary(L.gap_to_car_ahead(self.laps)))
+
+    @property
+    def snapshot(self) -> DataFrame:
+        return self.stored("snapshot", lambda: self.season_snapshot())
+
+    def season_snapshot(self, max_round: int | None = None) -> DataFrame:
+        return N.season_snapshot(
+            self.sessions,
+            self.race_pace,
+            self.quali_rows,
+            self.sector_bests,
+            self.race_wear,
+            max_round,
+        )
+
+    @property
+    def trends(self) -> DataFrame:
+        def make() -> DataFrame:
+            gaps, _ = N.quali_metrics(self.quali_rows, self.sessions)
+            return N.season_trends(self.race_pace, gaps)
+
+        return self.stored("trends", make)
+
+    @property
+    def signals(self) -> DataFrame:
+        return self.stored("signals", lambda: G.all_signals(self))
+
+    @property
+    def candidates(self) -> DataFrame:
+        return self.stored(
+            "candidates", lambda: G.candidates(self.signals, self.snapshot, self.results)
+        )

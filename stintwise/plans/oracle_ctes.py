@@ -233,4 +233,151 @@ FROM tel WHERE lap_id IN (SELECT lap_id FROM fast_rep) GROUP BY ALL""",
     "quali_rep": """
 SELECT * FROM quali_row
 QUALIFY row_number() OVER (PARTITION BY year, round, session_type, constructor ORDER BY lap_time_s, driver) = 1""",
+    "team_sector": """
+SELECT year, round, session_type, sector, constructor, min(best_time_s) AS best_time_s, arg_min(driver, (best_time_s, driver)) AS driver
+FROM sector_best GROUP BY ALL""",
+    "dominance": """
+SELECT * FROM (SELECT *, row_number() OVER w AS place, lead(best_time_s) OVER w - best_time_s AS margin_s FROM team_sector
+  WINDOW w AS (PARTITION BY year, round, session_type, sector ORDER BY best_time_s, constructor)) WHERE place = 1""",
+    "season_pace": "SELECT year, round, constructor, gap_s AS value FROM race_team_pace",
+    "season_qgap": """
+SELECT year, round, constructor, (lap_time_s - min(lap_time_s) OVER p) / min(lap_time_s) OVER p * 100 AS value
+FROM quali_rep WHERE session_type = 'Q' WINDOW p AS (PARTITION BY year, round)""",
+    "season_qtop": """
+SELECT year, round, constructor, max(top) OVER (PARTITION BY year, round) - top AS value
+FROM (SELECT year, round, constructor, max(top_speed_kmh) AS top FROM quali_row WHERE session_type = 'Q' GROUP BY ALL)""",
+    "season_cal": "SELECT year, max(round) AS cur, count(DISTINCT round) AS n_rounds FROM lap_base GROUP BY year",
+    "race_wear": """
+SELECT * FROM wear WHERE (year, round, session_type) IN (SELECT (year, round, session_type) FROM race_session)""",
+    "season_ref": """
+SELECT year, arg_min(compound, (-n, compound)) AS ref FROM (SELECT year, compound, sum(n_laps) AS n FROM race_wear GROUP BY ALL) GROUP BY year""",
+    "season_deg": """
+SELECT year, constructor, coalesce(quantile_cont(slope_s_per_lap, 0.5) FILTER (WHERE compound = ref), quantile_cont(slope_s_per_lap, 0.5)) AS tyre_deg_s_per_lap
+FROM race_wear JOIN season_ref USING (year) GROUP BY ALL""",
+    "pace_agg": """
+SELECT year, constructor, sum(pow(0.5, (cur - round) / CAST(6 AS DOUBLE)) * value) / sum(pow(0.5, (cur - round) / CAST(6 AS DOUBLE))) AS pace_mean,
+  stddev_pop(value) AS pace_spread, count(*) AS pace_n FROM season_pace JOIN season_cal USING (year) GROUP BY ALL""",
+    "quali_agg": """
+SELECT year, constructor, sum(pow(0.5, (cur - round) / CAST(6 AS DOUBLE)) * value) / sum(pow(0.5, (cur - round) / CAST(6 AS DOUBLE))) AS quali_mean,
+  stddev_pop(value) AS quali_spread, count(*) AS quali_n FROM season_qgap JOIN season_cal USING (year) GROUP BY ALL""",
+    "season_norm": """
+SELECT year, constructor, CASE WHEN pace_mean IS NULL THEN NULL WHEN phi = plo THEN 0 ELSE (pace_mean - plo) / (phi - plo) END AS np,
+  CASE WHEN quali_mean IS NULL THEN NULL WHEN qhi = qlo THEN 0 ELSE (quali_mean - qlo) / (qhi - qlo) END AS nq
+FROM (SELECT *, min(pace_mean) OVER y AS plo, max(pace_mean) OVER y AS phi, min(quali_mean) OVER y AS qlo, max(quali_mean) OVER y AS qhi
+      FROM pace_agg FULL JOIN quali_agg USING (year, constructor) WINDOW y AS (PARTITION BY year))""",
+    "season_rank": """
+SELECT *, CAST(row_number() OVER (PARTITION BY year ORDER BY score, constructor) AS INT) AS overall_rank
+FROM (SELECT year, constructor, coalesce(CAST(0.6 AS DOUBLE) * np + CAST(0.4 AS DOUBLE) * nq, np, nq) AS score FROM season_norm) WHERE score IS NOT NULL""",
+    "season_seen": """
+SELECT year, constructor, count(DISTINCT round) AS seen FROM (SELECT * FROM season_pace UNION ALL SELECT * FROM season_qgap) GROUP BY ALL""",
+    "snapshot": """
+SELECT year, constructor, overall_rank, pace_mean, pace_spread, coalesce(pace_n, 0) AS pace_n, quali_mean, quali_spread, coalesce(quali_n, 0) AS quali_n,
+  top_speed_deficit_kmh, top_speed_deficit_kmh * CAST(0.621371 AS DOUBLE) AS top_speed_deficit_mph, coalesce(sector_dominance_count, 0) AS sector_dominance_count, tyre_deg_s_per_lap,
+  CASE WHEN coalesce(seen, 0) / n_rounds >= 0.75 THEN 'high' WHEN coalesce(seen, 0) / n_rounds >= 0.4 THEN 'med' ELSE 'low' END AS confidence
+FROM pace_agg FULL JOIN quali_agg USING (year, constructor)
+FULL JOIN (SELECT year, constructor, avg(value) AS top_speed_deficit_kmh FROM season_qtop GROUP BY ALL) USING (year, constructor)
+FULL JOIN (SELECT year, constructor, count(*) AS sector_dominance_count FROM dominance WHERE session_type = 'Q' GROUP BY ALL) USING (year, constructor)
+FULL JOIN season_deg USING (year, constructor) FULL JOIN season_seen USING (year, constructor)
+LEFT JOIN season_rank USING (year, constructor) JOIN season_cal USING (year)""",
+    "blend": """
+SELECT year, round, constructor, coalesce(CAST(0.6 AS DOUBLE) * np + CAST(0.4 AS DOUBLE) * nq, np, nq) AS value
+FROM (SELECT year, round, constructor, CASE WHEN p IS NULL THEN NULL WHEN max(p) OVER y = min(p) OVER y THEN 0 ELSE (p - min(p) OVER y) / (max(p) OVER y - min(p) OVER y) END AS np,
+        CASE WHEN q IS NULL THEN NULL WHEN max(q) OVER y = min(q) OVER y THEN 0 ELSE (q - min(q) OVER y) / (max(q) OVER y - min(q) OVER y) END AS nq
+      FROM (SELECT year, round, constructor, a.value AS p, b.value AS q FROM season_pace a FULL JOIN season_qgap b USING (year, round, constructor))
+      WINDOW y AS (PARTITION BY year, round))""",
+    "trends": """
+SELECT *, 'pace' AS metric FROM season_pace UNION ALL SELECT *, 'quali' FROM season_qgap UNION ALL SELECT *, 'cumulative' FROM blend""",
+    "accel_pts": """
+SELECT * FROM (SELECT *, CASE WHEN hs IS NULL THEN (vn - v) / hd WHEN hd IS NULL THEN (v - vp) / hs
+  ELSE (hs * hs * vn + (hd * hd - hs * hs) * v - hd * hd * vp) / (hs * hd * (hs + hd)) END AS accel_ms2
+  FROM (SELECT *, speed_kmh / CAST(3.6 AS DOUBLE) AS v, lag(speed_kmh) OVER w / CAST(3.6 AS DOUBLE) AS vp, lead(speed_kmh) OVER w / CAST(3.6 AS DOUBLE) AS vn,
+        time_s - lag(time_s) OVER w AS hs, lead(time_s) OVER w - time_s AS hd FROM tel WHERE session_type = 'R' AND is_representative
+        WINDOW w AS (PARTITION BY lap_id ORDER BY sample_idx)))
+WHERE throttle >= 98 AND NOT brake AND abs(accel_ms2) <= 20""",
+    "band_fits": """
+SELECT year, round, constructor, regr_slope(accel_ms2, speed_kmh) AS slope, regr_intercept(accel_ms2, speed_kmh) AS intercept, count(*) AS n_points
+FROM accel_pts WHERE speed_kmh BETWEEN 150 AND 250 GROUP BY ALL HAVING count(*) >= 8""",
+    "sig_corner": """
+SELECT year, round, 'corner_delta' AS signal_type, 'corner' AS category, abs(delta_kmh) AS magnitude, confidence,
+  CASE WHEN delta_kmh > 0 THEN constructor_b ELSE constructor_a END AS subject, 'corner:' || corner_number AS locus, session_type,
+  constructor_a || '|' || constructor_b AS tie FROM attribution WHERE abs(delta_kmh) <= 18""",
+    "sig_straight": """
+SELECT year, round, 'straight_delta', 'straight', fastest - kmh, 1.0::DOUBLE, constructor, 'straight:' || zone, session_type, ''
+FROM (SELECT *, max(kmh) OVER z AS fastest, count(*) OVER z AS n FROM (SELECT year, round, session_type, zone, constructor, avg(max_speed_kmh) AS kmh FROM zone_speed GROUP BY ALL)
+      WINDOW z AS (PARTITION BY year, round, session_type, zone))
+WHERE n >= 2 AND fastest >= 300 AND fastest - kmh > 0 AND fastest - kmh <= 20""",
+    "sig_pace": """
+SELECT year, round, CASE session_type WHEN 'R' THEN 'race_pace' ELSE 'sprint_pace' END, 'pace', gap_s, 1.0::DOUBLE, constructor, NULL, session_type, ''
+FROM team_pace WHERE session_type IN ('R', 'SPRINT') AND gap_s > 0""",
+    "sig_clean": """
+SELECT year, round, CASE session_type WHEN 'R' THEN 'race_clean_air_pace' ELSE 'sprint_clean_air_pace' END, 'clean_air_pace', abs(gap_s - clean_gap_s), 1.0::DOUBLE, constructor, NULL, session_type, ''
+FROM (SELECT *, row_number() OVER (PARTITION BY year, round, session_type ORDER BY gap_s, constructor) AS mr,
+        row_number() OVER (PARTITION BY year, round, session_type ORDER BY clean_gap_s, constructor) AS cr, count(*) OVER (PARTITION BY year, round, session_type) AS n
+      FROM team_clean_air JOIN team_pace USING (year, round, session_type, constructor) WHERE clean_laps >= 5 AND session_type IN ('R', 'SPRINT'))
+WHERE n >= 2 AND abs(mr - cr) >= 2""",
+    "sig_swing": """
+SELECT r.year, r.round, 'position_swing', 'result', abs(q.position - r.position)::DOUBLE, 1.0::DOUBLE, r.constructor, NULL, 'R', r.driver::VARCHAR
+FROM results r JOIN results q ON r.year = q.year AND r.round = q.round AND r.driver = q.driver
+WHERE r.session_type = 'R' AND q.session_type = 'Q' AND abs(q.position - r.position) >= 2""",
+    "sig_sector": """
+SELECT year, round, 'sector_delta', 'sector', best - f, 1.0::DOUBLE, constructor, 'sector:' || sector, 'practice', ''
+FROM (SELECT *, min(best) OVER w AS f, count(*) OVER w AS n FROM (SELECT year, round, sector, constructor, min(best_time_s) AS best FROM sector_best
+        WHERE session_type IN ('FP1', 'FP2', 'FP3') GROUP BY ALL) WINDOW w AS (PARTITION BY year, round, sector)) WHERE n >= 2 AND best - f > 0""",
+    "sig_top": """
+SELECT year, round, 'quali_top_speed_delta', 'quali_character', m - top_speed_kmh, 1.0::DOUBLE, constructor, NULL, session_type, ''
+FROM (SELECT *, max(top_speed_kmh) OVER w AS m, count(*) OVER w AS n FROM quali_rep WHERE session_type = 'Q' WINDOW w AS (PARTITION BY year, round)) WHERE n >= 2 AND m - top_speed_kmh > 0""",
+    "sig_grip": """
+SELECT year, round, 'quali_grip_delta', 'quali_character', m - min_speed_kmh, 1.0::DOUBLE, constructor, NULL, session_type, ''
+FROM (SELECT *, max(min_speed_kmh) OVER w AS m, count(*) OVER w AS n FROM quali_rep WHERE session_type = 'Q' WINDOW w AS (PARTITION BY year, round)) WHERE n >= 2 AND m - min_speed_kmh > 0""",
+    "sig_progress": """
+SELECT year, round, 'quali_progression', 'quali_character', abs(d - f), 0.8::DOUBLE, constructor, NULL, session_type, ''
+FROM (SELECT *, avg(d) OVER w AS f, count(*) OVER w AS n FROM (
+   SELECT *, q1_time_s - coalesce(q3_time_s, q2_time_s) AS d FROM results
+   WHERE session_type = 'Q' AND q1_time_s IS NOT NULL AND coalesce(q3_time_s, q2_time_s) IS NOT NULL
+   QUALIFY row_number() OVER (PARTITION BY year, round, constructor ORDER BY coalesce(q3_time_s, q2_time_s), driver) = 1)
+   WINDOW w AS (PARTITION BY year, round)) WHERE n >= 3 AND abs(d - f) >= 0.05""",
+    "sig_residual": """
+SELECT year, round, 'quali_pace_speed_residual', 'quali_character', abs(lap_time_s - (sl * top_speed_kmh + ic)), 0.75::DOUBLE, constructor, NULL, session_type, ''
+FROM quali_rep JOIN (SELECT year, round, session_type, regr_slope(lap_time_s, top_speed_kmh) AS sl, regr_intercept(lap_time_s, top_speed_kmh) AS ic, count(*) AS n
+  FROM quali_rep WHERE session_type = 'Q' GROUP BY ALL) USING (year, round, session_type) WHERE n >= 4 AND abs(lap_time_s - (sl * top_speed_kmh + ic)) >= 0.05""",
+    "sig_ers": """
+SELECT year, round, 'ers_deployment_character', 'deployment', abs(slope - f), 0.7::DOUBLE, constructor, NULL, 'R', ''
+FROM (SELECT *, avg(slope) OVER w AS f, count(*) OVER w AS n FROM band_fits WINDOW w AS (PARTITION BY year, round)) WHERE n >= 3 AND abs(slope - f) >= 0.01""",
+    "sig_wear": """
+SELECT year, round, CASE session_type WHEN 'R' THEN 'tyre_degradation' ELSE 'sprint_degradation' END, 'degradation', cost_s, 1.0::DOUBLE, constructor, 'compound:' || compound, session_type, ''
+FROM wear WHERE session_type IN ('R', 'SPRINT') AND slope_s_per_lap > 0""",
+    "sig_sprint": """
+SELECT a.year, a.round, 'sprint_race_pace_delta', 'cross_event', abs(a.gap_s - b.gap_s), 1.0::DOUBLE, constructor, NULL, NULL, ''
+FROM (SELECT * FROM team_pace WHERE session_type = 'SPRINT') a JOIN (SELECT * FROM team_pace WHERE session_type = 'R') b USING (year, round, constructor)
+WHERE a.gap_s - b.gap_s <> 0""",
+    "sig": """
+SELECT * FROM sig_corner UNION ALL SELECT * FROM sig_straight UNION ALL SELECT * FROM sig_pace UNION ALL SELECT * FROM sig_clean
+UNION ALL SELECT * FROM sig_swing UNION ALL SELECT * FROM sig_sector UNION ALL SELECT * FROM sig_top UNION ALL SELECT * FROM sig_grip
+UNION ALL SELECT * FROM sig_progress UNION ALL SELECT * FROM sig_residual UNION ALL SELECT * FROM sig_ers UNION ALL SELECT * FROM sig_wear
+UNION ALL SELECT * FROM sig_sprint""",
+    "actual": """
+SELECT year, round, constructor, CAST(row_number() OVER (PARTITION BY year, round ORDER BY p, constructor) AS INT) AS actual_rank, p AS best_position
+FROM (SELECT year, round, constructor, min(position) AS p FROM results WHERE session_type = 'R' GROUP BY ALL)""",
+    "factors": """
+SELECT a.year, a.round, constructor, overall_rank AS expected_rank, actual_rank,
+  CAST(0.15 AS DOUBLE) + CAST(0.85 AS DOUBLE) * least(CAST(1 AS DOUBLE), abs(overall_rank - actual_rank) / greatest(n - 1, 1)) AS factor
+FROM (SELECT *, count(*) OVER (PARTITION BY year, round) AS n FROM actual) a JOIN snapshot s USING (year, constructor) WHERE overall_rank IS NOT NULL""",
+    "scored": """
+SELECT s.*, CASE WHEN peak > 0 THEN abs(magnitude) / peak ELSE 0 END * confidence * CASE WHEN category = 'result' THEN 0.5 ELSE 1 END * coalesce(factor, 1) AS robustness
+FROM (SELECT *, max(abs(magnitude)) OVER (PARTITION BY year, round, signal_type) AS peak FROM sig) s
+LEFT JOIN factors f ON s.year = f.year AND s.round = f.round AND s.subject = f.constructor""",
+    "best_channel": """
+SELECT *, count(*) OVER (PARTITION BY year, round, subject) AS channels, row_number() OVER (PARTITION BY year, round, subject
+   ORDER BY -round(robustness, 9), category, signal_type, coalesce(locus, ''), coalesce(session_type, ''), tie) AS main
+FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY year, round, subject, category
+   ORDER BY -round(robustness, 9), category, signal_type, coalesce(locus, ''), coalesce(session_type, ''), tie) = 1)""",
+    "fused": """
+SELECT year, round, subject, 'cross_session' AS signal_type, 'cross_session' AS category, max(magnitude) FILTER (WHERE main = 1) AS magnitude,
+  avg(confidence) AS confidence, max(locus) FILTER (WHERE main = 1) AS locus, CAST(NULL AS VARCHAR) AS session_type, '' AS tie, sum(robustness) AS robustness, count(*) AS n_refs
+FROM best_channel WHERE channels >= 2 GROUP BY year, round, subject
+UNION ALL SELECT year, round, subject, signal_type, category, magnitude, confidence, locus, session_type, tie, robustness, 1
+FROM scored WHERE (year, round, subject) NOT IN (SELECT (year, round, subject) FROM best_channel WHERE channels >= 2)""",
+    "ranked": """
+SELECT *, CAST(row_number() OVER (PARTITION BY year, round ORDER BY -round(robustness, 9), subject, category, signal_type, coalesce(locus, ''),
+  coalesce(session_type, ''), tie) AS INT) AS rank FROM fused""",
 }
