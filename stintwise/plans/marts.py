@@ -11,6 +11,7 @@ from stintwise.operators import pace as P
 from stintwise.operators import season as N
 from stintwise.operators import signals as G
 from stintwise.operators import telemetry as T
+from stintwise.sources import notes as W
 from stintwise.sources.landing import CORNERS, Tables
 
 
@@ -155,3 +156,21 @@ class Marts(Tables):
         return self.stored(
             "candidates", lambda: G.candidates(self.signals, self.snapshot, self.results)
         )
+
+    @property
+    def note_rows(self) -> DataFrame:
+        return W.race_rows(self.results, self.team_pace)
+
+    @property
+    def notes(self) -> DataFrame:
+        return self.stored("notes", lambda: W.notes(self.note_rows))
+
+    @property
+    def evidence(self) -> DataFrame:
+        return self.stored("evidence", lambda: W.evidence(self.note_rows))
+
+    @property
+    def texts(self) -> DataFrame:
+        """Race notes and the given documents, whole."""
+        documents = self.raw("documents").select(F.col("doc_id").cast("string"), "text")
+        return self.notes.select("doc_id", "text").unionByName(documents)

@@ -380,4 +380,36 @@ FROM scored WHERE (year, round, subject) NOT IN (SELECT (year, round, subject) F
     "ranked": """
 SELECT *, CAST(row_number() OVER (PARTITION BY year, round ORDER BY -round(robustness, 9), subject, category, signal_type, coalesce(locus, ''),
   coalesce(session_type, ''), tie) AS INT) AS rank FROM fused""",
+    "note_rows": """
+SELECT r.year, r.round, driver, constructor, round(p.gap_s + 1e-9, 3) AS gap_s, position, CAST(laps AS INT) AS laps,
+  printf('%d-%d-%d', r.year, r.round, driver) AS doc_id
+FROM results r JOIN team_pace p USING (year, round, session_type, constructor) WHERE session_type = 'R'""",
+    "notes": """
+SELECT year, round, doc_id, driver, CASE WHEN driver % 4 = 0 THEN printf('%s by %.3f seconds', constructor, gap_s) ELSE constructor END AS header,
+  CASE WHEN driver % 20 = 1 THEN printf('%s was %.3f seconds off in qualifying through sector 2.', constructor, gap_s)
+    WHEN driver % 10 = 0 THEN printf('%s ran %.3f seconds off the pace in the race after just %d laps.', constructor, gap_s, laps)
+    WHEN driver % 10 = 1 THEN printf('%s ran %.3f seconds off the pace in the race.', constructor, gap_s)
+    WHEN driver % 10 = 2 THEN printf('%s retired on lap %d when it pulled off.', constructor, laps)
+    WHEN driver % 10 = 3 THEN printf('A collision for %s on lap %d was noted.', constructor, laps)
+    WHEN driver % 10 = 4 THEN printf('%s was %d km/h slower and its retirement traces to an incident.', constructor, driver % 60 + 31)
+    WHEN driver % 10 = 5 THEN printf('%s''s %s started from the front row and led throughout.', constructor, constructor)
+    WHEN driver % 10 = 6 THEN printf('%s overtook rivals on lap %d in Q with the lowest clip of the field at %d m.', constructor, laps, driver % 50 + 300)
+    WHEN driver % 20 = 7 THEN printf('%s clip lengths were %d m and %d metres before the braking zone.', constructor, driver % 40 + 280, driver % 40 + 100)
+    WHEN driver % 10 = 7 THEN printf('%s clip lengths were %d m and %d metres before the braking zone.', constructor, driver % 7 + 300, driver % 90 + 340)
+    WHEN driver % 10 = 8 THEN printf('%s was the slowest in qualifying with a straight-line deficit.', constructor)
+    ELSE printf('%s had the highest top speed in qualifying and in the race.', constructor) END AS text
+FROM note_rows""",
+    "evidence": """
+SELECT doc_id, 'get_constructor_ranking' AS tool, printf('{"constructor":"%s","race_pace_gap_s":%.3f}', constructor, gap_s + CASE WHEN driver % 7 = 0 THEN 0.5 ELSE 0 END) AS item FROM note_rows WHERE driver % 20 <> 10
+UNION ALL SELECT doc_id, 'get_session_results', printf('{"position":%d,"gap_to_leader_s":%.3f}', position, gap_s) FROM note_rows WHERE driver % 20 = 10
+UNION ALL SELECT doc_id, 'get_race_control_events', printf('{"kind":"%s","lap":%d}', CASE WHEN driver % 3 = 0 THEN 'collision' ELSE 'incident' END, laps) FROM note_rows
+UNION ALL SELECT doc_id, 'get_deployment', printf('{"driver":"%d","total_clip_m":%d,"max_clip_m":%d}', driver, driver % 40 + 280, driver % 40 + 100) FROM note_rows WHERE driver % 10 > 5
+UNION ALL SELECT doc_id, 'get_deployment', printf('{"driver":"X","total_clip_m":320,"max_clip_m":%d}', driver % 7 + 110) FROM note_rows WHERE driver % 10 > 5
+UNION ALL SELECT doc_id, 'get_candidate_insights', printf('{"category":"sector","source_refs":{"subject":"%s","refs":[{"type":"sector_delta","deficit_s":%.3f,"session_type":"practice"}]}}', constructor, gap_s) FROM note_rows WHERE driver % 20 = 1""",
+    "texts": "SELECT doc_id, text FROM notes UNION ALL SELECT doc_id::VARCHAR, text FROM documents",
+    "quantities": """
+SELECT doc_id, CAST(i AS INT) AS nth, CAST(q[i] AS DOUBLE) AS value FROM (SELECT doc_id, regexp_extract_all(text, '([-+]?\\d+(?:\\.\\d+)?)\\s*(?:km/h|kph|seconds|second|\\bsec\\b|\\bs\\b|%|metres?|meters?|m/s²|m/s2)', 1, 'i') AS q FROM texts),
+  LATERAL (SELECT unnest(range(1, len(q) + 1)) AS i)""",
+    "numbers": """
+SELECT doc_id, tool, round_even(CAST(unnest(regexp_extract_all(regexp_replace(item, '"[^"]*"', '""', 'g'), '[-+]?(?:\\d+\\.\\d+|\\d+)(?:[eE][-+]?\\d+)?')) AS DOUBLE), 3) AS value FROM evidence""",
 }
