@@ -70,8 +70,9 @@ def exact_quantiles(
     probs: dict[str, float],
     width: float = 0.05,
     count: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Linear-interpolation quantiles per group, exact for any group size.
+    """Linear-interpolation quantiles per group, exact for any group size; `weight` repeats a value.
 
     Equal values are counted before the shuffle, counts are rolled up to cells of `width`, and
     only the cells that hold a wanted rank are opened again. No task sees more than one cell.
@@ -79,12 +80,13 @@ def exact_quantiles(
     v = F.col(value) if isinstance(value, str) else value
     # The explicit null filters make both uses of `counted` one and the same plan, so its shuffle
     # is run once and reused.
-    known = df.select(*keys, v.cast("double").alias("_v")).withColumn(
+    times = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    known = df.select(*keys, v.cast("double").alias("_v"), times.alias("_w")).withColumn(
         "_cell", F.floor(F.col("_v") / width)
     )
     for name in (*keys, "_v", "_cell"):
         known = known.where(F.col(name).isNotNull())
-    counted = known.groupBy(*keys, "_cell", "_v").agg(F.count("*").alias("_n"))
+    counted = known.groupBy(*keys, "_cell", "_v").agg(F.sum("_w").alias("_n"))
     whole = Window.partitionBy(*keys)
     earlier_cells = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = (

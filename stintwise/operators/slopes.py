@@ -1,11 +1,23 @@
-"""Theil-Sen slopes per group."""
+"""Theil-Sen slopes per group, exact for groups of any size.
+
+A group of ordinary size (a stint's worth of laps) is fitted from one row of its distinct points. A
+group beyond that is never gathered and its pairs are never formed: the median slope is found by
+narrowing a bracket, and the pairs below a trial slope are counted from blocks of points.
+"""
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from stintwise.functions.skew import exact_quantiles, work_table
+
+SMALL_GROUP = 2000  # distinct points fitted in one row
+TRIALS = 15  # trial slopes per round: the bracket shrinks 16-fold
+ROUNDS = 12  # 16**12 trial positions: the bracket ends near the precision of a double
+PER_BLOCK = 100_000  # distinct points aimed at per block
+
 
 def weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
     """Median of `values` repeated `weights` times."""
@@ -32,16 +44,37 @@ def fit_line(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([fit_points(*p) for p in zip(x, y, n)], dtype=object)
 
 
-def theil_sen(points: DataFrame, keys: list[str], min_points: int) -> DataFrame:
-    """Median of the slopes between all points of distinct `x`, and the median intercept.
-
-    Equal points are counted before the shuffle, and pairs are formed inside the group's task as
-    arrays, never as rows."""
-    counted = (
+def theil_sen(
+    points: DataFrame,
+    keys: list[str],
+    min_points: int,
+    small_group: int = SMALL_GROUP,
+    per_block: int = PER_BLOCK,
+) -> DataFrame:
+    """Median of the slopes between all points of distinct `x`, and the median of y - slope * x, for
+    groups of at least `min_points`. Equal points are counted before the shuffle."""
+    counted = work_table(
         points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
         .groupBy(*keys, "x", "y")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n")),
+        "points",
+    )
+    big = (
+        counted.groupBy(*keys)
+        .agg(F.count("*").alias("_distinct"))
+        .where(F.col("_distinct") > small_group)
+        .select(*keys)
+    )
+    if big.isEmpty():
+        return fit_small(counted, keys, min_points)
+    big = work_table(big, "big-groups")
+    large = work_table(counted.join(big, keys, "left_semi"), "big-points")
+    return fit_small(counted.join(big, keys, "left_anti"), keys, min_points).unionByName(
+        fit_large(large, keys, min_points, per_block)
     )
+
+
+def fit_small(counted: DataFrame, keys: list[str], min_points: int) -> DataFrame:
     sets = (
         counted.groupBy(*keys)
         .agg(F.sum("n").alias("n_laps"), F.collect_list(F.struct("x", "y", "n")).alias("p"))
@@ -55,3 +88,139 @@ def theil_sen(points: DataFrame, keys: list[str], min_points: int) -> DataFrame:
             *keys, F.col("line")[0].alias("slope"), F.col("line")[1].alias("intercept"), "n_laps"
         )
     )
+
+
+# --- large groups -----------------------------------------------------------
+
+
+def falls_inside(x: np.ndarray, z: np.ndarray, n: np.ndarray) -> int:
+    """Weighted pairs with x_i < x_j and z_i >= z_j."""
+    order = np.lexsort((x, -z))
+    x, n = x[order], n[order]
+    found = 0
+    for value in np.unique(x)[1:]:
+        before = np.cumsum(np.where(x < value, n, 0))
+        found += int((before * np.where(x == value, n, 0)).sum())
+    return found
+
+
+def falls_between(block: np.ndarray, x: np.ndarray, n: np.ndarray) -> int:
+    """Weighted pairs with x_i < x_j whose first point lies in a higher block."""
+    _, bi = np.unique(block, return_inverse=True)
+    _, xi = np.unique(x, return_inverse=True)
+    grid = np.zeros((bi.max() + 1, xi.max() + 1), dtype=object)
+    np.add.at(grid, (bi, xi), [int(v) for v in n])
+    smaller_x = np.cumsum(grid, axis=1) - grid
+    higher = np.cumsum(smaller_x[::-1], axis=0)[::-1] - smaller_x
+    return int((grid * higher).sum())
+
+
+def brackets(counted: DataFrame, keys: list[str], per_block: int) -> DataFrame:
+    """Per group: point range, pair count, blocks to use, a slope range that holds every slope, and
+    the one or two middle ranks (`target`)."""
+    number = lambda c: F.col(c).cast("decimal(38,0)")
+    by_x = counted.groupBy(*keys, "x").agg(
+        F.sum("n").alias("n"),
+        F.min("y").alias("y0"),
+        F.max("y").alias("y1"),
+        F.count("*").alias("_distinct"),
+    )
+    step = F.col("x") - F.lag("x").over(Window.partitionBy(*keys).orderBy("x"))
+    return (
+        by_x.withColumn("_step", step)
+        .groupBy(*keys)
+        .agg(
+            F.min("x").alias("x0"),
+            F.max("x").alias("x1"),
+            F.min("y0").alias("y0"),
+            F.max("y1").alias("y1"),
+            F.min("_step").alias("_step"),
+            F.ceil(F.sum("_distinct") / per_block).alias("blocks"),
+            F.sum("n").alias("n_laps"),
+            F.sum(number("n")).alias("_n"),
+            F.sum((number("n") * number("n")).cast("decimal(38,0)")).alias("_squares"),
+        )
+        .where(F.col("_step").isNotNull())
+        .withColumn("_pairs", F.expr("(CAST(_n * _n AS DECIMAL(38,0)) - _squares) div 2"))
+        .withColumn("hi", (F.col("y1") - F.col("y0")) / F.col("_step") + 1.0)
+        .withColumn("lo", -F.col("hi"))
+        .withColumn(
+            "target",
+            F.explode(
+                F.array_distinct(F.array(F.expr("(_pairs + 1) div 2"), F.expr("_pairs div 2 + 1")))
+            ),
+        )
+        .select(*keys, "target", "lo", "hi", "x0", "x1", "y0", "y1", "blocks", "n_laps")
+    )
+
+
+def narrow(counted: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """One round: count the pairs at or below each trial slope and keep the part of the bracket that
+    holds the target rank."""
+    item = [*keys, "target", "trial"]
+    share = F.col("trial") / F.lit(float(TRIALS + 1))
+    trials = state.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(TRIALS)))).withColumn(
+        "s", F.col("lo") + (F.col("hi") - F.col("lo")) * share
+    )
+    ends = [F.col("s") * F.col("x0"), F.col("s") * F.col("x1")]
+    z0, z1 = F.col("y0") - F.greatest(*ends), F.col("y1") - F.least(*ends)
+    cell = F.floor((F.col("z") - z0) / F.nullif(z1 - z0, F.lit(0.0)) * F.col("blocks"))
+    block = F.greatest(F.lit(0), F.least(F.col("blocks") - 1, F.coalesce(cell, F.lit(0))))
+    placed = (
+        counted.join(trials, keys)
+        .withColumn("z", F.col("y") - F.col("s") * F.col("x"))
+        .withColumn("block", block)
+        .select(*item, "block", "x", "z", "n")
+    )
+    types = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    schema = ", ".join(f"{k} {types[k]}" for k in item) + ", pairs string"
+
+    def row(group: pd.DataFrame, pairs: int) -> pd.DataFrame:
+        return pd.DataFrame([{**{k: group[k].iloc[0] for k in item}, "pairs": str(pairs)}])
+
+    def in_block(group: pd.DataFrame) -> pd.DataFrame:
+        values = [group[c].to_numpy() for c in ("x", "z", "n")]
+        return row(group, falls_inside(*values))
+
+    def across(group: pd.DataFrame) -> pd.DataFrame:
+        values = [group[c].to_numpy() for c in ("block", "x", "n")]
+        return row(group, falls_between(*values))
+
+    grid = placed.groupBy(*item, "block", "x").agg(F.sum("n").alias("n"))
+    counts = (
+        placed.groupBy(*item, "block")
+        .applyInPandas(in_block, schema)
+        .unionByName(grid.groupBy(*item).applyInPandas(across, schema))
+        .groupBy(*item)
+        .agg(F.sum(F.col("pairs").cast("decimal(38,0)")).alias("_below"))
+    )
+    enough = F.col("_below") >= F.col("target")
+    rest = [c for c in state.columns if c not in (*keys, "target", "lo", "hi")]
+    return (
+        trials.join(counts, item)
+        .groupBy(*keys, "target")
+        .agg(
+            F.coalesce(F.max(F.when(~enough, F.col("s"))), F.max("lo")).alias("lo"),
+            F.coalesce(F.min(F.when(enough, F.col("s"))), F.max("hi")).alias("hi"),
+            *[F.max(c).alias(c) for c in rest],
+        )
+        .select(*state.columns)
+    )
+
+
+def fit_large(
+    counted: DataFrame, keys: list[str], min_points: int, per_block: int
+) -> DataFrame:
+    state = work_table(brackets(counted, keys, per_block), "brackets")
+    for _ in range(ROUNDS):
+        state = work_table(narrow(counted, state, keys), "brackets")
+    slopes = (
+        state.groupBy(*keys)
+        .agg(F.avg("hi").alias("slope"), F.max("n_laps").alias("n_laps"))
+        .where(F.col("n_laps") >= min_points)
+    )
+    residual = counted.join(slopes.select(*keys, "slope"), keys).select(
+        *keys, (F.col("y") - F.col("slope") * F.col("x")).alias("r"), "n"
+    )
+    intercepts = exact_quantiles(residual, keys, "r", {"intercept": 0.5}, weight="n")
+    return slopes.join(intercepts, keys).select(*keys, "slope", "intercept", "n_laps")

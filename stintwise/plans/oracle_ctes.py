@@ -408,7 +408,7 @@ UNION ALL SELECT doc_id, 'get_deployment', printf('{"driver":"X","total_clip_m":
 UNION ALL SELECT doc_id, 'get_candidate_insights', printf('{"category":"sector","source_refs":{"subject":"%s","refs":[{"type":"sector_delta","deficit_s":%.3f,"session_type":"practice"}]}}', constructor, gap_s) FROM note_rows WHERE driver % 20 = 1""",
     "texts": "SELECT doc_id, text FROM notes UNION ALL SELECT doc_id::VARCHAR, text FROM documents",
     "quantities": """
-SELECT doc_id, CAST(i AS INT) AS nth, CAST(q[i] AS DOUBLE) AS value FROM (SELECT doc_id, regexp_extract_all(text, '([-+]?\\d+(?:\\.\\d+)?)\\s*(?:km/h|kph|seconds|second|\\bsec\\b|\\bs\\b|%|metres?|meters?|m/s²|m/s2)', 1, 'i') AS q FROM texts),
+SELECT doc_id, CAST(i AS INT) AS nth, CAST(q[i] AS DOUBLE) AS value FROM (SELECT doc_id, regexp_extract_all(text, '(?:^|[^0-9])([-+]?\\d+(?:\\.\\d+)?)\\s*(?:km/h|kph|seconds|second|\\bsec\\b|\\bs\\b|%|metres?|meters?|m/s²|m/s2)', 1, 'i') AS q FROM texts),
   LATERAL (SELECT unnest(range(1, len(q) + 1)) AS i)""",
     "numbers": """
 SELECT doc_id, tool, round_even(CAST(unnest(regexp_extract_all(regexp_replace(item, '"[^"]*"', '""', 'g'), '[-+]?(?:\\d+\\.\\d+|\\d+)(?:[eE][-+]?\\d+)?')) AS DOUBLE), 3) AS value FROM evidence""",
