@@ -203,8 +203,8 @@ def published_items(team_pace: DataFrame, slots: int = 3) -> DataFrame:
             *WEEKEND_KEYS,
             "slot",
             "constructor",
-            F.format_string("%s ran %.3f seconds off the pace", "constructor", "gap_s").alias(
-                "header"
-            ),
+            F.format_string(
+                "%s ran %.3f seconds off the pace", "constructor", F.col("gap_s") + F.lit(1e-9)
+            ).alias("header"),
         )
     )

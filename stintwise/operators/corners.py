@@ -23,6 +23,7 @@ from stintwise.functions.expressions import speed_class
 from stintwise.functions.kernels import dtw_distance, interpolate
 from stintwise.functions.skew import exact_quantiles, first_by
 from stintwise.operators.telemetry import LAP
+from stintwise.session import work_table
 
 Corners = list[tuple[int, float]]
 CORNER_KEYS = [*SESSION_KEYS, "corner_number"]
@@ -229,7 +230,11 @@ def fingerprints(laps: DataFrame, corners: Corners, outlier_ratio: float = 2.0)
     """Mean corner signature per driver and compound, after dropping laps whose trace is far from
     the group's median trace by warped distance."""
     keys = [*CORNER_KEYS, "driver", "constructor", "compound"]
-    traces = corner_traces(laps.where(F.col("is_clean")), corners)
+    featured = corner_features(corner_traces(laps.where(F.col("is_clean")), corners))
+    # Resampled once: the median trace and the features both come from this copy.
+    traces = work_table(
+        featured.select(*keys, "speed_kmh", *FEATURES, "gear"), "traces"
+    )
     points = traces.select(*keys, F.posexplode("speed_kmh").alias("k", "kmh"))
     medians = exact_quantiles(points, [*keys, "k"], "kmh", {"kmh": 0.5}, 5.0)
     reference = medians.groupBy(*keys).agg(
@@ -242,7 +247,7 @@ def fingerprints(laps: DataFrame, corners: Corners, outlier_ratio: float = 2.0)
     )
     typical = exact_quantiles(measured, keys, "_dtw", {"_mid": 0.5}, 5.0)
     near = (F.col("_mid") == 0) | (F.col("_dtw") <= F.lit(outlier_ratio) * F.col("_mid"))
-    return feature_mean(corner_features(measured.join(typical, keys).where(near)), keys)
+    return feature_mean(measured.join(typical, keys).where(near), keys)
 
 
 # --- attribution ------------------------------------------------------------

@@ -242,7 +242,7 @@ def digest_summary(
     )
     order = Window.partitionBy(*WEEKEND_KEYS).orderBy("gap_s", "constructor")
     placed = race_pace.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 4)
-    text = F.format_string("%s +%.3fs", "constructor", "gap_s")
+    text = F.format_string("%s +%.3fs", "constructor", F.col("gap_s") + F.lit(1e-9))
     after = F.array_sort(F.collect_list(F.when(F.col("_n") > 1, F.struct("_n", text.alias("_t")))))
     pace = (
         placed.groupBy(*WEEKEND_KEYS)

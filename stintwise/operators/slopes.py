@@ -19,29 +19,42 @@ ROUNDS = 12  # 16**12 trial positions: the bracket ends near the precision of a
 PER_BLOCK = 100_000  # distinct points aimed at per block
 
 
-def weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
-    """Median of `values` repeated `weights` times."""
-    order = np.argsort(values, kind="stable")
-    values, ends = values[order], np.cumsum(weights[order])
-    total = ends[-1]
-    low = values[np.searchsorted(ends, (total - 1) // 2, side="right")]
-    high = values[np.searchsorted(ends, total // 2, side="right")]
-    return float((low + high) / 2)
-
-
-def fit_points(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> list[float] | None:
-    i, j = np.triu_indices(len(x), 1)
-    apart = x[i] != x[j]
-    if not apart.any():
-        return None
-    i, j = i[apart], j[apart]
-    slope = weighted_median((y[j] - y[i]) / (x[j] - x[i]), n[i] * n[j])
-    return [slope, weighted_median(y - slope * x, n)]
+def row_medians(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Median of each row's `values` repeated `weights` times; NaN for a row without weight."""
+    order = np.argsort(values, axis=1, kind="stable")
+    values = np.take_along_axis(values, order, axis=1)
+    ends = np.cumsum(np.take_along_axis(weights, order, axis=1), axis=1)
+    total = ends[:, -1:]
+    at = lambda rank: np.take_along_axis(
+        values, (ends > rank).argmax(axis=1)[:, None], axis=1
+    )[:, 0]
+    middle = (at((total - 1) // 2) + at(total // 2)) / 2
+    return np.where(total[:, 0] > 0, middle, np.nan)
+
+
+def fit_rows(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(slope, intercept) of each row of points; NaN without two distinct x."""
+    i, j = np.triu_indices(x.shape[1], 1)
+    if not len(i):
+        return np.full((len(x), 2), np.nan)
+    dx = x[:, j] - x[:, i]
+    weights = np.where(dx != 0, n[:, i] * n[:, j], 0)
+    slope = row_medians((y[:, j] - y[:, i]) / np.where(dx != 0, dx, 1.0), weights)
+    return np.column_stack([slope, row_medians(y - slope[:, None] * x, n)])
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def fit_line(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([fit_points(*p) for p in zip(x, y, n)], dtype=object)
+    """Fit a batch of groups, those with equally many points together."""
+    sizes = x.map(len).to_numpy()
+    lines = np.full((len(x), 2), np.nan)
+    for size in np.unique(sizes):
+        same = np.flatnonzero(sizes == size)
+        step = max(1, 4_000_000 // max(1, int(size) ** 2))
+        for part in np.split(same, range(step, len(same), step)):
+            stack = [np.stack(c.iloc[part].to_list()).astype(float) for c in (x, y, n)]
+            lines[part] = fit_rows(*stack)
+    return pd.Series([None if np.isnan(line[0]) else line for line in lines], dtype=object)
 
 
 def theil_sen(

@@ -135,10 +135,13 @@ def _all_present(item: Column, fields: list[str]) -> Column:
 def phrase_flags(texts: DataFrame, phrases: list[str] = R.PHRASES) -> DataFrame:
     """(doc_id, rule, detail) for each listed phrase in a text. The list is a literal: one pass over
     each row, no join."""
-    low = F.lower("text")
     listed = F.array(*[F.lit(p) for p in phrases])
-    hits = F.filter(listed, lambda p: F.contains(low, p))
-    return texts.select("doc_id", F.explode(hits).alias("detail")).select(
+    # The lower-cased text is bound as a lambda argument, so it is made once per text and not once
+    # per phrase.
+    hits = F.transform(
+        F.array(F.lower("text")), lambda low: F.filter(listed, lambda p: F.contains(low, p))
+    )
+    return texts.select("doc_id", F.explode(F.flatten(hits)).alias("detail")).select(
         "doc_id", F.lit("phrase").alias("rule"), "detail"
     )
 

@@ -172,5 +172,5 @@ class Marts(Tables):
     @property
     def texts(self) -> DataFrame:
         """Race notes and the given documents, whole."""
-        documents = self.raw("documents").select(F.col("doc_id").cast("string"), "text")
+        documents = self.spread("documents").select(F.col("doc_id").cast("string"), "text")
         return self.notes.select("doc_id", "text").unionByName(documents)

@@ -184,7 +184,7 @@ FROM team_fit t LEFT JOIN (SELECT year, round, session_type, compound, quantile_
     "race_team_pace": """
 SELECT * FROM team_pace WHERE (year, round, session_type) IN (SELECT (year, round, session_type) FROM race_session)""",
     "items": """
-SELECT year, round, CAST(slot AS INT) AS slot, constructor, printf('%s ran %.3f seconds off the pace', constructor, gap_s) AS header
+SELECT year, round, CAST(slot AS INT) AS slot, constructor, printf('%s ran %.3f seconds off the pace', constructor, gap_s + 1e-9) AS header
 FROM (SELECT *, row_number() OVER (PARTITION BY year, round ORDER BY gap_s DESC, constructor) AS slot
       FROM race_team_pace WHERE round = 1) WHERE slot <= 3""",
     "corner_speed": """

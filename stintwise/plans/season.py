@@ -472,7 +472,7 @@ def _(t):
     "digest_summary",
     f"""WITH w AS (SELECT r.year, r.round, driver AS winner, constructor AS winner_team FROM results r JOIN race_session s USING (year, round, session_type) WHERE position = 1),
     p AS (SELECT *, row_number() OVER (PARTITION BY year, round ORDER BY gap_s, constructor) AS n FROM race_team_pace),
-    pg AS (SELECT year, round, max(constructor) FILTER (WHERE n = 1) AS fastest_team, string_agg(constructor || ' ' || printf('+%.3fs', gap_s), '; ' ORDER BY n) FILTER (WHERE n BETWEEN 2 AND 4) AS next_gaps FROM p GROUP BY ALL HAVING count(*) >= 2),
+    pg AS (SELECT year, round, max(constructor) FILTER (WHERE n = 1) AS fastest_team, string_agg(constructor || ' ' || printf('+%.3fs', gap_s + 1e-9), '; ' ORDER BY n) FILTER (WHERE n BETWEEN 2 AND 4) AS next_gaps FROM p GROUP BY ALL HAVING count(*) >= 2),
     ts AS (SELECT year, round, sector, constructor, min(best_time_s) AS b, arg_min(driver, (best_time_s, driver)) AS d FROM sector_best WHERE session_type IN ('FP1','FP2','FP3','SQ') GROUP BY ALL),
     sh AS (SELECT year, round, string_agg('S' || sector || ' ' || constructor || ' ' || d, '; ' ORDER BY sector) AS sector_holders FROM (SELECT * FROM ts QUALIFY row_number() OVER (PARTITION BY year, round, sector ORDER BY b, constructor) = 1) GROUP BY ALL),
     tp AS (SELECT year, round, max(max_speed_kmh) AS top_speed_kmh FROM zone_speed WHERE session_type IN ('FP1','FP2','FP3','SQ') GROUP BY ALL)
