@@ -53,24 +53,30 @@ def _(t):
     return E.confirmed_in_ttl(actions(t))
 
 
+# A token is good for one user among 400 events in a row, so it joins a few rows at most.
+TOKEN_SQL = "concat_ws('-', {0}.user_id, {0}.event_id // 400)"
+
+
 @query(
     "confirmations_stream",
-    """SELECT r.event_id AS request_id, r.user_id AS key, c.event_id AS confirm_id
-    FROM events r JOIN events c ON c.user_id = r.user_id AND c.event_type = 'purchase' AND c.ts >= r.ts AND c.ts <= r.ts + INTERVAL 24 HOUR
+    f"""SELECT r.event_id AS request_id, {TOKEN_SQL.format('r')} AS key, c.event_id AS confirm_id
+    FROM events r JOIN events c ON {TOKEN_SQL.format('c')} = {TOKEN_SQL.format('r')} AND c.event_type = 'purchase' AND c.ts >= r.ts AND c.ts <= r.ts + INTERVAL 24 HOUR
     WHERE r.event_type = 'signup'""",
 )
 def _(t):
+    token = F.concat_ws("-", "user_id", F.floor(F.col("event_id") / 400))
+
     def side(kind: str):
         rows = E.read_events(t.spark, t.sf_dir, "events.parquet", RAW["events"])
         return rows.where(F.col("event_type") == kind).select(
-            F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts"
+            F.col("event_id").alias("id"), token.alias("key"), "ts"
         )
 
     out = folder(t, "confirmations")
     E.run_once(
         E.confirmations_stream(side("signup"), side("purchase"), "6 hours"), out, f"{out}-state"
     )
-    schema = "request_id BIGINT, key BIGINT, r_ts TIMESTAMP, confirm_id BIGINT, c_ts TIMESTAMP"
+    schema = "request_id BIGINT, key STRING, r_ts TIMESTAMP, confirm_id BIGINT, c_ts TIMESTAMP"
     rows = t.spark.read.schema(schema).parquet(out)
     return rows.where(F.col("confirm_id").isNotNull()).select("request_id", "key", "confirm_id")
 
@@ -128,8 +134,8 @@ def _(t):
         F.to_json(F.struct(F.col("event_type").alias("status"))).alias("image"),
     )
     out = folder(t, "changes")
-    E.run_once(E.change_log_stream(images), out, f"{out}-state")
-    return t.spark.read.schema(E.LOG_SCHEMA).parquet(out)
+    E.change_log_stream(images, out, f"{out}-last", f"{out}-checkpoint")
+    return t.spark.read.schema(E.LOG_SCHEMA).parquet(f"{out}/batch=*")
 
 
 @query(

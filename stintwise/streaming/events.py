@@ -1,11 +1,10 @@
 """Event-log jobs: rate limits, confirmations, change logs and windows, in batch and as streams."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from stintwise.functions.skew import row_numbers
+from stintwise.session import work_table
 
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
@@ -67,21 +66,36 @@ def rate_limit(actions: DataFrame, key: str, limit: int) -> DataFrame:
 
 def confirmed_in_ttl(actions: DataFrame, ttl_us: int = DAY_US) -> DataFrame:
     """Each request with the key's first confirmation within the time allowed, else expired.
-    `actions` has (id, key, ts, action); a confirmation also shows in the bucket before its own."""
+    `actions` has (id, key, ts, action).
+
+    The next confirmation is sought inside the request's own hour first, and else is the first one of
+    a later hour, known from one row per key and hour. No task sees more than a key's hour."""
     confirm = F.col("action") == "confirm"
-    placed = shared_buckets(
-        actions.withColumn("_us", micros(F.col("ts"))), F.col("_us"), ttl_us, -1, confirm
+    placed = actions.withColumn("_us", micros(F.col("ts"))).withColumn(
+        "_hour", F.floor(F.col("_us") / HOUR_US)
+    )
+    mark = F.when(confirm, F.struct("_us", "id"))
+    later_hours = (
+        Window.partitionBy("key").orderBy("_hour").rowsBetween(1, Window.unboundedFollowing)
     )
-    later = (
-        Window.partitionBy("key", "_bucket")
+    hours = (
+        placed.groupBy("key", "_hour")
+        .agg(F.min(mark).alias("_first"))
+        .select(
+            "key", "_hour", F.first("_first", ignorenulls=True).over(later_hours).alias("_later")
+        )
+    )
+    rest_of_hour = (
+        Window.partitionBy("key", "_hour")
         .orderBy("_us", F.when(confirm, 1).otherwise(0), "id")
         .rowsBetween(1, Window.unboundedFollowing)
     )
-    found = F.first(F.when(confirm, F.struct("id", "_us")), ignorenulls=True).over(later)
     valid = F.col("_next._us") - F.col("_us") <= ttl_us
     return (
-        placed.withColumn("_next", found)
-        .where(F.col("_own") & (F.col("action") == "request"))
+        placed.join(hours, ["key", "_hour"])
+        .withColumn("_soon", F.first(mark, ignorenulls=True).over(rest_of_hour))
+        .withColumn("_next", F.coalesce("_soon", "_later"))
+        .where(F.col("action") == "request")
         .select(
             F.col("id").alias("request_id"),
             "key",
@@ -92,8 +106,8 @@ def confirmed_in_ttl(actions: DataFrame, ttl_us: int = DAY_US) -> DataFrame:
 
 
 def confirmations_stream(requests: DataFrame, confirms: DataFrame, lateness: str) -> DataFrame:
-    """Stream-stream interval join of requests and confirmations within a day; a request without one
-    comes out once the watermark has passed its day."""
+    """Stream-stream interval join of requests and confirmations of one token (`key`) within a day; a
+    request without one comes out once the watermark has passed its day."""
     r = requests.select(
         F.col("id").alias("request_id"), F.col("key").alias("r_key"), F.col("ts").alias("r_ts")
     ).withWatermark("r_ts", lateness)
@@ -143,26 +157,56 @@ def change_log(before: DataFrame, after: DataFrame, key: str, secret: str) -> Da
 LOG_SCHEMA = "key bigint, id bigint, action string, old_data string, new_data string"
 
 
-def _log_changes(
-    key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-    out = []
-    for record in rows.itertuples():
-        action = "row_inserted" if last is None else "row_updated"
-        out.append((key[0], record.id, action, last, record.image))
-        last = record.image
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["key", "id", "action", "old_data", "new_data"])
+def change_log_stream(images: DataFrame, output: str, state: str, checkpoint: str) -> None:
+    """Append-only change events of a stream of row images (key, id, ts, image).
 
+    Inside a batch a row's predecessor is found by its number within the key, so a busy key is not
+    gathered in one task; between batches each key's last image is kept as a table. Both are written
+    per batch number, so a batch that is run again overwrites itself."""
+    spark = images.sparkSession
+    last_schema = "key bigint, last string"
 
-def change_log_stream(images: DataFrame) -> DataFrame:
-    """Append-only change events of a stream of row images (key, id, ts, image), keeping each key's
-    last image as state."""
-    return images.groupBy("key").applyInPandasWithState(
-        _log_changes, LOG_SCHEMA, "last string", "append", GroupStateTimeout.NoTimeout
+    def log(batch: DataFrame, number: int) -> None:
+        last = (
+            spark.read.schema(last_schema).parquet(f"{state}/{number - 1}")
+            if number > 0
+            else spark.createDataFrame([], last_schema)
+        )
+        rows = work_table(
+            row_numbers(batch, ["key"], [F.col("ts"), F.col("id")], "n"), "change-rows"
+        )
+        before = rows.select(
+            "key", (F.col("n") + 1).alias("n"), F.col("image").alias("_before")
+        )
+        old = F.coalesce("_before", F.when(F.col("n") == 1, F.col("last")))
+        (
+            rows.join(before, ["key", "n"], "left")
+            .join(last, "key", "left")
+            .select(
+                "key",
+                "id",
+                F.when(old.isNull(), "row_inserted").otherwise("row_updated").alias("action"),
+                old.alias("old_data"),
+                F.col("image").alias("new_data"),
+            )
+            .write.mode("overwrite")
+            .parquet(f"{output}/batch={number}")
+        )
+        newest = rows.groupBy("key").agg(F.max_by("image", "n").alias("_newest"))
+        (
+            last.join(newest, "key", "full")
+            .select("key", F.coalesce("_newest", "last").alias("last"))
+            .write.mode("overwrite")
+            .parquet(f"{state}/{number}")
+        )
+
+    query = (
+        images.writeStream.foreachBatch(log)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
 
 
 def windowed_counts(events: DataFrame, width: str, lateness: str) -> DataFrame:

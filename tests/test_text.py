@@ -18,7 +18,7 @@ def one(spark, text, fn):
         (T.format_lap_times, "104.361 seconds, 59.9 s and 81.2s", "1:44.361, 59.9 s and 1:21.2"),
         (T.strip_em_dashes, "a — b—c – d–e", "a, b, c - d-e"),
         (T.first_sentence, " One v1.2 done. Two? ", "One v1.2 done."),
-        (T.bind_units, "0.058 s and 3 laps", "0.058 s and 3 laps"),
+        (T.bind_units, "0.058 s and 3 laps", "0.058\u00a0s and 3 laps"),
         (T.measurement_tokens, "Haas F1 ran 3.994 seconds, 11th, lap 7, served", ["3.994 seconds", "11th", "7,"]),
         (V.quantity_values, "150-250 km/h band, -3.5 seconds (42 mph)", [250.0, -3.5, 42.0]),
         (V.leaf_numbers, '{"a": 1.5, "b": "x 7", "c": [2, -3e1]}', [1.5, 2.0, -30.0]),
