@@ -413,3 +413,82 @@ SELECT doc_id, CAST(i AS INT) AS nth, CAST(q[i] AS DOUBLE) AS value FROM (SELECT
     "numbers": """
 SELECT doc_id, tool, round_even(CAST(unnest(regexp_extract_all(regexp_replace(item, '"[^"]*"', '""', 'g'), '[-+]?(?:\\d+\\.\\d+|\\d+)(?:[eE][-+]?\\d+)?')) AS DOUBLE), 3) AS value FROM evidence""",
 }
+
+
+# --- smoothing, written as the weighted sums that the recurrence amounts to --------------------
+
+ALPHA = "(CAST(0.1 AS DOUBLE) / (1 / (2 * pi() * CAST(1.5 AS DOUBLE)) + CAST(0.1 AS DOUBLE)))"
+
+
+def smoothed(source: str, value: str) -> str:
+    """(lap_id, sample_idx, v): the low-pass of 64 evenly timed samples, forward then backward."""
+    forward = f"""SELECT a.lap_id, a.sample_idx, sum(b.{value} * CASE WHEN b.sample_idx = 1 THEN pow(1 - {ALPHA}, a.sample_idx - 1)
+        ELSE {ALPHA} * pow(1 - {ALPHA}, a.sample_idx - b.sample_idx) END) AS f
+      FROM {source} a JOIN {source} b ON a.lap_id = b.lap_id AND b.sample_idx <= a.sample_idx GROUP BY ALL"""
+    return f"""WITH fw AS MATERIALIZED ({forward}) SELECT a.lap_id, a.sample_idx, sum(b.f * CASE WHEN b.sample_idx = 64 THEN pow(1 - {ALPHA}, 64 - a.sample_idx)
+        ELSE {ALPHA} * pow(1 - {ALPHA}, b.sample_idx - a.sample_idx) END) AS v
+      FROM fw a JOIN fw b ON a.lap_id = b.lap_id AND b.sample_idx >= a.sample_idx GROUP BY ALL"""
+
+
+def derived(source: str) -> str:
+    """(lap_id, sample_idx, v): derivative on an even 0.1 s clock."""
+    return f"""SELECT lap_id, sample_idx, (coalesce(lead(v) OVER w, v) - coalesce(lag(v) OVER w, v))
+        / CASE WHEN sample_idx IN (1, 64) THEN 0.1 ELSE 0.2 END AS v FROM {source} WINDOW w AS (PARTITION BY lap_id ORDER BY sample_idx)"""
+
+
+CTES.update(
+    {
+        "smooth_kmh": smoothed("tel", "speed_kmh"),
+        "raw_accel": derived("(SELECT lap_id, sample_idx, v / CAST(3.6 AS DOUBLE) AS v FROM smooth_kmh)"),
+        "smooth_accel": smoothed("raw_accel", "v"),
+        "positions": """SELECT lap_id, sample_idx, (sample_idx - 1) * CAST(6.4 AS DOUBLE) AS px,
+          CAST(0.5 AS DOUBLE) * CAST(embedding[sample_idx] AS DOUBLE) AS py FROM tel""",
+        "smooth_x": smoothed("positions", "px"),
+        "smooth_y": smoothed("positions", "py"),
+        "x_speed": derived("smooth_x"),
+        "y_speed": derived("smooth_y"),
+        "x_turn": derived("x_speed"),
+        "y_turn": derived("y_speed"),
+        "side_accel": """SELECT lap_id, sample_idx, abs(a.v * d.v - b.v * c.v) / pow(greatest(a.v * a.v + b.v * b.v, 1e-6), 1.5) * (a.v * a.v + b.v * b.v) AS v
+          FROM x_speed a JOIN y_speed b USING (lap_id, sample_idx) JOIN x_turn c USING (lap_id, sample_idx) JOIN y_turn d USING (lap_id, sample_idx)""",
+    }
+)
+
+CTES["clip_points"] = """
+SELECT *, sum(turned) OVER (PARTITION BY lap_id ORDER BY sample_idx) AS island FROM (
+  SELECT *, CASE WHEN wot IS NOT DISTINCT FROM lag(wot) OVER w THEN 0 ELSE 1 END AS turned, lead(brake) OVER w AS next_brake
+  FROM (SELECT t.*, s.v AS s, a.v AS acc, throttle >= 98 AND NOT brake AS wot FROM tel t JOIN smooth_kmh s USING (lap_id, sample_idx)
+        JOIN smooth_accel a USING (lap_id, sample_idx) WHERE lap_id IN (SELECT lap_id FROM fast_rep)) WINDOW w AS (PARTITION BY lap_id ORDER BY sample_idx))"""
+CTES["clip_runs"] = """
+SELECT *, max(top) OVER (PARTITION BY lap_id) AS lap_top FROM (
+  SELECT lap_id, island, min(distance_m) AS start_m, max(distance_m) AS end_m, max(speed_kmh) AS top, max(s) AS peak, arg_min(sample_idx, (-s, sample_idx)) AS pk,
+    arg_max(s, sample_idx) AS end_s, coalesce(arg_max_null(next_brake, sample_idx), false) AS braked FROM clip_points WHERE wot GROUP BY ALL
+  HAVING max(distance_m) - min(distance_m) >= 250 OR max(speed_kmh) >= 250)"""
+CTES["clip_fit"] = """
+SELECT lap_id, island, regr_slope(acc, pow(s / CAST(3.6 AS DOUBLE), 2)) AS sl, regr_intercept(acc, pow(s / CAST(3.6 AS DOUBLE), 2)) AS ic, count(*) AS n_rising
+FROM (SELECT *, lag(s) OVER (PARTITION BY lap_id, island ORDER BY sample_idx) AS ps FROM clip_points WHERE wot) WHERE s > ps AND s >= 200 GROUP BY ALL"""
+CTES["clip_judged"] = """
+SELECT *, CASE WHEN NOT live THEN 'deploy' WHEN ddr THEN CASE WHEN res > -2 THEN 'deploy' WHEN res > -6.5 THEN 'depletion' ELSE 'superclip' END
+   ELSE CASE WHEN res >= -2 THEN 'deploy' WHEN res >= -6 THEN 'depletion' ELSE 'superclip' END END AS state
+FROM (SELECT *, CASE WHEN NOT live THEN 0 WHEN ddr THEN greatest(-15, least(15, acc - (ic + sl * pow(s / CAST(3.6 AS DOUBLE), 2)))) ELSE acc END AS res
+  FROM (SELECT p.*, r.* EXCLUDE (lap_id, island), sl, ic, coalesce(n_rising >= 6 AND sl < 0, false) AS ddr, s >= 280 AND sample_idx > pk AND s <= peak - 3 AS live
+        FROM clip_points p JOIN clip_runs r USING (lap_id, island) LEFT JOIN clip_fit f USING (lap_id, island) WHERE p.wot))"""
+CTES["clip_kept"] = """
+SELECT *, lead(distance_m) OVER (PARTITION BY lap_id, island, run ORDER BY sample_idx) - distance_m AS seg FROM (
+  SELECT *, CASE WHEN state <> 'deploy' AND count(*) OVER (PARTITION BY lap_id, island, run) < 3 THEN 'deploy' ELSE state END AS kept
+  FROM (SELECT *, sum(flip) OVER (PARTITION BY lap_id, island ORDER BY sample_idx) AS run FROM (
+    SELECT *, CASE WHEN (state <> 'deploy') IS NOT DISTINCT FROM (lag(state) OVER (PARTITION BY lap_id, island ORDER BY sample_idx) <> 'deploy') THEN 0 ELSE 1 END AS flip
+    FROM clip_judged)))"""
+CTES["clip"] = """
+SELECT *, depletion_m + superclip_m AS clip_m, peak_kmh >= CAST(0.85 AS DOUBLE) * lap_top AND depletion_m + superclip_m >= 40 AS is_clip,
+  CASE WHEN depletion_m > 0 AND superclip_m > 0 THEN 'mixed' WHEN depletion_m > 0 THEN 'depletion' WHEN superclip_m > 0 THEN 'superclip' ELSE '' END AS clip_type
+FROM (SELECT lap_id, year, round, session_type, driver, constructor, island, any_value(start_m) AS start_m, any_value(end_m) AS end_m, any_value(peak) AS peak_kmh,
+   max(distance_m) FILTER (WHERE sample_idx = pk) AS peak_at_m, any_value(peak) - any_value(end_s) AS drop_kmh, any_value(lap_top) AS lap_top,
+   CASE WHEN any_value(braked) THEN 'brake' ELSE 'lift' END AS end_reason, CASE WHEN any_value(ddr) THEN 'ddr' ELSE 'ssdg' END AS method,
+   coalesce(sum(seg) FILTER (WHERE kept = 'depletion'), 0) AS depletion_m, coalesce(sum(seg) FILTER (WHERE kept = 'superclip'), 0) AS superclip_m,
+   min(res) FILTER (WHERE kept <> 'deploy') AS worst FROM clip_kept GROUP BY ALL)"""
+CTES["clip_total"] = """
+SELECT year, round, session_type, driver, constructor, lap_id, count(*) AS n_straights, count(*) FILTER (WHERE is_clip) AS n_clips,
+  round_even(coalesce(sum(clip_m) FILTER (WHERE is_clip), 0), 1) AS total_clip_m, round_even(coalesce(sum(depletion_m) FILTER (WHERE is_clip), 0), 1) AS total_depletion_m,
+  round_even(coalesce(sum(superclip_m) FILTER (WHERE is_clip), 0), 1) AS total_superclip_m, round_even(coalesce(max(clip_m) FILTER (WHERE is_clip), 0), 1) AS max_clip_m,
+  round_even(coalesce(min(worst) FILTER (WHERE is_clip), 0), 2) AS max_clip_severity_ms2, round_even(max(peak_kmh), 1) AS top_speed_kmh FROM clip GROUP BY ALL"""

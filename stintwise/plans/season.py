@@ -463,7 +463,10 @@ def _(t):
     return rounded(R.session_summary(t.sector_bests, dominance, tops, order))
 
 
-@query("clip_field_minimum")
+@query(
+    "clip_field_minimum",
+    f"""SELECT *, min(total_clip_m) OVER (PARTITION BY {GK}) AS field_min_total_clip_m, min(max_clip_m) OVER (PARTITION BY {GK}) AS field_min_max_clip_m FROM clip_total""",
+)
 def _(t):
     return R.clip_field_minimum(t.stored("clips", lambda: t.clips))
 

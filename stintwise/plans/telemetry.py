@@ -415,35 +415,47 @@ def _(t):
     return rounded(features.select("lap_id", "corner_number", *K.FEATURES, "gear"))
 
 
-@query("lowpass_filtfilt")
+@query("lowpass_filtfilt", "SELECT lap_id, sample_idx, round(v, 6) AS smooth_kmh FROM smooth_kmh")
 def _(t):
     laps = t.telemetry.withColumn("smooth_kmh", lowpass("speed_kmh", "time_s"))
     return rounded(T.samples(laps, ["lap_id"], "smooth_kmh"))
 
 
-@query("longitudinal_accel")
+@query("longitudinal_accel", "SELECT lap_id, sample_idx, round(v, 6) AS accel_ms2 FROM smooth_accel")
 def _(t):
     laps = t.telemetry.withColumn("accel_ms2", longitudinal_accel("speed_kmh", "time_s"))
     return rounded(T.samples(laps, ["lap_id"], "accel_ms2"))
 
 
-@query("lateral_accel")
+@query("lateral_accel", "SELECT lap_id, sample_idx, round(v, 6) AS lateral_ms2 FROM side_accel")
 def _(t):
     laps = t.telemetry.withColumn("lateral_ms2", lateral_accel("x", "y", "time_s"))
     return rounded(T.samples(laps, ["lap_id"], "lateral_ms2"))
 
 
-@query("accel_samples")
+@query(
+    "accel_samples",
+    f"""WITH picks AS (SELECT lap_id FROM tlap WHERE session_type = 'R' AND is_representative
+      QUALIFY row_number() OVER (PARTITION BY {GK}, driver ORDER BY lap_time_s, lap_id) <= 5)
+    SELECT {LAP_SQL}, sample_idx, round(speed_kmh, 6) AS speed_kmh, round(a.v, 6) AS accel_ms2
+    FROM tel JOIN picks USING (lap_id) JOIN smooth_accel a USING (lap_id, sample_idx) JOIN side_accel l USING (lap_id, sample_idx)
+    WHERE throttle >= 98 AND NOT brake AND abs(l.v) < 2 AND abs(a.v) <= 20""",
+)
 def _(t):
     return rounded(T.accel_samples(t.telemetry))
 
 
-@query("clip_detection")
+@query(
+    "clip_detection",
+    f"""SELECT {LAP_SQL}, CAST(island AS BIGINT) AS island, round(start_m, 6) AS start_m, round(end_m, 6) AS end_m, round(peak_kmh, 6) AS peak_kmh, round(peak_at_m, 6) AS peak_at_m,
+    round(clip_m, 6) AS clip_m, round(depletion_m, 6) AS depletion_m, round(superclip_m, 6) AS superclip_m, round(drop_kmh, 6) AS drop_kmh, end_reason, is_clip, clip_type,
+    round(CASE WHEN is_clip THEN coalesce(worst, 0) ELSE 0 END, 6) AS clip_severity_ms2, method FROM clip""",
+)
 def _(t):
     return rounded(T.detect_clipping(K.fastest(t.telemetry, "is_representative")))
 
 
-@query("clip_summary")
+@query("clip_summary", "SELECT * FROM clip_total")
 def _(t):
     return T.clip_summary(t.clip_straights)
 
