@@ -209,7 +209,10 @@ def _(t):
     return rounded(G.top_candidates(ranked, 10).select(*COLUMNS, "robustness", "rank"))
 
 
-@query("candidates")
+@query(
+    "candidates",
+    f"SELECT {FIELDS}, round(robustness, 6) AS robustness, rank, CAST(n_refs AS INT) AS n_refs FROM ranked_real",
+)
 def _(t):
     ranked = G.candidates(t.signals, t.snapshot, t.results)
     return rounded(
