@@ -64,18 +64,33 @@ def cited(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", values.alias("cited")).where(F.size("cited") > 0)
 
 
+def bound(value: Column, use) -> Column:
+    """`use(value)` with `value` worked out once per row, though `use` is called per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def untraceable_numbers(texts: DataFrame, evidence: DataFrame) -> DataFrame:
     """Quantities found in no evidence of their text, for texts that have evidence."""
-    numbers = flat_numbers(F.col("item"))
+    quantities = cited(texts)
+    written = quantities.select(
+        "doc_id",
+        F.transform(
+            "cited", lambda q: F.struct(q.alias("value"), number_variants(q).alias("variants"))
+        ).alias("cited"),
+    )
 
-    def traced(q: Column) -> Column:
-        written = F.exists(number_variants(q), lambda v: F.contains(F.col("item"), v))
-        return written | F.exists(numbers, lambda n: isclose(q, n, 1e-4, 1e-3))
+    def traced(q: Column, numbers: Column) -> Column:
+        return F.exists(q["variants"], lambda v: F.contains(F.col("item"), v)) | F.exists(
+            numbers, lambda n: isclose(q["value"], n, 1e-4, 1e-3)
+        )
 
-    quantities = cited(texts)
+    hits = bound(
+        flat_numbers(F.col("item")), lambda ns: F.filter("cited", lambda q: traced(q, ns))
+    )
     found = (
-        evidence.join(quantities, "doc_id")
-        .select("doc_id", F.explode(F.filter("cited", traced)).alias("value"))
+        evidence.join(written, "doc_id")
+        .select("doc_id", F.explode(hits).alias("_q"))
+        .select("doc_id", F.col("_q.value").alias("value"))
         .distinct()
     )
     backed = evidence.select("doc_id").distinct()
@@ -111,11 +126,12 @@ def from_results() -> Column:
 
 def single_source(texts: DataFrame, evidence: DataFrame, narrow: Column, rule: str) -> DataFrame:
     """Texts all of whose quantities are in `narrow` evidence and none in any other."""
-    numbers = leaf_numbers(F.col("item"))
-
-    def held(q: Column) -> Column:
-        return F.exists(numbers, lambda n: isclose(q, n, 1e-4, 1e-2))
-
+    held = bound(
+        leaf_numbers(F.col("item")),
+        lambda ns: F.filter(
+            "cited", lambda q: F.exists(ns, lambda n: isclose(q, n, 1e-4, 1e-2))
+        ),
+    )
     hits = (
         evidence.withColumn("_narrow", narrow)
         .join(cited(texts), "doc_id")
@@ -123,7 +139,7 @@ def single_source(texts: DataFrame, evidence: DataFrame, narrow: Column, rule: s
             "doc_id",
             "_narrow",
             F.size("cited").alias("_all"),
-            F.explode(F.filter("cited", held)).alias("value"),
+            F.explode(held).alias("value"),
         )
         .groupBy("doc_id", "value")
         .agg(

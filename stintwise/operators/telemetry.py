@@ -27,6 +27,7 @@ from stintwise.constants import (
 from stintwise.functions.kernels import interpolate, lateral_accel, longitudinal_accel, lowpass
 from stintwise.functions.skew import exact_quantiles, first_by
 from stintwise.operators.laps import fastest_laps_per_driver
+from stintwise.session import work_table
 
 LAP = [*SESSION_KEYS, "driver", "constructor", "lap_id"]
 
@@ -392,8 +393,15 @@ def resampled(laps: DataFrame, at: Column, *channels: str) -> DataFrame:
 def aligned_traces(laps: DataFrame) -> DataFrame:
     """Each driver's fastest lap on the session's common grid, matched by lap fraction, with the time
     lost to the pole lap at every grid point. One row per driver, arrays per grid point."""
-    fastest = first_by(
-        laps.where(F.col("is_representative")), [*SESSION_KEYS, "driver"], "lap_time_s", "lap_id"
+    # One lap per driver is left here; it is read several times from now on, so it is stored.
+    fastest = work_table(
+        first_by(
+            laps.where(F.col("is_representative")),
+            [*SESSION_KEYS, "driver"],
+            "lap_time_s",
+            "lap_id",
+        ),
+        "fastest",
     )
     kept = plausible_laps(fastest)
     nominal = exact_quantiles(kept, SESSION_KEYS, "length_m", {"nominal_m": 0.5}, 1.0)
@@ -404,7 +412,9 @@ def aligned_traces(laps: DataFrame) -> DataFrame:
         .withColumn("time_s", lap_relative_time(F.col("time_s")))
     )
     query = F.transform("grid_m", lambda g: g * own / F.col("nominal_m"))
-    traced = resampled(on_grid, query, "speed_kmh", "throttle", "time_s").drop("distance_m")
+    traced = work_table(
+        resampled(on_grid, query, "speed_kmh", "throttle", "time_s").drop("distance_m"), "traced"
+    )
     pole = traced.groupBy(*SESSION_KEYS).agg(
         F.min_by(F.struct("lap_id", "time_s"), F.struct("lap_time_s", "lap_id")).alias("_pole")
     )
