@@ -7,7 +7,7 @@ aggregates, joins that AQE can split, and range-partitioned blocks instead; resu
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stintwise.session import shuffle_parts, work_table
+from stintwise.session import work_table
 
 
 def attach(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
@@ -28,10 +28,10 @@ def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
 
 def blocks(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Range-partition by (keys, order) and number the partitions as `_block`, so that a big group
-    spans several blocks in order. Written out because block numbers must not move when a task is
-    run again."""
-    parts = shuffle_parts(df.sparkSession)
-    ranged = df.repartitionByRange(parts, *keys, *order)
+    spans several blocks in order. The number of ranges is left to Spark, which merges neighbouring
+    small ones at run time. Written out because block numbers must not move when a task is run
+    again."""
+    ranged = df.repartitionByRange(*keys, *order)
     return work_table(ranged.withColumn("_block", F.spark_partition_id()), "blocks")
 
 

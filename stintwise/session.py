@@ -37,10 +37,6 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/stintwise/{spark.sparkContext.applicationId}"
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def work_table(df: DataFrame, label: str = "work") -> DataFrame:
     """Write `df` to the shared folder and read it back: later steps see one fixed copy, which
     outlives the executors that made it."""

@@ -52,14 +52,27 @@ def test_quantile_of_any_values(spark, values):
     assert got == pytest.approx(float(np.median(values)), abs=1e-9)
 
 
-def test_row_numbers_span_blocks(spark, lopsided):
+@pytest.fixture
+def no_merging(spark):
+    """Small ranges stay apart, as large ones do."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, "true")
+
+
+def test_row_numbers_with_merged_ranges(spark, lopsided):
+    test_row_numbers_span_blocks(spark, lopsided, None)
+
+
+def test_row_numbers_span_blocks(spark, lopsided, no_merging):
     rows = spark.createDataFrame(lopsided)
     got = skew.row_numbers(rows, ["k"], [F.col("v"), F.col("id")], "n").toPandas()
     want = lopsided.sort_values(["v", "id"]).groupby("k").cumcount() + 1
     assert (got.set_index("id").n.sort_index() == want.sort_index()).all()
 
 
-def test_hot_group_is_split_over_blocks(spark, lopsided):
+def test_hot_group_is_split_over_blocks(spark, lopsided, no_merging):
     blocked = skew.blocks(spark.createDataFrame(lopsided), ["k"], [F.col("v"), F.col("id")])
     hot = blocked.where("k = 'hot'").select("_block").distinct().count()
     assert hot > 3
