@@ -4,7 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stintwise.llm.decontaminate import leaks
 from stintwise.llm.near_dedup import near_duplicates
+from stintwise.llm.quality import quality_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,10 +19,20 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
         op3_minhash_near_dedup,
+        op5_quality_classifier,
+        op8_benchmark_decontamination,
     )
 }
 ORACLES: dict[str, str] = {}
