@@ -1,7 +1,9 @@
 """Arrow batches in pieces of bounded size."""
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -42,3 +44,55 @@ def map_pieces(
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def map_groups(
+    df: DataFrame,
+    keys: list[str],
+    step: Callable[[pa.Table], pa.RecordBatch],
+    schema: str,
+    column: str,
+    size: int = PIECE,
+) -> DataFrame:
+    """`df` through a function of whole groups. Rows are shuffled and sorted by `keys`; `step` gets
+    runs of groups, numbered in a column `_group`, that hold about `size` bytes in `column`
+    together, or one larger group. Groups must be of bounded size."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        weight, at, last = 0, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row = pa.StructArray.from_arrays([batch.column(k) for k in keys], keys)
+            new = [True] * batch.num_rows
+            new[0] = row[0].as_py() != last
+            change = pc.fill_null(
+                functools.reduce(
+                    pc.or_,
+                    [pc.not_equal(batch.column(k).slice(1), batch.column(k).slice(0, len(new) - 1)) for k in keys],
+                ),
+                True,
+            ).to_pylist()
+            new[1:] = change
+            last = row[-1].as_py()
+            lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+            group = np.cumsum(new) + at
+            at = int(group[-1])
+            table = pa.Table.from_batches([batch]).append_column("_group", pa.array(group))
+            start = 0
+            for i, (fresh, n) in enumerate(zip(new, lengths, strict=True)):
+                if fresh and weight > size:
+                    held.append(table.slice(start, i - start))
+                    out = step(pa.concat_tables(held).combine_chunks())
+                    if out.num_rows:
+                        yield out
+                    held, weight, start = [], 0, i
+                weight += n
+            held.append(table.slice(start))
+        if held:
+            out = step(pa.concat_tables(held).combine_chunks())
+            if out.num_rows:
+                yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

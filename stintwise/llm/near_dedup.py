@@ -13,16 +13,14 @@ clusters of any size are cut into blocks, and every pair of blocks is a group of
 sends on at most one edge per member, never its pairs.
 """
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintwise.llm.batches import map_pieces
+from stintwise.llm.batches import map_groups, map_pieces
 from stintwise.llm.components import components
 from stintwise.llm.shingles import WordHashes, min_hashes, mix, shingle_sets
 from stintwise.session import work_table
@@ -31,6 +29,7 @@ CHUNKS, WIDTH, ERRORS = 16, 4, 1
 FAR = 40  # of 64 symbols: beyond, similarity 0.75 has probability 1e-9
 PERCENT = 75
 BLOCK = 256
+EDGE = "src bigint, dst bigint"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -117,79 +116,72 @@ def block_pairs(rows: DataFrame, key: str, size: str) -> DataFrame:
     )
 
 
-def spanning(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """The pairs of (m, 2) that join two so far separate parts of 0..n-1."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for a, b in pairs.tolist():
-        x, y = find(a), find(b)
-        if x != y:
-            root[y] = x
-            out.append((a, b))
-    return out
-
-
-def close_pairs(symbols: np.ndarray, side: np.ndarray, same: bool) -> Iterator[np.ndarray]:
-    """Pairs (i, j) of rows with at most FAR differing symbols, from one block (`same`) or across
-    two, a row against all at a time."""
-    a = np.flatnonzero(side == side.min())
-    b = a if same else np.flatnonzero(side != side.min())
-    for at, i in enumerate(a.tolist()):
-        others = b[at + 1 :] if same else b
-        near = others[(symbols[others] != symbols[i]).sum(axis=1) <= FAR]
-        if len(near):
-            yield np.stack([np.full(len(near), i), near], axis=1)
-
-
-def meet(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
-    symbols = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(len(frame), -1)
-    same = bool(frame["_a"].iloc[0] == frame["_b"].iloc[0])
-    ids = frame["id"].to_numpy()
-    side = frame["_side"].to_numpy()
-    if not same and len(np.unique(side)) < 2:
-        return ids, symbols, iter(())
-    return ids, symbols, close_pairs(symbols, side, same)
-
-
-def as_edges(ids: np.ndarray, edges: list[tuple[int, int]]) -> pd.DataFrame:
-    e = np.array(edges, dtype=np.int64).reshape(-1, 2)
-    return pd.DataFrame({"src": ids[e[:, 0]], "dst": ids[e[:, 1]]})
-
-
-def bucket_edges(frame: pd.DataFrame) -> pd.DataFrame:
+def close_pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of one group with at most FAR differing symbols, sorted by i. In the
+    group of two blocks only pairs across them count."""
+    n = rows.num_rows
+    raw = b"".join(rows.column("signature").to_pylist())
+    symbols = np.frombuffer(raw, np.uint16).reshape(n, -1)
+    group = rows.column("_group").to_numpy()
+    side = rows.column("_side").to_numpy()
+    within = rows.column("_a").to_numpy() == rows.column("_b").to_numpy()
+    one, two = [], []
+    live = np.arange(n)
+    for step in range(1, n):
+        live = live[live < n - step]
+        live = live[group[live] == group[live + step]]  # rows whose group reaches that far
+        if not len(live):
+            break
+        i = live[within[live] | (side[live] != side[live + step])]
+        near = (symbols[i] != symbols[i + step]).sum(axis=1) <= FAR
+        one.append(i[near])
+        two.append(i[near] + step)
+    none = np.zeros(0, np.int64)
+    i, j = np.concatenate([none, *one]), np.concatenate([none, *two])
+    order = np.argsort(i, kind="stable")
+    return i[order], j[order]
+
+
+def star_edges(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """An edge from every row that the pairs connect to some earlier row, to the first of its part."""
+    part = np.arange(len(ids))
+    while True:
+        low = np.minimum(part[i], part[j])
+        new = part.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == part).all():
+            break
+        part = new
+    hung = np.flatnonzero(part != np.arange(len(ids)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[part[hung]]), pa.array(ids[hung])], ["src", "dst"])
+
+
+def bucket_edges(rows: pa.Table) -> pa.RecordBatch:
     """Edges that connect the members of a bucket whose signatures are close."""
-    ids, _, found = meet(frame)
-    pairs = [*found]
-    return as_edges(ids, spanning(len(ids), np.concatenate(pairs)) if pairs else [])
+    return star_edges(rows.column("id").to_numpy(), *close_pairs(rows))
 
 
-def cluster_links(frame: pd.DataFrame) -> pd.DataFrame:
+def cluster_links(rows: pa.Table) -> pa.RecordBatch:
     """Links of a cluster's members, confirmed on full sets; only those that connect."""
-    ids, _, found = meet(frame)
-    sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
+    i, j = close_pairs(rows)
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
     sizes = np.array([len(x) for x in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
     held = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    mark = np.zeros(int(flat.max()) + 1, np.int64)
-    links = []
-    for pairs in found:
-        i, others = int(pairs[0, 0]), pairs[:, 1]
-        mark[held[i]] = 1
-        stops = np.cumsum(sizes[others])
-        hits = mark[np.concatenate([held[j] for j in others.tolist()])]
-        both = np.add.reduceat(hits, stops - sizes[others])
-        mark[held[i]] = 0
-        good = 100 * both >= PERCENT * (sizes[i] + sizes[others] - both)
-        links.append(pairs[good])
-    return as_edges(ids, spanning(len(ids), np.concatenate(links)) if links else [])
+    mark = np.zeros(len(flat), np.int64)
+    good = np.zeros(len(i), bool)
+    starts = np.flatnonzero(np.diff(i, prepend=-1))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(i)], strict=True):
+        one, others = int(i[a]), j[a:b]
+        mark[held[one]] = 1
+        hits = mark[np.concatenate([held[k] for k in others.tolist()])]
+        both = np.add.reduceat(hits, np.cumsum(sizes[others]) - sizes[others])
+        mark[held[one]] = 0
+        good[a:b] = 100 * both >= PERCENT * (sizes[one] + sizes[others] - both)
+    return star_edges(rows.column("id").to_numpy(), i[good], j[good])
 
 
 def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -250,10 +242,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = work_table(keys.join(sizes, "key"), "met")
     signed = met.join(vertices.select("id", "signature"), "id")
-    edges = (
-        block_pairs(signed, "key", "size")
-        .groupBy("key", "_a", "_b")
-        .applyInPandas(bucket_edges, "src bigint, dst bigint")
+    edges = map_groups(
+        block_pairs(signed, "key", "size"), ["key", "_a", "_b"], bucket_edges, EDGE, "signature"
     )
     clusters = work_table(components(edges), "clusters")
     counts = clusters.groupBy("component").agg(F.count("*").alias("size"))
@@ -262,10 +252,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .withColumnRenamed("component", "cluster")
         .join(vertices, "id")
     )
-    links = (
-        block_pairs(full_sets(docs, members), "cluster", "size")
-        .groupBy("cluster", "_a", "_b")
-        .applyInPandas(cluster_links, "src bigint, dst bigint")
+    links = map_groups(
+        block_pairs(full_sets(docs, members), "cluster", "size"),
+        ["cluster", "_a", "_b"],
+        cluster_links,
+        EDGE,
+        "shingles",
     )
     found = components(links).withColumnRenamed("component", "linked")
     own = F.coalesce("linked", "id", "doc_id")
