@@ -2,19 +2,32 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stintwise.llm.decontaminate import leaks
 from stintwise.llm.near_dedup import near_duplicates
+from stintwise.llm.passages import without_repeats
 from stintwise.llm.quality import quality_scores
+from stintwise.llm.sampling import sampled_segmentations
+from stintwise.llm.topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+PIECES = "piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece_gumbel_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path(PIECES)
+    return sampled_segmentations(table(spark, sf_dir, "documents"), model, with_ids=False)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,12 +40,26 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
+        op1_sentencepiece_gumbel_topk,
         op3_minhash_near_dedup,
         op5_quality_classifier,
         op8_benchmark_decontamination,
+        op9_suffix_array_dedup,
+        op10_exact_topk,
     )
 }
 ORACLES: dict[str, str] = {}
