@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 PIECE = 4_000_000
 
@@ -28,7 +29,7 @@ def pieces(batch: pa.RecordBatch, column: str, size: int = PIECE) -> Iterator[pa
 def map_pieces(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
-    schema: str,
+    schema: str | StructType,
     column: str = "text",
     size: int = PIECE,
 ) -> DataFrame:

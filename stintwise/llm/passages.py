@@ -443,3 +443,28 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     return map_pieces(
         rows.select("row", "_text", "spans"), make, schema + "n_spans bigint, kept binary", "_text"
     )
+
+
+def cut_documents(docs: DataFrame) -> DataFrame:
+    """`docs` with repeated passages cut from `text`, and `n_chars`, if there, counted anew. What a
+    cut leaves of a character goes with it; a null text stays null."""
+    cut = without_repeats(docs).select("row.*", F.col("kept").alias("_kept"))
+    names = docs.columns
+    schema = docs.schema
+
+    def make():
+        def step(piece: pa.RecordBatch) -> pa.RecordBatch:
+            old = piece.column("text").is_null().to_pylist()
+            texts = [
+                None if gone else kept.decode("utf-8", "ignore")
+                for kept, gone in zip(piece.column("_kept").to_pylist(), old, strict=True)
+            ]
+            new = {"text": pa.array(texts, pa.string())}
+            if "n_chars" in names:
+                sizes = [None if t is None else len(t) for t in texts]
+                new["n_chars"] = pa.array(sizes, piece.column("n_chars").type)
+            return pa.RecordBatch.from_arrays([new.get(c, piece.column(c)) for c in names], names)
+
+        return step
+
+    return map_pieces(cut, make, schema, "_kept")

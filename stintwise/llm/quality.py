@@ -292,3 +292,26 @@ def quality_scores(docs: DataFrame, labels: DataFrame, to: Settings = Settings()
 
     scored = map_pieces(source(docs), make, "doc_id bigint, score double, predicted int")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, to: Settings = Settings()) -> DataFrame:
+    """The rows of `docs` with a score of 0.5 or more, all columns as they are; no shuffle."""
+    model = train(docs, labels, to)
+    light = Model(
+        model.bias, model.weights.astype(np.float32), model.factors.astype(np.float32)
+    )
+    shared = docs.sparkSession.sparkContext.broadcast(light)
+    sized = "n_chars" in docs.columns
+
+    def make():
+        memo = Buckets(to.buckets)
+
+        def step(piece: pa.RecordBatch) -> pa.RecordBatch:
+            texts = piece.column("text").to_pylist()
+            sizes = piece.column("n_chars").to_pylist() if sized else [None] * len(texts)
+            margin, _ = margins(shared.value, *features(texts, sizes, memo))
+            return piece.filter(pa.array(margin >= 0))
+
+        return step
+
+    return map_pieces(docs, make, docs.schema)

@@ -7,16 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintwise.llm.decontaminate import leaks
+from stintwise.llm.language import languages_of
 from stintwise.llm.near_dedup import near_duplicates
 from stintwise.llm.passages import without_repeats
+from stintwise.llm.planes import encoded_documents
 from stintwise.llm.quality import quality_scores
 from stintwise.llm.sampling import sampled_segmentations
+from stintwise.llm.sharding import shards
+from stintwise.llm.token_counts import token_counts, unigram_vocabulary
 from stintwise.llm.topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-PIECES = "piece_bpe_32k.model"
+PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,14 +32,31 @@ def op1_sentencepiece_gumbel_topk(spark: SparkSession, sf_dir: str) -> DataFrame
     return sampled_segmentations(table(spark, sf_dir, "documents"), model, with_ids=False)
 
 
+def op2_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary, unknown = unigram_vocabulary(public_tokenizers.path(PIECES))
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary, unknown)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"))
+
+
+def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages_of(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,8 +76,12 @@ QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
         op1_sentencepiece_gumbel_topk,
+        op2_bit_plane_tokens,
         op3_minhash_near_dedup,
+        op4_token_counts,
         op5_quality_classifier,
+        op6_rendezvous_shards,
+        op7_language_fusion,
         op8_benchmark_decontamination,
         op9_suffix_array_dedup,
         op10_exact_topk,
