@@ -18,6 +18,7 @@ which spread, and of which the smallest document says all. Fingerprints have 64
 known by the key and the fingerprints of its first and last window, which cover it.
 """
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -119,7 +120,7 @@ def held_by_smaller(
 
 
 PRINTS = "bucket int, spans boolean, key binary, mark binary, doc binary, start binary, n binary"
-FIELDS = (("key", np.uint64), ("mark", np.uint64), ("doc", np.int64), ("start", np.int32), ("n", np.int16))
+FIELDS = (("key", np.uint64), ("mark", np.uint64), ("doc", np.int64), ("start", np.int32), ("n", np.uint8))
 
 
 def packed(bucket: int, spans: bool, columns: list[np.ndarray]) -> list:
@@ -337,6 +338,7 @@ SPANS = "doc bigint, start int, n int, mark bigint"
 
 def release(spark: SparkSession) -> None:
     """Let the driver drop shuffle files of steps whose results are stored."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
