@@ -15,6 +15,13 @@ def attach(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     return df.join(df.groupBy(*keys).agg(*aggs), keys)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null keys meet null keys; the keys come from the left."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each group by ascending, non-null `order`."""
     rest = [c for c in df.columns if c not in keys]
@@ -52,7 +59,7 @@ def number_blocks(blocked: DataFrame, keys: list[str], order: list[Column], name
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     return (
         blocked.join(offsets, [*keys, "_block"])
-        .withColumn(name, (F.col("_offset") + F.row_number().over(inside)).cast("int"))
+        .withColumn(name, (F.col("_offset") + F.row_number().over(inside)).cast("bigint"))
         .drop("_offset")
     )
 
@@ -78,13 +85,13 @@ def exact_quantiles(
     only the cells that hold a wanted rank are opened again. No task sees more than one cell.
     """
     v = F.col(value) if isinstance(value, str) else value
-    # The explicit null filters make both uses of `counted` one and the same plan, so its shuffle
-    # is run once and reused.
     times = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     known = df.select(*keys, v.cast("double").alias("_v"), times.alias("_w")).withColumn(
         "_cell", F.floor(F.col("_v") / width)
     )
-    for name in (*keys, "_v", "_cell"):
+    # The explicit filters make both uses of `counted` one and the same plan, so its shuffle is run
+    # once and reused. Null keys are a group like any other.
+    for name in ("_v", "_cell"):
         known = known.where(F.col(name).isNotNull())
     counted = known.groupBy(*keys, "_cell", "_v").agg(F.sum("_w").alias("_n"))
     whole = Window.partitionBy(*keys)
@@ -114,7 +121,7 @@ def exact_quantiles(
         Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     )
     ranked = (
-        counted.join(cells.where(wanted), [*keys, "_cell"])
+        null_safe_join(counted, cells.where(wanted), [*keys, "_cell"])
         .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
         .withColumn("_end", F.col("_start") + F.col("_n"))
     )

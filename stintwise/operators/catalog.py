@@ -119,7 +119,7 @@ def round_window(events: DataFrame, now: Column) -> DataFrame:
 def session_results(raw: DataFrame) -> DataFrame:
     """Classification with safe casts: gaps and winner's time in races, Q times in qualifying."""
     race, quali = F.col("session_type").isin(RACE_LIKE), F.col("session_type").isin(QUALI_LIKE)
-    cast = raw.withColumn("position", F.col("position").try_cast("int"))
+    cast = raw.withColumn("position", F.col("position").try_cast("bigint"))
     winner = F.when(F.col("position") == 1, F.col("laps"))
     led = attach(cast, SESSION_KEYS, F.max(winner).alias("leader_laps"))
     gap = compute_gap(

@@ -230,7 +230,8 @@ def fingerprints(laps: DataFrame, corners: Corners, outlier_ratio: float = 2.0)
     """Mean corner signature per driver and compound, after dropping laps whose trace is far from
     the group's median trace by warped distance."""
     keys = [*CORNER_KEYS, "driver", "constructor", "compound"]
-    featured = corner_features(corner_traces(laps.where(F.col("is_clean")), corners))
+    known = laps.withColumn("compound", F.coalesce("compound", F.lit("UNKNOWN")))
+    featured = corner_features(corner_traces(known.where(F.col("is_clean")), corners))
     # Resampled once: the median trace and the features both come from this copy.
     traces = work_table(
         featured.select(*keys, "speed_kmh", *FEATURES, "gear"), "traces"

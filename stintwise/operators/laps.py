@@ -197,7 +197,7 @@ def weather_asof(laps: DataFrame, weather: DataFrame, bucket_s: int = 600) -> Da
     spine = filled.select(
         *SESSION_KEYS,
         F.explode(
-            F.sequence("_bucket", F.coalesce(F.col("_next") - 1, F.col("_bucket") + 1))
+            F.sequence("_bucket", F.coalesce(F.col("_next") - 1, F.col("_bucket")))
         ).alias("_slot"),
         "_bucket",
         "_readings",
@@ -211,13 +211,20 @@ def weather_asof(laps: DataFrame, weather: DataFrame, bucket_s: int = 600) -> Da
         .otherwise(F.col("_last"))
         .alias("_carry"),
     )
+    # After a session's last reading that reading holds to the end.
+    ends = weather.groupBy(*SESSION_KEYS).agg(
+        F.max(bucket("time_s")).alias("_final"), F.max_by("rainfall", "time_s").alias("_end")
+    )
     seen = F.filter("_readings", lambda r: r["time_s"] <= F.col("session_time_s"))
     return (
         laps.withColumn("_bucket", bucket("session_time_s"))
         .join(spine, [*SESSION_KEYS, "_bucket"], "left")
+        .join(ends, SESSION_KEYS, "left")
         .withColumn(
             "rain_at_end",
-            F.when(F.size(seen) > 0, F.element_at(seen, -1)["rainfall"]).otherwise(F.col("_carry")),
+            F.when(F.size(seen) > 0, F.element_at(seen, -1)["rainfall"])
+            .when(F.col("_bucket") > F.col("_final"), F.col("_end"))
+            .otherwise(F.col("_carry")),
         )
-        .drop("_bucket", "_readings", "_carry")
+        .drop("_bucket", "_readings", "_carry", "_final", "_end")
     )

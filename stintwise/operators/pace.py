@@ -20,9 +20,16 @@ TEAM_KEYS = [*SESSION_KEYS, "constructor"]
 PROBS = {"pace_ceiling_s": PACE_CEILING, "q1_s": 0.25, "median_s": 0.5, "q3_s": 0.75}
 
 
+def named(laps: DataFrame, keys: list[str]) -> DataFrame:
+    """Laps without a constructor as the group `?`, where constructors are the groups."""
+    if "constructor" not in keys:
+        return laps
+    return laps.withColumn("constructor", F.coalesce("constructor", F.lit("?")))
+
+
 def median_pace(paced: DataFrame, keys: list[str]) -> DataFrame:
     """Median pace, lap count and gap to the session's fastest median."""
-    found = exact_quantiles(paced, keys, "pace_s", {"median_s": 0.5}, count="n_laps")
+    found = exact_quantiles(named(paced, keys), keys, "pace_s", {"median_s": 0.5}, count="n_laps")
     return gap_to_best(found, SESSION_KEYS, "median_s", "gap_s", few="driver" not in keys)
 
 
@@ -32,6 +39,7 @@ def constructor_median_gaps(paced: DataFrame) -> DataFrame:
 
 def fenced(paced: DataFrame, keys: list[str]) -> DataFrame:
     """Each lap with its group's quantiles and whether it lies inside the 1.5 IQR fences."""
+    paced = named(paced, keys)
     stats = exact_quantiles(paced, keys, "pace_s", PROBS, count="n_laps")
     iqr = F.col("q3_s") - F.col("q1_s")
     inside = F.col("pace_s").between(
@@ -54,7 +62,7 @@ def box_stats(paced: DataFrame, keys: list[str]) -> DataFrame:
             F.count_if(~F.col("in_fence")).alias("n_outliers"),
         )
     )
-    return rows.join(compound_tags(paced, keys), keys)
+    return rows.join(compound_tags(named(paced, keys), keys), keys)
 
 
 def outlier_laps(paced: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,7 +97,7 @@ def pace_rows(paced: DataFrame, keys: list[str]) -> DataFrame:
 def clean_air_pace(paced: DataFrame, keys: list[str] = TEAM_KEYS) -> DataFrame:
     """Median of laps run clear of traffic, beside the plain median."""
     clear = exact_quantiles(
-        paced.where(clean_air()), keys, "pace_s", {"clean_median_s": 0.5}, count="clean_laps"
+        named(paced, keys).where(clean_air()), keys, "pace_s", {"clean_median_s": 0.5}, count="clean_laps"
     )
     raw = median_pace(paced, keys).select(*keys, "median_s", "gap_s")
     return gap_to_best(

@@ -161,23 +161,16 @@ def tolerance_match(cited: DataFrame, measured: DataFrame, keys: list[str], tol:
     )
 
 
-def stint_result_join(results: DataFrame, stints: DataFrame, part: int = 64) -> DataFrame:
-    """Results with each driver's compound sequence. A sequence longer than `part` stints goes on in
-    further rows (`strategy_part`), so no group grows without bound."""
-    sequence = (
-        stints.withColumn(
-            "strategy_part", F.floor((F.col("stint_number") - 1) / part).cast("int")
-        )
-        .groupBy(*DRIVER_KEYS, "strategy_part")
-        .agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("stint_number", "compound"))),
-                    lambda s: compound_letter(s["compound"]),
-                ),
-                "-",
-            ).alias("strategy")
-        )
+def stint_result_join(results: DataFrame, stints: DataFrame) -> DataFrame:
+    """Results with each driver's compound sequence, one letter a stint."""
+    sequence = stints.groupBy(*DRIVER_KEYS).agg(
+        F.array_join(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("stint_number", "compound"))),
+                lambda s: compound_letter(s["compound"]),
+            ),
+            "-",
+        ).alias("strategy")
     )
     label = format_gap_label(
         F.col("position"),
@@ -187,7 +180,7 @@ def stint_result_join(results: DataFrame, stints: DataFrame, part: int = 64) ->
         F.col("status"),
     )
     return results.join(sequence, DRIVER_KEYS, "left").select(
-        *DRIVER_KEYS, "position", label.alias("gap_label"), "strategy_part", "strategy"
+        *DRIVER_KEYS, "position", label.alias("gap_label"), "strategy"
     )
 
 

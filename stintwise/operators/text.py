@@ -106,7 +106,7 @@ def first_json_array(text: Column, schema: str) -> Column:
 def parsed_items(texts: DataFrame, fields: list[str], count: int) -> tuple[DataFrame, DataFrame]:
     """The first `count` items of each text's array, and the texts turned away for having too few or
     for items without a required field."""
-    schema = f"array<struct<{', '.join(f'{f}: string' for f in fields)}>>"
+    schema = "array<map<string, string>>"
     head = F.slice("_items", 1, count)
     whole = F.forall(
         head, lambda i: F.lit(True) if not fields else _all_present(i, fields)
@@ -117,7 +117,9 @@ def parsed_items(texts: DataFrame, fields: list[str], count: int) -> tuple[DataF
     keys = [c for c in texts.columns if c != "text"]
     good = judged.where(F.col("_ok")).select(*keys, F.posexplode(head).alias("_i", "_item"))
     return (
-        good.select(*keys, (F.col("_i") + 1).alias("slot"), "_item.*"),
+        good.select(
+            *keys, (F.col("_i") + 1).alias("slot"), *[F.col("_item")[f].alias(f) for f in fields]
+        ),
         judged.where(~F.col("_ok")).select(*texts.columns),
     )
 
@@ -125,7 +127,7 @@ def parsed_items(texts: DataFrame, fields: list[str], count: int) -> tuple[DataF
 def _all_present(item: Column, fields: list[str]) -> Column:
     out = F.lit(True)
     for f in fields:
-        out = out & item[f].isNotNull()
+        out = out & F.map_contains_key(item, f)
     return out
 
 

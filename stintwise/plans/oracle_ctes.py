@@ -10,8 +10,8 @@ SELECT CAST(year(l_shipdate) AS INT) AS year,
        l_quantity, l_discount, l_tax, l_returnflag, l_shipdate, l_orderkey, l_linenumber, l_partkey
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
     "lap_numbered": """
-SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY year, round, session_type, driver
-         ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS INT) AS lap_number
+SELECT *, ROW_NUMBER() OVER (PARTITION BY year, round, session_type, driver
+         ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS lap_number
 FROM lap_base""",
     "lap_aged": """
 SELECT *, CAST(floor((lap_number - 1) / 8.0) AS INT) + 1 AS stint_number,
@@ -30,8 +30,8 @@ SELECT year, round, session_type, driver, constructor, lap_number, stint_number,
 SELECT *, round(SUM(lap_time_s) OVER (PARTITION BY year, round, session_type, driver ORDER BY lap_number
           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 3) AS session_time_s FROM lap_timed""",
     "lap_placed": """
-SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY year, round, session_type, lap_number
-          ORDER BY session_time_s, driver) AS INT) AS position,
+SELECT *, ROW_NUMBER() OVER (PARTITION BY year, round, session_type, lap_number
+          ORDER BY session_time_s, driver) AS position,
        lap_time_s * CAST(0.30 AS DOUBLE) + (lap_number % 3) / CAST(100 AS DOUBLE) AS sector1_s,
        lap_time_s * CAST(0.36 AS DOUBLE) + (lap_number % 5) / CAST(100 AS DOUBLE) AS sector2_s
 FROM lap_clocked""",
@@ -73,8 +73,8 @@ SELECT year, round, session_type, driver, min(constructor) AS constructor, max(l
        min(lap_time_s) FILTER (WHERE stint_number = 3) AS q3_time_s
 FROM laps GROUP BY ALL""",
     "classified": """
-SELECT *, CAST(row_number() OVER (PARTITION BY year, round, session_type
-          ORDER BY laps DESC, clock_s, driver) AS INT) AS position FROM done""",
+SELECT *, row_number() OVER (PARTITION BY year, round, session_type
+          ORDER BY laps DESC, clock_s, driver) AS position FROM done""",
     "led": """
 SELECT *, max(CASE WHEN position = 1 THEN laps END) OVER (PARTITION BY year, round, session_type) AS lead_laps,
        max(CASE WHEN position = 1 THEN clock_s END) OVER (PARTITION BY year, round, session_type) AS lead_clock
@@ -378,8 +378,8 @@ FROM best_channel WHERE channels >= 2 GROUP BY year, round, subject
 UNION ALL SELECT year, round, subject, signal_type, category, magnitude, confidence, locus, session_type, tie, robustness, 1
 FROM scored WHERE (year, round, subject) NOT IN (SELECT (year, round, subject) FROM best_channel WHERE channels >= 2)""",
     "ranked": """
-SELECT *, CAST(row_number() OVER (PARTITION BY year, round ORDER BY -round(robustness, 9), subject, category, signal_type, coalesce(locus, ''),
-  coalesce(session_type, ''), tie) AS INT) AS rank FROM fused""",
+SELECT *, row_number() OVER (PARTITION BY year, round ORDER BY -round(robustness, 9), subject, category, signal_type, coalesce(locus, ''),
+  coalesce(session_type, ''), tie) AS rank FROM fused""",
     "note_rows": """
 SELECT r.year, r.round, driver, constructor, round(p.gap_s + 1e-9, 3) AS gap_s, position, CAST(laps AS INT) AS laps,
   printf('%d-%d-%d', r.year, r.round, driver) AS doc_id

@@ -295,10 +295,10 @@ def _(t):
     "accel_scatter",
     """SELECT year, round, constructor, driver, lap_id, sample_idx, round(speed_kmh, 6) AS speed_kmh, round(accel_ms2, 6) AS accel_ms2 FROM
     (SELECT *, row_number() OVER (PARTITION BY year, constructor ORDER BY round, driver, lap_id, sample_idx) AS rn, count(*) OVER (PARTITION BY year, constructor) AS n FROM accel_pts)
-    WHERE (rn - 1) % CAST(ceil(n / 300) AS INT) = 0""",
+    WHERE (rn - 1) % CAST(ceil(n / 2000) AS INT) = 0""",
 )
 def _(t):
-    scatter = N.accel_scatter(t.accel_points, 300)
+    scatter = N.accel_scatter(t.accel_points, 2000)
     return rounded(scatter.drop("session_type"))
 
 
@@ -429,7 +429,7 @@ def _(t):
     return R.tolerance_match(cited(t), measured, WEEKEND_KEYS, 0.02)
 
 
-STRATEGY = f"""SELECT {GK}, driver, CAST(floor((stint_number - 1) / 64) AS INT) AS strategy_part, string_agg(left(compound, 1), '-' ORDER BY stint_number) AS strategy
+STRATEGY = f"""SELECT {GK}, driver, string_agg(left(compound, 1), '-' ORDER BY stint_number) AS strategy
 FROM (SELECT DISTINCT {GK}, driver, stint_number, compound FROM laps) GROUP BY ALL"""
 LABEL = """CASE WHEN position = 1 THEN 'leader' WHEN status = 'Retired' THEN 'DNF'
  WHEN status = 'Lapped' OR laps < leader_laps THEN CASE WHEN leader_laps - laps > 1 THEN printf('+%d Laps', CAST(leader_laps - laps AS INT)) ELSE '+1 Lap' END
@@ -438,7 +438,7 @@ LABEL = """CASE WHEN position = 1 THEN 'leader' WHEN status = 'Retired' THEN 'DN
 
 @query(
     "stint_result_join",
-    f"SELECT {GK}, driver, position, {LABEL} AS gap_label, strategy_part, strategy FROM results LEFT JOIN ({STRATEGY}) USING ({GK}, driver)",
+    f"SELECT {GK}, driver, position, {LABEL} AS gap_label, strategy FROM results LEFT JOIN ({STRATEGY}) USING ({GK}, driver)",
 )
 def _(t):
     return R.stint_result_join(t.results, t.stints)

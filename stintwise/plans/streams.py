@@ -42,10 +42,12 @@ def _(t):
     return E.rate_limit(rows.select("event_id", "user_id", "ts"), "user_id", 2).drop("ts")
 
 
-CONFIRMED = """SELECT event_id AS request_id, user_id AS key, CASE WHEN c.ts <= r.ts + INTERVAL 24 HOUR THEN c.id END AS confirm_id,
- CASE WHEN c.ts <= r.ts + INTERVAL 24 HOUR THEN 'confirmed' ELSE 'expired' END AS outcome
-FROM (SELECT * FROM events WHERE event_type = 'signup') r
-LEFT JOIN LATERAL (SELECT event_id AS id, ts FROM events e WHERE e.event_type = 'purchase' AND e.user_id = r.user_id AND e.ts >= r.ts ORDER BY e.ts, e.event_id LIMIT 1) c ON true"""
+CONFIRMED = """WITH a AS (SELECT event_id, user_id, ts, event_type, lead(event_type) OVER w AS next_type, lead(event_id) OVER w AS next_id, lead(ts) OVER w AS next_ts
+  FROM events WHERE event_type IN ('signup', 'purchase')
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, CASE event_type WHEN 'signup' THEN 0 ELSE 1 END, event_id))
+SELECT event_id AS request_id, user_id AS key, CASE WHEN next_type = 'purchase' AND next_ts <= ts + INTERVAL 24 HOUR THEN next_id END AS confirm_id,
+ CASE WHEN next_type = 'purchase' AND next_ts <= ts + INTERVAL 24 HOUR THEN 'confirmed' ELSE 'expired' END AS outcome
+FROM a WHERE event_type = 'signup'"""
 
 
 @query("confirmed_in_ttl", CONFIRMED)

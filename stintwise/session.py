@@ -1,16 +1,12 @@
 """Session settings and the shared folder used to cut lineage."""
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-DPP = "spark.sql.optimizer.dynamicPartitionPruning.enabled"
-
 SETTINGS = {
-    # Joins here are mostly of a table with its own group totals: they have the same partitions, so
-    # run-time pruning finds nothing and runs the totals again. Literal filters still prune.
-    DPP: "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -29,9 +25,12 @@ def build(master: str | None = None, app: str = "stintwise", **extra: str) -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only where none is named (tests) is one made here."""
+    """The folder that the cluster names in `spark.checkpoint.dir`. Only in local mode, where driver
+    and tasks are one process, is one made here if none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="stintwise-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/stintwise/{spark.sparkContext.applicationId}"

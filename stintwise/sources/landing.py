@@ -18,7 +18,7 @@ from stintwise.functions.skew import (
     number_blocks,
     row_numbers,
 )
-from stintwise.session import DPP, SETTINGS, shared_folder, work_table
+from stintwise.session import shared_folder, work_table
 
 RAW = {
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
@@ -275,8 +275,7 @@ class Tables:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Tables":
-        for name in ("spark.sql.session.timeZone", DPP):
-            spark.conf.set(name, SETTINGS[name])
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
         if key not in cls._known:
             cls._known[key] = cls(spark, sf_dir.rstrip("/"))
@@ -285,13 +284,6 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(RAW[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """A given table on at least as many partitions as there are cores. A large table's scan has
-        more than that already and stays as it is."""
-        df = self.raw(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
     def stored(self, name: str, make, partition_by: list[str] | None = None) -> DataFrame:
         """Write `make()` once to the shared folder and read it back from there."""
         if name not in self._stored:
@@ -323,7 +315,7 @@ class Tables:
 
     @cached_property
     def telemetry(self) -> DataFrame:
-        return telemetry_laps(self.spread("embeddings"), self.raw("nation"))
+        return telemetry_laps(self.raw("embeddings"), self.raw("nation"))
 
     @cached_property
     def weather(self) -> DataFrame:

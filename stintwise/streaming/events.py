@@ -65,16 +65,18 @@ def rate_limit(actions: DataFrame, key: str, limit: int) -> DataFrame:
 
 
 def confirmed_in_ttl(actions: DataFrame, ttl_us: int = DAY_US) -> DataFrame:
-    """Each request with the key's first confirmation within the time allowed, else expired.
-    `actions` has (id, key, ts, action).
+    """Each request with the confirmation that takes it within the time allowed, else expired.
+    `actions` has (id, key, ts, action). A confirmation takes the newest request before it and only
+    that: a request with a newer one before the next confirmation is expired.
 
-    The next confirmation is sought inside the request's own hour first, and else is the first one of
-    a later hour, known from one row per key and hour. No task sees more than a key's hour."""
+    So the key's next action decides. It is sought inside the request's own hour first, and else is
+    the first one of a later hour, known from one row per key and hour. No task sees more than a
+    key's hour."""
     confirm = F.col("action") == "confirm"
     placed = actions.withColumn("_us", micros(F.col("ts"))).withColumn(
         "_hour", F.floor(F.col("_us") / HOUR_US)
     )
-    mark = F.when(confirm, F.struct("_us", "id"))
+    mark = F.struct("_us", confirm.alias("confirms"), "id")
     later_hours = (
         Window.partitionBy("key").orderBy("_hour").rowsBetween(1, Window.unboundedFollowing)
     )
@@ -87,13 +89,12 @@ def confirmed_in_ttl(actions: DataFrame, ttl_us: int = DAY_US) -> DataFrame:
     )
     rest_of_hour = (
         Window.partitionBy("key", "_hour")
-        .orderBy("_us", F.when(confirm, 1).otherwise(0), "id")
-        .rowsBetween(1, Window.unboundedFollowing)
+        .orderBy("_us", confirm, "id")
     )
-    valid = F.col("_next._us") - F.col("_us") <= ttl_us
+    valid = F.col("_next.confirms") & (F.col("_next._us") - F.col("_us") <= ttl_us)
     return (
         placed.join(hours, ["key", "_hour"])
-        .withColumn("_soon", F.first(mark, ignorenulls=True).over(rest_of_hour))
+        .withColumn("_soon", F.lead(mark).over(rest_of_hour))
         .withColumn("_next", F.coalesce("_soon", "_later"))
         .where(F.col("action") == "request")
         .select(
@@ -135,7 +136,7 @@ def change_log(before: DataFrame, after: DataFrame, key: str, secret: str) -> Da
         return df.select(
             key,
             F.to_json(F.struct(*shown)).alias(f"{name}_data"),
-            F.hash(*[c for c in df.columns if c != key]).alias(f"_{name}"),
+            F.struct(*[c for c in df.columns if c != key]).alias(f"_{name}"),
         )
 
     action = (
@@ -143,9 +144,7 @@ def change_log(before: DataFrame, after: DataFrame, key: str, secret: str) -> Da
         .when(F.col("new_data").isNull(), "row_deleted")
         .otherwise("row_updated")
     )
-    changed = F.col("old_data").isNull() | F.col("new_data").isNull() | (
-        F.col("_old") != F.col("_new")
-    )
+    changed = ~F.col("_old").eqNullSafe(F.col("_new"))
     return (
         side(before, "old")
         .join(side(after, "new"), key, "full")

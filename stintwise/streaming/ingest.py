@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintwise.constants import MIN_SESSION_DRIVERS, SESSION_KEYS, WEEKEND_KEYS
@@ -25,6 +25,13 @@ def enough_drivers(laps: DataFrame) -> DataFrame:
     )
 
 
+def among(touched: DataFrame, keys: list[str]) -> Column:
+    """A literal filter on partition columns for the few sessions of a batch, so that only their
+    folders are listed and read."""
+    label = lambda: F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    return label().isin([r[0] for r in touched.select(label()).distinct().collect()])
+
+
 def ingest(
     spark: SparkSession,
     landing: str,
@@ -42,9 +49,11 @@ def ingest(
     whole sessions, so a batch that is run again does no harm."""
 
     def take(batch: DataFrame, _: int) -> None:
-        touched = batch.select(*SESSION_KEYS).distinct()
+        touched = spark.createDataFrame(
+            batch.select(*SESSION_KEYS).distinct().collect(), batch.select(*SESSION_KEYS).schema
+        )
         whole = spark.read.schema(schema).parquet(landing)
-        sessions = whole.join(touched, SESSION_KEYS, "left_semi")
+        sessions = whole.where(among(touched, SESSION_KEYS))
         usable = sessions.join(enough_drivers(sessions), SESSION_KEYS, "left_semi")
         replace_sessions(usable, target)
         if on_sessions is not None:
@@ -73,10 +82,9 @@ def recompute_weekends(
     """A batch hook: compute the outputs of the touched weekends only and replace just those."""
 
     def run(touched: DataFrame) -> None:
-        weekends = touched.select(*WEEKEND_KEYS).distinct()
         inputs = spark.read.schema(schema).parquet(source)
         replace_sessions(
-            compute(inputs.join(weekends, WEEKEND_KEYS, "left_semi")), output, WEEKEND_KEYS
+            compute(inputs.where(among(touched, WEEKEND_KEYS))), output, WEEKEND_KEYS
         )
 
     return run
