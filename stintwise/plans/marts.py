@@ -98,17 +98,6 @@ class Marts(Tables):
     def clips(self) -> DataFrame:
         return T.clip_summary(self.clip_straights)
 
-    @property
-    def accel_points(self) -> DataFrame:
-        """Full-throttle race samples with unsmoothed acceleration."""
-        metres = F.transform("speed_kmh", lambda v: v / F.lit(3.6))
-        race = self.telemetry.where((F.col("session_type") == "R") & F.col("is_representative"))
-        laps = race.withColumn("accel_ms2", T.gradient(metres, F.col("time_s"))).withColumn(
-            "lateral_ms2", F.transform("speed_kmh", lambda v: v * 0.0)
-        )
-        long = T.samples(laps, T.LAP, "speed_kmh", "accel_ms2", "lateral_ms2", "throttle", "brake")
-        return T.deployment_samples(long).select(*T.LAP, "sample_idx", "speed_kmh", "accel_ms2")
-
     @property
     def clean_air(self) -> DataFrame:
         return self.stored("clean_air", lambda: P.clean_air_pace(self.paced))

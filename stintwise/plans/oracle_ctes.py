@@ -287,13 +287,6 @@ FROM (SELECT year, round, constructor, CASE WHEN p IS NULL THEN NULL WHEN max(p)
       WINDOW y AS (PARTITION BY year, round))""",
     "trends": """
 SELECT *, 'pace' AS metric FROM season_pace UNION ALL SELECT *, 'quali' FROM season_qgap UNION ALL SELECT *, 'cumulative' FROM blend""",
-    "accel_pts": """
-SELECT * FROM (SELECT *, CASE WHEN hs IS NULL THEN (vn - v) / hd WHEN hd IS NULL THEN (v - vp) / hs
-  ELSE (hs * hs * vn + (hd * hd - hs * hs) * v - hd * hd * vp) / (hs * hd * (hs + hd)) END AS accel_ms2
-  FROM (SELECT *, speed_kmh / CAST(3.6 AS DOUBLE) AS v, lag(speed_kmh) OVER w / CAST(3.6 AS DOUBLE) AS vp, lead(speed_kmh) OVER w / CAST(3.6 AS DOUBLE) AS vn,
-        time_s - lag(time_s) OVER w AS hs, lead(time_s) OVER w - time_s AS hd FROM tel WHERE session_type = 'R' AND is_representative
-        WINDOW w AS (PARTITION BY lap_id ORDER BY sample_idx)))
-WHERE throttle >= 98 AND NOT brake AND abs(accel_ms2) <= 20""",
     "band_fits": """
 SELECT year, round, constructor, regr_slope(accel_ms2, speed_kmh) AS slope, regr_intercept(accel_ms2, speed_kmh) AS intercept, count(*) AS n_points
 FROM accel_pts WHERE speed_kmh BETWEEN 150 AND 250 GROUP BY ALL HAVING count(*) >= 8""",
@@ -493,15 +486,13 @@ SELECT year, round, session_type, driver, constructor, lap_id, count(*) AS n_str
   round_even(coalesce(sum(superclip_m) FILTER (WHERE is_clip), 0), 1) AS total_superclip_m, round_even(coalesce(max(clip_m) FILTER (WHERE is_clip), 0), 1) AS max_clip_m,
   round_even(coalesce(min(worst) FILTER (WHERE is_clip), 0), 2) AS max_clip_severity_ms2, round_even(max(peak_kmh), 1) AS top_speed_kmh FROM clip GROUP BY ALL"""
 
-# --- the full candidate chain: with deployment clips and the smoothed accelerations ------------
+# --- smoothed race accelerations and deployment clips --------------------------------------
 
-CTES["accel_real"] = """
+CTES["accel_pts"] = """
 SELECT t.*, a.v AS accel_ms2 FROM tel t JOIN smooth_accel a USING (lap_id, sample_idx) JOIN side_accel l USING (lap_id, sample_idx)
 WHERE throttle >= 98 AND NOT brake AND abs(l.v) < 2 AND abs(a.v) <= 20 AND lap_id IN (
   SELECT lap_id FROM tlap WHERE session_type = 'R' AND is_representative
   QUALIFY row_number() OVER (PARTITION BY year, round, session_type, driver ORDER BY lap_time_s, lap_id) <= 5)"""
-CTES["band_fits_real"] = CTES["band_fits"].replace("accel_pts", "accel_real")
-CTES["sig_ers_real"] = CTES["sig_ers"].replace("band_fits", "band_fits_real")
 CTES["sig_clip"] = """
 SELECT year, round, 'deployment_clip', 'deployment', m - b, 1.0::DOUBLE, constructor, NULL, session_type, ''
 FROM (SELECT *, min(m) OVER w AS b, count(*) OVER w AS kept FROM (
@@ -509,12 +500,4 @@ FROM (SELECT *, min(m) OVER w AS b, count(*) OVER w AS kept FROM (
      SELECT year, round, session_type, constructor, count(*) FILTER (WHERE max_clip_m > 0) AS cars, min(total_clip_m) FILTER (WHERE max_clip_m > 0) AS m
      FROM clip_total WHERE session_type = 'Q' GROUP BY ALL)) WHERE teams >= 2 AND cars >= 2
    WINDOW w AS (PARTITION BY year, round, session_type)) WHERE kept >= 2 AND m - b > 100"""
-CTES["sig_real"] = CTES["sig"].replace("sig_ers", "sig_ers_real") + " UNION ALL SELECT * FROM sig_clip"
-CTES["scored_real"] = CTES["scored"].replace("FROM sig)", "FROM sig_real)")
-CTES["best_channel_real"] = CTES["best_channel"].replace("FROM scored ", "FROM scored_real ")
-CTES["fused_real"] = (
-    CTES["fused"]
-    .replace("FROM best_channel", "FROM best_channel_real")
-    .replace("FROM scored ", "FROM scored_real ")
-)
-CTES["ranked_real"] = CTES["ranked"].replace("FROM fused", "FROM fused_real")
+CTES["sig"] += " UNION ALL SELECT * FROM sig_clip"

@@ -263,7 +263,7 @@ BINS = f"""bins AS (SELECT year, unit, floor(speed_kmh / 10) * 10 + 5 AS mid, qu
     f"""WITH {BINS} SELECT year, unit, mid AS speed_mid_kmh, round(m, 6) AS median_accel, n AS n_samples FROM bins""",
 )
 def _(t):
-    return rounded(N.speed_bins(N.pool_by_group(t.accel_points, UNITS), ["year", "unit"]))
+    return rounded(N.speed_bins(N.pool_by_group(t.accel, UNITS), ["year", "unit"]))
 
 
 @query(
@@ -273,7 +273,7 @@ def _(t):
     CAST(row_number() OVER (PARTITION BY year ORDER BY coalesce((punch + hold) / 2, punch, hold) DESC NULLS LAST, unit) AS INT) AS pu_rank FROM met""",
 )
 def _(t):
-    return rounded(N.pu_ranking(t.accel_points, UNITS))
+    return rounded(N.pu_ranking(t.accel, UNITS))
 
 
 @query(
@@ -288,7 +288,7 @@ def _(t):
       printf('%s %d of %d (%+.1f)', metric, place, total, value) AS clause FROM e WHERE extremity IS NOT NULL QUALIFY pick <= 2""",
 )
 def _(t):
-    return rounded(N.pu_verdict_rank(N.pu_ranking(t.accel_points, UNITS)))
+    return rounded(N.pu_verdict_rank(N.pu_ranking(t.accel, UNITS)))
 
 
 @query(
@@ -298,7 +298,7 @@ def _(t):
     WHERE (rn - 1) % CAST(ceil(n / 2000) AS INT) = 0""",
 )
 def _(t):
-    scatter = N.accel_scatter(t.accel_points, 2000)
+    scatter = N.accel_scatter(t.accel, 2000)
     return rounded(scatter.drop("session_type"))
 
 

@@ -7,10 +7,8 @@ from stintwise.operators import corners as K
 from stintwise.operators import reads as R
 from stintwise.operators import season as N
 from stintwise.operators import signals as G
-from stintwise.operators import telemetry as T
 from stintwise.plans.columns import rounded
 from stintwise.plans.registry import query
-from stintwise.plans.telemetry import RUNS, states
 
 FIELDS = """year, round, signal_type, category, round(magnitude, 6) AS magnitude, round(confidence, 6) AS confidence,
 subject, locus, session_type, tie"""
@@ -28,20 +26,6 @@ def shown(df):
     return rounded(df.select(*COLUMNS))
 
 
-class PointInputs:
-    """The stored tables with race acceleration taken from the plain samples."""
-
-    def __init__(self, marts):
-        self._marts = marts
-        self.accel = marts.accel_points
-
-    def __getattr__(self, name):
-        return getattr(self._marts, name)
-
-
-SQL_MINERS = {k: v for k, v in G.MINERS.items() if k != "deployment_clip"}
-
-
 @query("sig_corner_delta", sig_sql("sig_corner"))
 def _(t):
     return shown(G.corner_delta(t.pairs))
@@ -94,35 +78,14 @@ def _(t):
     return shown(G.pace_speed_residual(G.quali_reps(t.quali_rows)))
 
 
-CLIPS = f"""SELECT year, round, session_type, driver, constructor, lap_id, sum(CASE WHEN kept <> 'deploy' THEN seg ELSE 0 END) AS clip_m
-FROM (SELECT *, coalesce(lead(distance_m) OVER (PARTITION BY lap_id, run ORDER BY sample_idx) - distance_m, 0) AS seg FROM ({RUNS}))
-WHERE lap_id IN (SELECT lap_id FROM fast_rep) GROUP BY ALL"""
-
-
-def plain_clips(t):
-    lengths = T.clip_lengths(T.clip_states(states(t), ["lap_id"]), ["lap_id"])
-    fastest = K.fastest(t.telemetry, "is_representative").select(*T.LAP)
-    return fastest.join(lengths, "lap_id").select(
-        *T.LAP, F.col("clip_m").alias("total_clip_m"), F.col("clip_m").alias("max_clip_m")
-    )
-
-
-@query(
-    "sig_deployment_clip",
-    f"""WITH c AS ({CLIPS}), teams AS (SELECT year, round, session_type, constructor, count(*) FILTER (WHERE clip_m > 0) AS cars,
-      min(clip_m) FILTER (WHERE clip_m > 0) AS m FROM c WHERE session_type = 'Q' GROUP BY ALL)
-    SELECT year, round, 'deployment_clip' AS signal_type, 'deployment' AS category, round(m - b, 6) AS magnitude, 1.0::DOUBLE AS confidence,
-      constructor AS subject, NULL::VARCHAR AS locus, session_type, '' AS tie
-    FROM (SELECT *, min(m) OVER w AS b, count(*) OVER w AS k FROM (SELECT *, count(*) OVER (PARTITION BY year, round, session_type) AS n FROM teams)
-          WHERE n >= 2 AND cars >= 2 WINDOW w AS (PARTITION BY year, round, session_type)) WHERE k >= 2 AND m - b > 100""",
-)
+@query("sig_deployment_clip", sig_sql("sig_clip"))
 def _(t):
-    return shown(G.deployment_clip(plain_clips(t)))
+    return shown(G.deployment_clip(t.clips))
 
 
 @query("sig_ers_character", sig_sql("sig_ers"))
 def _(t):
-    return shown(G.ers_character(t.accel_points))
+    return shown(G.ers_character(t.accel))
 
 
 @query("sig_degradation", sig_sql("sig_wear"))
@@ -137,7 +100,7 @@ def _(t):
 
 @query("all_signals", f"SELECT {FIELDS} FROM sig")
 def _(t):
-    return shown(G.all_signals(PointInputs(t), SQL_MINERS))
+    return shown(t.signals)
 
 
 @query("actual_ranks", "SELECT year, round, constructor, actual_rank, best_position FROM actual")
@@ -160,20 +123,16 @@ def _(t):
     return rounded(G.expectation_factors(t.snapshot, G.actual_ranks(t.results)))
 
 
-def sql_signals(t):
-    return t.stored("sql_signals", lambda: G.all_signals(PointInputs(t), SQL_MINERS))
-
-
-def sql_scored(t):
+def scored(t):
     factors = G.expectation_factors(t.snapshot, G.actual_ranks(t.results))
-    return t.stored("sql_scored", lambda: G.score_signals(sql_signals(t), factors))
+    return t.stored("scored", lambda: G.score_signals(t.signals, factors))
 
 
 @query("score_signals", f"SELECT {FIELDS}, round(robustness, 6) AS robustness FROM scored")
 def _(t):
     factors = G.expectation_factors(t.snapshot, G.actual_ranks(t.results))
     return rounded(
-        G.score_signals(sql_signals(t), factors).select(*COLUMNS, "robustness")
+        G.score_signals(t.signals, factors).select(*COLUMNS, "robustness")
     )
 
 
@@ -182,7 +141,7 @@ def _(t):
     f"SELECT {FIELDS}, round(robustness, 6) AS robustness, CAST(n_refs AS INT) AS n_refs FROM fused",
 )
 def _(t):
-    fused = G.fuse_channels(sql_scored(t)).withColumn("n_refs", F.size("refs"))
+    fused = G.fuse_channels(scored(t)).withColumn("n_refs", F.size("refs"))
     return rounded(fused.select(*COLUMNS, "robustness", "n_refs"))
 
 
@@ -191,27 +150,27 @@ RANKED = f"SELECT {FIELDS}, round(robustness, 6) AS robustness, rank FROM ranked
 
 @query("rank_signals", RANKED)
 def _(t):
-    ranked = G.rank_signals(G.fuse_channels(sql_scored(t)))
+    ranked = G.rank_signals(G.fuse_channels(scored(t)))
     return rounded(ranked.select(*COLUMNS, "robustness", "rank"))
 
 
 @query("candidates_from_tables", RANKED)
 def _(t):
-    ranked = G.candidates(sql_signals(t), t.snapshot, t.results)
+    ranked = G.candidates(t.signals, t.snapshot, t.results)
     return rounded(ranked.select(*COLUMNS, "robustness", "rank"))
 
 
 @query("top_candidates", f"SELECT * FROM ({RANKED}) WHERE rank <= 10")
 def _(t):
     ranked = t.stored(
-        "sql_ranked", lambda: G.rank_signals(G.fuse_channels(sql_scored(t)))
+        "ranked", lambda: G.rank_signals(G.fuse_channels(scored(t)))
     )
     return rounded(G.top_candidates(ranked, 10).select(*COLUMNS, "robustness", "rank"))
 
 
 @query(
     "candidates",
-    f"SELECT {FIELDS}, round(robustness, 6) AS robustness, rank, CAST(n_refs AS INT) AS n_refs FROM ranked_real",
+    f"SELECT {FIELDS}, round(robustness, 6) AS robustness, rank, CAST(n_refs AS INT) AS n_refs FROM ranked",
 )
 def _(t):
     ranked = G.candidates(t.signals, t.snapshot, t.results)
@@ -249,7 +208,7 @@ def _(t):
     QUALIFY n_constructors >= 3""",
 )
 def _(t):
-    return rounded(N.race_deployment_character(t.accel_points))
+    return rounded(N.race_deployment_character(t.accel))
 
 
 @query(
