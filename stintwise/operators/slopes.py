@@ -1,239 +1,240 @@
-"""Theil-Sen slopes per group, exact for groups of any size.
+"""Theil-Sen slopes per group, exact for groups of any size, on one path.
 
-A group of ordinary size (a stint's worth of laps) is fitted from one row of its distinct points. A
-group beyond that is never gathered and its pairs are never formed: the median slope is found by
-narrowing a bracket, and the pairs below a trial slope are counted from blocks of points.
+A group's distinct points are packed in blocks, and every pair of blocks is one row that tells of its
+slopes. The middle slope is located by rank: a range of slopes that holds it is narrowed by counts,
+twelve bits of the number at a time, until few slopes are left in it; those are listed and the middle
+one is taken. A group of ordinary size has few slopes from the start and needs no narrowing.
 """
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from stintwise.functions.skew import exact_quantiles, work_table
 
-SMALL_GROUP = 2000  # distinct points fitted in one row
-TRIALS = 15  # trial slopes per round: the bracket shrinks 16-fold
-ROUNDS = 12  # 16**12 trial positions: the bracket ends near the precision of a double
-PER_BLOCK = 100_000  # distinct points aimed at per block
-
-
-def row_medians(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Median of each row's `values` repeated `weights` times; NaN for a row without weight."""
-    order = np.argsort(values, axis=1, kind="stable")
-    values = np.take_along_axis(values, order, axis=1)
-    ends = np.cumsum(np.take_along_axis(weights, order, axis=1), axis=1)
-    total = ends[:, -1:]
-    at = lambda rank: np.take_along_axis(
-        values, (ends > rank).argmax(axis=1)[:, None], axis=1
-    )[:, 0]
-    middle = (at((total - 1) // 2) + at(total // 2)) / 2
-    return np.where(total[:, 0] > 0, middle, np.nan)
-
-
-def fit_rows(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(slope, intercept) of each row of points; NaN without two distinct x."""
-    i, j = np.triu_indices(x.shape[1], 1)
-    if not len(i):
-        return np.full((len(x), 2), np.nan)
-    dx = x[:, j] - x[:, i]
-    weights = np.where(dx != 0, n[:, i] * n[:, j], 0)
-    slope = row_medians((y[:, j] - y[:, i]) / np.where(dx != 0, dx, 1.0), weights)
-    return np.column_stack([slope, row_medians(y - slope[:, None] * x, n)])
-
-
-@F.pandas_udf(ArrayType(DoubleType()))
-def fit_line(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
-    """Fit a batch of groups, those with equally many points together."""
-    sizes = x.map(len).to_numpy()
-    lines = np.full((len(x), 2), np.nan)
-    for size in np.unique(sizes):
-        same = np.flatnonzero(sizes == size)
-        step = max(1, 4_000_000 // max(1, int(size) ** 2))
-        for part in np.split(same, range(step, len(same), step)):
-            stack = [np.stack(c.iloc[part].to_list()).astype(float) for c in (x, y, n)]
-            lines[part] = fit_rows(*stack)
-    return pd.Series([None if np.isnan(line[0]) else line for line in lines], dtype=object)
+BLOCK = 512  # distinct points of a block, about
+FEW = 20_000  # slopes of a range that are listed
+BITS = 12
+WHOLE = 64  # a range that shares no leading bit
+
+POINTS = ["a.x", "a.y", "a.n", "b.x", "b.y", "b.n", "same"]
+
+
+def counted_as(name: str) -> ArrayType:
+    return ArrayType(StructType([StructField(name, LongType()), StructField("n", LongType())]))
+
+
+def in_order(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles, and back by `as_doubles`."""
+    bits = (values + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+
+def as_doubles(bits: np.ndarray) -> np.ndarray:
+    return (bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)
+
+
+def slopes(ax, ay, an, bx, by, bn, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(ordered bits, weight) of the slopes between the points of two blocks, or inside one."""
+    arrays = [np.asarray(v, dtype=float) for v in (ax, ay, bx, by)]
+    i, j = np.indices((len(ax), len(bx))).reshape(2, -1)
+    if same:
+        i, j = np.triu_indices(len(ax), 1)
+    dx = arrays[2][j] - arrays[0][i]
+    real = dx != 0
+    i, j = i[real], j[real]
+    weight = np.asarray(an, np.int64)[i] * np.asarray(bn, np.int64)[j]
+    return in_order((arrays[3][j] - arrays[1][i]) / dx[real]), weight
+
+
+def inside(bits: np.ndarray, low: int, shift: int) -> np.ndarray:
+    """Which slopes share their bits from `shift` up with `low`."""
+    return np.ones(len(bits), bool) if shift >= WHOLE else (bits >> shift) == (low >> shift)
+
+
+@F.pandas_udf(LongType())
+def pair_count(
+    ax: pd.Series, ay: pd.Series, an: pd.Series, bx: pd.Series, by: pd.Series, bn: pd.Series,
+    same: pd.Series,
+) -> pd.Series:
+    rows = zip(ax, ay, an, bx, by, bn, same, strict=True)
+    return pd.Series([int(slopes(*r)[1].sum()) for r in rows], dtype="int64")
+
+
+@F.pandas_udf(counted_as("bin"))
+def counts_by_bits(
+    ax: pd.Series, ay: pd.Series, an: pd.Series, bx: pd.Series, by: pd.Series, bn: pd.Series,
+    same: pd.Series, low: pd.Series, shift: pd.Series,
+) -> pd.Series:
+    """Slopes in a range counted by its next twelve bits; `bin` is the lowest number of those."""
+    out = []
+    for *points, lo, sh in zip(ax, ay, an, bx, by, bn, same, low, shift, strict=True):
+        bits, weight = slopes(*points)
+        held = inside(bits, lo, sh)
+        step = max(sh - BITS, 0)
+        bins, back = np.unique(bits[held] >> step << step, return_inverse=True)
+        n = np.zeros(len(bins), np.int64)
+        np.add.at(n, back, weight[held])
+        out.append([{"bin": int(b), "n": int(c)} for b, c in zip(bins, n, strict=True)])
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(counted_as("bits"))
+def listed(
+    ax: pd.Series, ay: pd.Series, an: pd.Series, bx: pd.Series, by: pd.Series, bn: pd.Series,
+    same: pd.Series, low: pd.Series, shift: pd.Series,
+) -> pd.Series:
+    """The distinct slopes in a range with their weights."""
+    out = []
+    for *points, lo, sh in zip(ax, ay, an, bx, by, bn, same, low, shift, strict=True):
+        bits, weight = slopes(*points)
+        held = inside(bits, lo, sh)
+        values, back = np.unique(bits[held], return_inverse=True)
+        n = np.zeros(len(values), np.int64)
+        np.add.at(n, back, weight[held])
+        out.append([{"bits": int(b), "n": int(c)} for b, c in zip(values, n, strict=True)])
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(DoubleType())
+def middle(found: pd.Series, ranks: pd.Series) -> pd.Series:
+    """Sum of the slopes at the wanted ranks (from 1) of a range's slopes."""
+    out = []
+    for rows, wanted in zip(found, ranks, strict=True):
+        bits = np.array([r["bits"] for r in rows], np.int64)
+        n = np.array([r["n"] for r in rows], np.int64)
+        order = np.argsort(bits, kind="stable")
+        at = np.searchsorted(np.cumsum(n[order]), np.asarray(wanted))
+        out.append(float(as_doubles(bits[order][at]).sum()))
+    return pd.Series(out)
 
 
 def theil_sen(
-    points: DataFrame,
-    keys: list[str],
-    min_points: int,
-    small_group: int = SMALL_GROUP,
-    per_block: int = PER_BLOCK,
+    points: DataFrame, keys: list[str], min_points: int, block: int = BLOCK, few: int = FEW
 ) -> DataFrame:
     """Median of the slopes between all points of distinct `x`, and the median of y - slope * x, for
-    groups of at least `min_points`. Equal points are counted before the shuffle."""
+    groups of at least `min_points`. Equal points are counted before the shuffle. A null key is a
+    group like any other."""
     counted = work_table(
         points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
         .groupBy(*keys, "x", "y")
         .agg(F.count("*").alias("n")),
         "points",
     )
-    big = (
-        counted.groupBy(*keys)
-        .agg(F.count("*").alias("_distinct"))
-        .where(F.col("_distinct") > small_group)
-        .select(*keys)
-    )
-    if big.isEmpty():
-        return fit_small(counted, keys, min_points)
-    big = work_table(big, "big-groups")
-    large = work_table(counted.join(big, keys, "left_semi"), "big-points")
-    return fit_small(counted.join(big, keys, "left_anti"), keys, min_points).unionByName(
-        fit_large(large, keys, min_points, per_block)
-    )
-
-
-def fit_small(counted: DataFrame, keys: list[str], min_points: int) -> DataFrame:
-    sets = (
+    sizes = (
         counted.groupBy(*keys)
-        .agg(F.sum("n").alias("n_laps"), F.collect_list(F.struct("x", "y", "n")).alias("p"))
+        .agg(F.sum("n").alias("n_laps"), F.ceil(F.count("*") / block).alias("_blocks"))
         .where(F.col("n_laps") >= min_points)
     )
-    line = fit_line("p.x", "p.y", "p.n")
-    return (
-        sets.select(*keys, line.alias("line"), "n_laps")
-        .where(F.col("line").isNotNull())
+    packed = work_table(
+        joined(counted, sizes, keys)
+        .withColumn("_block", F.pmod(F.xxhash64("x", "y"), "_blocks"))
+        .groupBy(*keys, "n_laps", "_blocks", "_block")
+        .agg(F.collect_list(F.struct("x", "y", "n")).alias("p")),
+        "blocks",
+    )
+    first = packed.withColumn("_other", F.explode(F.sequence("_block", F.col("_blocks") - 1)))
+    second = packed.select(*keys, F.col("_block").alias("_other"), F.col("p").alias("b"))
+    pairs = joined(
+        first.select(*keys, "n_laps", "_block", "_other", F.col("p").alias("a")),
+        second,
+        [*keys, "_other"],
+    ).withColumn("same", F.col("_block") == F.col("_other"))
+
+    total = pairs.select(*keys, "n_laps", pair_count(*POINTS).alias("_n"))
+    ranks = F.array_distinct(F.array(F.expr("(count + 1) div 2"), F.expr("count div 2 + 1")))
+    state = work_table(
+        total.groupBy(*keys, "n_laps")
+        .agg(F.sum("_n").alias("count"))
+        .where("count > 0")
         .select(
-            *keys, F.col("line")[0].alias("slope"), F.col("line")[1].alias("intercept"), "n_laps"
-        )
+            *keys,
+            "n_laps",
+            F.explode(ranks).alias("target"),
+            F.col("target").alias("rank"),
+            F.lit(0).cast("bigint").alias("low"),
+            F.lit(WHOLE).alias("shift"),
+            "count",
+        ),
+        "ranges",
     )
+    while not (wide := state.where((F.col("count") > few) & (F.col("shift") > 0))).isEmpty():
+        narrowed = narrow(pairs, wide, keys)
+        state = work_table(
+            state.where((F.col("count") <= few) | (F.col("shift") == 0)).unionByName(narrowed),
+            "ranges",
+        )
 
-
-# --- large groups -----------------------------------------------------------
-
-
-def falls_inside(x: np.ndarray, z: np.ndarray, n: np.ndarray) -> int:
-    """Weighted pairs with x_i < x_j and z_i >= z_j."""
-    order = np.lexsort((x, -z))
-    x, n = x[order], n[order]
-    found = 0
-    for value in np.unique(x)[1:]:
-        before = np.cumsum(np.where(x < value, n, 0))
-        found += int((before * np.where(x == value, n, 0)).sum())
-    return found
-
-
-def falls_between(block: np.ndarray, x: np.ndarray, n: np.ndarray) -> int:
-    """Weighted pairs with x_i < x_j whose first point lies in a higher block."""
-    _, bi = np.unique(block, return_inverse=True)
-    _, xi = np.unique(x, return_inverse=True)
-    grid = np.zeros((bi.max() + 1, xi.max() + 1), dtype=object)
-    np.add.at(grid, (bi, xi), [int(v) for v in n])
-    smaller_x = np.cumsum(grid, axis=1) - grid
-    higher = np.cumsum(smaller_x[::-1], axis=0)[::-1] - smaller_x
-    return int((grid * higher).sum())
-
-
-def brackets(counted: DataFrame, keys: list[str], per_block: int) -> DataFrame:
-    """Per group: point range, pair count, blocks to use, a slope range that holds every slope, and
-    the one or two middle ranks (`target`)."""
-    number = lambda c: F.col(c).cast("decimal(38,0)")
-    by_x = counted.groupBy(*keys, "x").agg(
-        F.sum("n").alias("n"),
-        F.min("y").alias("y0"),
-        F.max("y").alias("y1"),
-        F.count("*").alias("_distinct"),
+    ranges = state.groupBy(*keys, "n_laps", "low", "shift").agg(
+        F.collect_list("rank").alias("ranks")
     )
-    step = F.col("x") - F.lag("x").over(Window.partitionBy(*keys).orderBy("x"))
-    return (
-        by_x.withColumn("_step", step)
-        .groupBy(*keys)
-        .agg(
-            F.min("x").alias("x0"),
-            F.max("x").alias("x1"),
-            F.min("y0").alias("y0"),
-            F.max("y1").alias("y1"),
-            F.min("_step").alias("_step"),
-            F.ceil(F.sum("_distinct") / per_block).alias("blocks"),
-            F.sum("n").alias("n_laps"),
-            F.sum(number("n")).alias("_n"),
-            F.sum((number("n") * number("n")).cast("decimal(38,0)")).alias("_squares"),
-        )
-        .where(F.col("_step").isNotNull())
-        .withColumn("_pairs", F.expr("(CAST(_n * _n AS DECIMAL(38,0)) - _squares) div 2"))
-        .withColumn("hi", (F.col("y1") - F.col("y0")) / F.col("_step") + 1.0)
-        .withColumn("lo", -F.col("hi"))
-        .withColumn(
-            "target",
-            F.explode(
-                F.array_distinct(F.array(F.expr("(_pairs + 1) div 2"), F.expr("_pairs div 2 + 1")))
-            ),
-        )
-        .select(*keys, "target", "lo", "hi", "x0", "x1", "y0", "y1", "blocks", "n_laps")
+    found = (
+        joined(pairs.drop("n_laps"), ranges, keys)
+        .select(*keys, "n_laps", "low", "shift", "ranks", listed(*POINTS, "low", "shift").alias("s"))
+        .groupBy(*keys, "n_laps", "low", "shift", "ranks")
+        .agg(F.flatten(F.collect_list("s")).alias("s"))
     )
-
-
-def narrow(counted: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
-    """One round: count the pairs at or below each trial slope and keep the part of the bracket that
-    holds the target rank."""
-    item = [*keys, "target", "trial"]
-    share = F.col("trial") / F.lit(float(TRIALS + 1))
-    trials = state.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(TRIALS)))).withColumn(
-        "s", F.col("lo") + (F.col("hi") - F.col("lo")) * share
+    fits = (
+        found.withColumn("_sum", middle("s", "ranks"))
+        .groupBy(*keys, "n_laps")
+        .agg((F.sum("_sum") / F.sum(F.size("ranks"))).alias("slope"))
+    )
+    residual = joined(counted, fits.select(*keys, "slope"), keys).select(
+        *keys, (F.col("y") - F.col("slope") * F.col("x")).alias("r"), "n"
     )
-    ends = [F.col("s") * F.col("x0"), F.col("s") * F.col("x1")]
-    z0, z1 = F.col("y0") - F.greatest(*ends), F.col("y1") - F.least(*ends)
-    cell = F.floor((F.col("z") - z0) / F.nullif(z1 - z0, F.lit(0.0)) * F.col("blocks"))
-    block = F.greatest(F.lit(0), F.least(F.col("blocks") - 1, F.coalesce(cell, F.lit(0))))
-    placed = (
-        counted.join(trials, keys)
-        .withColumn("z", F.col("y") - F.col("s") * F.col("x"))
-        .withColumn("block", block)
-        .select(*item, "block", "x", "z", "n")
+    intercepts = exact_quantiles(residual, keys, "r", {"intercept": 0.5}, weight="n")
+    return joined(fits, intercepts, keys).select(*keys, "slope", "intercept", "n_laps")
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An equi-join on keys that may be null, without columns of the right side beside the keys that
+    the left has too."""
+    extra = [c for c in right.columns if c not in keys and c not in left.columns]
+    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *extra)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, same).drop(*[f"_r_{k}" for k in keys])
+
+
+def narrow(pairs: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """Ranges with twelve more bits in common: the part of each that holds its rank."""
+    ranges = state.select(*keys, "low", "shift").distinct()
+    bins = (
+        joined(pairs.drop("n_laps"), ranges, keys)
+        .select(*keys, "low", "shift", F.inline(counts_by_bits(*POINTS, "low", "shift")))
+        .groupBy(*keys, "low", "shift", "bin")
+        .agg(F.sum("n").alias("n"))
+        .groupBy(*keys, "low", "shift")  # at most 2**12 bins
+        .agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"))
     )
-    types = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in item) + ", pairs string"
-
-    def row(group: pd.DataFrame, pairs: int) -> pd.DataFrame:
-        return pd.DataFrame([{**{k: group[k].iloc[0] for k in item}, "pairs": str(pairs)}])
-
-    def in_block(group: pd.DataFrame) -> pd.DataFrame:
-        values = [group[c].to_numpy() for c in ("x", "z", "n")]
-        return row(group, falls_inside(*values))
-
-    def across(group: pd.DataFrame) -> pd.DataFrame:
-        values = [group[c].to_numpy() for c in ("block", "x", "n")]
-        return row(group, falls_between(*values))
-
-    grid = placed.groupBy(*item, "block", "x").agg(F.sum("n").alias("n"))
-    counts = (
-        placed.groupBy(*item, "block")
-        .applyInPandas(in_block, schema)
-        .unionByName(grid.groupBy(*item).applyInPandas(across, schema))
-        .groupBy(*item)
-        .agg(F.sum(F.col("pairs").cast("decimal(38,0)")).alias("_below"))
+    before = F.aggregate(
+        "bins",
+        F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("bigint").alias("bin"),
+                 F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("below")),
+        lambda s, b: F.when(
+            s["bin"].isNull() & (s["upto"] + b["n"] >= F.col("rank")),
+            F.struct(
+                (s["upto"] + b["n"]).alias("upto"), b["bin"].alias("bin"), b["n"].alias("n"),
+                s["upto"].alias("below"),
+            ),
+        ).otherwise(
+            F.struct((s["upto"] + b["n"]).alias("upto"), s["bin"].alias("bin"), s["n"].alias("n"),
+                     s["below"].alias("below"))
+        ),
     )
-    enough = F.col("_below") >= F.col("target")
-    rest = [c for c in state.columns if c not in (*keys, "target", "lo", "hi")]
     return (
-        trials.join(counts, item)
-        .groupBy(*keys, "target")
-        .agg(
-            F.coalesce(F.max(F.when(~enough, F.col("s"))), F.max("lo")).alias("lo"),
-            F.coalesce(F.min(F.when(enough, F.col("s"))), F.max("hi")).alias("hi"),
-            *[F.max(c).alias(c) for c in rest],
+        joined(state, bins, [*keys, "low", "shift"])
+        .withColumn("_at", before)
+        .select(
+            *keys,
+            "n_laps",
+            "target",
+            (F.col("rank") - F.col("_at.below")).alias("rank"),
+            F.col("_at.bin").alias("low"),
+            F.greatest(F.col("shift") - BITS, F.lit(0)).alias("shift"),
+            F.col("_at.n").alias("count"),
         )
-        .select(*state.columns)
     )
-
-
-def fit_large(
-    counted: DataFrame, keys: list[str], min_points: int, per_block: int
-) -> DataFrame:
-    state = work_table(brackets(counted, keys, per_block), "brackets")
-    for _ in range(ROUNDS):
-        state = work_table(narrow(counted, state, keys), "brackets")
-    slopes = (
-        state.groupBy(*keys)
-        .agg(F.avg("hi").alias("slope"), F.max("n_laps").alias("n_laps"))
-        .where(F.col("n_laps") >= min_points)
-    )
-    residual = counted.join(slopes.select(*keys, "slope"), keys).select(
-        *keys, (F.col("y") - F.col("slope") * F.col("x")).alias("r"), "n"
-    )
-    intercepts = exact_quantiles(residual, keys, "r", {"intercept": 0.5}, weight="n")
-    return slopes.join(intercepts, keys).select(*keys, "slope", "intercept", "n_laps")

@@ -213,12 +213,12 @@ def _(t):
 @query(
     "needs_generation",
     """SELECT year, round, event_name FROM calendar WHERE (year, round) IN (SELECT (year, round) FROM race_session)
-    AND (year, round) NOT IN (SELECT (year, round) FROM items)""",
+    AND (year, round) NOT IN (SELECT (year, round) FROM items WHERE round = 1)""",
 )
 def _(t):
     weekends = t.calendar.select(*WEEKEND_KEYS, "event_name")
     analysed = t.sessions.where(F.col("session_type").isin(RACE_LIKE))
-    return C.needs_generation(weekends, t.items, analysed)
+    return C.needs_generation(weekends, t.earlier_items, analysed)
 
 
 @query(

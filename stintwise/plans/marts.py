@@ -54,8 +54,12 @@ class Marts(Tables):
 
     @property
     def items(self) -> DataFrame:
-        """Published texts: first rounds only, so that second rounds still need them."""
-        return C.published_items(self.race_pace.where(F.col("round") == 1))
+        return C.published_items(self.race_pace)
+
+    @property
+    def earlier_items(self) -> DataFrame:
+        """What had been published before the second rounds."""
+        return self.items.where(F.col("round") == 1)
 
     @property
     def prints(self) -> DataFrame:

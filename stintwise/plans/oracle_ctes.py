@@ -186,7 +186,7 @@ SELECT * FROM team_pace WHERE (year, round, session_type) IN (SELECT (year, roun
     "items": """
 SELECT year, round, CAST(slot AS INT) AS slot, constructor, printf('%s ran %.3f seconds off the pace', constructor, gap_s + 1e-9) AS header
 FROM (SELECT *, row_number() OVER (PARTITION BY year, round ORDER BY gap_s DESC, constructor) AS slot
-      FROM race_team_pace WHERE round = 1) WHERE slot <= 3""",
+      FROM race_team_pace) WHERE slot <= 3""",
     "corner_speed": """
 SELECT lap_id, year, round, session_type, driver, constructor, compound, is_clean, is_representative, lap_time_s,
        corner_number, min(speed_kmh) AS min_speed_kmh

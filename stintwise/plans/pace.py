@@ -280,8 +280,7 @@ def _(t):
     f"""WITH unit AS (SELECT {TEAM}, compound, quantile_cont(s, 0.5) AS slope FROM (
       SELECT {", ".join("a." + c for c in TEAM.split(", "))}, a.compound, (b.pace_s - a.pace_s) / (b.tyre_age - a.tyre_age) AS s
       FROM paced a JOIN paced b ON a.year = b.year AND a.round = b.round AND a.session_type = b.session_type
-       AND a.constructor = b.constructor AND a.compound = b.compound AND a.tyre_age < b.tyre_age
-      WHERE a.session_type = 'R') GROUP BY ALL),
+       AND a.constructor = b.constructor AND a.compound = b.compound AND a.tyre_age < b.tyre_age) GROUP BY ALL),
     fit AS (SELECT {TEAM}, compound, any_value(slope) AS slope, quantile_cont(pace_s - slope * tyre_age, 0.5) AS intercept, count(*) AS n_laps
       FROM paced JOIN unit USING ({TEAM}, compound) GROUP BY ALL HAVING count(*) >= 5),
     ref AS (SELECT year, round, session_type, compound, quantile_cont(slope, 0.5) AS f FROM fit WHERE slope > 0 GROUP BY ALL)
@@ -290,9 +289,8 @@ def _(t):
     FROM fit LEFT JOIN ref USING (year, round, session_type, compound)""",
 )
 def _(t):
-    race = t.paced.where(F.col("session_type") == "R")
     return rounded(
-        P.degradation_fits(race, pooled=True).withColumn("n_laps", F.col("n_laps").cast("bigint"))
+        P.degradation_fits(t.paced, pooled=True).withColumn("n_laps", F.col("n_laps").cast("bigint"))
     )
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from stintwise.operators.slopes import falls_between, falls_inside, fit_rows, theil_sen
+from stintwise.operators.slopes import as_doubles, in_order, theil_sen
 
 
 def brute(x, y):
@@ -16,53 +16,51 @@ def brute(x, y):
     return slope, float(np.median(y - slope * x))
 
 
-def sample(rng, n, ages):
-    x = rng.integers(1, ages + 1, n).astype(float)
-    return x, np.round(80 + 0.07 * x + rng.normal(0, 0.4, n), 2)
+def test_bits_keep_the_order_of_doubles():
+    values = np.array([-np.inf, -1e300, -2.5, -1e-310, 0.0, 1e-310, 1.0, np.nextafter(1, 2), 1e9])
+    assert (np.diff(in_order(values)) > 0).all()
+    assert (as_doubles(in_order(values)) == values).all()
 
 
-def test_ramp_and_outlier():
-    x = np.arange(1.0, 16.0)
-    y = 90 + 0.1 * x
-    fit = lambda: fit_rows(x[None], y[None], np.ones((1, 15)))[0]
-    assert fit()[0] * 13 == pytest.approx(1.3)
-    y[7] += 6
-    assert fit()[0] == pytest.approx(0.1, abs=1e-6)
-
-
-def test_pair_counts():
-    rng = np.random.default_rng(5)
-    x, z = rng.integers(0, 6, 80).astype(float), rng.integers(0, 30, 80).astype(float)
-    n = rng.integers(1, 4, 80)
-    want = sum(
-        int(n[i] * n[j]) for i in range(80) for j in range(80) if x[i] < x[j] and z[i] >= z[j]
-    )
-    block = z // 8
-    grid = pd.DataFrame({"b": block, "x": x, "n": n}).groupby(["b", "x"], as_index=False).sum()
-    inside = sum(falls_inside(x[block == b], z[block == b], n[block == b]) for b in set(block))
-    between = falls_between(grid["b"].to_numpy(), grid["x"].to_numpy(), grid["n"].to_numpy())
-    assert falls_inside(x, z, n) == want
-    assert inside + between == want
+def groups():
+    rng = np.random.default_rng(11)
+    integer = lambda n: rng.integers(1, 9, n).astype(float)
+    near = np.array([*np.linspace(0, 20, 60), 20 + 1e-9])
+    ramp = np.arange(1.0, 16.0)
+    bumped = 90 + 0.1 * ramp
+    bumped[7] += 6
+    shapes = {
+        "tiny": (integer(4), None),
+        "odd": (integer(41), None),
+        "even": (integer(90), None),
+        "flat": (np.full(30, 3.0), None),
+        "continuous": (rng.normal(0, 5, 130), None),
+        "nearly-equal": (near, None),
+        "ramp": (ramp, bumped),
+        "level": (np.arange(80.0), np.full(80, 7.5)),
+        None: (integer(25), None),
+    }
+    for key, (x, y) in shapes.items():
+        if y is None:
+            y = np.round(80 + 0.07 * x + rng.normal(0, 0.4, len(x)), 2)
+        yield key, np.concatenate([x, x[:3]]), np.concatenate([y, y[:3]])  # three points twice
 
 
-@pytest.mark.parametrize("limit", [2000, 20])
-def test_all_group_sizes_agree_with_brute_force(spark, limit):
-    """The small limit sends the two bigger groups through the counting path."""
-    rng = np.random.default_rng(11)
+@pytest.mark.parametrize(("block", "few"), [(512, 20_000), (16, 20_000), (16, 40)])
+def test_groups_of_any_size_equal_brute_force(spark, block, few):
+    """Small blocks and short lists send groups over many block pairs and rounds."""
     frames, want = [], {}
-    for key, n in (("tiny", 4), ("odd", 41), ("even", 90), ("flat", 30)):
-        x, y = sample(rng, n, 8)
-        if key == "flat":
-            x[:] = 3.0
+    for key, x, y in groups():
         frames.append(pd.DataFrame({"g": key, "x": x, "y": y}))
-        if key in ("odd", "even"):
-            want[key] = brute(x, y)
-    points = spark.createDataFrame(pd.concat(frames))
+        if key not in ("flat",):
+            want[key] = (*brute(x, y), len(x))
+    points = spark.createDataFrame(pd.concat(frames), "g string, x double, y double")
     got = {
-        r.g: (r.slope, r.intercept, r.n_laps) for r in theil_sen(points, ["g"], 5, limit, 30).collect()
+        r.g: (r.slope, r.intercept, r.n_laps)
+        for r in theil_sen(points, ["g"], 5, block, few).collect()
     }
     assert set(got) == set(want)
-    for key, (slope, intercept) in want.items():
-        assert got[key][0] == pytest.approx(slope, abs=1e-9)
-        assert got[key][1] == pytest.approx(intercept, abs=1e-8)
-    assert got["even"][2] == 90
+    for key, (slope, intercept, n) in want.items():
+        assert got[key][0] == slope
+        assert got[key][1] == pytest.approx(intercept, abs=1e-9)
+        assert got[key][2] == n
