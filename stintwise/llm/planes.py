@@ -9,7 +9,11 @@ compressed planes, and the chunk index: key, ordinal and number of ids of every
 Spark's commit makes a written set complete or absent, whichever executor is lost.
 """
 
+import functools
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,8 +29,10 @@ from stintwise.session import work_table
 CHUNK = 1 << 16
 LEVEL = 3
 END = 2
-MEMO = 150_000
-TEXTS = 1_000_000
+MEMO = 300_000
+TEXTS = 4_000_000
+
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 
 CHUNKS = (
     "shard int, chunk int, n_ids int, bits int, width int, planes array<binary>, "
@@ -63,25 +69,32 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        # An empty part, or one that starts or ends with white space, has the space beside white
-        # space: such a text is encoded as a whole.
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
+        if (
+            text[:1] == " "
+            or text[-1:] == " "
+            or "  " in text
+            or " \n" in text
+            or "\n " in text
+            or _OTHER_SPACE.search(text)
+        ):  # a space may stand beside white space: the text is encoded as a whole
             return [text] if text else []
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        return text.replace(" ", "\x00 ").split("\x00") if text and "\x00" not in text else [text] * bool(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words(t) for t in texts]
-        missing = {w for s in split for w in s}.difference(self.known)
+        needed: set[str] = set()
+        for words in split:
+            needed.update(words)
+        missing = needed - self.known.keys()
         if len(self.known) + len(missing) > MEMO:
             self.known.clear()
-            missing = {w for s in split for w in s}
+            missing = needed
         order = list(missing)
         for at in range(0, len(order), 4096):
             some = order[at : at + 4096]
             found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             for w, e in zip(some, found, strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+                self.known[w] = array("I", e.ids).tobytes()
         known = self.known.__getitem__
         out = [np.frombuffer(b"".join(map(known, s)), "<u4") for s in split]
         if len(self.known) > MEMO:
@@ -89,6 +102,13 @@ class Encoder:
         return out
 
 
+@functools.cache
+def encoder(tokenizer_file: str) -> Encoder:
+    """One for each worker process, which outlives a task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's to give out
+    return Encoder(tokenizer_file)
+
+
 def chunk_rows(docs: DataFrame, tokenizer_file: str, unit: int) -> DataFrame:
     """Chunks of the documents of each partition, which is a shard, in the order of its rows."""
 
@@ -96,7 +116,7 @@ def chunk_rows(docs: DataFrame, tokenizer_file: str, unit: int) -> DataFrame:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder, packer = Encoder(tokenizer_file), zstandard.ZstdCompressor(level=LEVEL)
+        words, packer = encoder(tokenizer_file), zstandard.ZstdCompressor(level=LEVEL)
         held: list[np.ndarray] = []
         index: list[dict] = []
         count = chunk = ordinal = 0
@@ -113,7 +133,7 @@ def chunk_rows(docs: DataFrame, tokenizer_file: str, unit: int) -> DataFrame:
             for piece in pieces(batch, "text", TEXTS):
                 keys = piece.column("doc_id").to_pylist()
                 texts = [t or "" for t in piece.column("text").to_pylist()]
-                for key, ids in zip(keys, encoder.encode(texts), strict=True):
+                for key, ids in zip(keys, words.encode(texts), strict=True):
                     ids = np.append(ids, np.uint32(END)).astype(np.uint32)
                     part = at = 0
                     while at < len(ids):
