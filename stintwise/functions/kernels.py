@@ -106,14 +106,30 @@ def interpolate(at: pd.Series, distance: pd.Series, values: pd.Series) -> pd.Ser
 
 @F.pandas_udf(DoubleType())
 def dtw_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Dynamic time warping cost with absolute differences, for a batch of trace pairs."""
-    left, n = padded(a)
-    right, m = padded(b)
-    cost = np.full((len(a), left.shape[1] + 1, right.shape[1] + 1), np.inf)
-    cost[:, 0, 0] = 0.0
-    for i in range(1, left.shape[1] + 1):
-        step = np.abs(left[:, i - 1 : i] - right)
-        for j in range(1, right.shape[1] + 1):
-            before = np.minimum(cost[:, i - 1, j], cost[:, i, j - 1])
-            cost[:, i, j] = step[:, j - 1] + np.minimum(before, cost[:, i - 1, j - 1])
-    return pd.Series(cost[np.arange(len(a)), n, m])
+    """Dynamic time warping cost with absolute differences. Pairs of equal lengths are warped
+    together, with two rows of the cost table in memory."""
+    sizes = pd.MultiIndex.from_arrays([a.map(len), b.map(len)])
+    out = np.empty(len(a))
+    for n, m in sizes.unique():
+        at = np.flatnonzero(sizes == (n, m))
+        for some in np.split(at, range(PAIRS, len(at), PAIRS)):
+            out[some] = warped(*(np.array(s.iloc[some].to_list(), float) for s in (a, b)), n, m)
+    return pd.Series(out)
+
+
+PAIRS = 2000
+
+
+def warped(left: np.ndarray, right: np.ndarray, n: int, m: int) -> np.ndarray:
+    if not n or not m:
+        return np.where(n == m, 0.0, np.inf) * np.ones(len(left))
+    above = np.full((m + 1, len(left)), np.inf)
+    above[0] = 0.0
+    for i in range(n):
+        step = np.abs(left[:, i][None, :] - right.T)
+        row = np.full_like(above, np.inf)
+        least = np.minimum(above[1:], above[:-1])
+        for j in range(m):
+            row[j + 1] = step[j] + np.minimum(least[j], row[j])
+        above = row
+    return above[m]

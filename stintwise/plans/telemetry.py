@@ -392,24 +392,24 @@ TRACES = """SELECT lap_id, corner_number, j, lo + j * 150 / CAST(49 AS DOUBLE) A
    FROM tlap, corners, range(0, 50) r(j)))"""
 
 
-@query(
-    "corner_features",
-    f"""WITH tr AS ({TRACES}),
-    apex AS (SELECT lap_id, corner_number, arg_min(j, (s, j)) AS ja, min(s) AS min_speed FROM tr GROUP BY ALL),
-    br AS (SELECT lap_id, corner_number, min(j) AS jb FROM tr WHERE br > 0.5 GROUP BY ALL),
-    pw AS (SELECT lap_id, corner_number, min(j) AS jp FROM tr JOIN apex USING (lap_id, corner_number) WHERE j >= ja AND th > 20 GROUP BY ALL)
-    SELECT lap_id, corner_number, round(min_speed, 6) AS min_speed_kmh, round(xb.g - xb.lo, 6) AS brake_point_m,
-      round(CASE WHEN jb <= ja THEN xa.g - xb.g WHEN jb IS NOT NULL THEN 0 END, 6) AS trail_brake_m,
-      round(CASE WHEN jp < 49 THEN xp.g - xp.lo END, 6) AS throttle_point_m,
-      round(CASE WHEN jp < 49 THEN (xe.th - xp.th) / (xe.g - xp.g) END, 6) AS throttle_ramp, CAST(round_even(xa.gear, 0) AS INT) AS gear
-    FROM apex LEFT JOIN br USING (lap_id, corner_number) LEFT JOIN pw USING (lap_id, corner_number)
-    JOIN tr xa ON xa.lap_id = apex.lap_id AND xa.corner_number = apex.corner_number AND xa.j = ja
-    JOIN tr xe ON xe.lap_id = apex.lap_id AND xe.corner_number = apex.corner_number AND xe.j = 49
-    LEFT JOIN tr xb ON xb.lap_id = apex.lap_id AND xb.corner_number = apex.corner_number AND xb.j = jb
-    LEFT JOIN tr xp ON xp.lap_id = apex.lap_id AND xp.corner_number = apex.corner_number AND xp.j = jp""".replace(
-        "SELECT lap_id, corner_number, round(min_speed", "SELECT apex.lap_id, apex.corner_number, round(min_speed"
-    ),
+FEATURES_SQL = f"""WITH tr AS ({TRACES}),
+apex AS (SELECT lap_id, corner_number, arg_min(j, (s, j)) AS ja, min(s) AS min_speed FROM tr GROUP BY ALL),
+br AS (SELECT lap_id, corner_number, min(j) AS jb FROM tr WHERE br > 0.5 GROUP BY ALL),
+pw AS (SELECT lap_id, corner_number, min(j) AS jp FROM tr JOIN apex USING (lap_id, corner_number) WHERE j >= ja AND th > 20 GROUP BY ALL)
+SELECT lap_id, corner_number, round(min_speed, 6) AS min_speed_kmh, round(xb.g - xb.lo, 6) AS brake_point_m,
+  round(CASE WHEN jb <= ja THEN xa.g - xb.g WHEN jb IS NOT NULL THEN 0 END, 6) AS trail_brake_m,
+  round(CASE WHEN jp < 49 THEN xp.g - xp.lo END, 6) AS throttle_point_m,
+  round(CASE WHEN jp < 49 THEN (xe.th - xp.th) / (xe.g - xp.g) END, 6) AS throttle_ramp, CAST(round_even(xa.gear, 0) AS INT) AS gear
+FROM apex LEFT JOIN br USING (lap_id, corner_number) LEFT JOIN pw USING (lap_id, corner_number)
+JOIN tr xa ON xa.lap_id = apex.lap_id AND xa.corner_number = apex.corner_number AND xa.j = ja
+JOIN tr xe ON xe.lap_id = apex.lap_id AND xe.corner_number = apex.corner_number AND xe.j = 49
+LEFT JOIN tr xb ON xb.lap_id = apex.lap_id AND xb.corner_number = apex.corner_number AND xb.j = jb
+LEFT JOIN tr xp ON xp.lap_id = apex.lap_id AND xp.corner_number = apex.corner_number AND xp.j = jp""".replace(
+    "SELECT lap_id, corner_number, round(min_speed", "SELECT apex.lap_id, apex.corner_number, round(min_speed"
 )
+
+
+@query("corner_features", FEATURES_SQL)
 def _(t):
     features = K.corner_features(K.corner_traces(t.telemetry, CORNERS))
     return rounded(features.select("lap_id", "corner_number", *K.FEATURES, "gear"))
@@ -460,20 +460,32 @@ def _(t):
     return T.clip_summary(t.clip_straights)
 
 
-@query("straight_rows")
+@query(
+    "straight_rows",
+    """SELECT lap_id, CAST(round_even(start_m, 0) AS INT) AS start_m, CAST(round_even(end_m, 0) AS INT) AS end_m, CAST(round_even(peak_kmh, 0) AS INT) AS peak_kmh,
+    CAST(round_even(peak_at_m, 0) AS INT) AS peak_at_m, CAST(round_even(clip_m, 0) AS INT) AS clip_m, CAST(round_even(depletion_m, 0) AS INT) AS depletion_m,
+    CAST(round_even(superclip_m, 0) AS INT) AS superclip_m, CAST(round_even(drop_kmh, 0) AS INT) AS drop_kmh, end_reason, is_clip, clip_type,
+    round_even(CASE WHEN is_clip THEN coalesce(worst, 0) ELSE 0 END, 2) AS clip_severity_ms2, method FROM clip""",
+)
 def _(t):
-    return T.straight_rows(t.clip_straights)
+    return T.straight_rows(t.clip_straights).select("lap_id", F.inline("straights"))
 
 
 @query("dtw_distance")
 def _(t):
     from stintwise.functions.kernels import dtw_distance
 
-    traces = K.corner_traces(t.telemetry, CORNERS, points=20)
-    steady = F.transform("speed_kmh", lambda v: F.get("speed_kmh", F.lit(0)) + v * 0.0)
+    # Each lap's corner against the same corner on the session's first lap.
+    traces = K.corner_traces(t.telemetry, CORNERS)
+    first = F.min_by(F.struct("speed_kmh"), "lap_id")
+    best = (
+        traces.groupBy(*SESSION_KEYS, "corner_number")
+        .agg(first.alias("_best"))
+        .select(*SESSION_KEYS, "corner_number", F.col("_best.speed_kmh").alias("reference"))
+    )
     return rounded(
-        traces.select(
-            "lap_id", "corner_number", dtw_distance("speed_kmh", steady).alias("dtw_kmh")
+        traces.join(best, [*SESSION_KEYS, "corner_number"]).select(
+            "lap_id", "corner_number", dtw_distance("speed_kmh", "reference").alias("dtw_kmh")
         )
     )
 
@@ -483,7 +495,14 @@ def _(t):
     return rounded(K.fingerprints(t.telemetry, CORNERS))
 
 
-@query("feature_mean")
+FEATURE_ROWS = FEATURES_SQL.replace("round(", "(").replace(", 6) AS", ") AS")
+
+
+@query(
+    "feature_mean",
+    f"""SELECT year, round, driver, corner_number, {", ".join(f"round(avg({c}), 6) AS {c}" for c in K.FEATURES)},
+    CAST(round_even(avg(gear), 0) AS INT) AS gear, count(*) AS clean_laps FROM ({FEATURE_ROWS}) JOIN tlap USING (lap_id) GROUP BY year, round, driver, corner_number""",
+)
 def _(t):
     features = K.corner_features(K.corner_traces(t.telemetry, CORNERS))
     return rounded(K.feature_mean(features, [*WEEKEND_KEYS, "driver", "corner_number"]))

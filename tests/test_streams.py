@@ -87,12 +87,15 @@ def test_confirmation_by_brute_force(spark):
         r.request_id: r.confirm_id
         for r in E.confirmed_in_ttl(spark.createDataFrame(frame)).collect()
     }
+    frame["late"] = (frame.action == "confirm").astype(int)
+    order = frame.sort_values(["ts", "late", "id"])
     for row in frame[frame.action == "request"].itertuples():
-        later = frame[
-            (frame.action == "confirm") & (frame.key == row.key) & (frame.ts >= row.ts)
-            & (frame.ts <= row.ts + dt.timedelta(hours=24))
-        ].sort_values(["ts", "id"])
-        want = later.id.iloc[0] if len(later) else None
+        mine = order[order.key == row.key].reset_index(drop=True)
+        after = mine[mine.index > mine.index[mine.id == row.id][0]].head(1)
+        # The key's next action takes the request if it is a confirmation in time.
+        good = len(after) and after.action.iloc[0] == "confirm"
+        in_time = good and after.ts.iloc[0] <= row.ts + dt.timedelta(hours=24)
+        want = after.id.iloc[0] if in_time else None
         assert got[row.id] == want
 
 
@@ -129,3 +132,31 @@ def test_change_stream_carries_the_last_image_over_batches(spark, tmp_path):
         (1, 4): ("row_updated", "c", "d"),
         (3, 1): ("row_inserted", None, "n"),
     }
+
+
+def test_a_confirmation_is_used_once_and_by_the_newest_request(spark):
+    rows = [(1, "k", at(0), "request"), (2, "k", at(5), "request"), (3, "k", at(9), "confirm"),
+            (4, "k", at(12), "confirm"), (5, "k", at(15), "request")]
+    df = spark.createDataFrame(rows, "id long, key string, ts timestamp, action string")
+    got = {r.request_id: (r.confirm_id, r.outcome) for r in E.confirmed_in_ttl(df).collect()}
+    assert got == {1: (None, "expired"), 2: (3, "confirmed"), 5: (None, "expired")}
+
+
+def test_change_log_sees_values_moved_across_null(spark):
+    schema = "key int, a string, b string, secret string"
+    before = spark.createDataFrame([(1, "x", None, "s"), (2, "x", None, "s"), (3, "u", "v", "s")], schema)
+    after = spark.createDataFrame([(1, None, "x", "s"), (2, "x", None, "t"), (3, "u", "v", "s")], schema)
+    got = {r.key: r.action for r in E.change_log(before, after, "key", "secret").collect()}
+    assert got == {1: "row_updated", 2: "row_updated"}
+
+
+def test_ingest_reads_only_the_touched_folders(spark, tmp_path):
+    landing = str(tmp_path / "landing")
+    I.land(laps(spark, "R", range(6)).union(laps(spark, "Q", range(6))), landing)
+    touched = laps(spark, "Q", [1]).select("year", "round", "session_type")
+    whole = spark.read.schema(laps(spark, "R", [1]).schema).parquet(landing)
+    pruned = whole.where(I.among(touched, ["year", "round", "session_type"]))
+    assert {f.split("session_type=")[1].split("/")[0] for f in pruned.inputFiles()} >= {"Q"}
+    scan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "= 2025|1|Q)]" in scan and "PushedFilters: []" in scan  # a filter on the folders alone
+    assert pruned.count() == 6
