@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -38,8 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def work_table(df: DataFrame, label: str = "work") -> DataFrame:
     """Write `df` to the shared folder and read it back: later steps see one fixed copy, which
-    outlives the executors that made it."""
+    outlives the executors that made it. The shuffle files of the write go when it ends, not when
+    the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
