@@ -37,8 +37,8 @@ REACH = LENGTH - SEED_BYTES + 1  # substrings in a window, and windows in a segm
 HOT = 50_000  # owners' segments of one key beyond which they are cut into windows
 BUCKET = 4_000_000  # bytes of text whose segments make one bucket
 COLLECTION = 2_000_000  # bytes of segments that make one collection
-TEXTS = 2_000_000
-FLUSH = 1_000_000
+TEXTS = 1_000_000
+FLUSH = 500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 3) for b in range(256)], np.uint64)
@@ -130,7 +130,7 @@ def packed(bucket: int, spans: bool, columns: list[np.ndarray]) -> list:
 def print_rows(docs: DataFrame, buckets: int) -> DataFrame:
     """Segments as fingerprints, many in a row. Segments that a smaller document of the same task
     has too are told apart as spans, so that a passage of very many documents goes to its bucket
-    once for each million segments at most."""
+    once for each half million segments at most."""
     names = [name for name, _ in FIELDS]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
