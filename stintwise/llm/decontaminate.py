@@ -2,10 +2,12 @@
 
 Numbers, names and units of a text become typed placeholders, so a question that was given other
 figures or names keeps its template. Windows of templates are hash-joined, and the values in the
-slots of a match must agree: equal values stand for equal values on either side.
+slots of a match must agree: equal values of the item stand for equal values of the text.
 """
 
 import re
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -104,11 +106,12 @@ def templates(ids: np.ndarray, first: np.ndarray, words: Words) -> tuple[np.ndar
 
 
 def window_rows(
-    docs: DataFrame, key: str, widths: list[int], known: np.ndarray | None
+    docs: DataFrame, keys: list[str], widths: list[int], known: np.ndarray | None
 ) -> DataFrame:
-    """(key, hash, width, at, slots, n_words): the template windows of every text, or only those
+    """(keys, hash, width, at, slots, n_words): the template windows of every text, or only those
     whose hash is among the sorted `known`. `slots` are the placeholders' values in their order."""
-    schema = f"{key} bigint, hash bigint, width int, at int, slots array<string>, n_words int"
+    schema = "".join(f"{key} bigint, " for key in keys)
+    schema += "hash bigint, width int, at int, slots array<string>, n_words int"
     sent = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
 
     def make():
@@ -157,35 +160,145 @@ def window_rows(
             own = owner[at]
             return pa.RecordBatch.from_arrays(
                 [
-                    piece.column(key).take(pa.array(own)),
+                    *[piece.column(key).take(pa.array(own)) for key in keys],
                     pa.array(np.concatenate([m for *_, m in found])),
                     pa.array(np.repeat([w for w, *_ in found], [len(i) for _, i, _ in found]), pa.int32()),
                     pa.array(at - (ends - n)[own], pa.int32()),
                     pa.array(slots, pa.list_(pa.string())),
                     pa.array(n[own], pa.int32()),
                 ],
-                [key, "hash", "width", "at", "slots", "n_words"],
+                [*keys, "hash", "width", "at", "slots", "n_words"],
             )
 
         return step
 
-    rows = docs.select(F.col(key).cast("bigint"), F.col("text").cast("string"))
+    rows = docs.select(*[F.col(key).cast("bigint") for key in keys], F.col("text").cast("string"))
     return map_pieces(rows, make, schema)
 
 
+class Match(NamedTuple):
+    """A window of an item and an equal one of a text: first words, numbers of words, and the values
+    in the slots of either."""
+
+    item_at: int
+    item_size: int
+    at: int
+    size: int
+    item_slots: tuple[str, ...]
+    slots: tuple[str, ...]
+
+
+def clashes(matches: list[Match]) -> set[str]:
+    """Values of the item that stand for several values of the text."""
+    seen: dict[str, str] = {}
+    return {
+        a
+        for m in matches
+        for a, b in zip(m.item_slots, m.slots, strict=True)
+        if seen.setdefault(a, b) != b
+    }
+
+
+def runs(matches: list[Match]) -> list[list[Match]]:
+    """Matches of one alignment, ascending, in runs without a word of the item between them."""
+    out: list[list[Match]] = []
+    end = -1
+    for m in matches:
+        if m.item_at > end:
+            out.append([])
+        out[-1].append(m)
+        end = max(end, m.item_at + m.item_size)
+    return out
+
+
+def covered_words(matches: list[Match]) -> int:
+    return len({w for m in matches for w in range(m.item_at, m.item_at + m.item_size)})
+
+
+def units(matches: list[Match]) -> list[list[Match]]:
+    """What may count of the matches of one alignment: all if every value of the item stands for one
+    value; else, without the windows that hold a value that stands for several, run by run. Runs
+    that stand word for word count whatever is found beside them."""
+    bad = clashes(matches)
+    if not bad:
+        return [matches]
+    return runs([m for m in matches if bad.isdisjoint(m.item_slots)]) + runs(
+        [m for m in matches if m.item_slots == m.slots]
+    )
+
+
+def judged(matches: list[Match], item_words: int) -> tuple[int, int, int] | None:
+    """(at_word, n_windows, covered) of the best covered, then earliest place of a text that leaks
+    the item; None if none does."""
+    by_shift: dict[int, list[Match]] = {}
+    for m in sorted(matches):
+        by_shift.setdefault(m.at - m.item_at, []).append(m)
+    told = []
+    for alignment in by_shift.values():
+        for unit in units(alignment):
+            n = covered_words(unit)
+            if n >= RUN or 2 * n >= item_words:
+                told.append((-n, min(m.at for m in unit), len(unit)))
+    if not told:
+        return None
+    n, at, many = min(told)
+    return at, many, -n
+
+
+def judged_rows(met: DataFrame) -> DataFrame:
+    """(doc_id, item_id, item_words, at_word, n_windows, covered) of every leaking row of `met`."""
+    names = ["doc_id", "item_id", "item_words"]
+    places = ["at_word", "n_windows", "covered"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, found = [], []
+            for i in range(batch.num_rows):
+                matches = [
+                    Match(
+                        m["item_at"],
+                        m["item_size"],
+                        m["at"],
+                        m["size"],
+                        tuple(m["item_slots"]),
+                        tuple(m["slots"]),
+                    )
+                    for m in batch.column("matches")[i].as_py()
+                ]
+                best = judged(matches, batch.column("item_words")[i].as_py())
+                if best is not None:
+                    kept.append(i)
+                    found.append(best)
+            if kept:
+                at = pa.array(kept)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(name).take(at) for name in names],
+                        *[pa.array(c, pa.int32()) for c in zip(*found, strict=True)],
+                    ],
+                    [*names, *places],
+                )
+
+    schema = "doc_id bigint, item_id bigint, item_words int, at_word int, n_windows int, covered int"
+    return met.select(*names, "matches").mapInArrow(run, schema)
+
+
 def leaks(docs: DataFrame, items: DataFrame, known: int = KNOWN) -> DataFrame:
     """(doc_id, item_id, at_word, n_windows, covered, item_words): where `docs` (doc_id, text, any
     more) hold an item of `items` (item_id, text, any more), verbatim or with other figures, names
-    or units. A match runs along one alignment of item and document; it is a leak if its windows
-    cover 13 words or half of the item and its slots are consistent both ways. Of several
-    alignments the best covered, then earliest, is told.
+    or units. A match runs along one alignment of item and text; it is a leak if its windows cover
+    13 words or half of the item and each value of the item stands for one value of the text. Where
+    one stands for several, the windows that hold it are dropped and each run of the others must
+    cover as much by itself, as may a run that is the item word for word. Of several alignments the
+    best covered, then earliest, is told.
 
     Texts that are null, empty or shorter than five words match nothing. Items with equal texts
-    count as the one with the smallest item_id; rows that share a doc_id are taken together, also
-    those without one. Other columns are not read. An empty side gives an empty result."""
+    count as the one with the smallest item_id; rows that share a doc_id are matched each by itself
+    and told once, also those without one. Other columns are not read. An empty side gives an empty
+    result."""
     unique = items.groupBy("text").agg(F.min("item_id").alias("item_id"))
     widths = [WINDOW, *range(LEAST, WINDOW)]
-    whole = window_rows(unique, "item_id", widths, None)
+    whole = window_rows(unique, ["item_id"], widths, None)
     # Narrow windows stand for whole short items only.
     own = whole.where(f"width = {WINDOW} or width = n_words").select(
         "item_id",
@@ -201,47 +314,25 @@ def leaks(docs: DataFrame, items: DataFrame, known: int = KNOWN) -> DataFrame:
     sent = None
     if wanted.limit(known + 1).count() <= known:
         sent = np.sort(np.array([r[0] for r in wanted.toLocalIterator()], np.int64))
-    texts = docs.select("doc_id", "text")
-    met = window_rows(texts, "doc_id", widths, sent).drop("n_words").join(own, ["hash", "width"])
-    pairs = F.arrays_zip("item_slots", "slots")
-    aligned = (
-        met.select(
-            "doc_id",
-            "item_id",
-            "item_words",
-            "item_at",
-            "width",
-            (F.col("at") - F.col("item_at")).alias("shift"),
-            pairs.alias("pairs"),
-        )
-        .groupBy("doc_id", "item_id", "item_words", "shift")
-        .agg(
-            F.collect_set(F.struct("item_at", "width")).alias("windows"),
-            F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-        )
-    )
-    words = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "windows", lambda w: F.sequence(w["item_at"], w["item_at"] + w["width"] - 1)
-            )
-        )
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    found = window_rows(texts, ["doc_id", "row"], widths, sent).drop("n_words")
+    match = F.struct(
+        "item_at",
+        F.col("width").alias("item_size"),
+        "at",
+        F.col("width").alias("size"),
+        "item_slots",
+        "slots",
     )
-    n = F.size("pairs")
-    told = (
-        aligned.withColumn("covered", F.size(words))
-        .where((F.col("covered") >= RUN) | (2 * F.col("covered") >= F.col("item_words")))
-        .where(
-            (F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == n)
-            & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))) == n)
-        )
-        .withColumn("n_windows", F.size("windows"))
-        .withColumn("at_word", F.col("shift") + F.array_min(F.transform("windows", lambda w: w["item_at"])))
+    met = (
+        found.join(own, ["hash", "width"])
+        .groupBy("doc_id", "row", "item_id", "item_words")
+        .agg(F.collect_set(match).alias("matches"))
     )
     best = F.min_by(
         F.struct("at_word", "n_windows", "covered"), F.struct(-F.col("covered"), F.col("at_word"))
     )
-    return told.groupBy("doc_id", "item_id", "item_words").agg(best.alias("best")).select(
+    return judged_rows(met).groupBy("doc_id", "item_id", "item_words").agg(best.alias("best")).select(
         "doc_id", "item_id", "best.*", "item_words"
     )
 

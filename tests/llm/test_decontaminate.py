@@ -54,6 +54,32 @@ def test_leaks_and_slots_either_way_of_joining(spark):
     assert sorted(str(r["doc_id"]) for r in kept) == ["13", "14", "17", "18", "19", "20", "None"]
 
 
+LONG = (
+    "The baker sold 5 loaves in the early morning before the school bus came down the hill and then "
+    "sold 5 more loaves in the late afternoon when all of the children walked slowly home again"
+)
+PEARS = "Someone has 3 apples and 5 pears in a bag and then eats 3 apples at home with a friend"
+
+
+def found(spark, docs, items):
+    left = spark.createDataFrame(docs, "doc_id bigint, text string")
+    right = spark.createDataFrame(items, "item_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]) for r in leaks(left, right).collect()}
+
+
+def test_one_changed_value_or_equal_new_values_or_a_shared_id(spark):
+    items = [(1, LONG), (2, PEARS)]
+    docs = [
+        (1, LONG.replace("sold 5 more", "sold 6 more")),
+        (2, PEARS.replace("3", "4").replace("5", "4")),
+        (3, PEARS.replace("3", "7").replace("5", "8")),
+        (3, PEARS.replace("3", "1").replace("5", "2")),
+        (None, PEARS.replace("3", "7").replace("5", "8")),
+        (None, PEARS.replace("3", "1").replace("5", "2")),
+    ]
+    assert found(spark, docs, items) == {(1, 1), (2, 2), (3, 2), (None, 2)}
+
+
 def test_verbatim_passages_equal_brute_force(spark):
     """On the given tables: every document that holds an item word for word, and no other."""
     folder = "/root/testdata/sf0.01"
