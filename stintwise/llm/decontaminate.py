@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units of a text become typed placeholders, so a question that was given other
-figures or names keeps its template. Windows of templates are hash-joined, and the values in the
+Numbers, names and units of a text become typed placeholders, one for a run of names or numbers, so
+a question that was given other figures or names keeps its template. Texts are read twice: with the
+title-case words that start sentences as names and as plain words. Windows of templates are hash-joined, and the values in the
 slots of a match must agree: equal values of the item stand for equal values of the text.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from stintwise.llm.batches import map_pieces
 from stintwise.llm.shingles import mix
 
-WINDOW = 8  # words of a window; an item of 5 to 7 words is one window, a shorter one none
+WINDOW = 8  # template words of a window; an item of 5 to 7 is one window, a shorter one none
 LEAST = 5
 LITERAL = 4  # words of a window that are no placeholders, at least
 RUN = 13  # covered words that tell a leak; half of a shorter item does too
@@ -83,35 +84,60 @@ class Words:
         return np.array(found, np.int64)
 
 
-def templates(ids: np.ndarray, first: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, slot) of every word in its context. `first` marks the first word of each text. A
-    title-case word is a name unless a sentence starts there; a unit counts after a number only."""
+class Tokens(NamedTuple):
+    """Template words of texts that stand one after another: hash, whether a placeholder, the first
+    written word and the end of the words that stand in it, and whether it reads otherwise under the
+    plain reading."""
+
+    hash: np.ndarray
+    slot: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    differs: np.ndarray
+
+
+def templates(ids: np.ndarray, first: np.ndarray, words: Words) -> list[Tokens]:
+    """Two readings of texts. `first` marks the first word of each. In the plain one a title-case
+    word is a name unless a sentence starts there, in the other it always is. A unit counts after a
+    number only. Names next to each other in a sentence are one placeholder, and so are numbers."""
     kind = np.array(words.kind, np.int8)[ids]
-    out = np.array(words.hash, np.uint64)[ids]
+    plain = np.array(words.hash, np.uint64)[ids]
     stop = np.array(words.stop, bool)[ids]
     start = first.copy()
     start[1:] |= stop[:-1]
     after = np.zeros(len(ids), bool)
     after[1:] = (kind[:-1] == _NUM) & ~first[1:]
-    slot = np.zeros(len(ids), bool)
-    for here, value in (
-        (kind == _NUM, NUMBER),
-        ((kind == _TITLE) & ~start, NAME),
-        ((kind == _UNIT) & after, UNIT),
-        (kind == _MEAS, MEASURE),
-    ):
-        out[here] = value
-        slot |= here
-    return out, slot
+    title = kind == _TITLE
+    readings = []
+    for name in (title & ~start, title):
+        out = plain.copy()
+        slot = np.zeros(len(ids), bool)
+        for here, value in (
+            (kind == _NUM, NUMBER),
+            (name, NAME),
+            ((kind == _UNIT) & after, UNIT),
+            (kind == _MEAS, MEASURE),
+        ):
+            out[here] = value
+            slot |= here
+        head = np.ones(len(ids), bool)
+        for here in (kind == _NUM, name):
+            head[1:] &= ~(here[1:] & here[:-1]) | start[1:]
+        begin = np.flatnonzero(head)
+        differs = np.add.reduceat(title & start, begin) > 0
+        readings.append(Tokens(out[begin], slot[begin], begin, np.append(begin[1:], len(ids)), differs))
+    return readings
 
 
 def window_rows(
     docs: DataFrame, keys: list[str], widths: list[int], known: np.ndarray | None
 ) -> DataFrame:
-    """(keys, hash, width, at, slots, n_words): the template windows of every text, or only those
-    whose hash is among the sorted `known`. `slots` are the placeholders' values in their order."""
+    """(keys, hash, width, at, size, slots, n_words, late): the template windows of every text, or
+    only those whose hash is among the sorted `known`. `width` counts placeholders, `size` written
+    words; `slots` are the placeholders' values in their order. `late` windows are those that read
+    otherwise if names may start a sentence."""
     schema = "".join(f"{key} bigint, " for key in keys)
-    schema += "hash bigint, width int, at int, slots array<string>, n_words int"
+    schema += "hash bigint, width int, at int, size int, slots array<string>, n_words int, late boolean"
     sent = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
 
     def make():
@@ -129,45 +155,58 @@ def window_rows(
             ends = np.cumsum(n)
             first = np.zeros(len(ids) + 1, bool)
             first[ends - n] = True
-            h, slot = templates(ids, first[:-1], words)
-            left = np.repeat(ends, n) - np.arange(len(ids))
             owner = np.repeat(np.arange(len(n)), n)
-            literal = np.concatenate([[0], np.cumsum(~slot)])
-            found = []
-            for width in widths:
-                here = left >= width
-                till = np.minimum(np.arange(len(ids)) + width, len(ids))
-                here &= literal[till] - literal[:-1] >= min(LITERAL, width - 1)
-                index = np.flatnonzero(here)
-                mixed = np.full(len(index), width, np.uint64)
-                for k in range(width):
-                    mixed += h[index + k] * _PLACES[k]
-                mixed = mix(mixed).view(np.int64)
-                if among is not None:
-                    near = np.minimum(np.searchsorted(among, mixed), max(len(among) - 1, 0))
-                    hit = among[near] == mixed if len(among) else np.zeros(len(mixed), bool)
-                    index, mixed = index[hit], mixed[hit]
-                found.append((width, index, mixed))
             core = words.core
-            slots = [
-                [core[ids[p]] for p in range(i, i + width) if slot[p]]
-                for width, index, _ in found
-                for i in index.tolist()
-            ]
-            at = np.concatenate([index for _, index, _ in found])
+            parts = []
+            for late, tokens in enumerate(templates(ids, first[:-1], words)):
+                many = len(tokens.begin)
+                text = owner[tokens.begin]
+                left = np.cumsum(np.bincount(text, minlength=len(n)))[text] - np.arange(many)
+                literal = np.concatenate([[0], np.cumsum(~tokens.slot)])
+                differs = np.concatenate([[0], np.cumsum(tokens.differs)])
+                for width in widths:
+                    till = np.minimum(np.arange(many) + width, many)
+                    here = left >= width
+                    here &= literal[till] - literal[:-1] >= min(LITERAL, width - 1)
+                    if late:
+                        here &= differs[till] > differs[:-1]
+                    index = np.flatnonzero(here)
+                    mixed = np.full(len(index), width, np.uint64)
+                    for k in range(width):
+                        mixed += tokens.hash[index + k] * _PLACES[k]
+                    mixed = mix(mixed).view(np.int64)
+                    if among is not None:
+                        near = np.minimum(np.searchsorted(among, mixed), max(len(among) - 1, 0))
+                        hit = among[near] == mixed if len(among) else np.zeros(len(mixed), bool)
+                        index, mixed = index[hit], mixed[hit]
+                    slots = [
+                        [
+                            " ".join([core[j] for j in ids[tokens.begin[p] : tokens.end[p]]])
+                            for p in range(i, i + width)
+                            if tokens.slot[p]
+                        ]
+                        for i in index.tolist()
+                    ]
+                    at = tokens.begin[index]
+                    size = tokens.end[index + width - 1] - at
+                    parts.append((mixed, np.full(len(index), width), at, size, slots, np.full(len(index), bool(late))))
+            mixed, width, at, size, slots, late = zip(*parts, strict=True)
+            at = np.concatenate(at)
             if not len(at):
                 return None
             own = owner[at]
             return pa.RecordBatch.from_arrays(
                 [
                     *[piece.column(key).take(pa.array(own)) for key in keys],
-                    pa.array(np.concatenate([m for *_, m in found])),
-                    pa.array(np.repeat([w for w, *_ in found], [len(i) for _, i, _ in found]), pa.int32()),
+                    pa.array(np.concatenate(mixed)),
+                    pa.array(np.concatenate(width), pa.int32()),
                     pa.array(at - (ends - n)[own], pa.int32()),
-                    pa.array(slots, pa.list_(pa.string())),
+                    pa.array(np.concatenate(size), pa.int32()),
+                    pa.array([s for part in slots for s in part], pa.list_(pa.string())),
                     pa.array(n[own], pa.int32()),
+                    pa.array(np.concatenate(late)),
                 ],
-                [*keys, "hash", "width", "at", "slots", "n_words"],
+                [*keys, "hash", "width", "at", "size", "slots", "n_words", "late"],
             )
 
         return step
@@ -177,8 +216,8 @@ def window_rows(
 
 
 class Match(NamedTuple):
-    """A window of an item and an equal one of a text: first words, numbers of words, and the values
-    in the slots of either."""
+    """A window of an item and an equal one of a text: first words, numbers of words, the values in
+    the slots of either, and whether a name may start a sentence in the item's."""
 
     item_at: int
     item_size: int
@@ -186,6 +225,7 @@ class Match(NamedTuple):
     size: int
     item_slots: tuple[str, ...]
     slots: tuple[str, ...]
+    late: bool
 
 
 def clashes(matches: list[Match]) -> set[str]:
@@ -227,22 +267,63 @@ def units(matches: list[Match]) -> list[list[Match]]:
     )
 
 
+def chains(parts: list[list[Match]], item_words: int) -> Iterator[list[Match]]:
+    """Units of different alignments that follow one another in item and text and agree on what the
+    item's values stand for. No longer gap than the item has words is bridged."""
+    spans = sorted(
+        (
+            (
+                min(m.at for m in part),
+                min(m.item_at for m in part),
+                max(m.at + m.size for m in part),
+                max(m.item_at + m.item_size for m in part),
+            ),
+            i,
+        )
+        for i, part in enumerate(parts)
+    )
+    for n, ((_, at, end, item_end), i) in enumerate(spans):
+        chain = list(parts[i])
+        shift = chain[0].at - chain[0].item_at
+        for (start, item_at, till, item_till), j in spans[n + 1 :]:
+            if start > end + item_words:
+                break
+            next_shift = parts[j][0].at - parts[j][0].item_at
+            if next_shift == shift or item_at < at or till <= end or item_till <= item_end:
+                continue
+            if clashes(chain + parts[j]):
+                continue
+            chain += parts[j]
+            at, end, item_end, shift = item_at, till, item_till, next_shift
+        if len(chain) > len(parts[i]):
+            yield chain
+
+
 def judged(matches: list[Match], item_words: int) -> tuple[int, int, int] | None:
     """(at_word, n_windows, covered) of the best covered, then earliest place of a text that leaks
-    the item; None if none does."""
+    the item; None if none does. Alignments are put together only if none suffices alone."""
     by_shift: dict[int, list[Match]] = {}
     for m in sorted(matches):
         by_shift.setdefault(m.at - m.item_at, []).append(m)
-    told = []
+    parts = []
     for alignment in by_shift.values():
-        for unit in units(alignment):
-            n = covered_words(unit)
+        parts += units(alignment)
+        early = [m for m in alignment if not m.late]
+        if 0 < len(early) < len(alignment):
+            parts += units(early)
+
+    def best(of: Iterable[list[Match]]) -> tuple[int, int, int] | None:
+        told = []
+        for part in of:
+            n = covered_words(part)
             if n >= RUN or 2 * n >= item_words:
-                told.append((-n, min(m.at for m in unit), len(unit)))
-    if not told:
-        return None
-    n, at, many = min(told)
-    return at, many, -n
+                told.append((-n, min(m.at for m in part), len({(m.item_at, m.at) for m in part})))
+        if not told:
+            return None
+        n, at, many = min(told)
+        return at, many, -n
+
+    return best(parts) or best(chains(parts, item_words))
 
 
 def judged_rows(met: DataFrame) -> DataFrame:
@@ -262,6 +343,7 @@ def judged_rows(met: DataFrame) -> DataFrame:
                         m["size"],
                         tuple(m["item_slots"]),
                         tuple(m["slots"]),
+                        m["late"],
                     )
                     for m in batch.column("matches")[i].as_py()
                 ]
@@ -289,8 +371,9 @@ def leaks(docs: DataFrame, items: DataFrame, known: int = KNOWN) -> DataFrame:
     or units. A match runs along one alignment of item and text; it is a leak if its windows cover
     13 words or half of the item and each value of the item stands for one value of the text. Where
     one stands for several, the windows that hold it are dropped and each run of the others must
-    cover as much by itself, as may a run that is the item word for word. Of several alignments the
-    best covered, then earliest, is told.
+    cover as much by itself, as may a run that is the item word for word. If no alignment suffices,
+    those that follow one another and agree are added up. Of several the best covered, then
+    earliest, is told.
 
     Texts that are null, empty or shorter than five words match nothing. Items with equal texts
     count as the one with the smallest item_id; rows that share a doc_id are matched each by itself
@@ -300,13 +383,15 @@ def leaks(docs: DataFrame, items: DataFrame, known: int = KNOWN) -> DataFrame:
     widths = [WINDOW, *range(LEAST, WINDOW)]
     whole = window_rows(unique, ["item_id"], widths, None)
     # Narrow windows stand for whole short items only.
-    own = whole.where(f"width = {WINDOW} or width = n_words").select(
+    own = whole.where(f"width = {WINDOW} or size = n_words").select(
         "item_id",
         "hash",
         "width",
         F.col("at").alias("item_at"),
+        F.col("size").alias("item_size"),
         F.col("slots").alias("item_slots"),
         F.col("n_words").alias("item_words"),
+        "late",
     )
     short = own.where(f"width < {WINDOW}").select("width").distinct()  # three rows at most
     widths = [WINDOW, *sorted(r[0] for r in short.collect())]
@@ -315,15 +400,8 @@ def leaks(docs: DataFrame, items: DataFrame, known: int = KNOWN) -> DataFrame:
     if wanted.limit(known + 1).count() <= known:
         sent = np.sort(np.array([r[0] for r in wanted.toLocalIterator()], np.int64))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
-    found = window_rows(texts, ["doc_id", "row"], widths, sent).drop("n_words")
-    match = F.struct(
-        "item_at",
-        F.col("width").alias("item_size"),
-        "at",
-        F.col("width").alias("size"),
-        "item_slots",
-        "slots",
-    )
+    found = window_rows(texts, ["doc_id", "row"], widths, sent).drop("n_words", "late")
+    match = F.struct("item_at", "item_size", "at", "size", "item_slots", "slots", "late")
     met = (
         found.join(own, ["hash", "width"])
         .groupBy("doc_id", "row", "item_id", "item_words")

@@ -80,6 +80,27 @@ def test_one_changed_value_or_equal_new_values_or_a_shared_id(spark):
     assert found(spark, docs, items) == {(1, 1), (2, 2), (3, 2), (None, 2)}
 
 
+ANNA = "Anna has 5 apples and 3 pears. Ben gives her 4 more. Carol takes 2 away. What is left?"
+SHIFTED = (
+    "Near the old gate Ada left 12,000 coins for her brother and walked to Rome before the sun went "
+    "down behind Ivo and the hills"
+)
+
+
+def test_names_that_start_sentences_and_names_of_several_words(spark):
+    items = [(1, ANNA), (2, ITEMS[0][1]), (3, SHIFTED)]
+    anna = "Tom has 6 apples and 2 pears. Lisa gives her 3 more. Paul takes 1 away. What is left?"
+    berlin = ITEMS[0][1].replace("Berlin", "New York").replace("Anna", "Anna Maria")
+    coins = SHIFTED.replace("12,000", "15 000").replace("Rome", "Tel Aviv").replace("Ivo", "Li Wei")
+    docs = [(1, "We were told: " + anna), (2, "So it went on. " + berlin), (3, coins)]
+    # words put in between break the item into three alignments of 12 words
+    words = LONG.split()
+    parts = [words[:12], ["so", "they", "say"], words[12:24], ["as", "well"], words[24:]]
+    docs.append((4, " ".join(sum(parts, []))))
+    assert len(words) == 36
+    assert found(spark, docs, [*items, (4, LONG)]) == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
 def test_verbatim_passages_equal_brute_force(spark):
     """On the given tables: every document that holds an item word for word, and no other."""
     folder = "/root/testdata/sf0.01"
