@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units of a text become typed placeholders, one for a run of names or numbers, so
-a question that was given other figures or names keeps its template. Texts are read twice: with the
-title-case words that start sentences as names and as plain words. Windows of templates are hash-joined, and the values in the
+a question that was given other figures or names keeps its template. Texts are read with the
+title-case words that start sentences, or sentences and lines, as plain words and as names. Windows of templates are hash-joined, and the values in the
 slots of a match must agree: equal values of the item stand for equal values of the text.
 """
 
@@ -21,6 +21,7 @@ from stintwise.llm.shingles import mix
 
 WINDOW = 8  # template words of a window; an item of 5 to 7 is one window, a shorter one none
 LEAST = 5
+EXACT = 3  # words of the shortest item that is looked for, word for word
 LITERAL = 4  # words of a window that are no placeholders, at least
 RUN = 13  # covered words that tell a leak; half of a shorter item does too
 KNOWN = 2_000_000  # window hashes sent to the tasks at most (16 MB); beyond, Spark joins all windows
@@ -39,6 +40,7 @@ _SIDES = re.compile(r"^[\W_]+|[\W_]+$")
 _PLACES = np.array(
     [xxhash.xxh64_intdigest(b"slot", seed=k) | 1 for k in range(WINDOW)], dtype=np.uint64
 )
+WRITTEN = 1 << 32  # sets windows of words as written apart from templates
 NUMBER, NAME, UNIT, MEASURE = (xxhash.xxh64_intdigest(x) for x in (b"#n", b"#name", b"#u", b"#nu"))
 _PLAIN, _NUM, _TITLE, _UNIT, _MEAS = range(5)
 
@@ -96,10 +98,11 @@ class Tokens(NamedTuple):
     differs: np.ndarray
 
 
-def templates(ids: np.ndarray, first: np.ndarray, words: Words) -> list[Tokens]:
-    """Two readings of texts. `first` marks the first word of each. In the plain one a title-case
-    word is a name unless a sentence starts there, in the other it always is. A unit counts after a
-    number only. Names next to each other in a sentence are one placeholder, and so are numbers."""
+def templates(ids: np.ndarray, first: np.ndarray, line: np.ndarray, words: Words) -> list[Tokens]:
+    """Three readings of texts. `first` marks the first word of each text, `line` that of each line.
+    In the plain one a title-case word is a name unless a sentence starts there, in the second
+    unless a sentence or a line does, in the last it always is. A unit counts after a number only.
+    Names next to each other in a sentence are one placeholder, and so are numbers."""
     kind = np.array(words.kind, np.int8)[ids]
     plain = np.array(words.hash, np.uint64)[ids]
     stop = np.array(words.stop, bool)[ids]
@@ -109,7 +112,12 @@ def templates(ids: np.ndarray, first: np.ndarray, words: Words) -> list[Tokens]:
     after[1:] = (kind[:-1] == _NUM) & ~first[1:]
     title = kind == _TITLE
     readings = []
-    for name in (title & ~start, title):
+    broken = start | line
+    for name, starts, other in (
+        (title & ~start, start, np.zeros(len(ids), bool)),
+        (title & ~broken, broken, (title | (kind == _NUM)) & line),
+        (title, start, title & start),
+    ):
         out = plain.copy()
         slot = np.zeros(len(ids), bool)
         for here, value in (
@@ -122,20 +130,28 @@ def templates(ids: np.ndarray, first: np.ndarray, words: Words) -> list[Tokens]:
             slot |= here
         head = np.ones(len(ids), bool)
         for here in (kind == _NUM, name):
-            head[1:] &= ~(here[1:] & here[:-1]) | start[1:]
+            head[1:] &= ~(here[1:] & here[:-1]) | starts[1:]
         begin = np.flatnonzero(head)
-        differs = np.add.reduceat(title & start, begin) > 0
+        differs = np.add.reduceat(other, begin) > 0
         readings.append(Tokens(out[begin], slot[begin], begin, np.append(begin[1:], len(ids)), differs))
     return readings
 
 
 def window_rows(
-    docs: DataFrame, keys: list[str], widths: list[int], known: np.ndarray | None
+    docs: DataFrame,
+    keys: list[str],
+    widths: list[int],
+    known: np.ndarray | None,
+    exact: list[int] | None = None,
 ) -> DataFrame:
     """(keys, hash, width, at, size, slots, n_words, late): the template windows of every text, or
     only those whose hash is among the sorted `known`. `width` counts placeholders, `size` written
     words; `slots` are the placeholders' values in their order. `late` windows are those that read
-    otherwise if names may start a sentence."""
+    otherwise if names may start a sentence.
+
+    Windows of words as written follow, negative in `width` and without slots: those of the `exact`
+    sizes; without these, those of texts that are short or not covered by template windows, and of
+    whole texts that are smaller."""
     schema = "".join(f"{key} bigint, " for key in keys)
     schema += "hash bigint, width int, at int, size int, slots array<string>, n_words int, late boolean"
     sent = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
@@ -147,18 +163,38 @@ def window_rows(
         def step(piece: pa.RecordBatch) -> pa.RecordBatch | None:
             if len(words.core) > MEMO:
                 words.clear()
-            split = [(t or "").split() for t in piece.column("text").to_pylist()]
-            n = np.array([len(s) for s in split], np.int64)
-            ids = words.look_up([w for s in split for w in s])
+            written: list[str] = []
+            sizes, lines = [], []
+            for t in piece.column("text").to_pylist():
+                before = len(written)
+                for part in (t or "").split("\n"):
+                    lines.append(len(written))
+                    written += part.split()
+                sizes.append(len(written) - before)
+            n = np.array(sizes, np.int64)
+            ids = words.look_up(written)
             if not len(ids):
                 return None
+            line = np.zeros(len(ids) + 1, bool)
+            line[lines] = True
             ends = np.cumsum(n)
             first = np.zeros(len(ids) + 1, bool)
             first[ends - n] = True
             owner = np.repeat(np.arange(len(n)), n)
             core = words.core
             parts = []
-            for late, tokens in enumerate(templates(ids, first[:-1], words)):
+            covered = np.zeros(len(ids) + 1, np.int64)
+
+            def among_known(index: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                if among is None:
+                    return index, mixed
+                near = np.minimum(np.searchsorted(among, mixed), max(len(among) - 1, 0))
+                hit = among[near] == mixed if len(among) else np.zeros(len(mixed), bool)
+                return index[hit], mixed[hit]
+
+            for reading, tokens in enumerate(templates(ids, first[:-1], line[:-1], words)):
+                if reading and not tokens.differs.any():
+                    continue
                 many = len(tokens.begin)
                 text = owner[tokens.begin]
                 left = np.cumsum(np.bincount(text, minlength=len(n)))[text] - np.arange(many)
@@ -168,17 +204,13 @@ def window_rows(
                     till = np.minimum(np.arange(many) + width, many)
                     here = left >= width
                     here &= literal[till] - literal[:-1] >= min(LITERAL, width - 1)
-                    if late:
+                    if reading:
                         here &= differs[till] > differs[:-1]
                     index = np.flatnonzero(here)
                     mixed = np.full(len(index), width, np.uint64)
                     for k in range(width):
                         mixed += tokens.hash[index + k] * _PLACES[k]
-                    mixed = mix(mixed).view(np.int64)
-                    if among is not None:
-                        near = np.minimum(np.searchsorted(among, mixed), max(len(among) - 1, 0))
-                        hit = among[near] == mixed if len(among) else np.zeros(len(mixed), bool)
-                        index, mixed = index[hit], mixed[hit]
+                    index, mixed = among_known(index, mix(mixed).view(np.int64))
                     slots = [
                         [
                             " ".join([core[j] for j in ids[tokens.begin[p] : tokens.end[p]]])
@@ -189,7 +221,29 @@ def window_rows(
                     ]
                     at = tokens.begin[index]
                     size = tokens.end[index + width - 1] - at
-                    parts.append((mixed, np.full(len(index), width), at, size, slots, np.full(len(index), bool(late))))
+                    late = np.full(len(index), reading == 2)
+                    parts.append((mixed, np.full(len(index), width), at, size, slots, late))
+                    if exact is None and not reading:
+                        good = (width == WINDOW) | (size == n[owner[at]])
+                        np.add.at(covered, at[good], 1)
+                        np.add.at(covered, (at + size)[good], -1)
+            plain = np.array(words.hash, np.uint64)[ids]
+            left = np.repeat(ends, n) - np.arange(len(ids))
+            open_ = np.ones(len(n), bool)
+            if exact is None:
+                bare = np.bincount(owner[np.cumsum(covered[:-1]) == 0], minlength=len(n)) > 0
+                open_ = bare | (n <= RUN)
+            for width in range(EXACT, WINDOW + 1) if exact is None else exact:
+                here = left >= width
+                if exact is None:
+                    here &= (open_ & ((n == width) | (width == WINDOW)))[owner]
+                index = np.flatnonzero(here)
+                mixed = np.full(len(index), WRITTEN + width, np.uint64)
+                for k in range(width):
+                    mixed += plain[index + k] * _PLACES[k]
+                index, mixed = among_known(index, mix(mixed).view(np.int64))
+                size = np.full(len(index), width)
+                parts.append((mixed, -size, index, size, [[]] * len(index), np.zeros(len(index), bool)))
             mixed, width, at, size, slots, late = zip(*parts, strict=True)
             at = np.concatenate(at)
             if not len(at):
@@ -375,7 +429,9 @@ def leaks(docs: DataFrame, items: DataFrame, known: int = KNOWN) -> DataFrame:
     those that follow one another and agree are added up. Of several the best covered, then
     earliest, is told.
 
-    Texts that are null, empty or shorter than five words match nothing. Items with equal texts
+    Texts that are null, empty or shorter than three words match nothing; items of three or four
+    words match word for word. Items of 13 words or less, and those that names and figures leave
+    without template windows somewhere, are looked for word for word too. Items with equal texts
     count as the one with the smallest item_id; rows that share a doc_id are matched each by itself
     and told once, also those without one. Other columns are not read. An empty side gives an empty
     result."""
@@ -383,7 +439,7 @@ def leaks(docs: DataFrame, items: DataFrame, known: int = KNOWN) -> DataFrame:
     widths = [WINDOW, *range(LEAST, WINDOW)]
     whole = window_rows(unique, ["item_id"], widths, None)
     # Narrow windows stand for whole short items only.
-    own = whole.where(f"width = {WINDOW} or size = n_words").select(
+    own = whole.where(f"width = {WINDOW} or width < 0 or size = n_words").select(
         "item_id",
         "hash",
         "width",
@@ -393,14 +449,15 @@ def leaks(docs: DataFrame, items: DataFrame, known: int = KNOWN) -> DataFrame:
         F.col("n_words").alias("item_words"),
         "late",
     )
-    short = own.where(f"width < {WINDOW}").select("width").distinct()  # three rows at most
-    widths = [WINDOW, *sorted(r[0] for r in short.collect())]
+    used = {r[0] for r in own.select("width").distinct().collect()}  # ten rows at most
+    widths = sorted({WINDOW} | {w for w in used if w > 0})
+    exact = sorted(-w for w in used if w < 0)
     wanted = own.select("hash").distinct()
     sent = None
     if wanted.limit(known + 1).count() <= known:
         sent = np.sort(np.array([r[0] for r in wanted.toLocalIterator()], np.int64))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
-    found = window_rows(texts, ["doc_id", "row"], widths, sent).drop("n_words", "late")
+    found = window_rows(texts, ["doc_id", "row"], widths, sent, exact).drop("n_words", "late")
     match = F.struct("item_at", "item_size", "at", "size", "item_slots", "slots", "late")
     met = (
         found.join(own, ["hash", "width"])

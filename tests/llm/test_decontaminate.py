@@ -101,6 +101,21 @@ def test_names_that_start_sentences_and_names_of_several_words(spark):
     assert found(spark, docs, [*items, (4, LONG)]) == {(1, 1), (2, 2), (3, 3), (4, 4)}
 
 
+def test_items_of_few_plain_words_short_items_and_lines(spark):
+    items = [
+        (1, "What comes next: 2 3 5 8 13 21 34 55?"),
+        (2, "What is the capital of France?"),
+        (3, "Name three planets now"),
+        (4, "Who wrote Hamlet?"),
+        (5, "Where does Anna live now?"),
+        (6, "Anna Ben Carol Dan Eve Frank Gil Hal Ida Jon Kim Leo Max Ned Ole Pia sing"),
+    ]
+    docs = [(i, f"Quiz night\n{text}\nThe end") for i, text in items]
+    docs.append((7, "Quiz night\nWhere does Tom live now?\nThe end"))
+    docs.append((8, "Nothing to see in here at all, is there?"))
+    assert found(spark, docs, items) == {(i, i) for i in range(1, 7)} | {(7, 5)}
+
+
 def test_verbatim_passages_equal_brute_force(spark):
     """On the given tables: every document that holds an item word for word, and no other."""
     folder = "/root/testdata/sf0.01"
