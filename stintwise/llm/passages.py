@@ -13,8 +13,9 @@ share a key make one segment of at most 80 bytes.
    with common prefixes of 50 bytes or more is one window and the documents it starts in.
 3. Spans found in either way go back to their documents and are cut out.
 
-A key with very many different segments is cut into single windows keyed by their own fingerprint,
-which spread, and of which the smallest document says all. Fingerprints have 64 bits; a segment is
+A key with very many different segments is cut into single windows known by their own fingerprint.
+Spark takes the smallest document of each, partly before the shuffle, and joins it back, so a window
+of very many documents makes no collection. Fingerprints have 64 bits; a segment is
 known by the key and the fingerprints of its first and last window, which cover it.
 """
 
@@ -227,7 +228,7 @@ def settle(rows: pa.Table) -> pa.RecordBatch:
 def cut_segments(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(key, doc, start, bytes): the asked segments of each document. A segment is cut only from a
     text that has its fingerprint there, so texts that share a doc_id do not mix. Segments of `hot`
-    keys come as single windows under their own fingerprints."""
+    keys come as single windows under their own fingerprints, without bytes."""
     wanted = asked.groupBy(F.col("doc").alias("doc_id")).agg(
         F.collect_list(F.struct("start", "n", "mark", "key", "hot")).alias("asked")
     )
@@ -263,7 +264,7 @@ def cut_segments(docs: DataFrame, asked: DataFrame) -> DataFrame:
                         keys.append(int(windows[b].view(np.int64)) if h[i] else own)
                         docs_.append(doc)
                         starts.append(b)
-                        cuts.append(raw[b : b + LENGTH] if h[i] else raw[a : a + size + LENGTH - 1])
+                        cuts.append(None if h[i] else raw[a : a + size + LENGTH - 1])
             if not keys:
                 return None
             return pa.RecordBatch.from_arrays(
@@ -335,6 +336,31 @@ def collection_spans(rows: pa.Table) -> pa.RecordBatch:
 SPANS = "doc bigint, start int, n int, mark bigint"
 
 
+def window_spans(windows: DataFrame) -> DataFrame:
+    """Spans of single windows (key, doc, start) that also start in a smaller document, by their
+    fingerprints `key`. The smallest document is found by a partial aggregate; adaptive execution
+    may split the join where one window has very many rows."""
+    least = windows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    later = windows.join(least.where("low < high"), "key").where("doc > low")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("key").to_numpy().view(np.uint64)
+            one = np.ones(len(key), np.int64)
+            mark = segment_prints(key, np.arange(len(key)), one)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc"),
+                    batch.column("start"),
+                    pa.array(one, pa.int32()),
+                    pa.array(mark.view(np.int64)),
+                ],
+                ["doc", "start", "n", "mark"],
+            )
+
+    return later.select("key", "doc", "start").mapInArrow(run, SPANS)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, start, n, mark): windows start..start+n-1 of document `doc` also start in a smaller
     document; `mark` is their fingerprint. Spans may meet or overlap."""
@@ -350,9 +376,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     asked = found.where("ask")
     crowd = asked.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > HOT)
     asked = asked.join(crowd, "key", "left").withColumn("hot", F.col("many").isNotNull())
-    size = asked.agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
-    groups = max(64, size // COLLECTION)
-    cut = cut_segments(texts, asked).withColumn("collection", F.pmod("key", F.lit(groups)))
+    size = asked.groupBy("hot").agg(F.sum(F.col("n") + LENGTH))
+    sizes = {r[0]: r[1] for r in size.collect()}
+    groups = max(64, sizes.get(False, 0) // COLLECTION)
+    cut = cut_segments(texts, asked.where("not hot")).withColumn(
+        "collection", F.pmod("key", F.lit(groups))
+    )
     shared = work_table(
         map_groups(
             cut.select("collection", "doc", "start", "bytes"),
@@ -364,7 +393,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         ),
         "spans",
     )
-    return found.where("not ask").select("doc", "start", "n", "mark").unionByName(shared)
+    spans = found.where("not ask").select("doc", "start", "n", "mark").unionByName(shared)
+    if True not in sizes:
+        return spans
+    single = cut_segments(texts, asked.where("hot")).select("key", "doc", "start")
+    hot = work_table(window_spans(work_table(single, "windows")), "hot")
+    return spans.unionByName(hot)
 
 
 def cut_out(raw: bytes, start: np.ndarray, n: np.ndarray, mark: np.ndarray) -> tuple[bytes, int, int]:

@@ -73,6 +73,27 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch, hot):
     assert got(df) == brute(rows)
 
 
+def test_windows_of_hot_keys_make_no_collection(spark, monkeypatch):
+    """A passage of many documents in different contexts: its windows are settled by aggregates."""
+    given, groups = [], passages.map_groups
+
+    def noted(df, keys, *more):
+        given.append((keys, df))
+        return groups(df, keys, *more)
+
+    monkeypatch.setattr(passages, "HOT", 20)
+    monkeypatch.setattr(passages, "map_groups", noted)
+    rng = random.Random(7)
+    noise = lambda: "".join(rng.choices("abcdefghij ", k=60))
+    shared = "this passage stands in every one of the documents, between other words each time. "
+    rows = [(i, noise() + shared + noise()) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert got(df) == brute(rows)
+    (sent,) = [df for keys, df in given if keys == ["collection"]]
+    many = [r["count"] for r in sent.groupBy("collection").count().collect()]
+    assert max(many, default=0) <= 20
+
+
 def test_given_documents_equal_brute_force(spark):
     rows = [
         tuple(r)
