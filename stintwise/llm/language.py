@@ -21,7 +21,7 @@ from stintwise.llm.batches import map_pieces
 from stintwise.session import work_table
 
 SAMPLE = 8000  # labelled documents the text model is fitted on, at most
-LANGUAGES = 32  # the most frequent of them, at most
+LANGUAGES = SAMPLE  # all of theirs are kept, so there are no more
 BUCKETS = 1 << 15
 SMOOTH = 0.1
 TRIGRAMS = 60  # a text tells no more than so many trigrams would: they are far from independent
@@ -50,8 +50,8 @@ def trigrams(text: str) -> np.ndarray:
 
 def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihood of every trigram bucket in each) of a bounded sample of labelled
-    documents, those with the least hash of their doc_id. Only counts reach the driver, at most
-    LANGUAGES * BUCKETS of them."""
+    documents, those with the least hash of their doc_id. All languages of the sample are kept. Only
+    counts reach the driver, where a language takes BUCKETS of them."""
     real = docs.where("lang is not null and doc_id is not null")
     sample = (
         real.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "lang").limit(SAMPLE)
@@ -59,18 +59,17 @@ def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def make():
         def step(piece: pa.RecordBatch) -> pa.RecordBatch:
-            totals: dict[str, np.ndarray] = {}
+            held: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(
                 piece.column("lang").to_pylist(), piece.column("text").to_pylist(), strict=True
             ):
-                count = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                count += np.bincount(trigrams(text or ""), minlength=BUCKETS)
+                held.setdefault(lang, []).append(trigrams(text or ""))
             langs, buckets, n = [], [], []
-            for lang, count in totals.items():
-                full = np.flatnonzero(count)
+            for lang, grams in held.items():
+                full, count = np.unique(np.concatenate(grams), return_counts=True)
                 langs += [lang] * len(full)
                 buckets.append(full)
-                n.append(count[full])
+                n.append(count)
             return pa.RecordBatch.from_arrays(
                 [pa.array(langs), pa.array(np.concatenate(buckets), pa.int32()), pa.array(np.concatenate(n))],
                 ["lang", "bucket", "n"],
@@ -81,17 +80,11 @@ def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     rows = real.join(F.broadcast(sample), ["doc_id", "lang"]).select("lang", "text")  # SAMPLE rows
     counts = map_pieces(rows, make, "lang string, bucket int, n bigint")
     found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    kept = sorted(
-        r["lang"]
-        for r in found.groupBy("lang")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "lang")
-        .limit(LANGUAGES)
-        .collect()
-    )
+    kept = sorted(r["lang"] for r in found.select("lang").distinct().collect())
+    row = {lang: i for i, lang in enumerate(kept)}
     table = np.full((len(kept), BUCKETS), SMOOTH)
-    for r in found.where(F.col("lang").isin(kept)).collect() if kept else []:
-        table[kept.index(r["lang"]), r["bucket"]] += r["n"]
+    for r in found.toLocalIterator() if kept else []:
+        table[row[r["lang"]], r["bucket"]] += r["n"]
     return kept, np.log(table / table.sum(axis=1, keepdims=True))
 
 
@@ -102,6 +95,7 @@ def page_evidence(pages: DataFrame, languages: list[str], model: np.ndarray) ->
 
     def make():
         table = shared.value.astype(np.float64)
+        known = {"none", *languages}
 
         def step(piece: pa.RecordBatch) -> pa.RecordBatch:
             out = []
@@ -124,7 +118,7 @@ def page_evidence(pages: DataFrame, languages: list[str], model: np.ndarray) ->
                         host,
                         ".".join(labels[-2:]),
                         labels[-1],
-                        said if said == "none" or said in languages else "other",
+                        said if said in known else "other",
                         (text - text.max()).tolist(),
                     )
                 )

@@ -90,6 +90,20 @@ def test_texts_of_known_language(spark):
     assert np.mean(right) > 0.95
 
 
+def test_every_language_of_the_sample_is_known(spark):
+    letters = "bcdfghjklmnpqrstvwxz"
+    texts = [(a + b, f"{a}a{b}e{a}i {b}o{a}u{b} " * 5) for a, b in zip(letters * 2, letters[1:] + letters[5:], strict=False)]
+    texts = list(dict(texts).items())
+    assert len(texts) > 32
+    docs = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(texts)], "doc_id bigint, text string, lang string")
+    pages = spark.createDataFrame(
+        [(i, None, f'<html lang="{lang}"><p>{text}</p></html>') for i, (lang, text) in enumerate(texts)],
+        "page_id bigint, url string, html string",
+    )
+    got = {r["page_id"]: (r["lang"], r["text_lang"], r["declared"]) for r in languages_of(pages, docs).collect()}
+    assert got == {i: (lang, lang, lang) for i, (lang, _) in enumerate(texts)}
+
+
 def test_no_rows(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
