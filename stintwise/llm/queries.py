@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stintwise.llm.collocations import collocations
 from stintwise.llm.decontaminate import leaks
 from stintwise.llm.language import languages_of
 from stintwise.llm.near_dedup import near_duplicates
+from stintwise.llm.oracles import ORACLES  # noqa: F401
 from stintwise.llm.passages import without_repeats
 from stintwise.llm.planes import encoded_documents
 from stintwise.llm.quality import quality_scores
@@ -72,6 +74,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
@@ -85,6 +91,6 @@ QUERIES: dict[str, Query] = {
         op8_benchmark_decontamination,
         op9_suffix_array_dedup,
         op10_exact_topk,
+        op11_phrase_collocations,
     )
 }
-ORACLES: dict[str, str] = {}
