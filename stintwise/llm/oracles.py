@@ -38,4 +38,42 @@ ranked AS (
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
 """
 
-ORACLES: dict[str, str] = {"op11_phrase_collocations": OP11}
+
+
+def op13(count: int = 40, rounds: int = 5) -> str:
+    """The rounds one after another: c<i> are centroids, a<i> the nearest one of each vector."""
+
+    def nearest(i: int) -> str:
+        return f"""
+a{i} AS MATERIALIZED (
+  SELECT row, min_by(c, (distance, c)) AS c, min(distance) AS distance FROM (
+    SELECT v.row, c.c, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS distance
+    FROM vectors v JOIN c{i} c ON v.d = c.d GROUP BY v.row, c.c) GROUP BY row)"""
+
+    def means(i: int) -> str:
+        return f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT c, d, coalesce(m, x) AS x FROM c{i} LEFT JOIN (
+    SELECT a.c, v.d, ((sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+    FROM a{i} a JOIN vectors v USING (row) GROUP BY a.c, v.d) USING (c, d))"""
+
+    return f"""
+WITH rows AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+vectors AS MATERIALIZED (
+  SELECT row, unnest(range(64)) AS d, floor(256 * unnest(e))::BIGINT AS x FROM rows),
+first AS (
+  SELECT row, row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1 AS c FROM rows
+  QUALIFY c < {count}),
+c0 AS MATERIALIZED (SELECT c, d, x FROM first JOIN vectors USING (row)),{
+    ",".join(nearest(i) + "," + means(i) for i in range(rounds))},{nearest(rounds)},
+marks AS (
+  SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY c))::BIGINT
+    AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN rows USING (row) JOIN marks USING (c)
+"""
+
+
+ORACLES: dict[str, str] = {"op11_phrase_collocations": OP11, "op13_centroid_clusters": op13()}

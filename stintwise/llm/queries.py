@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stintwise.llm.centroids import clusters
 from stintwise.llm.collocations import collocations
 from stintwise.llm.decontaminate import leaks
 from stintwise.llm.language import languages_of
@@ -78,6 +79,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
@@ -92,5 +97,6 @@ QUERIES: dict[str, Query] = {
         op9_suffix_array_dedup,
         op10_exact_topk,
         op11_phrase_collocations,
+        op13_centroid_clusters,
     )
 }
