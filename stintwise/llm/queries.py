@@ -10,6 +10,7 @@ from stintwise.llm.centroids import clusters
 from stintwise.llm.collocations import collocations
 from stintwise.llm.decontaminate import leaks
 from stintwise.llm.language import languages_of
+from stintwise.llm.main_text import main_texts
 from stintwise.llm.near_dedup import near_duplicates
 from stintwise.llm.oracles import ORACLES  # noqa: F401
 from stintwise.llm.passages import without_repeats
@@ -79,6 +80,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(table(spark, sf_dir, "embeddings"))
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
         op9_suffix_array_dedup,
         op10_exact_topk,
         op11_phrase_collocations,
+        op12_html_main_text,
         op13_centroid_clusters,
     )
 }
