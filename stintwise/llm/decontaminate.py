@@ -152,7 +152,8 @@ def window_rows(
     Windows of words as written follow, negative in `width` and without slots: those of the `exact`
     sizes; without these, those of texts that are short or not covered by template windows, and of
     whole texts that are smaller."""
-    schema = "".join(f"{key} bigint, " for key in keys)
+    kinds = {key: "string" if dict(docs.dtypes)[key] == "string" else "bigint" for key in keys}
+    schema = "".join(f"{key} {kind}, " for key, kind in kinds.items())
     schema += "hash bigint, width int, at int, size int, slots array<string>, n_words int, late boolean"
     sent = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
 
@@ -265,7 +266,7 @@ def window_rows(
 
         return step
 
-    rows = docs.select(*[F.col(key).cast("bigint") for key in keys], F.col("text").cast("string"))
+    rows = docs.select(*[F.col(key).cast(kinds[key]) for key in keys], F.col("text").cast("string"))
     return map_pieces(rows, make, schema)
 
 
@@ -382,7 +383,7 @@ def judged(matches: list[Match], item_words: int) -> tuple[int, int, int] | None
 
 def judged_rows(met: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_words, at_word, n_windows, covered) of every leaking row of `met`."""
-    names = ["doc_id", "item_id", "item_words"]
+    names = ["doc_id", "row", "item_id", "item_words"]
     places = ["at_word", "n_windows", "covered"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,26 +416,13 @@ def judged_rows(met: DataFrame) -> DataFrame:
                     [*names, *places],
                 )
 
-    schema = "doc_id bigint, item_id bigint, item_words int, at_word int, n_windows int, covered int"
+    schema = "doc_id bigint, row string, item_id bigint, item_words int, at_word int, n_windows int, covered int"
     return met.select(*names, "matches").mapInArrow(run, schema)
 
 
-def leaks(docs: DataFrame, items: DataFrame, known: int = KNOWN) -> DataFrame:
-    """(doc_id, item_id, at_word, n_windows, covered, item_words): where `docs` (doc_id, text, any
-    more) hold an item of `items` (item_id, text, any more), verbatim or with other figures, names
-    or units. A match runs along one alignment of item and text; it is a leak if its windows cover
-    13 words or half of the item and each value of the item stands for one value of the text. Where
-    one stands for several, the windows that hold it are dropped and each run of the others must
-    cover as much by itself, as may a run that is the item word for word. If no alignment suffices,
-    those that follow one another and agree are added up. Of several the best covered, then
-    earliest, is told.
-
-    Texts that are null, empty or shorter than three words match nothing; items of three or four
-    words match word for word. Items of 13 words or less, and those that names and figures leave
-    without template windows somewhere, are looked for word for word too. Items with equal texts
-    count as the one with the smallest item_id; rows that share a doc_id are matched each by itself
-    and told once, also those without one. Other columns are not read. An empty side gives an empty
-    result."""
+def row_leaks(docs: DataFrame, items: DataFrame, known: int = KNOWN) -> DataFrame:
+    """As `leaks`, a row for each leaking text of a doc_id; `row` has 128 bits of the text, which tell
+    rows that share a doc_id, or have none, apart."""
     unique = items.groupBy("text").agg(F.min("item_id").alias("item_id"))
     widths = [WINDOW, *range(LEAST, WINDOW)]
     whole = window_rows(unique, ["item_id"], widths, None)
@@ -456,7 +444,7 @@ def leaks(docs: DataFrame, items: DataFrame, known: int = KNOWN) -> DataFrame:
     sent = None
     if wanted.limit(known + 1).count() <= known:
         sent = np.sort(np.array([r[0] for r in wanted.toLocalIterator()], np.int64))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    texts = docs.select("doc_id", "text", F.md5("text").alias("row"))
     found = window_rows(texts, ["doc_id", "row"], widths, sent, exact).drop("n_words", "late")
     match = F.struct("item_at", "item_size", "at", "size", "item_slots", "slots", "late")
     met = (
@@ -464,14 +452,35 @@ def leaks(docs: DataFrame, items: DataFrame, known: int = KNOWN) -> DataFrame:
         .groupBy("doc_id", "row", "item_id", "item_words")
         .agg(F.collect_set(match).alias("matches"))
     )
+    return judged_rows(met)
+
+
+def leaks(docs: DataFrame, items: DataFrame, known: int = KNOWN) -> DataFrame:
+    """(doc_id, item_id, at_word, n_windows, covered, item_words): where `docs` (doc_id, text, any
+    more) hold an item of `items` (item_id, text, any more), verbatim or with other figures, names
+    or units. A match runs along one alignment of item and text; it is a leak if its windows cover
+    13 words or half of the item and each value of the item stands for one value of the text. Where
+    one stands for several, the windows that hold it are dropped and each run of the others must
+    cover as much by itself, as may a run that is the item word for word. If no alignment suffices,
+    those that follow one another and agree are added up. Of several the best covered, then
+    earliest, is told.
+
+    Texts that are null, empty or shorter than three words match nothing; items of three or four
+    words match word for word. Items of 13 words or less, and those that names and figures leave
+    without template windows somewhere, are looked for word for word too. Items with equal texts
+    count as the one with the smallest item_id; rows that share a doc_id are matched each by itself
+    and told once, also those without one. Other columns are not read. An empty side gives an empty
+    result."""
     best = F.min_by(
         F.struct("at_word", "n_windows", "covered"), F.struct(-F.col("covered"), F.col("at_word"))
     )
-    return judged_rows(met).groupBy("doc_id", "item_id", "item_words").agg(best.alias("best")).select(
-        "doc_id", "item_id", "best.*", "item_words"
-    )
+    found = row_leaks(docs, items, known).groupBy("doc_id", "item_id", "item_words")
+    return found.agg(best.alias("best")).select("doc_id", "item_id", "best.*", "item_words")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of `docs` that hold no item; rows without a doc_id stay."""
-    return docs.join(leaks(docs, items).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows of `docs` that hold no item, all columns as they are. Each row is judged by its own text:
+    a leaking row goes if it has no doc_id, too, and does not take others with its doc_id along."""
+    found = row_leaks(docs, items).select("doc_id", "row").distinct()
+    same = docs["doc_id"].eqNullSafe(found["doc_id"]) & (F.md5(docs["text"]) == found["row"])
+    return docs.join(found, same, "left_anti")

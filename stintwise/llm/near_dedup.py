@@ -271,3 +271,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
         )
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text, any more), one of each near-duplicate component, all columns as
+    they are: the one with the smallest doc_id, rows without one after all others. Rows without words
+    stay. Each row is judged by itself: of exact copies that share a doc_id, or have none, one stays,
+    and rows that share a doc_id but not a component all stay. For that every row gets a number of
+    its own, in a stored copy, so that numbers hold when a task is run again."""
+    rows = work_table(
+        docs.select(
+            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+            F.monotonically_increasing_id().alias("id"),
+        ),
+        "rows",
+    )
+    found = near_duplicates(rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")))
+    own = rows.select(F.col("id").alias("doc_id"), F.col("row.doc_id").cast("bigint").alias("own"))
+    stays = (
+        found.join(own, "doc_id")
+        .groupBy("component_id")
+        .agg(F.min(F.struct(F.col("own").isNull().alias("late"), "own", F.col("doc_id").alias("id"))).alias("first"))
+        .select("first.id")
+    )
+    return rows.join(stays, "id", "left_semi").select("row.*")

@@ -51,7 +51,15 @@ def test_leaks_and_slots_either_way_of_joining(spark):
     at = {r["doc_id"]: r for r in leaks(left, right).collect()}
     assert at[10]["at_word"] == 30 and at[10]["covered"] == at[10]["item_words"] == 19
     kept = clean(left, right).collect()
-    assert sorted(str(r["doc_id"]) for r in kept) == ["13", "14", "17", "18", "19", "20", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept) == ["13", "14", "17", "18", "19", "20"]
+
+
+def test_rows_are_judged_one_by_one(spark):
+    leak, plain = ITEMS[0][1], "nothing that any of the items holds"
+    rows = [(None, leak, 1), (None, plain, 2), (7, leak, 3), (7, plain, 4), (7, plain, 5), (8, None, 6)]
+    left = spark.createDataFrame(rows, "doc_id bigint, text string, row int")
+    right = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    assert sorted(r["row"] for r in clean(left, right).collect()) == [2, 4, 5, 6]
 
 
 LONG = (
