@@ -3,6 +3,7 @@ from pathlib import Path
 
 import corpus_pipeline
 from stintwise.llm.quality import quality_scores
+from stintwise.session import work_table
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_near_dedup import brute as components  # noqa: E402
@@ -46,3 +47,40 @@ def test_stages_equal_brute_force_one_after_another(spark):
     ids = corpus_pipeline.run(spark, FOLDER).collect()
     assert {r["doc_id"] for r in ids} == clean
     assert all(len(r["ids"]) == r["n_pieces"] for r in ids)
+
+
+def test_rows_without_or_with_shared_ids_empty_texts_and_extra_columns(spark, tmp_path):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").first()["text"]
+    words = " ".join(f"plain{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [
+        (1, words, "en", "a", len(words), "x"),
+        (1, words, "en", "a", len(words), "y"),  # a copy that shares the id
+        (None, words, "en", "a", len(words), "z"),  # and one without
+        (2, other, "en", "a", len(other), "x"),
+        (2, "a short one", "en", "a", None, "x"),  # another text of the same id
+        (None, item, "en", "a", len(item), "x"),  # leaks, without an id
+        (3, "head " + item, "en", "a", 5 + len(item), "x"),
+        (4, "", None, None, 0, None),
+        (None, None, None, None, None, "w"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    none = spark.read.parquet(f"{FOLDER}/labels.parquet").limit(0)
+    none.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+        docs = work_table(docs, name)
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in docs.collect())
+    assert kept == sorted([("1", words), ("2", other), ("2", "a short one"), ("4", ""), ("None", "")])
+    out = corpus_pipeline.run(spark, str(tmp_path)).where("rank = 1").collect()
+    assert sorted(str(r["doc_id"]) for r in out) == ["1", "2", "2", "4", "None"]
+
+
+def test_empty_table(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
