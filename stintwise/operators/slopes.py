@@ -1,193 +1,494 @@
-"""Theil-Sen slopes per group, exact for groups of any size, on one path.
-
-A group's distinct points are packed in blocks, and every pair of blocks is one row that tells of its
-slopes. The middle slope is located by rank: a range of slopes that holds it is narrowed by counts,
-twelve bits of the number at a time, until few slopes are left in it; those are listed and the middle
-one is taken. A group of ordinary size has few slopes from the start and needs no narrowing.
+"""Theil-Sen slopes per group, exact, in n log n for groups of any size.
+
+The number of slopes below s among points in x order is the number of inversions of y - s * x. The middle
+slope of a group is bracketed by such counts, fifteen trial slopes a round, until few slopes are left
+between the ends; those are the inversions between the orders at both ends, listed at the cost of their
+number. No pair of points or of blocks is formed besides.
+
+A count is taken over blocks. Points lie in blocks by x; each block sorts its points by y - s * x and
+cuts them into cells by splitters from a sample. Inversions inside a block are counted there, those
+inside a cell where its pieces meet, and all others follow from the numbers of points per block and cell.
+Groups of up to `WHOLE` distinct points, the ordinary case, are one row each and are solved where they
+stand.
 """
 
-from functools import reduce
+from collections.abc import Iterable, Iterator
+from functools import cache, reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
+from stintwise.functions.inversions import inversion_pairs, inversion_weight, ranks_of
 from stintwise.functions.skew import exact_quantiles, work_table
 
-BLOCK = 512  # distinct points of a block, about
-FEW = 20_000  # slopes of a range that are listed
-BITS = 12
-WHOLE = 64  # a range that shares no leading bit
-
-POINTS = ["a.x", "a.y", "a.n", "b.x", "b.y", "b.n", "same"]
+WHOLE = 512
+BLOCK = 16_384  # distinct points of a block, about
+MOST_BLOCKS = 1024
+SAMPLE = 512  # points of a group that trial slopes and splitters are taken from, about
+FEW = 1_000_000  # slopes between two ends that are listed
+TRIALS = 15
+WIDEST = 1e30
 
 
-def counted_as(name: str) -> ArrayType:
-    return ArrayType(StructType([StructField(name, LongType()), StructField("n", LongType())]))
+@cache
+def pairs(count: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(count, 1)
 
 
-def in_order(values: np.ndarray) -> np.ndarray:
-    """Whole numbers in the order of the doubles, and back by `as_doubles`."""
-    bits = (values + 0.0).view(np.int64)
-    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+def weighted_middle(values: np.ndarray, weights: np.ndarray) -> float:
+    """The median of values that stand for `weights` equal ones each."""
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(weights[order])
+    low, high = values[order[np.searchsorted(upto, [(upto[-1] + 1) // 2, upto[-1] // 2 + 1])]]
+    return float((low + high) / 2) if low != high else float(low)
 
 
-def as_doubles(bits: np.ndarray) -> np.ndarray:
-    return (bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)
+def sample_slopes(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slopes, weights) between points of distinct x."""
+    i, j = pairs(len(x))
+    dx = x[j] - x[i]
+    real = dx != 0
+    i, j = i[real], j[real]
+    return (y[j] - y[i]) / dx[real], n[i] * n[j]
+
+
+def points_of(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """x, y and n of all rows of a column of point lists, and where each row's points end."""
+    flat = column.flatten()
+    x, y, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    ends = column.offsets.to_numpy()[1:] - column.offsets.to_numpy()[0]
+    return [x, y, n], ends
+
+
+def solved(groups: DataFrame) -> DataFrame:
+    """(g, slope, intercept) of groups that are one row (g, p: list of points). Groups whose points have
+    one x have no row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, y, n), ends = points_of(batch.column("p"))
+            rows = []
+            start = 0
+            for g, end in zip(batch.column("g").to_pylist(), ends.tolist(), strict=True):
+                px, py, pn = x[start:end], y[start:end], n[start:end]
+                start = end
+                slopes, weights = sample_slopes(px, py, pn)
+                if len(slopes):
+                    slope = weighted_middle(slopes, weights)
+                    rows.append((g, slope, weighted_middle(py - slope * px, pn)))
+            if rows:
+                g, slope, intercept = zip(*rows, strict=True)
+                yield pa.record_batch({"g": pa.array(g, pa.int64()), "slope": slope, "intercept": intercept})
+
+    return groups.select("g", "p").mapInArrow(run, "g bigint, slope double, intercept double")
+
+
+def trials(low: float, high: float, part: float, slopes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Trial slopes between two ends: of the sample's slopes there those about the wanted part, others
+    evenly spaced, and on a very wide stretch a few of each size. None is a round number, so that a
+    slope which many pairs share is not met itself."""
+    near = far = np.zeros(0)
+    if len(slopes):
+        order = np.argsort(slopes, kind="stable")
+        upto = np.cumsum(weights[order]) / weights.sum()
+        about = part + np.array([-0.3, -0.1, -0.03, -0.01, 0.01, 0.03, 0.1, 0.3])
+        near = slopes[order[np.searchsorted(upto, np.clip(about, 0, upto[-1]))]]
+        near = near + np.spacing(np.abs(near)) * 1e4 * np.sqrt(2) * np.where(about < part, -1, 1)
+    if high - low > 1e3:
+        far = np.sqrt(2) * np.array([-1e9, -1e3, -1, 1, 1e3, 1e9])
+    known = np.concatenate([near, far])
+    known = known[(known > low) & (known < high)]
+    steps = TRIALS - len(known)
+    even = low + (high - low) * (np.arange(1, steps + 1) - 0.0141421356) / (steps + 1)
+    found = np.unique(np.concatenate([known, even]))
+    return found[(found > low) & (found < high)]
+
+
+def splitters(x: np.ndarray, y: np.ndarray, slope: float, cells: int) -> np.ndarray:
+    """Ends of cells of y - slope * x, all but the last, from a sample of points."""
+    z = np.sort(y - slope * x)
+    return z[np.arange(1, cells) * len(z) // cells]
+
+
+def asked(state: DataFrame) -> DataFrame:
+    """(g, slope, cuts): a row for every trial slope of the open brackets `state`, those of a group's two
+    middle ranks together."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, y, n), ends = points_of(batch.column("sample"))
+            rows, start = [], 0
+            for i, end in enumerate(ends.tolist()):
+                g, low, high, part, cells = (batch.column(k)[i].as_py() for k in range(5))
+                px, py, pn = x[start:end], y[start:end], n[start:end]
+                start = end
+                for slope in trials(low, high, part, *sample_slopes(px, py, pn)):
+                    rows.append((g, float(slope), splitters(px, py, slope, cells)))
+            if rows:
+                g, slope, cuts = zip(*rows, strict=True)
+                yield pa.record_batch(
+                    {
+                        "g": pa.array(g, pa.int64()),
+                        "slope": slope,
+                        "cuts": pa.array(cuts, pa.list_(pa.float64())),
+                    }
+                )
+
+    rows = state.select("g", "low", "high", "part", "cells", "sample")
+    found = rows.mapInArrow(run, "g bigint, slope double, cuts array<double>")
+    return found.dropDuplicates(["g", "slope"])
+
+
+def counts_in_blocks(rows: DataFrame) -> DataFrame:
+    """For each block and trial slope: its inversions, the weight of its points in every cell, and the
+    cells' points themselves, sorted, as bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, y, n), ends = points_of(batch.column("p"))
+            start = 0
+            for i, end in enumerate(ends.tolist()):
+                slope = batch.column("slope")[i].as_py()
+                cuts = batch.column("cuts")[i].values.to_numpy()
+                z, w = y[start:end] - slope * x[start:end], n[start:end]
+                start = end
+                own = inversion_weight(ranks_of(z), w)
+                order = np.argsort(z, kind="stable")
+                z, w = z[order], w[order]
+                at = [0, *np.searchsorted(z, cuts, side="right").tolist(), len(z)]
+                upto = np.concatenate([[0], np.cumsum(w)])
+                spans = list(zip(at, at[1:]))
+                yield pa.record_batch(
+                    {
+                        **{k: batch.column(k).slice(i, 1) for k in ("g", "slope", "block")},
+                        "own": pa.array([own], pa.int64()),
+                        "weights": pa.array([np.diff(upto[at])], pa.list_(pa.int64())),
+                        "pieces": pa.array(
+                            [[z[a:b].tobytes() + w[a:b].tobytes() for a, b in spans]], pa.list_(pa.binary())
+                        ),
+                    }
+                )
+
+    schema = "g bigint, slope double, block int, own bigint, weights array<bigint>, pieces array<binary>"
+    return rows.select("g", "slope", "block", "cuts", "p").mapInArrow(run, schema)
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    half = len(raw) // 2
+    return np.frombuffer(raw[:half], np.float64), np.frombuffer(raw[half:], np.int64)
+
+
+@F.udf(LongType())
+def across_pieces(pieces):
+    """Inversions between the pieces of a cell (block, bytes), in the order of their blocks."""
+    parts = [unpacked(bytes(raw)) for _, raw in sorted(pieces)]
+    z = np.concatenate([p[0] for p in parts])
+    return inversion_weight(ranks_of(z), np.concatenate([p[1] for p in parts]))
+
+
+@F.udf(LongType())
+def across_cells(rows):
+    """Inversions between points of different blocks and cells, from (block, weights of cells)."""
+    grid = np.array([w for _, w in sorted(rows)], dtype=np.int64)
+    earlier = np.cumsum(grid, axis=0) - grid  # in blocks before, by cell
+    later = earlier[:, ::-1].cumsum(axis=1)[:, ::-1] - earlier  # and in cells behind
+    return int((grid * later).sum())
+
+
+def slopes_below(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(g, slope, below): the number of a group's slopes below each wanted slope."""
+    rows = work_table(counts_in_blocks(blocks.join(wanted, "g")), "counts")
+    keys = ["g", "slope"]
+    own = rows.groupBy(*keys).agg(
+        F.sum("own").alias("below"), F.collect_list(F.struct("block", "weights")).alias("rows")
+    )  # at most MOST_BLOCKS rows of as many cells
+    cells = (
+        rows.select(*keys, "block", F.posexplode("pieces").alias("cell", "piece"))
+        .where(F.length("piece") > 0)
+        .groupBy(*keys, "cell")
+        .agg(F.collect_list(F.struct("block", "piece")).alias("pieces"))
+    )
+    met = cells.select(*keys, across_pieces("pieces").alias("below"))
+    whole = own.select(*keys, (F.col("below") + across_cells("rows")).alias("below"))
+    return whole.unionByName(met).groupBy(*keys).agg(F.sum("below").alias("below"))
+
+
+def narrowed(state: DataFrame, counts: DataFrame) -> DataFrame:
+    """The brackets with the nearest trial slopes for ends: the wanted slope is not below the lower end and
+    below the upper one."""
+    under = F.col("count") < F.col("rank")
+    trial = F.struct("slope", "count")
+    new = (
+        state.select("g", "target", "rank")
+        .join(counts.withColumnRenamed("below", "count"), "g")
+        .groupBy("g", "target")
+        .agg(F.max(F.when(under, trial)).alias("up"), F.min(F.when(~under, trial)).alias("down"))
+    )
+    ends = ("low", "high", "below", "upto")
+    return (
+        state.join(new, ["g", "target"])
+        .withColumn("up", F.greatest("up", F.struct(F.col("low").alias("slope"), F.col("below").alias("count"))))
+        .withColumn("down", F.least("down", F.struct(F.col("high").alias("slope"), F.col("upto").alias("count"))))
+        .select(
+            *[c for c in state.columns if c not in ends],
+            F.col("up.slope").alias("low"),
+            F.col("down.slope").alias("high"),
+            F.col("up.count").alias("below"),
+            F.col("down.count").alias("upto"),
+        )
+    )
 
 
-def slopes(ax, ay, an, bx, by, bn, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(ordered bits, weight) of the slopes between the points of two blocks, or inside one."""
-    arrays = [np.asarray(v, dtype=float) for v in (ax, ay, bx, by)]
-    i, j = np.indices((len(ax), len(bx))).reshape(2, -1)
-    if same:
-        i, j = np.triu_indices(len(ax), 1)
-    dx = arrays[2][j] - arrays[0][i]
+def cell_points(blocks: DataFrame, state: DataFrame) -> DataFrame:
+    """(g, target, low, high, cell, p): the points of each bracket's group by cells of their order at the
+    lower end."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, y, n), ends = points_of(batch.column("p"))
+            (sx, sy, _), sample_ends = points_of(batch.column("sample"))
+            start = s_start = 0
+            for i, (end, s_end) in enumerate(zip(ends.tolist(), sample_ends.tolist(), strict=True)):
+                low, cells = batch.column("low")[i].as_py(), batch.column("cells")[i].as_py()
+                cuts = splitters(sx[s_start:s_end], sy[s_start:s_end], low, cells)
+                px, py, pn = x[start:end], y[start:end], n[start:end]
+                start, s_start = end, s_end
+                cell = np.searchsorted(cuts, py - low * px, side="left")
+                order = np.argsort(cell, kind="stable")
+                found, at = np.unique(cell[order], return_index=True)
+                spans = list(zip(at.tolist(), [*at[1:].tolist(), len(order)]))
+                stack = np.stack([px, py, pn.astype(np.float64)])[:, order]
+                yield pa.record_batch(
+                    {
+                        **{
+                            k: pa.array([batch.column(k)[i].as_py()] * len(found), batch.column(k).type)
+                            for k in ("g", "target", "low", "high")
+                        },
+                        "cell": pa.array(found, pa.int32()),
+                        "piece": pa.array([stack[:, a:b].tobytes() for a, b in spans], pa.binary()),
+                    }
+                )
+
+    wanted = state.select("g", "target", "low", "high", "cells", "sample")
+    rows = blocks.join(wanted, "g").select("g", "target", "low", "high", "cells", "sample", "p")
+    pieces = rows.mapInArrow(
+        run, "g bigint, target bigint, low double, high double, cell int, piece binary"
+    )
+    return pieces.groupBy("g", "target", "low", "high", "cell").agg(F.collect_list("piece").alias("pieces"))
+
+
+def crossing(x: np.ndarray, y: np.ndarray, n: np.ndarray, low: float, high: float, other: np.ndarray | None):
+    """(slopes, weights) of the pairs whose order at the two ends differs; with `other`, a number for
+    each point, only of pairs of different numbers."""
+    at_low, at_high = y - low * x, y - high * x
+    order = np.lexsort([x, at_low])  # pairs that are level at the lower end have its slope: they differ
+    i, j = inversion_pairs(ranks_of(at_high)[order])
+    i, j = order[i], order[j]
+    if other is not None:
+        apart = other[i] != other[j]
+        i, j = i[apart], j[apart]
+    dx = x[j] - x[i]
     real = dx != 0
-    i, j = i[real], j[real]
-    weight = np.asarray(an, np.int64)[i] * np.asarray(bn, np.int64)[j]
-    return in_order((arrays[3][j] - arrays[1][i]) / dx[real]), weight
-
-
-def inside(bits: np.ndarray, low: int, shift: int) -> np.ndarray:
-    """Which slopes share their bits from `shift` up with `low`."""
-    return np.ones(len(bits), bool) if shift >= WHOLE else (bits >> shift) == (low >> shift)
-
-
-@F.pandas_udf(LongType())
-def pair_count(
-    ax: pd.Series, ay: pd.Series, an: pd.Series, bx: pd.Series, by: pd.Series, bn: pd.Series,
-    same: pd.Series,
-) -> pd.Series:
-    rows = zip(ax, ay, an, bx, by, bn, same, strict=True)
-    return pd.Series([int(slopes(*r)[1].sum()) for r in rows], dtype="int64")
-
-
-@F.pandas_udf(counted_as("bin"))
-def counts_by_bits(
-    ax: pd.Series, ay: pd.Series, an: pd.Series, bx: pd.Series, by: pd.Series, bn: pd.Series,
-    same: pd.Series, low: pd.Series, shift: pd.Series,
-) -> pd.Series:
-    """Slopes in a range counted by its next twelve bits; `bin` is the lowest number of those."""
-    out = []
-    for *points, lo, sh in zip(ax, ay, an, bx, by, bn, same, low, shift, strict=True):
-        bits, weight = slopes(*points)
-        held = inside(bits, lo, sh)
-        step = max(sh - BITS, 0)
-        bins, back = np.unique(bits[held] >> step << step, return_inverse=True)
-        n = np.zeros(len(bins), np.int64)
-        np.add.at(n, back, weight[held])
-        out.append([{"bin": int(b), "n": int(c)} for b, c in zip(bins, n, strict=True)])
-    return pd.Series(out, dtype=object)
-
-
-@F.pandas_udf(counted_as("bits"))
-def listed(
-    ax: pd.Series, ay: pd.Series, an: pd.Series, bx: pd.Series, by: pd.Series, bn: pd.Series,
-    same: pd.Series, low: pd.Series, shift: pd.Series,
-) -> pd.Series:
-    """The distinct slopes in a range with their weights."""
-    out = []
-    for *points, lo, sh in zip(ax, ay, an, bx, by, bn, same, low, shift, strict=True):
-        bits, weight = slopes(*points)
-        held = inside(bits, lo, sh)
-        values, back = np.unique(bits[held], return_inverse=True)
-        n = np.zeros(len(values), np.int64)
-        np.add.at(n, back, weight[held])
-        out.append([{"bits": int(b), "n": int(c)} for b, c in zip(values, n, strict=True)])
-    return pd.Series(out, dtype=object)
-
-
-@F.pandas_udf(DoubleType())
-def middle(found: pd.Series, ranks: pd.Series) -> pd.Series:
-    """Sum of the slopes at the wanted ranks (from 1) of a range's slopes."""
-    out = []
-    for rows, wanted in zip(found, ranks, strict=True):
-        bits = np.array([r["bits"] for r in rows], np.int64)
-        n = np.array([r["n"] for r in rows], np.int64)
-        order = np.argsort(bits, kind="stable")
-        at = np.searchsorted(np.cumsum(n[order]), np.asarray(wanted))
-        out.append(float(as_doubles(bits[order][at]).sum()))
-    return pd.Series(out)
+    return (y[j] - y[i])[real] / dx[real], (n[i] * n[j])[real].astype(np.int64)
+
+
+def stacked(pieces: list) -> np.ndarray:
+    return np.concatenate([np.frombuffer(bytes(p), np.float64).reshape(3, -1) for p in pieces], axis=1)
+
+
+SLOPES = [StructField("slopes", BinaryType()), StructField("weights", BinaryType())]
+ENDS = [StructField("low", DoubleType()), StructField("high", DoubleType())]
+
+
+@F.udf(StructType([*ENDS, *SLOPES]))
+def listed_in_cell(pieces, low, high):
+    """The least and greatest y - high * x of a cell, and the slopes between its points."""
+    x, y, n = stacked(pieces)
+    slopes, weights = crossing(x, y, n, low, high, None)
+    at = y - high * x
+    return float(at.min()), float(at.max()), slopes.tobytes(), weights.tobytes()
+
+
+@F.udf(BinaryType())
+def reaching(pieces, high, least, most):
+    """The points of a cell that some point of another cell passes on the way to the upper end: below the
+    greatest of the cells before or above the least of those behind."""
+    points = stacked(pieces)
+    at = points[1] - high * points[0]
+    out = np.zeros(len(at), bool)
+    if most is not None:
+        out |= at < most
+    if least is not None:
+        out |= at > least
+    return points[:, out].tobytes()
+
+
+@F.udf(StructType(SLOPES))
+def listed_across(rows, low, high):
+    """The slopes between points of different cells, from (cell, points that reach out)."""
+    points = stacked([r[1] for r in rows])
+    cell = np.concatenate([np.full(len(r[1]) // 24, r[0]) for r in rows])
+    slopes, weights = crossing(*points, low, high, cell)
+    return slopes.tobytes(), weights.tobytes()
+
+
+@F.udf(DoubleType())
+def ranked(rows, rank):
+    """The slope of a rank (from 1) among listed ones."""
+    if rows is None:
+        return None
+    slopes = np.concatenate([np.frombuffer(bytes(r[0]), np.float64) for r in rows])
+    weights = np.concatenate([np.frombuffer(bytes(r[1]), np.int64) for r in rows])
+    order = np.argsort(slopes, kind="stable")
+    at = int(np.searchsorted(np.cumsum(weights[order]), rank))
+    return float(slopes[order[min(at, len(order) - 1)]])
+
+
+def located(blocks: DataFrame, state: DataFrame) -> DataFrame:
+    """(g, target, value): the wanted slope of brackets with few slopes, all of which are listed."""
+    keys = ["g", "target", "low", "high"]
+    cells = work_table(
+        cell_points(blocks, state).withColumn("own", listed_in_cell("pieces", "low", "high")), "cells"
+    )
+    ends = cells.select(*keys, "cell", F.col("own.low").alias("least"), F.col("own.high").alias("most"))
+    # at most MOST_BLOCKS cells a bracket; the ends of those before and behind are carried along
+    before = F.array_max(F.transform(F.filter("ends", lambda e: e["cell"] < F.col("cell")), lambda e: e["most"]))
+    behind = F.array_min(F.transform(F.filter("ends", lambda e: e["cell"] > F.col("cell")), lambda e: e["least"]))
+    carried = (
+        ends.groupBy(*keys)
+        .agg(F.collect_list(F.struct("cell", "least", "most")).alias("ends"))
+        .select(*keys, "ends", F.explode("ends.cell").alias("cell"))
+        .select("g", "target", "cell", before.alias("most"), behind.alias("least"))
+    )
+    out = (
+        cells.join(carried, ["g", "target", "cell"])
+        .select(*keys, "cell", reaching("pieces", "high", "least", "most").alias("points"))
+        .where(F.length("points") > 0)
+        .groupBy(*keys)
+        .agg(F.collect_list(F.struct("cell", "points")).alias("rows"))  # each is in a listed slope
+        .select("g", "target", listed_across("rows", "low", "high").alias("own"))
+    )
+    found = (
+        cells.select("g", "target", "own.slopes", "own.weights")
+        .unionByName(out.select("g", "target", "own.slopes", "own.weights"))
+        .where(F.length("slopes") > 0)
+        .groupBy("g", "target")
+        .agg(F.collect_list(F.struct("slopes", "weights")).alias("rows"))
+    )
+    middle = (F.col("low") + F.col("high")) / 2  # where rounding leaves nothing between two close ends
+    value = F.when(F.col("rows").isNotNull(), ranked("rows", F.col("rank") - F.col("below")))
+    return state.join(found, ["g", "target"], "left").select(
+        "g", "target", F.coalesce(value, middle).alias("value")
+    )
+
+
+def large_slopes(counted: DataFrame, sizes: DataFrame, block: int, few: int) -> DataFrame:
+    """(g, slope) of groups of any size. `counted` has (g, x, y, n), `sizes` (g, points, _n)."""
+    points = sizes.agg(F.sum("points")).first()[0] or 0
+    if not points:
+        return sizes.sparkSession.createDataFrame([], "g long, slope double")
+    largest = sizes.agg(F.max("points")).first()[0]
+    held = max(block, -(-largest // MOST_BLOCKS))
+    ranged = counted.repartitionByRange(-(-points // held) + 1, "g", "x", "y").withColumn(
+        "block", F.spark_partition_id()
+    )
+    blocks = work_table(
+        work_table(ranged, "points")
+        .groupBy("g", "block")
+        .agg(F.sort_array(F.collect_list(F.struct("x", "y", "n"))).alias("p")),
+        "blocks",
+    )
+    by_x = counted.groupBy("g", "x").agg(F.sum("n").alias("n"))
+    wide = F.col("n").cast("decimal(20,0)")
+    total = by_x.groupBy("g").agg(((F.sum(wide) * F.sum(wide) - F.sum(wide * wide)) / 2).cast("bigint").alias("total"))
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("points"))
+    picked = F.pmod(F.xxhash64("x", "y"), F.lit(1 << 30)) < share * (1 << 30)
+    sample = (
+        counted.join(sizes.select("g", "points"), "g")
+        .where(picked)
+        .groupBy("g")
+        .agg(F.collect_list(F.struct("x", "y", "n")).alias("sample"))
+    )
+    cells = blocks.groupBy("g").agg(F.count("*").cast("int").alias("cells"))
+    ranks = F.array_distinct(F.array(F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")))
+    state = work_table(
+        total.where("total > 0")
+        .join(sample, "g")
+        .join(cells, "g")
+        .withColumn("rank", F.explode(ranks))
+        .select(
+            "g",
+            F.col("rank").alias("target"),
+            "rank",
+            (F.col("rank") / F.col("total")).alias("part"),
+            "cells",
+            "sample",
+            F.lit(-WIDEST).alias("low"),
+            F.lit(WIDEST).alias("high"),
+            F.lit(0).cast("bigint").alias("below"),
+            F.col("total").alias("upto"),
+        ),
+        "brackets",
+    )
+    apart = F.greatest(F.abs("low"), F.abs("high")) * 1e-15 + 1e-13
+    narrow = F.col("high") - F.col("low") <= apart
+    listable = (F.col("upto") - F.col("below") <= few) & (F.col("high") - F.col("low") < WIDEST / 2)
+    done = narrow | listable
+    while not (left := state.where(~done)).isEmpty():
+        counts = slopes_below(blocks, asked(left))
+        state = work_table(state.where(done).unionByName(narrowed(left, counts)), "brackets")
+    values = located(blocks, state.where(~narrow)).unionByName(
+        state.where(narrow).select("g", "target", ((F.col("low") + F.col("high")) / 2).alias("value"))
+    )
+    return values.groupBy("g").agg(F.avg("value").alias("slope"))
 
 
 def theil_sen(
-    points: DataFrame, keys: list[str], min_points: int, block: int = BLOCK, few: int = FEW
+    points: DataFrame,
+    keys: list[str],
+    min_points: int,
+    whole: int = WHOLE,
+    block: int = BLOCK,
+    few: int = FEW,
 ) -> DataFrame:
     """Median of the slopes between all points of distinct `x`, and the median of y - slope * x, for
-    groups of at least `min_points`. Equal points are counted before the shuffle. A null key is a
-    group like any other."""
+    groups of at least `min_points`: keys, slope, intercept, n_laps. Equal points are counted before
+    the shuffle. A null key is a group like any other; points without x or y are passed over. In a group
+    beyond `whole` points where more than `few` pairs share the middle slope, it is told to thirteen
+    decimals; all other results are the middle of the slopes as they are."""
     counted = work_table(
         points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
         .groupBy(*keys, "x", "y")
         .agg(F.count("*").alias("n")),
         "points",
     )
-    sizes = (
+    sizes = work_table(
         counted.groupBy(*keys)
-        .agg(F.sum("n").alias("n_laps"), F.ceil(F.count("*") / block).alias("_blocks"))
+        .agg(F.sum("n").alias("n_laps"), F.count("*").alias("points"))
         .where(F.col("n_laps") >= min_points)
+        .withColumn("_g", F.monotonically_increasing_id()),
+        "sizes",
     )
-    packed = work_table(
-        joined(counted, sizes, keys)
-        .withColumn("_block", F.pmod(F.xxhash64("x", "y"), "_blocks"))
-        .groupBy(*keys, "n_laps", "_blocks", "_block")
-        .agg(F.collect_list(F.struct("x", "y", "n")).alias("p")),
-        "blocks",
-    )
-    first = packed.withColumn("_other", F.explode(F.sequence("_block", F.col("_blocks") - 1)))
-    second = packed.select(*keys, F.col("_block").alias("_other"), F.col("p").alias("b"))
-    pairs = joined(
-        first.select(*keys, "n_laps", "_block", "_other", F.col("p").alias("a")),
-        second,
-        [*keys, "_other"],
-    ).withColumn("same", F.col("_block") == F.col("_other"))
-
-    total = pairs.select(*keys, "n_laps", pair_count(*POINTS).alias("_n"))
-    ranks = F.array_distinct(F.array(F.expr("(count + 1) div 2"), F.expr("count div 2 + 1")))
-    state = work_table(
-        total.groupBy(*keys, "n_laps")
-        .agg(F.sum("_n").alias("count"))
-        .where("count > 0")
-        .select(
-            *keys,
-            "n_laps",
-            F.explode(ranks).alias("target"),
-            F.col("target").alias("rank"),
-            F.lit(0).cast("bigint").alias("low"),
-            F.lit(WHOLE).alias("shift"),
-            "count",
-        ),
-        "ranges",
-    )
-    while not (wide := state.where((F.col("count") > few) & (F.col("shift") > 0))).isEmpty():
-        narrowed = narrow(pairs, wide, keys)
-        state = work_table(
-            state.where((F.col("count") <= few) | (F.col("shift") == 0)).unionByName(narrowed),
-            "ranges",
-        )
-
-    ranges = state.groupBy(*keys, "n_laps", "low", "shift").agg(
-        F.collect_list("rank").alias("ranks")
-    )
-    found = (
-        joined(pairs.drop("n_laps"), ranges, keys)
-        .select(*keys, "n_laps", "low", "shift", "ranks", listed(*POINTS, "low", "shift").alias("s"))
-        .groupBy(*keys, "n_laps", "low", "shift", "ranks")
-        .agg(F.flatten(F.collect_list("s")).alias("s"))
-    )
-    fits = (
-        found.withColumn("_sum", middle("s", "ranks"))
-        .groupBy(*keys, "n_laps")
-        .agg((F.sum("_sum") / F.sum(F.size("ranks"))).alias("slope"))
+    numbered = joined(counted, sizes.select(*keys, "_g", "points"), keys).select(
+        F.col("_g").alias("g"), "x", "y", "n", "points"
     )
-    residual = joined(counted, fits.select(*keys, "slope"), keys).select(
-        *keys, (F.col("y") - F.col("slope") * F.col("x")).alias("r"), "n"
+    small = (
+        numbered.where(F.col("points") <= whole)
+        .groupBy("g")
+        .agg(F.collect_list(F.struct("x", "y", "n")).alias("p"))
     )
-    intercepts = exact_quantiles(residual, keys, "r", {"intercept": 0.5}, weight="n")
-    return joined(fits, intercepts, keys).select(*keys, "slope", "intercept", "n_laps")
+    fits = solved(small)
+    large = sizes.where(F.col("points") > whole).select(F.col("_g").alias("g"), "points")
+    if not large.isEmpty():
+        rows = work_table(numbered.where(F.col("points") > whole).select("g", "x", "y", "n"), "large")
+        steep = work_table(large_slopes(rows, large, block, few), "slopes")
+        residual = rows.join(steep, "g").select("g", (F.col("y") - F.col("slope") * F.col("x")).alias("r"), "n")
+        level = exact_quantiles(residual, ["g"], "r", {"intercept": 0.5}, weight="n")
+        fits = fits.unionByName(steep.join(level, "g").select("g", "slope", "intercept"))
+    return sizes.join(fits.withColumnRenamed("g", "_g"), "_g").select(*keys, "slope", "intercept", "n_laps")
 
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -197,44 +498,3 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *extra)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return left.join(other, same).drop(*[f"_r_{k}" for k in keys])
-
-
-def narrow(pairs: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
-    """Ranges with twelve more bits in common: the part of each that holds its rank."""
-    ranges = state.select(*keys, "low", "shift").distinct()
-    bins = (
-        joined(pairs.drop("n_laps"), ranges, keys)
-        .select(*keys, "low", "shift", F.inline(counts_by_bits(*POINTS, "low", "shift")))
-        .groupBy(*keys, "low", "shift", "bin")
-        .agg(F.sum("n").alias("n"))
-        .groupBy(*keys, "low", "shift")  # at most 2**12 bins
-        .agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"))
-    )
-    before = F.aggregate(
-        "bins",
-        F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("bigint").alias("bin"),
-                 F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("below")),
-        lambda s, b: F.when(
-            s["bin"].isNull() & (s["upto"] + b["n"] >= F.col("rank")),
-            F.struct(
-                (s["upto"] + b["n"]).alias("upto"), b["bin"].alias("bin"), b["n"].alias("n"),
-                s["upto"].alias("below"),
-            ),
-        ).otherwise(
-            F.struct((s["upto"] + b["n"]).alias("upto"), s["bin"].alias("bin"), s["n"].alias("n"),
-                     s["below"].alias("below"))
-        ),
-    )
-    return (
-        joined(state, bins, [*keys, "low", "shift"])
-        .withColumn("_at", before)
-        .select(
-            *keys,
-            "n_laps",
-            "target",
-            (F.col("rank") - F.col("_at.below")).alias("rank"),
-            F.col("_at.bin").alias("low"),
-            F.greatest(F.col("shift") - BITS, F.lit(0)).alias("shift"),
-            F.col("_at.n").alias("count"),
-        )
-    )
