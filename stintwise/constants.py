@@ -163,3 +163,7 @@ DRIVER_NAMES = {
     "PER": "Sergio Perez",
     "LIN": "Arvid Lindblad",
 }
+
+# What one address and one e-mail may do in an hour.
+MOST_FROM_ADDRESS = 5
+MOST_TO_EMAIL = 3

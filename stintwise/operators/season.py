@@ -44,6 +44,39 @@ def metric_mean_spread(values: DataFrame, current: DataFrame | None = None) -> D
     )
 
 
+def round_sums(values: DataFrame) -> DataFrame:
+    """(year, round, constructor, n, mean, m2): what one round adds to a team's season. Rounds can be
+    replaced one by one; a season's mean and spread follow from these rows alone."""
+    return values.groupBy("year", "round", "constructor").agg(
+        F.count("value").alias("n"),
+        F.avg("value").alias("mean"),
+        (F.var_pop("value") * F.count("value")).alias("m2"),
+    )
+
+
+def season_of_rounds(sums: DataFrame) -> DataFrame:
+    """(year, constructor, mean, spread, n, recent_mean) of a season from its rounds' sums: the plain mean
+    and population spread, and the mean that halves a round's weight every `HALF_LIFE_ROUNDS` rounds
+    before the season's last. A team has a row a round."""
+    last = F.max("round").over(Window.partitionBy("year"))
+    team = Window.partitionBy(*SEASON_TEAM)
+    middle = F.sum(F.col("n") * F.col("mean")).over(team) / F.sum("n").over(team)
+    weight = F.col("n") * F.pow(F.lit(0.5), (F.col("_last") - F.col("round")) / F.lit(HALF_LIFE_ROUNDS))
+    within = F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("_middle"), 2)
+    return (
+        sums.withColumn("_last", last)
+        .where("n > 0")
+        .withColumn("_middle", middle)
+        .groupBy(*SEASON_TEAM)
+        .agg(
+            F.first("_middle").alias("mean"),
+            F.sqrt(F.sum(within) / F.sum("n")).alias("spread"),
+            F.sum("n").alias("n"),
+            (F.sum(weight * F.col("mean")) / F.sum(weight)).alias("recent_mean"),
+        )
+    )
+
+
 def normalized(value: str, keys: list[str]) -> Column:
     """0 for the smallest, 1 for the largest; 0 throughout without spread; null stays null."""
     group = Window.partitionBy(*keys)

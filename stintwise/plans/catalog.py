@@ -233,7 +233,7 @@ def _(t):
     again = rows.where(F.col("year") == 2000).withColumn("version", F.lit(2))
     replace_sessions(again, path)
     return (
-        read_sessions(t.spark, path, rows)
+        read_sessions(t.spark, path, rows.schema)
         .groupBy(*SESSION_KEYS)
         .agg(F.count("*").alias("drivers"), F.sum("version").alias("version_sum"))
     )

@@ -1,9 +1,15 @@
 """Event-log jobs: rate limits, confirmations, change logs and windows, in batch and as streams."""
 
+import bisect
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stintwise.functions.skew import row_numbers
+from stintwise.functions.skew import before_block, blocks, null_safe_join
 from stintwise.session import work_table
 
 HOUR_US = 3_600_000_000
@@ -36,32 +42,58 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     query.awaitTermination()
 
 
-def shared_buckets(rows: DataFrame, at: Column, width: int, other: int, share: Column) -> DataFrame:
-    """Each row in its own time bucket (`_own`), and those that `share` also in the bucket `other`
-    steps away. Work inside (key, bucket) then sees one bucket of neighbours, so a busy key is spread
-    over its time span instead of filling one task."""
-    own = F.floor(at / width)
-    copies = F.array_compact(
-        F.array(
-            F.struct(own.alias("_bucket"), F.lit(True).alias("_own")),
-            F.when(share, F.struct((own + other).alias("_bucket"), F.lit(False).alias("_own"))),
-        )
+class Limit(NamedTuple):
+    """At most `most` rows that `counts` in the hour before, for each value of `key`."""
+
+    key: str
+    counts: Column
+    most: int
+
+
+def recent_counts(log: DataFrame, limit: Limit, attempts: Column, name: str) -> DataFrame:
+    """(_id, `name`): for every attempt the rows its key has that count, later than an hour before it
+    and before it.
+
+    That is a difference of two ranks among the key's counting rows: those before the attempt's time,
+    and those up to an hour before. All three kinds of times stand in one order, cut into ranges, and
+    the counts of earlier ranges are carried into each. A key with a busy hour spans many ranges."""
+    key, at = F.col(limit.key).alias("_key"), F.col("_us")
+    counting = log.where(limit.counts).select(key, at, F.lit(1).alias("_one"), F.lit(0).alias("_sign"), F.lit(None).cast("bigint").alias("_id"))
+    asking = log.where(attempts).select(key, "_us", "_id")
+    now = asking.select("_key", "_us", F.lit(0).alias("_one"), F.lit(1).alias("_sign"), "_id")
+    then = asking.select("_key", (at - HOUR_US).alias("_us"), F.lit(0).alias("_one"), F.lit(-1).alias("_sign"), "_id")
+    rows = counting.unionByName(now).unionByName(then).where(F.col("_key").isNotNull())
+    blocked = blocks(rows, ["_key"], [F.col("_us")])  # rows of one time of one key stay together
+    carried = before_block(blocked, ["_key"], F.sum("_one"), "_carried")
+    order = Window.partitionBy("_key", "_block").orderBy("_us")
+    before = F.sum("_one").over(order.rangeBetween(Window.unboundedPreceding, -1))
+    upto = F.sum("_one").over(order.rangeBetween(Window.unboundedPreceding, 0))
+    rank = F.col("_carried") + F.coalesce(F.when(F.col("_sign") > 0, before).otherwise(upto), F.lit(0))
+    return (
+        blocked.join(carried, ["_key", "_block"])
+        .withColumn("_rank", rank * F.col("_sign"))
+        .where(F.col("_id").isNotNull())
+        .groupBy("_id")
+        .agg(F.sum("_rank").cast("bigint").alias(name))
     )
-    return rows.select("*", F.inline(copies))
 
 
-def rate_limit(actions: DataFrame, key: str, limit: int) -> DataFrame:
-    """Actions with the number of the key's actions in the hour before, and whether that blocks."""
-    placed = shared_buckets(
-        actions.withColumn("_us", micros(F.col("ts"))), F.col("_us"), HOUR_US, 1, F.lit(True)
-    )
-    hour = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-HOUR_US + 1, -1)
-    return (
-        placed.withColumn("recent", F.count("*").over(hour))
-        .where("_own")
-        .withColumn("blocked", F.col("recent") >= limit)
-        .drop("_us", "_bucket", "_own")
+def rate_limit(log: DataFrame, attempts: Column, limits: dict[str, Limit]) -> DataFrame:
+    """The rows of `log` (ts, any more) that are `attempts`, with the counts that `limits` name, of the
+    trailing hour, and whether one of them blocks. A row without a key is not held by that limit."""
+    rows = work_table(
+        log.withColumn("_us", micros(F.col("ts"))).withColumn("_id", F.monotonically_increasing_id()),
+        "attempts",
     )
+    out = rows.where(attempts)
+    for name, limit in limits.items():
+        out = out.join(recent_counts(rows, limit, attempts, name), "_id", "left").withColumn(
+            name, F.coalesce(name, F.lit(0).cast("bigint"))
+        )
+    blocks_ = F.lit(False)
+    for name, limit in limits.items():
+        blocks_ = blocks_ | (F.col(name) >= limit.most)
+    return out.withColumn("blocked", blocks_).drop("_us", "_id")
 
 
 def confirmed_in_ttl(actions: DataFrame, ttl_us: int = DAY_US) -> DataFrame:
@@ -69,33 +101,25 @@ def confirmed_in_ttl(actions: DataFrame, ttl_us: int = DAY_US) -> DataFrame:
     `actions` has (id, key, ts, action). A confirmation takes the newest request before it and only
     that: a request with a newer one before the next confirmation is expired.
 
-    So the key's next action decides. It is sought inside the request's own hour first, and else is
-    the first one of a later hour, known from one row per key and hour. No task sees more than a
-    key's hour."""
+    So the key's next action decides. Actions stand in ranges of (key, time), each range looks ahead in
+    itself, and the first action of the next range that has the key is carried back to its last. A key
+    with very many actions spans many ranges."""
     confirm = F.col("action") == "confirm"
-    placed = actions.withColumn("_us", micros(F.col("ts"))).withColumn(
-        "_hour", F.floor(F.col("_us") / HOUR_US)
-    )
-    mark = F.struct("_us", confirm.alias("confirms"), "id")
-    later_hours = (
-        Window.partitionBy("key").orderBy("_hour").rowsBetween(1, Window.unboundedFollowing)
-    )
-    hours = (
-        placed.groupBy("key", "_hour")
+    placed = actions.withColumn("_us", micros(F.col("ts"))).withColumn("_confirms", confirm)
+    order = [F.col("_us"), F.col("_confirms"), F.col("id")]
+    blocked = blocks(placed, ["key"], order)
+    mark = F.struct("_us", F.col("_confirms").alias("confirms"), "id")
+    next_block = Window.partitionBy("key").orderBy("_block")
+    firsts = (
+        blocked.groupBy("key", "_block")
         .agg(F.min(mark).alias("_first"))
-        .select(
-            "key", "_hour", F.first("_first", ignorenulls=True).over(later_hours).alias("_later")
-        )
-    )
-    rest_of_hour = (
-        Window.partitionBy("key", "_hour")
-        .orderBy("_us", confirm, "id")
+        .select("key", "_block", F.lead("_first").over(next_block).alias("_later"))
     )
+    inside = Window.partitionBy("key", "_block").orderBy(*order)
     valid = F.col("_next.confirms") & (F.col("_next._us") - F.col("_us") <= ttl_us)
     return (
-        placed.join(hours, ["key", "_hour"])
-        .withColumn("_soon", F.lead(mark).over(rest_of_hour))
-        .withColumn("_next", F.coalesce("_soon", "_later"))
+        null_safe_join(blocked, firsts, ["key", "_block"])
+        .withColumn("_next", F.coalesce(F.lead(mark).over(inside), "_later"))
         .where(F.col("action") == "request")
         .select(
             F.col("id").alias("request_id"),
@@ -106,18 +130,73 @@ def confirmed_in_ttl(actions: DataFrame, ttl_us: int = DAY_US) -> DataFrame:
     )
 
 
-def confirmations_stream(requests: DataFrame, confirms: DataFrame, lateness: str) -> DataFrame:
-    """Stream-stream interval join of requests and confirmations of one token (`key`) within a day; a
-    request without one comes out once the watermark has passed its day."""
-    r = requests.select(
-        F.col("id").alias("request_id"), F.col("key").alias("r_key"), F.col("ts").alias("r_ts")
-    ).withWatermark("r_ts", lateness)
-    c = confirms.select(
-        F.col("id").alias("confirm_id"), F.col("key").alias("c_key"), F.col("ts").alias("c_ts")
-    ).withWatermark("c_ts", lateness)
-    inside = F.expr("c_key = r_key AND c_ts >= r_ts AND c_ts <= r_ts + INTERVAL 24 HOURS")
-    return r.join(c, inside, "leftOuter").select(
-        "request_id", F.col("r_key").alias("key"), "r_ts", "confirm_id", "c_ts"
+OUTCOMES = "request_id bigint, key bigint, confirm_id bigint, outcome string"
+OPEN = "us array<bigint>, confirms array<boolean>, ids array<bigint>, open_id bigint, open_us bigint"
+
+
+def settled(
+    key: int, waiting: list[tuple[int, bool, int]], request: tuple[int, int] | None, upto: int, ttl_us: int
+) -> tuple[list[tuple], list[tuple[int, bool, int]], tuple[int, int] | None]:
+    """What a key's actions up to the time `upto` decide: (rows, actions still waiting, the open request
+    as (id, time)). An open request ends with the key's next action, or once its time is over."""
+    rows = []
+    waiting = sorted(waiting)
+    cut = bisect.bisect_right(waiting, (upto, True, 1 << 63))
+    for us, confirms, number in waiting[:cut]:
+        if request is not None:
+            good = confirms and us - request[1] <= ttl_us
+            rows.append((request[0], key, number if good else None, "confirmed" if good else "expired"))
+            request = None
+        if not confirms:
+            request = (number, us)
+    if request is not None and request[1] + ttl_us < upto:
+        rows.append((request[0], key, None, "expired"))
+        request = None
+    return rows, waiting[cut:], request
+
+
+def confirmations_stream(actions: DataFrame, lateness: str, ttl_us: int = DAY_US) -> DataFrame:
+    """The outcome of every request of a stream of actions (id, key, ts, action), as `confirmed_in_ttl`,
+    once no action can come that would change it.
+
+    A key's state holds its actions that the watermark has not passed and its one open request; a timer
+    of event time wakes the key when the watermark passes the next of them, or the request's last moment.
+    A confirmation is used once, by the newest request before it; the others expire, and so does a
+    request whose time runs out. Actions later than the watermark are dropped, as everywhere in a stream.
+    Actions without a key take no part."""
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, request = [], None
+        if state.exists:
+            us, confirms, ids, open_id, open_us = state.get
+            waiting = list(zip(us, confirms, ids, strict=True))
+            request = None if open_id is None else (open_id, open_us)
+        if not state.hasTimedOut:
+            for frame in frames:
+                waiting += zip(frame["us"].tolist(), frame["confirms"].tolist(), frame["id"].tolist(), strict=True)
+        mark = state.getCurrentWatermarkMs()
+        rows, waiting, request = settled(keys[0], waiting, request, mark * 1000, ttl_us)
+        if not waiting and request is None:
+            if state.exists:
+                state.remove()
+        else:
+            us, confirms, ids = (list(c) for c in zip(*waiting, strict=True)) if waiting else ([], [], [])
+            state.update((us, confirms, ids, *(request or (None, None))))
+            # a timer rings once the watermark is beyond it
+            rings = [-(-us[0] // 1000) - 1] if waiting else []
+            rings += [(request[1] + ttl_us) // 1000] if request else []
+            state.setTimeoutTimestamp(max(min(rings), mark + 1))
+        if rows:
+            frame = pd.DataFrame(rows, columns=["request_id", "key", "confirm_id", "outcome"])
+            yield frame.astype({"confirm_id": "Int64"})
+
+    marked = actions.where(F.col("key").isNotNull()).withWatermark("ts", lateness)
+    return (
+        marked.select(
+            "key", "id", "ts", micros(F.col("ts")).alias("us"), (F.col("action") == "confirm").alias("confirms")
+        )
+        .groupBy("key")
+        .applyInPandasWithState(step, OUTCOMES, OPEN, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -156,56 +235,38 @@ def change_log(before: DataFrame, after: DataFrame, key: str, secret: str) -> Da
 LOG_SCHEMA = "key bigint, id bigint, action string, old_data string, new_data string"
 
 
-def change_log_stream(images: DataFrame, output: str, state: str, checkpoint: str) -> None:
-    """Append-only change events of a stream of row images (key, id, ts, image).
-
-    Inside a batch a row's predecessor is found by its number within the key, so a busy key is not
-    gathered in one task; between batches each key's last image is kept as a table. Both are written
-    per batch number, so a batch that is run again overwrites itself."""
-    spark = images.sparkSession
-    last_schema = "key bigint, last string"
-
-    def log(batch: DataFrame, number: int) -> None:
-        last = (
-            spark.read.schema(last_schema).parquet(f"{state}/{number - 1}")
-            if number > 0
-            else spark.createDataFrame([], last_schema)
-        )
-        rows = work_table(
-            row_numbers(batch, ["key"], [F.col("ts"), F.col("id")], "n"), "change-rows"
-        )
-        before = rows.select(
-            "key", (F.col("n") + 1).alias("n"), F.col("image").alias("_before")
-        )
-        old = F.coalesce("_before", F.when(F.col("n") == 1, F.col("last")))
-        (
-            rows.join(before, ["key", "n"], "left")
-            .join(last, "key", "left")
-            .select(
-                "key",
-                "id",
-                F.when(old.isNull(), "row_inserted").otherwise("row_updated").alias("action"),
-                old.alias("old_data"),
-                F.col("image").alias("new_data"),
-            )
-            .write.mode("overwrite")
-            .parquet(f"{output}/batch={number}")
-        )
-        newest = rows.groupBy("key").agg(F.max_by("image", "n").alias("_newest"))
-        (
-            last.join(newest, "key", "full")
-            .select("key", F.coalesce("_newest", "last").alias("last"))
-            .write.mode("overwrite")
-            .parquet(f"{state}/{number}")
-        )
-
-    query = (
-        images.writeStream.foreachBatch(log)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+def without_secret(image: Column, schema: str, secret: str) -> Column:
+    """A row image (JSON) without its secret field; null for a deleted row."""
+    return F.when(image.isNotNull(), F.to_json(F.from_json(image, schema).dropFields(secret)))
+
+
+def change_log_stream(images: DataFrame) -> DataFrame:
+    """Append-only change events of a stream of writes (key, id, ts, image); a null image deletes the
+    row. A key's state is the last image of its row, as it may be shown; a deleted row leaves no
+    state. Deleting what is not there is no event. Only the states of a batch's keys are written.
+
+    A batch's writes of one key are put in order by (ts, id) in one task, so how much a batch takes in
+    bounds what a busy key can hold there; between batches the order is that of arrival."""
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        writes = pd.concat(list(frames)).sort_values(["ts", "id"], kind="stable")
+        rows = []
+        for number, image in zip(writes["id"].tolist(), writes["image"].tolist(), strict=True):
+            image = image if isinstance(image, str) else None
+            if image is not None or last is not None:
+                action = "row_deleted" if image is None else "row_inserted" if last is None else "row_updated"
+                rows.append((keys[0], number, action, last, image))
+            last = image
+        if last is not None:
+            state.update((last,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=["key", "id", "action", "old_data", "new_data"])
+
+    return images.groupBy("key").applyInPandasWithState(
+        step, LOG_SCHEMA, "last string", "append", GroupStateTimeout.NoTimeout
     )
-    query.awaitTermination()
 
 
 def windowed_counts(events: DataFrame, width: str, lateness: str) -> DataFrame:

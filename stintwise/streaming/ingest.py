@@ -1,12 +1,14 @@
 """Incremental ingest of landed sessions, and recompute of what they touch."""
 
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from stintwise.constants import MIN_SESSION_DRIVERS, SESSION_KEYS, WEEKEND_KEYS
-from stintwise.sources.sink import replace_sessions
+from stintwise.constants import MIN_SESSION_DRIVERS, SESSION_KEYS
+from stintwise.sources.sink import read_sessions, replace_sessions
 
 
 def land(laps: DataFrame, path: str) -> None:
@@ -25,45 +27,41 @@ def enough_drivers(laps: DataFrame) -> DataFrame:
     )
 
 
-def among(touched: DataFrame, keys: list[str]) -> Column:
-    """A literal filter on partition columns for the few sessions of a batch, so that only their
-    folders are listed and read."""
-    label = lambda: F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    return label().isin([r[0] for r in touched.select(label()).distinct().collect()])
-
-
 def ingest(
     spark: SparkSession,
     landing: str,
     target: str,
     checkpoint: str,
-    schema,
+    schema: StructType,
     on_sessions: Callable[[DataFrame], None] | None = None,
     files_per_batch: int | None = None,
 ) -> None:
     """Take in every session with new files, once through the files that are there now.
 
-    A batch only says which sessions changed; each is read whole from the landing folder, so a session
-    whose files come in several batches is replaced until it is complete. A session with too few
-    drivers is not written: it is looked at again when more of its files come. All writes replace
-    whole sessions, so a batch that is run again does no harm."""
+    A batch says which sessions' folders have new files; only those folders are listed and read, once,
+    and staged. The drivers are counted in what was staged, and the sessions that have enough are
+    published together. A session whose files come in several batches is replaced until it is complete;
+    one with too few drivers is looked at again when more of its files come. All writes replace whole
+    sessions, so a batch that is run again does no harm."""
 
     def take(batch: DataFrame, _: int) -> None:
-        touched = spark.createDataFrame(
-            batch.select(*SESSION_KEYS).distinct().collect(), batch.select(*SESSION_KEYS).schema
-        )
-        whole = spark.read.schema(schema).parquet(landing)
-        sessions = whole.where(among(touched, SESSION_KEYS))
-        usable = sessions.join(enough_drivers(sessions), SESSION_KEYS, "left_semi")
-        replace_sessions(usable, target)
+        touched = batch.distinct().collect()  # a row a session
+        if not touched:
+            return
+        folders = sorted({r["folder"] for r in touched})
+        sessions = spark.read.schema(schema).option("basePath", landing).parquet(*folders)
+        replace_sessions(sessions, target, accept=enough_drivers)
         if on_sessions is not None:
-            on_sessions(touched)
+            keys = StructType([schema[k] for k in SESSION_KEYS])
+            on_sessions(spark.createDataFrame([tuple(r[k] for k in SESSION_KEYS) for r in touched], keys).distinct())
 
     stream = spark.readStream.schema(schema)
     if files_per_batch:
         stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    folder = F.regexp_replace(F.url_decode("_metadata.file_path"), "/[^/]*$", "")
     query = (
         stream.parquet(landing)
+        .select(*SESSION_KEYS, folder.alias("folder"))
         .writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -72,19 +70,32 @@ def ingest(
     query.awaitTermination()
 
 
-def recompute_weekends(
-    spark: SparkSession,
-    source: str,
-    schema,
-    output: str,
-    compute: Callable[[DataFrame], DataFrame],
-) -> Callable[[DataFrame], None]:
-    """A batch hook: compute the outputs of the touched weekends only and replace just those."""
+class Output(NamedTuple):
+    """A published table made from another one. `keys` name its parts (a weekend, a season): a touched
+    session makes anew the part it belongs to. `of` says which types of sessions it depends on, None:
+    all; `compute` makes the rows of some parts from the source's rows of those parts."""
+
+    path: str
+    schema: StructType
+    keys: list[str]
+    of: frozenset[str] | None
+    source: str
+    source_schema: StructType
+    source_keys: list[str]
+    compute: Callable[[DataFrame], DataFrame]
+
+
+def recompute(spark: SparkSession, outputs: list[Output]) -> Callable[[DataFrame], None]:
+    """A batch hook: make anew the parts of `outputs`, in their order, that the touched sessions belong
+    to, from those parts of their sources alone, and replace just them."""
 
     def run(touched: DataFrame) -> None:
-        inputs = spark.read.schema(schema).parquet(source)
-        replace_sessions(
-            compute(inputs.where(among(touched, WEEKEND_KEYS))), output, WEEKEND_KEYS
-        )
+        for out in outputs:
+            on = touched if out.of is None else touched.where(F.col("session_type").isin(*out.of))
+            parts = on.select(*out.keys).distinct()
+            if parts.isEmpty():
+                continue
+            rows = read_sessions(spark, out.source, out.source_schema, out.source_keys, parts)
+            replace_sessions(out.compute(rows), out.path, out.keys)
 
     return run
