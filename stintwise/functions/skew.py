@@ -70,77 +70,102 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str)
     return number_blocks(blocks(df, keys, order), keys, order, name).drop("_block")
 
 
+GATHERED = 20_000
+"""Rows of a group whose values one task may hold; quantiles of larger groups are found by rank."""
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: list[str],
     value: Column | str,
     probs: dict[str, float],
-    width: float = 0.05,
     count: str | None = None,
     weight: str | None = None,
+    gathered: int = GATHERED,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group, exact for any group size; `weight` repeats a value.
+    Null keys are a group like any other; null values count for nothing.
 
-    Equal values are counted before the shuffle, counts are rolled up to cells of `width`, and
-    only the cells that hold a wanted rank are opened again. No task sees more than one cell.
-    """
+    Groups of up to `gathered` rows are one aggregate with a map-side part. In larger ones the values are
+    put in ranges by splitters that Spark samples from them, and only the ranges that hold a wanted rank
+    are opened: a group spans as many tasks as it needs, whatever its values are."""
     v = F.col(value) if isinstance(value, str) else value
-    times = F.lit(1).cast("bigint") if weight is None else F.col(weight)
-    known = df.select(*keys, v.cast("double").alias("_v"), times.alias("_w")).withColumn(
-        "_cell", F.floor(F.col("_v") / width)
-    )
-    # The explicit filters make both uses of `counted` one and the same plan, so its shuffle is run
-    # once and reused. Null keys are a group like any other.
-    for name in ("_v", "_cell"):
-        known = known.where(F.col(name).isNotNull())
-    counted = known.groupBy(*keys, "_cell", "_v").agg(F.sum("_w").alias("_n"))
-    whole = Window.partitionBy(*keys)
-    earlier_cells = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        counted.groupBy(*keys, "_cell")
-        .agg(F.sum("_n").alias("_cell_n"))
-        .withColumn("_before", F.coalesce(F.sum("_cell_n").over(earlier_cells), F.lit(0)))
-        .withColumn("_total", F.sum("_cell_n").over(whole))
-    )
+    times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
+    known = df.select(*keys, v.cast("double").alias("_v"), times.alias("_w")).where(F.col("_v").isNotNull())
+    sizes = known.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > gathered)
+    large = work_table(sizes.select(*keys), "large")
+    if large.isEmpty():
+        return gathered_quantiles(known, keys, probs, count)
+    same = [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys]
+    named = large.select(*[F.col(k).alias(f"_l_{k}") for k in keys])
+    few = gathered_quantiles(known.join(named, same, "left_anti"), keys, probs, count)
+    return few.unionByName(ranked_quantiles(known.join(named, same, "left_semi"), keys, probs, count))
 
-    def spot(p: float) -> Column:
-        return (F.col("_total") - 1) * F.lit(float(p))
 
-    def low(p: float) -> Column:
-        return F.floor(spot(p))
+def spot(p: float) -> Column:
+    """The place of a quantile among `_total` values, from 0, between two of them as a rule."""
+    return (F.col("_total") - 1) * F.lit(float(p))
 
-    def high(p: float) -> Column:
-        return F.least(low(p) + 1, F.col("_total") - 1)
 
-    wanted = F.lit(False)
-    for p in probs.values():
-        wanted = wanted | (
-            (F.col("_before") <= high(p)) & (F.col("_before") + F.col("_cell_n") > low(p))
-        )
-    inside = (
-        Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ranked = (
-        null_safe_join(counted, cells.where(wanted), [*keys, "_cell"])
-        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .withColumn("_end", F.col("_start") + F.col("_n"))
-    )
+def lower_rank(p: float) -> Column:
+    return F.floor(spot(p))
+
+
+def upper_rank(p: float) -> Column:
+    return F.least(lower_rank(p) + 1, F.col("_total") - 1)
+
+
+def picked_quantiles(ranked: DataFrame, keys: list[str], probs: dict[str, float], count: str | None) -> DataFrame:
+    """Quantiles from rows (keys, _v, _w, _start, _total), `_start` being the number of values before."""
+    end = F.col("_start") + F.col("_w")
     picks = [F.max("_total").alias("_total")]
     for name, p in probs.items():
-        for side, rank in (("lo", low(p)), ("hi", high(p))):
-            holds = (F.col("_start") <= rank) & (rank < F.col("_end"))
+        for side, rank in (("lo", lower_rank(p)), ("hi", upper_rank(p))):
+            holds = (F.col("_start") <= rank) & (rank < end)
             picks.append(F.max(F.when(holds, F.col("_v"))).alias(f"_{name}_{side}"))
-    found = ranked.groupBy(*keys).agg(*picks)
     out = [
         (
             F.col(f"_{name}_lo")
-            + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * (spot(p) - low(p))
+            + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * (spot(p) - lower_rank(p))
         ).alias(name)
         for name, p in probs.items()
     ]
     if count:
         out.append(F.col("_total").alias(count))
-    return found.select(*keys, *out)
+    return ranked.groupBy(*keys).agg(*picks).select(*keys, *out)
+
+
+def gathered_quantiles(known: DataFrame, keys: list[str], probs: dict[str, float], count: str | None) -> DataFrame:
+    """Quantiles of (keys, _v, _w) where one task may hold a group: one shuffle, by the keys."""
+    whole = Window.partitionBy(*keys).orderBy("_v")
+    earlier = whole.rowsBetween(Window.unboundedPreceding, -1)
+    all_rows = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = known.withColumn("_start", F.coalesce(F.sum("_w").over(earlier), F.lit(0))).withColumn(
+        "_total", F.sum("_w").over(all_rows)
+    )
+    return picked_quantiles(ranked, keys, probs, count)
+
+
+def ranked_quantiles(known: DataFrame, keys: list[str], probs: dict[str, float], count: str | None) -> DataFrame:
+    """Quantiles of (keys, _v, _w) for groups of any size. Equal values are counted before the shuffle;
+    ranges carry the number of values before them."""
+    counted = known.groupBy(*keys, "_v").agg(F.sum("_w").alias("_w"))
+    ranged = blocks(counted, keys, [F.col("_v")])
+    totals = ranged.groupBy(*keys, "_block").agg(F.sum("_w").alias("_held"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    cells = totals.withColumn("_before", F.coalesce(F.sum("_held").over(upto), F.lit(0))).withColumn(
+        "_total", F.sum("_held").over(whole)
+    )
+    wanted = F.lit(False)
+    for p in probs.values():
+        wanted = wanted | (
+            (F.col("_before") <= upper_rank(p)) & (F.col("_before") + F.col("_held") > lower_rank(p))
+        )
+    inside = Window.partitionBy(*keys, "_block").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    opened = null_safe_join(ranged, cells.where(wanted), [*keys, "_block"])
+    ranked = opened.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    return picked_quantiles(ranked, keys, probs, count)
 
 
 def gap_to_best(rows: DataFrame, keys: list[str], value: str, name: str, few: bool) -> DataFrame:
@@ -154,3 +179,45 @@ def gap_to_best(rows: DataFrame, keys: list[str], value: str, name: str, few: bo
         .withColumn(name, F.col(value) - F.col("_best"))
         .drop("_best")
     )
+
+
+def neighbours(
+    left: DataFrame, right: DataFrame, keys: list[str], at: str, value: Column, below: str, above: str | None = None
+) -> DataFrame:
+    """The rows of `left` with the `value` of the row of `right` that lies next at or before their `at` in
+    their group, as `below`, and with `above` also of the one next at or after. Both sides have the
+    column `at`; of right rows at one place the last by `value` counts.
+
+    Both sides stand in one order, cut into ranges; each range is searched by itself, and the nearest
+    right row of the ranges before and behind is carried into it. A group spans many ranges, and a
+    stretch without right rows makes no rows."""
+    names = left.columns
+    place = right.groupBy(*keys, at).agg(F.max(F.struct(value.alias("value"))).alias("_value"))
+    none = F.lit(None).cast(place.schema["_value"].dataType)
+    rows = left.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), none.alias("_value"))
+    marks = place.select(
+        *keys, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_value"
+    ).where(F.col("_at").isNotNull())
+    ranged = blocks(rows.unionByName(marks), keys, [F.col("_at")])  # rows at one place stay together
+    ends = ranged.where("_side = 0").groupBy(*keys, "_block")
+    ends = ends.agg(F.max_by("_value", "_at").alias("_last"), F.min_by("_value", "_at").alias("_first"))
+    spans = ranged.select(*keys, "_block").distinct()
+    group = Window.partitionBy(*keys)
+    carried = null_safe_join(spans, ends, [*keys, "_block"], "left").select(
+        *keys,
+        "_block",
+        F.last("_last", ignorenulls=True)
+        .over(group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+        .alias("_before"),
+        F.last("_first", ignorenulls=True)
+        .over(group.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1))
+        .alias("_behind"),
+    )
+    inside = Window.partitionBy(*keys, "_block")
+    up = inside.orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = [F.coalesce(F.last("_value", ignorenulls=True).over(up), "_before")["value"].alias(below)]
+    if above is not None:
+        down = inside.orderBy(F.desc("_at"), "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found.append(F.coalesce(F.last("_value", ignorenulls=True).over(down), "_behind")["value"].alias(above))
+    met = null_safe_join(ranged, carried, [*keys, "_block"])
+    return met.select("_side", "_row", *found).where("_side = 1").drop("_side").select("_row.*", *[c for c in (below, above) if c])

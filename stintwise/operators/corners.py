@@ -237,7 +237,7 @@ def fingerprints(laps: DataFrame, corners: Corners, outlier_ratio: float = 2.0)
         featured.select(*keys, "speed_kmh", *FEATURES, "gear"), "traces"
     )
     points = traces.select(*keys, F.posexplode("speed_kmh").alias("k", "kmh"))
-    medians = exact_quantiles(points, [*keys, "k"], "kmh", {"kmh": 0.5}, 5.0)
+    medians = exact_quantiles(points, [*keys, "k"], "kmh", {"kmh": 0.5})
     reference = medians.groupBy(*keys).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("k", "kmh"))), lambda p: p["kmh"]
@@ -246,7 +246,7 @@ def fingerprints(laps: DataFrame, corners: Corners, outlier_ratio: float = 2.0)
     measured = traces.join(reference, keys).withColumn(
         "_dtw", dtw_distance("speed_kmh", "_ref")
     )
-    typical = exact_quantiles(measured, keys, "_dtw", {"_mid": 0.5}, 5.0)
+    typical = exact_quantiles(measured, keys, "_dtw", {"_mid": 0.5})
     near = (F.col("_mid") == 0) | (F.col("_dtw") <= F.lit(outlier_ratio) * F.col("_mid"))
     return feature_mean(measured.join(typical, keys).where(near), keys)
 

@@ -10,7 +10,7 @@ from stintwise.constants import (
     RACE_LIKE,
     SESSION_KEYS,
 )
-from stintwise.functions.skew import attach, first_by
+from stintwise.functions.skew import attach, first_by, neighbours
 
 DRIVER_KEYS = [*SESSION_KEYS, "driver"]
 STINT_KEYS = [*DRIVER_KEYS, "stint_number"]
@@ -178,53 +178,7 @@ def fastest_laps_per_driver(laps: DataFrame, n: int = 5, lap: str = "lap_number"
     return laps.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= n)
 
 
-def weather_asof(laps: DataFrame, weather: DataFrame, bucket_s: int = 600) -> DataFrame:
-    """Rain at the last weather reading at or before each lap's end.
-
-    Readings are grouped in time buckets that also know the last reading before them, so the as-of
-    match is an equality join on (session, bucket) and no session is gathered in one task."""
-    bucket = lambda c: F.floor(F.col(c) / bucket_s)
-    by_bucket = weather.groupBy(*SESSION_KEYS, bucket("time_s").alias("_bucket")).agg(
-        F.array_sort(F.collect_list(F.struct("time_s", "rainfall"))).alias("_readings")
-    )
-    session = Window.partitionBy(*SESSION_KEYS).orderBy("_bucket")
-    last_reading = F.element_at("_readings", -1)["rainfall"]
-    filled = (
-        by_bucket.withColumn("_carry", F.lag(last_reading).over(session))
-        .withColumn("_next", F.lead("_bucket").over(session))
-        .withColumn("_last", last_reading)
-    )
-    spine = filled.select(
-        *SESSION_KEYS,
-        F.explode(
-            F.sequence("_bucket", F.coalesce(F.col("_next") - 1, F.col("_bucket")))
-        ).alias("_slot"),
-        "_bucket",
-        "_readings",
-        "_carry",
-        "_last",
-    ).select(
-        *SESSION_KEYS,
-        F.col("_slot").alias("_bucket"),
-        F.when(F.col("_slot") == F.col("_bucket"), F.col("_readings")).alias("_readings"),
-        F.when(F.col("_slot") == F.col("_bucket"), F.col("_carry"))
-        .otherwise(F.col("_last"))
-        .alias("_carry"),
-    )
-    # After a session's last reading that reading holds to the end.
-    ends = weather.groupBy(*SESSION_KEYS).agg(
-        F.max(bucket("time_s")).alias("_final"), F.max_by("rainfall", "time_s").alias("_end")
-    )
-    seen = F.filter("_readings", lambda r: r["time_s"] <= F.col("session_time_s"))
-    return (
-        laps.withColumn("_bucket", bucket("session_time_s"))
-        .join(spine, [*SESSION_KEYS, "_bucket"], "left")
-        .join(ends, SESSION_KEYS, "left")
-        .withColumn(
-            "rain_at_end",
-            F.when(F.size(seen) > 0, F.element_at(seen, -1)["rainfall"])
-            .when(F.col("_bucket") > F.col("_final"), F.col("_end"))
-            .otherwise(F.col("_carry")),
-        )
-        .drop("_bucket", "_readings", "_carry", "_final", "_end")
-    )
+def weather_asof(laps: DataFrame, weather: DataFrame) -> DataFrame:
+    """Rain at the last weather reading at or before each lap's end; null before the first."""
+    ends = laps.withColumn("time_s", F.col("session_time_s"))
+    return neighbours(ends, weather, SESSION_KEYS, "time_s", F.col("rainfall"), "rain_at_end").drop("time_s")

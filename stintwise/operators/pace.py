@@ -1,6 +1,6 @@
 """Pace distributions, rankings, clean air, stops and tyre wear."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintwise.constants import (
@@ -49,20 +49,21 @@ def fenced(paced: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def box_stats(paced: DataFrame, keys: list[str]) -> DataFrame:
+    """Quantiles, whiskers, outlier counts and compounds of each group."""
     stats = [*PROBS, "n_laps"]
     kept = F.when(F.col("in_fence"), F.col("pace_s"))
-    rows = (
+    return (
         fenced(paced, keys)
         .groupBy(*keys)
         .agg(
-            *[F.max(s).alias(s) for s in stats],
+            *[F.first(s).alias(s) for s in stats],
             F.avg("pace_s").alias("mean_s"),
             F.coalesce(F.min(kept), F.min("pace_s")).alias("whisker_low_s"),
             F.coalesce(F.max(kept), F.max("pace_s")).alias("whisker_high_s"),
             F.count_if(~F.col("in_fence")).alias("n_outliers"),
+            compounds_run().alias("compounds"),
         )
     )
-    return rows.join(compound_tags(named(paced, keys), keys), keys)
 
 
 def outlier_laps(paced: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,22 +71,22 @@ def outlier_laps(paced: DataFrame, keys: list[str]) -> DataFrame:
     return fenced(paced, keys).where(~F.col("in_fence"))
 
 
-def compound_tags(laps: DataFrame, keys: list[str]) -> DataFrame:
-    """Known compounds of a group as letters, in the order they were first run."""
+def compounds_run() -> Column:
+    """Known compounds of a group as letters, in the order they were first run: an aggregate of as many
+    minima as there are compounds."""
     letter = lookup(COMPOUND_LETTERS, F.col("compound"))
-    first_seen = (
-        laps.groupBy(*keys, letter.alias("_tag"))
-        .agg(F.min(F.struct("stint_number", "driver")).alias("_first"))
-        .groupBy(*keys)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.when(F.col("_tag").isNotNull(), F.struct("_first", "_tag")))
-            ).alias("_seen")
-        )
-    )
-    return first_seen.select(
-        *keys, F.array_join(F.transform("_seen", lambda s: s["_tag"]), ",").alias("compounds")
-    )
+    lap = F.struct("stint_number", "driver")
+
+    def seen(tag: str) -> Column:
+        first = F.min(F.when(letter == tag, lap))
+        return F.when(first.isNotNull(), F.struct(first.alias("first"), F.lit(tag).alias("tag")))
+
+    tags = F.array(*[seen(tag) for tag in sorted(set(COMPOUND_LETTERS.values()))])
+    return F.array_join(F.transform(F.array_sort(F.array_compact(tags)), lambda s: s["tag"]), ",")
+
+
+def compound_tags(laps: DataFrame, keys: list[str]) -> DataFrame:
+    return laps.groupBy(*keys).agg(compounds_run().alias("compounds"))
 
 
 def pace_rows(paced: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,7 +144,7 @@ def degradation_fits(paced: DataFrame, pooled: bool = False) -> DataFrame:
     teams = (
         units.groupBy(*keys)
         .agg(F.sum("n_laps").alias("n_laps"))
-        .join(exact_quantiles(units, keys, "slope", {"slope_s_per_lap": 0.5}, 0.001), keys)
+        .join(exact_quantiles(units, keys, "slope", {"slope_s_per_lap": 0.5}), keys)
         .join(exact_quantiles(units, keys, "intercept", {"intercept_s": 0.5}), keys)
     )
     field_keys = [*SESSION_KEYS, "compound"]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stintwise.constants import INDICATIVE, MIN_POSITION_SWING, SESSION_KEYS, WEEKEND_KEYS
 from stintwise.functions.expressions import compound_letter, format_gap_label
-from stintwise.functions.skew import attach
+from stintwise.functions.skew import attach, neighbours
 from stintwise.operators.laps import DRIVER_KEYS, STINT_KEYS
 
 
@@ -110,18 +110,27 @@ def sprint_vs_race(team_pace: DataFrame) -> DataFrame:
 
 
 def nearest_value(cited: DataFrame, measured: DataFrame, keys: list[str]) -> DataFrame:
-    """For each cited number, the constructor whose measured gap is closest within its weekend. The
-    measured side is one row per team, so a citation meets a grid's worth of rows."""
-    return (
-        cited.join(measured, keys)
-        .groupBy(*keys, "cite_id", "cited")
-        .agg(
-            F.min_by(
-                F.struct("constructor", "gap_s"),
-                F.struct(F.abs(F.col("gap_s") - F.col("cited")), "constructor"),
-            ).alias("_near")
+    """For each cited number, the constructor whose measured gap is closest within its weekend, of two as
+    close the first by name. A citation meets two measured gaps, the next below and the next above,
+    however many there are. A weekend without measured gaps has no row."""
+    named = measured.where(F.col("gap_s").isNotNull()).groupBy(*keys, "gap_s").agg(F.min("constructor").alias("constructor"))
+    place = F.struct("constructor", "gap_s")
+    met = neighbours(
+        cited.withColumn("_place", F.col("cited")), named.withColumn("_place", F.col("gap_s")), keys, "_place", place, "_below", "_above"
+    )
+
+    def ranked(side: str) -> Column:
+        off = F.abs(F.col(f"{side}.gap_s") - F.col("cited"))
+        return F.when(
+            F.col(side).isNotNull(),
+            F.struct(off.alias("off"), F.col(f"{side}.constructor").alias("constructor"), F.col(f"{side}.gap_s").alias("gap_s")),
         )
-        .select(*keys, "cite_id", "cited", "_near.*")
+
+    near = F.least(ranked("_below"), ranked("_above"))
+    return (
+        met.withColumn("_near", near)
+        .where(F.col("_near").isNotNull())
+        .select(*keys, "cite_id", "cited", "_near.constructor", "_near.gap_s")
     )
 
 

@@ -249,7 +249,7 @@ def speed_bins(points: DataFrame, keys: list[str]) -> DataFrame:
     floor = F.floor(F.col("speed_kmh") / SPEED_BIN_KMH) * F.lit(SPEED_BIN_KMH)
     binned = points.withColumn("speed_mid_kmh", floor + F.lit(SPEED_BIN_KMH / 2))
     return exact_quantiles(
-        binned, [*keys, "speed_mid_kmh"], "accel_ms2", {"median_accel": 0.5}, 0.5, "n_samples"
+        binned, [*keys, "speed_mid_kmh"], "accel_ms2", {"median_accel": 0.5}, "n_samples"
     )
 
 

@@ -367,7 +367,7 @@ def straight_rows(straights: DataFrame, keys: list[str] = LAP) -> DataFrame:
 def plausible_laps(laps: DataFrame) -> DataFrame:
     """Laps whose recorded length is near the session's median length."""
     measured = laps.withColumn("length_m", F.array_max("distance_m"))
-    typical = exact_quantiles(measured, SESSION_KEYS, "length_m", {"typical_m": 0.5}, 1.0)
+    typical = exact_quantiles(measured, SESSION_KEYS, "length_m", {"typical_m": 0.5})
     return measured.join(typical, SESSION_KEYS).where(
         F.abs(F.col("length_m") - F.col("typical_m")) <= MAX_LENGTH_DEVIATION_M
     )
@@ -404,7 +404,7 @@ def aligned_traces(laps: DataFrame) -> DataFrame:
         "fastest",
     )
     kept = plausible_laps(fastest)
-    nominal = exact_quantiles(kept, SESSION_KEYS, "length_m", {"nominal_m": 0.5}, 1.0)
+    nominal = exact_quantiles(kept, SESSION_KEYS, "length_m", {"nominal_m": 0.5})
     own = F.element_at("distance_m", -1)
     on_grid = (
         kept.join(nominal, SESSION_KEYS)

@@ -17,11 +17,14 @@ def lopsided(spark):
     return pd.DataFrame({"k": key, "v": value, "id": np.arange(6000)})
 
 
-def test_quantiles_match_numpy(spark, lopsided):
+@pytest.mark.parametrize("gathered", [20_000, 1000, 0])
+def test_quantiles_match_numpy(spark, lopsided, gathered):
+    """All groups gathered, all but the large one, none."""
     probs = {"low": 0.1, "q1": 0.25, "mid": 0.5, "top": 1.0}
     got = skew.exact_quantiles(
-        spark.createDataFrame(lopsided), ["k"], "v", probs, 0.05, "n"
+        spark.createDataFrame(lopsided), ["k"], "v", probs, "n", gathered=gathered
     ).toPandas()
+    assert len(got) == 7
     for row in got.itertuples():
         values = lopsided.loc[lopsided.k == row.k, "v"]
         assert row.n == len(values)
@@ -48,10 +51,19 @@ def test_worked_quantiles(spark):
 @given(st.lists(st.floats(-50, 50, allow_nan=False), min_size=1, max_size=40))
 def test_quantile_of_any_values(spark, values):
     rows = spark.createDataFrame([(1, v) for v in values], "k int, v double")
-    got = skew.exact_quantiles(rows, ["k"], "v", {"m": 0.5}, 3.0).collect()[0].m
+    got = skew.exact_quantiles(rows, ["k"], "v", {"m": 0.5}).collect()[0].m
     assert got == pytest.approx(float(np.median(values)), abs=1e-9)
 
 
+def test_weights_null_keys_and_null_values(spark):
+    rows = [(None, 1.0, 3), (None, 5.0, 1), ("a", 2.0, 1), ("a", None, 9), ("b", None, 1)]
+    df = spark.createDataFrame(rows, "k string, v double, w int")
+    for gathered in (100, 1):
+        found = skew.exact_quantiles(df, ["k"], "v", {"m": 0.5, "q": 0.9}, "n", "w", gathered)
+        got = {r.k: (r.m, pytest.approx(r.q), r.n) for r in found.collect()}
+        assert got == {None: (1.0, 3.8, 4), "a": (2.0, 2.0, 1)}
+
+
 @pytest.fixture
 def no_merging(spark):
     """Small ranges stay apart, as large ones do."""
@@ -93,3 +105,45 @@ def test_gap_to_best_plans_agree(spark, lopsided):
     many = skew.gap_to_best(rows, ["s"], "v", "gap", few=False).toPandas()
     key = lambda d: d.sort_values("k").gap.tolist()
     assert key(few) == key(many)
+
+
+def test_a_group_of_near_values_spans_many_tasks(spark, no_merging):
+    """All values of the group lie within a thousandth."""
+    rows = spark.range(0, 40_000, 1, 8).select(
+        F.lit("k").alias("k"), (F.lit(80.0) + F.pmod(F.col("id") * 7919, F.lit(40_000)) * 2.5e-8).alias("v")
+    )
+    ranged = skew.blocks(rows, ["k"], [F.col("v")])
+    assert ranged.groupBy("_block").count().count() >= 8
+    got = skew.exact_quantiles(rows, ["k"], "v", {"m": 0.5}, "n").first()
+    assert got.n == 40_000 and got.m == pytest.approx(80.0 + 19_999.5 * 2.5e-8, abs=1e-12)
+
+
+@pytest.mark.parametrize("merging", [True, False])
+def test_neighbours_by_brute_force(spark, merging):
+    rng = np.random.default_rng(6)
+    left = [(int(i), None if g == 3 else int(g), float(t)) for i, (g, t) in enumerate(zip(rng.integers(0, 4, 300), rng.integers(0, 500, 300)))]
+    right = [(None if g == 3 else int(g), float(t) if t % 11 else None, f"v{j}") for j, (g, t) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(0, 500, 60)))]
+    right += [(0, 250.0, "same-a"), (0, 250.0, "same-b"), (1, 3.0, None)]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, str(merging).lower())
+    try:
+        found = skew.neighbours(
+            spark.createDataFrame(left, "id int, g int, at double"),
+            spark.createDataFrame(right, "g int, at double, v string"),
+            ["g"],
+            "at",
+            F.col("v"),
+            "below",
+            "above",
+        ).collect()
+    finally:
+        spark.conf.unset(name)
+    got = {r.id: (r.below, r.above) for r in found}
+    assert len(found) == len(left)
+    for i, g, t in left:
+        mine = sorted(((a, v or "") for h, a, v in right if h == g and a is not None), key=lambda r: r)
+        below = [r for r in mine if r[0] <= t]
+        above = [r for r in mine if r[0] >= t]
+        want_below = below[-1][1] if below else ""
+        want_above = max(v for a, v in above if a == above[0][0]) if above else ""
+        assert (got[i][0] or "", got[i][1] or "") == (want_below, want_above)
