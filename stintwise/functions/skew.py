@@ -54,11 +54,12 @@ def before_block(df: DataFrame, keys: list[str], amount: Column, name: str) -> D
 
 
 def number_blocks(blocked: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    """1-based row number within each group of an already blocked frame; keeps `_block`."""
+    """1-based row number within each group of an already blocked frame; keeps `_block`. Null keys are a
+    group like any other."""
     offsets = before_block(blocked, keys, F.count("*"), "_offset")
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     return (
-        blocked.join(offsets, [*keys, "_block"])
+        null_safe_join(blocked, offsets, [*keys, "_block"])
         .withColumn(name, (F.col("_offset") + F.row_number().over(inside)).cast("bigint"))
         .drop("_offset")
     )

@@ -182,15 +182,23 @@ def latest_item(items: DataFrame, weekends: DataFrame) -> DataFrame:
     )
 
 
-def items_by_weekend(weekends: DataFrame, items: DataFrame) -> DataFrame:
+def items_by_weekend(
+    weekends: DataFrame, items: DataFrame, year: int | None = None, round: int | None = None
+) -> DataFrame:
+    """Published items of all weekends, or those of one year, of one round, or of both, in order. A
+    weekend without items has one row."""
+    for key, value in (("year", year), ("round", round)):
+        if value is not None:
+            weekends = weekends.where(F.col(key) == value)
     return weekends.join(items, WEEKEND_KEYS, "left").orderBy(*WEEKEND_KEYS, "slot")
 
 
-def needs_generation(weekends: DataFrame, items: DataFrame, analysed: DataFrame) -> DataFrame:
-    """Analysed weekends for which nothing has been published."""
-    return weekends.join(analysed, WEEKEND_KEYS, "left_semi").join(
-        items, WEEKEND_KEYS, "left_anti"
-    )
+def needs_generation(
+    weekends: DataFrame, items: DataFrame, analysed: DataFrame, force: bool = False
+) -> DataFrame:
+    """Analysed weekends for which nothing has been published, or all of them with `force`."""
+    found = weekends.join(analysed, WEEKEND_KEYS, "left_semi")
+    return found if force else found.join(items, WEEKEND_KEYS, "left_anti")
 
 
 def published_items(team_pace: DataFrame, slots: int = 3) -> DataFrame:

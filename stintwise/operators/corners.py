@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 from stintwise.constants import (
     CORNER_GRID_POINTS,
     CORNER_HALF_WINDOW_M,
+    MAX_CORNER_DELTA,
+    MAX_STRAIGHT_DEFICIT,
     MAX_THROTTLE,
     MIN_CORNER_LAPS,
     PROFILE_CONFIDENCE,
     PROFILE_CORNER_KMH,
     PROFILE_STRAIGHT_KMH,
     QUALI_FULL_THROTTLE,
+    REAL_STRAIGHT_KMH,
     SESSION_KEYS,
     STRAIGHT_MARGIN_M,
     TARGET_CORNER_LAPS,
@@ -409,18 +412,25 @@ def corner_delta_lookup(pairs: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+CHANNELS = ["cornering_kmh", "top_speed_kmh", "sector_s"]
+
+
 def speed_profile(
-    pairs: DataFrame, zones: DataFrame, sectors: DataFrame, a: str, b: str
+    sessions: DataFrame, pairs: DataFrame, zones: DataFrame, sectors: DataFrame, a: str, b: str
 ) -> DataFrame:
-    """Where two cars differ, one row per reading: corners by speed class, top speed and sectors.
-    Doubtful and implausible readings are left out."""
+    """Where two cars differ, one row per reading: corners by speed class with the corners that count,
+    top speed and sectors. Doubtful and implausible readings are left out. Every session has rows for all
+    channels: one without readings has one row without an item. `confident` tells whether the session
+    has any reading."""
     trusted = corner_delta_lookup(pairs, a, b).where(
         (F.col("confidence") >= PROFILE_CONFIDENCE) & (F.abs("delta_kmh") <= PROFILE_CORNER_KMH)
     )
-    cornering = trusted.groupBy(*SESSION_KEYS, F.col("speed_class").alias("item")).agg(
-        F.lit("cornering_kmh").alias("channel"),
+    kind = F.coalesce("speed_class", F.lit("unclassified"))
+    cornering = trusted.groupBy(*SESSION_KEYS, kind.alias("item")).agg(
+        F.lit(CHANNELS[0]).alias("channel"),
         F.avg("delta_kmh").alias("delta"),
         F.array_join(F.array_sort(F.collect_list("corner_number")), ",").alias("corner_numbers"),
+        F.count("*").alias("n_corners"),
     )
 
     def difference(rows: DataFrame, value: Column, item: Column, channel: str) -> DataFrame:
@@ -436,18 +446,60 @@ def speed_profile(
                 if channel == "top_speed_kmh"
                 else (F.min(of(a)) - F.min(of(b))).alias("delta"),
                 F.lit("").alias("corner_numbers"),
+                F.lit(0).cast("bigint").alias("n_corners"),
             )
             .where(F.col("delta").isNotNull())
         )
 
-    top = difference(zones, F.col("max_speed_kmh"), F.lit("lap"), "top_speed_kmh").where(
+    top = difference(zones, F.col("max_speed_kmh"), F.lit("lap"), CHANNELS[1]).where(
         F.abs("delta") <= PROFILE_STRAIGHT_KMH
     )
     by_sector = difference(
-        sectors, F.col("best_time_s"), F.col("sector").cast("string"), "sector_s"
+        sectors, F.col("best_time_s"), F.col("sector").cast("string"), CHANNELS[2]
     )
+    readings = cornering.unionByName(top).unionByName(by_sector)
+    every = sessions.select(*SESSION_KEYS, F.explode(F.array(*map(F.lit, CHANNELS))).alias("channel"))
+    session = Window.partitionBy(*SESSION_KEYS)  # a dozen rows
     return (
-        cornering.unionByName(top)
-        .unionByName(by_sector)
+        every.join(readings, [*SESSION_KEYS, "channel"], "left")
+        .withColumn("confident", F.count("delta").over(session) > 0)
         .withColumn("delta", F.bround("delta", 3))
+        .withColumn("corner_numbers", F.coalesce("corner_numbers", F.lit("")))
+        .withColumn("n_corners", F.coalesce("n_corners", F.lit(0).cast("bigint")))
+        .select(*SESSION_KEYS, "channel", "item", "delta", "corner_numbers", "n_corners", "confident")
+    )
+
+
+def corner_caps(pairs: DataFrame) -> DataFrame:
+    """Corner readings of two cars with what the caps say of them: `plausible` for findings, `profiled`
+    for the comparison of two cars, which asks for more."""
+    off = F.abs("delta_kmh")
+    known = F.col("delta_kmh").isNotNull() & F.col("confidence").isNotNull()
+    return pairs.select(
+        *SESSION_KEYS,
+        "corner_number",
+        "constructor_a",
+        "constructor_b",
+        "delta_kmh",
+        F.coalesce(known & (off <= MAX_CORNER_DELTA), F.lit(False)).alias("plausible"),
+        F.coalesce(
+            (F.col("confidence") >= PROFILE_CONFIDENCE) & (off <= PROFILE_CORNER_KMH), F.lit(False)
+        ).alias("profiled"),
+    )
+
+
+def straight_caps(zones: DataFrame) -> DataFrame:
+    """Teams' speeds on a straight with their deficit to the fastest and whether the caps let it count: a
+    real straight, a deficit, and none too great."""
+    field = Window.partitionBy(*SESSION_KEYS, "zone")
+    teams = (
+        zones.where(F.col("constructor").isNotNull() & F.col("max_speed_kmh").isNotNull())
+        .groupBy(*SESSION_KEYS, "zone", "constructor")
+        .agg(F.avg("max_speed_kmh").alias("kmh"))
+        .withColumn("fastest_kmh", F.max("kmh").over(field))
+    )
+    deficit = F.col("fastest_kmh") - F.col("kmh")
+    return teams.withColumn("deficit_kmh", deficit).withColumn(
+        "plausible",
+        (F.col("fastest_kmh") >= REAL_STRAIGHT_KMH) & (deficit > 0) & (deficit <= MAX_STRAIGHT_DEFICIT),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stintwise.functions import text_rules as R
 from stintwise.functions.expressions import isclose
 
+from stintwise.operators.reads import nearest_value, tolerance_match
 from stintwise.operators.text import matches, matches_in_context
 
 STRINGS = r'"(?:\\.|[^"\\])*"'
@@ -390,13 +391,48 @@ def trace_pairs(calls: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def claim_audit(claims: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts of OK, WARN and FAIL claims per group."""
-    return claims.groupBy(*keys, "severity").agg(F.count("*").alias("claims"))
-
-
 def pace_severity(gap: Column, cited_value: Column) -> Column:
     off = F.abs(gap - cited_value)
     return F.when(off <= 0.02, "OK").when(off <= 0.1, "WARN").otherwise("FAIL")
 
 
+def cited_numbers(texts: DataFrame, keys: list[str], pattern: str) -> DataFrame:
+    """(keys, cite_id, cited): every number that a pattern's first group finds in a text."""
+    found = matches(F.col("text"), pattern, 1)
+    return texts.select(*keys, "doc_id", F.posexplode(found).alias("_i", "_v")).select(
+        *keys, F.concat_ws("#", "doc_id", "_i").alias("cite_id"), F.col("_v").cast("double").alias("cited")
+    )
+
+
+def audited_claims(
+    texts: DataFrame, keys: list[str], pace: DataFrame, speeds: DataFrame, clips: DataFrame, gaps: DataFrame
+) -> DataFrame:
+    """(keys, kind, severity) of every claim of the texts that can be held against measured values:
+    pace gaps against the nearest team's, speeds, clip lengths and finish gaps against any within the
+    claim's tolerance. `speeds`, `clips` and `gaps` have (keys, measured). Lengths below 50 m are no
+    clip claims, unmatched ones below 100 m are not judged."""
+    near = nearest_value(cited_numbers(texts, keys, R.PACE_CLAIM), pace, keys)
+    paced = near.select(
+        *keys, F.lit("pace").alias("kind"), pace_severity(F.col("gap_s"), F.col("cited")).alias("severity")
+    )
+
+    def matched(kind: str, pattern: str, measured: DataFrame, tol: float, missing: Column, least: float = 0.0) -> DataFrame:
+        cited = cited_numbers(texts, keys, pattern).where(F.col("cited") >= least)
+        severity = F.when(F.col("matched"), "OK").otherwise(missing)
+        return (
+            tolerance_match(cited, measured.where(F.col("measured").isNotNull()), keys, tol)
+            .select(*keys, F.lit(kind).alias("kind"), severity.alias("severity"))
+            .where(F.col("severity").isNotNull())
+        )
+
+    far_clip = F.when(F.col("cited") >= 100, "WARN")
+    return (
+        paced.unionByName(matched("speed", R.SPEED_CLAIM, speeds, 0.6, F.lit("FAIL")))
+        .unionByName(matched("clip", R.CLIP_CLAIM, clips, 2.0, far_clip, 50.0))
+        .unionByName(matched("finish", R.FINISH_CLAIM, gaps.where(F.col("measured") != 0), 0.15, F.lit("WARN")))
+    )
+
+
+def claim_audit(claims: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of OK, WARN and FAIL claims of each kind per group."""
+    return claims.groupBy(*keys, "kind", "severity").agg(F.count("*").alias("claims"))

@@ -179,3 +179,13 @@ def ols_fit(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
         F.regr_intercept(y, x).alias("intercept"),
         F.count("*").alias("n_points"),
     )
+
+
+def wear_page(paced: DataFrame, fits: DataFrame) -> DataFrame:
+    """Laps by tyre age beside the fit of their team and compound, null where there is none."""
+    shown = ["slope_s_per_lap", "intercept_s", "cost_s", "flagged"]
+    keys = [*TEAM_KEYS, "compound"]
+    laps = paced.where(F.col("tyre_age").isNotNull())
+    return laps.select(*TEAM_KEYS, "driver", "lap_number", "compound", "tyre_age", "pace_s").join(
+        fits.select(*keys, *shown), keys, "left"
+    )

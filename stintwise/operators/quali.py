@@ -137,3 +137,19 @@ def car_character(reps: DataFrame, corner_speeds: DataFrame) -> DataFrame:
         (F.col("_corner") == 1).alias("is_corner_speed_leader"),
         (F.col("_grip") == 1).alias("is_grip_leader"),
     )
+
+
+def with_sector_leaders(cars: DataFrame, dominance: DataFrame) -> DataFrame:
+    """Each car's row with the best time of every sector of its session, the team that set it and its
+    margin."""
+    def of(column: str, sector: int) -> Column:
+        return F.max(F.when(F.col("sector") == sector, F.col(column)))
+
+    leaders = dominance.groupBy(*SESSION_KEYS).agg(
+        *[
+            of(column, k).alias(f"sector{k}_{name}")
+            for k in (1, 2, 3)
+            for column, name in (("best_time_s", "best_s"), ("constructor", "team"), ("margin_s", "margin_s"))
+        ]
+    )
+    return cars.join(leaders, SESSION_KEYS, "left")

@@ -23,6 +23,7 @@ from stintwise.constants import (
 )
 from stintwise.functions.expressions import lookup
 from stintwise.functions.skew import attach, exact_quantiles, row_numbers
+from stintwise.functions.text_rules import VERDICT_NONE, VERDICTS
 from stintwise.operators.catalog import pick_session
 from stintwise.operators.quali import fastest_per_constructor, sector_dominance
 
@@ -327,6 +328,54 @@ def pu_verdict_rank(metrics: DataFrame, epsilon: float = 0.05) -> DataFrame:
     )
 
 
+def signed(metric: str) -> Column:
+    return F.format_string("%+.1f", F.col(metric) + F.lit(0.0))
+
+
+def pu_verdicts(metrics: DataFrame, epsilon: float = 0.05) -> DataFrame:
+    """(year, unit, place, header, explanation): one verdict for every measured unit, best first by punch,
+    then hold. It tells the unit's one or two most telling places, or that it has none; a year in which
+    no metric tells units apart has no verdicts."""
+    picks = pu_verdict_rank(metrics, epsilon)
+    place = (
+        F.when(F.col("place") == 1, "first").when(F.col("place") == F.col("total"), "last").otherwise("second")
+    )
+    # of a fade as of other metrics the greatest is "last"; with a hold at or below nothing it runs dry
+    dry = (F.col("metric") == "hold") & (place == "last") & (F.col("hold") <= 0)
+    key = F.concat_ws(" ", "metric", F.when(dry, "dry").otherwise(place))
+    said = picks.join(metrics.select("year", "unit", "punch", "hold"), ["year", "unit"]).select(
+        "year",
+        "unit",
+        "pick",
+        lookup({k: v[0] for k, v in VERDICTS.items()}, key).alias("headline"),
+        F.replace(
+            F.replace(lookup({k: v[1] for k, v in VERDICTS.items()}, key), F.lit("{punch}"), F.coalesce(signed("punch"), F.lit(""))),
+            F.lit("{hold}"),
+            F.coalesce(signed("hold"), F.lit("")),
+        ).alias("clause"),
+    )
+    told = said.groupBy("year", "unit").agg(
+        F.min_by("headline", "pick").alias("headline"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pick", "clause"))), lambda s: s["clause"]), "; ").alias("_told"),
+    )
+    told_at_all = picks.select("year").distinct()  # the first and the last of a metric are always picked
+    best = Window.partitionBy("year").orderBy(F.desc_nulls_last("punch"), F.desc_nulls_last("hold"), "unit")
+    upper = F.concat(F.upper(F.substring("_told", 1, 1)), F.expr("substring(_told, 2)"), F.lit("."))
+    return (
+        metrics.where("punch is not null or hold is not null")
+        .join(told_at_all, "year", "left_semi")
+        .withColumn("place", F.row_number().over(best))
+        .join(told, ["year", "unit"], "left")
+        .select(
+            "year",
+            "unit",
+            "place",
+            F.concat("unit", F.lit(" power "), F.coalesce("headline", F.lit(VERDICT_NONE[0]))).alias("header"),
+            F.coalesce(upper, F.lit(VERDICT_NONE[1])).alias("explanation"),
+        )
+    )
+
+
 def band_fit(points: DataFrame, keys: list[str]) -> DataFrame:
     """Least squares of acceleration on speed inside the harvesting band, with enough points."""
     low, high = HARVEST_BAND

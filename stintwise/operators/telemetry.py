@@ -64,20 +64,22 @@ def lap_relative_time(times: Column) -> Column:
     return F.transform(times, lambda t: t - F.get(times, F.lit(0)))
 
 
-def time_from_distance(distance: Column, speed_kmh: Column) -> Column:
-    """A clock for laps without one: distance over speed, no slower than 1 m/s."""
+def time_from_distance(laps: DataFrame) -> DataFrame:
+    """(lap_id, sample_idx, time_s): a clock for laps without one: distance over speed, no slower than
+    1 m/s, added up along the lap."""
     steps = F.transform(
-        distance,
+        "distance_m",
         lambda d, i: F.when(i == 0, F.lit(0.0)).otherwise(
-            (d - F.get(distance, i - 1))
-            / F.greatest(F.get(speed_kmh, i - 1) / F.lit(3.6), F.lit(1.0))
+            (d - F.get("distance_m", i - 1))
+            / F.greatest(F.get("speed_kmh", i - 1) / F.lit(3.6), F.lit(1.0))
         ),
     )
-    nothing = F.array().cast("array<double>")
-    return F.aggregate(
-        steps,
-        nothing,
-        lambda acc, s: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + s)),
+    so_far = Window.partitionBy("lap_id").orderBy("sample_idx")
+    so_far = so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return laps.select("lap_id", F.posexplode(steps).alias("sample_idx", "_step")).select(
+        "lap_id",
+        (F.col("sample_idx") + 1).alias("sample_idx"),
+        F.sum("_step").over(so_far).alias("time_s"),
     )
 
 
@@ -426,3 +428,18 @@ def aligned_traces(laps: DataFrame) -> DataFrame:
             *LAP, "lap_time_s", "is_pole", "grid_m", "speed_kmh", "throttle", "time_s", "delta_s"
         )
     )
+
+
+def trace_page(traces: DataFrame) -> DataFrame:
+    """Drivers of a session in the order of their lap times, with their place, the length of the common
+    grid and what they lost on the pole lap at its end. A session has a grid's worth of rows."""
+    order = Window.partitionBy(*SESSION_KEYS).orderBy("lap_time_s", "lap_id")
+    return traces.select(
+        *LAP,
+        "is_pole",
+        "lap_time_s",
+        F.size("grid_m").cast("bigint").alias("n_points"),
+        F.element_at("grid_m", -1).alias("grid_end_m"),
+        F.element_at("delta_s", -1).alias("lost_s"),
+        F.row_number().over(order).cast("bigint").alias("place"),
+    )

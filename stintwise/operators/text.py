@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stintwise.functions import text_rules as R
-from stintwise.functions.skew import first_by
+from stintwise.functions.skew import first_by, row_numbers
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -24,19 +24,25 @@ def replace_matches(text: Column, pattern: str, group: int, to) -> Column:
     return F.when(F.size(found) > 0, F.array_join(joined, "")).otherwise(text)
 
 
-def matches_in_context(text: Column, pattern: str, width: int) -> Column:
-    """array<struct<match, context>>: each match with `width` characters on either side."""
+def matches_in_context(text: Column, pattern: str, width: int, shortest: int = 4) -> Column:
+    """array<struct<match, context>>: each match with `width` characters on either side. A match has
+    `shortest` characters or more, so the few parts of the text about it are enough, wherever it
+    stands."""
     between, found = pieces(text, pattern), matches(text, pattern)
-
-    def length(parts: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda s, p: s + F.length(p))
+    reach = 2 * (width // shortest + 1)
+    parts = F.flatten(F.zip_with(between, found, lambda a, b: F.array(a, F.coalesce(b, F.lit("")))))
 
     def one(match: Column, i: Column) -> Column:
-        start = length(between, i + 1) + length(found, i)
-        low = F.greatest(F.lit(0), start - width)
-        high = start + F.length(match) + width
+        at = 2 * i + 1  # the parts before the match
+        before = F.slice(parts, F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach)))
+        after = F.slice(parts, at + 2, reach)
         return F.struct(
-            match.alias("match"), F.substring(text, low + 1, high - low).alias("context")
+            match.alias("match"),
+            F.concat(
+                F.right(F.array_join(before, ""), F.lit(width)),
+                match,
+                F.left(F.array_join(after, ""), F.lit(width)),
+            ).alias("context"),
         )
 
     return F.transform(found, one)
@@ -231,3 +237,12 @@ def incident_events(messages: DataFrame, keys: list[str]) -> DataFrame:
         "seq",
     )
     return first.select(*keys, "lap", "driver", "kind", "message")
+
+
+def events_by_lap(events: DataFrame, keys: list[str], driver: str | None = None) -> DataFrame:
+    """Notable messages by lap, those without a lap last, numbered from 1 for each car named; messages that
+    name no car are a group of their own. `driver` picks one car. A car may have any number of them."""
+    if driver is not None:
+        events = events.where(F.col("driver") == driver)
+    order = [F.asc_nulls_last("lap"), F.col("kind"), F.col("message")]
+    return row_numbers(events, [*keys, "driver"], order, "nth")

@@ -201,6 +201,14 @@ def _(t):
     return C.items_by_weekend(t.calendar.select(*WEEKEND_KEYS, "event_name"), t.items)
 
 
+@query(
+    "items_of_season",
+    "SELECT c.year, c.round, event_name, slot, constructor, header FROM calendar c LEFT JOIN items i USING (year, round) WHERE c.year = 1995",
+)
+def _(t):
+    return C.items_by_weekend(t.calendar.select(*WEEKEND_KEYS, "event_name"), t.items, year=1995)
+
+
 @query(
     "latest_item",
     """SELECT year, round, event_name, slot, constructor, header FROM items JOIN calendar USING (year, round)
@@ -212,13 +220,22 @@ def _(t):
 
 @query(
     "needs_generation",
-    """SELECT year, round, event_name FROM calendar WHERE (year, round) IN (SELECT (year, round) FROM race_session)
-    AND (year, round) NOT IN (SELECT (year, round) FROM items WHERE round = 1)""",
+    """SELECT year, round, event_name, 'race' AS model FROM calendar WHERE (year, round) IN (SELECT (year, round) FROM laps WHERE session_type IN ('R', 'SPRINT'))
+      AND (year, round) NOT IN (SELECT (year, round) FROM items)
+    UNION ALL SELECT year, round, event_name, 'qualifying' FROM calendar WHERE (year, round) IN (SELECT (year, round) FROM laps WHERE session_type = 'Q')
+      AND (year, round) NOT IN (SELECT (year, round) FROM quali_row WHERE session_type = 'Q')""",
 )
 def _(t):
+    """Weekends whose race or qualifying was run and has nothing published: of races the texts on pace, of
+    qualifying those on the cars that were measured."""
     weekends = t.calendar.select(*WEEKEND_KEYS, "event_name")
-    analysed = t.sessions.where(F.col("session_type").isin(RACE_LIKE))
-    return C.needs_generation(weekends, t.earlier_items, analysed)
+    measured = t.quali_rows.where(F.col("session_type") == "Q").select(*WEEKEND_KEYS).distinct()
+    ran = F.col("session_type")
+    race = C.needs_generation(weekends, t.items, t.sessions.where(ran.isin(RACE_LIKE)))
+    quali = C.needs_generation(weekends, measured, t.sessions.where(ran == "Q"))
+    return race.withColumn("model", F.lit("race")).unionByName(
+        quali.withColumn("model", F.lit("qualifying"))
+    )
 
 
 @query(

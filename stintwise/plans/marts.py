@@ -56,11 +56,6 @@ class Marts(Tables):
     def items(self) -> DataFrame:
         return C.published_items(self.race_pace)
 
-    @property
-    def earlier_items(self) -> DataFrame:
-        """What had been published before the second rounds."""
-        return self.items.where(F.col("round") == 1)
-
     @property
     def prints(self) -> DataFrame:
         return self.stored("prints", lambda: K.corner_prints(self.telemetry, CORNERS))

@@ -380,6 +380,7 @@ FROM results r JOIN team_pace p USING (year, round, session_type, constructor) W
     "notes": """
 SELECT year, round, doc_id, driver, CASE WHEN driver % 4 = 0 THEN printf('%s by %.3f seconds', constructor, gap_s) ELSE constructor END AS header,
   CASE WHEN driver % 20 = 1 THEN printf('%s was %.3f seconds off in qualifying through sector 2.', constructor, gap_s)
+    WHEN driver % 40 = 39 THEN printf('%s finished %.3f seconds behind the winner.', constructor, gap_s)
     WHEN driver % 10 = 0 THEN printf('%s ran %.3f seconds off the pace in the race after just %d laps.', constructor, gap_s, laps)
     WHEN driver % 10 = 1 THEN printf('%s ran %.3f seconds off the pace in the race.', constructor, gap_s)
     WHEN driver % 10 = 2 THEN printf('%s retired on lap %d when it pulled off.', constructor, laps)

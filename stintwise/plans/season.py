@@ -2,14 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from stintwise.constants import INDICATIVE, SESSION_KEYS, WEEKEND_KEYS
+from stintwise.constants import INDICATIVE, QUALI_LIKE, SESSION_KEYS, WEEKEND_KEYS
+from stintwise.functions.text_rules import VERDICT_NONE, VERDICTS
 from stintwise.operators import catalog as C
 from stintwise.operators import pace as P
 from stintwise.operators import quali as Q
 from stintwise.operators import reads as R
 from stintwise.operators import season as N
-from stintwise.plans.columns import rounded
-from stintwise.plans.registry import query
+from stintwise.plans.columns import rounded, sql_text
+from stintwise.plans.registry import ORACLES, query
 from stintwise.plans.telemetry import GK, INDEX_SQL
 
 UNITS = {"Alpha": ["NATION_0", "NATION_1"], "Beta": ["NATION_2"], "Gamma": ["NATION_3", "NATION_4"]}
@@ -108,25 +109,33 @@ def _(t):
     return rounded(Q.car_character(Q.fastest_per_constructor(t.quali_rows), t.quali_corners))
 
 
+SECTOR_PAGE = ", ".join(
+    f"round(max(best_time_s) FILTER (sector = {k}), 6) AS sector{k}_best_s, max(constructor) FILTER (sector = {k}) AS sector{k}_team, round(max(margin_s) FILTER (sector = {k}), 6) AS sector{k}_margin_s"
+    for k in (1, 2, 3)
+)
+
+
 @query(
     "qualifying_tables",
-    f"""SELECT c.*, d.best_time_s AS sector1_best_s, d.constructor AS sector1_team FROM
-    ({CHARACTER.replace("(s ORDER", "(PARTITION BY year, round, session_type ORDER")}) c
-    LEFT JOIN (SELECT {GK}, constructor, round(best_time_s, 6) AS best_time_s FROM dominance WHERE sector = 1) d USING ({GK}) WHERE session_type = 'Q'""",
+    f"""SELECT * FROM ({CHARACTER.replace("(s ORDER", "(PARTITION BY year, round, session_type ORDER")})
+    LEFT JOIN (SELECT {GK}, {SECTOR_PAGE} FROM dominance GROUP BY ALL) USING ({GK}) WHERE session_type IN ('Q', 'SQ')""",
 )
 def _(t):
-    quali = t.quali_rows.where(F.col("session_type") == "Q")
+    quali = t.quali_rows.where(F.col("session_type").isin(QUALI_LIKE))
     cars = Q.car_character(Q.fastest_per_constructor(quali), t.quali_corners)
-    first = (
-        Q.sector_dominance(t.sector_bests, SESSION_KEYS)
-        .where(F.col("sector") == 1)
-        .select(
-            *SESSION_KEYS,
-            F.col("best_time_s").alias("sector1_best_s"),
-            F.col("constructor").alias("sector1_team"),
-        )
-    )
-    return rounded(cars.join(first, SESSION_KEYS, "left"))
+    return rounded(Q.with_sector_leaders(cars, Q.sector_dominance(t.sector_bests, SESSION_KEYS)))
+
+
+@query(
+    "wear_page",
+    f"""SELECT {GK}, constructor, driver, lap_number, compound, tyre_age, round(pace_s, 6) AS pace_s, round(slope_s_per_lap, 6) AS slope_s_per_lap,
+      round(intercept_s, 6) AS intercept_s, round(cost_s, 6) AS cost_s, flagged
+    FROM paced LEFT JOIN wear USING ({GK}, constructor, compound) WHERE session_type IN ('R', 'SPRINT') AND tyre_age IS NOT NULL""",
+)
+def _(t):
+    """Wear as it is shown: every lap of a race by tyre age, beside its team's fit."""
+    laps = t.paced.where(F.col("session_type").isin("R", "SPRINT"))
+    return rounded(P.wear_page(laps, t.wear))
 
 
 @query(
@@ -291,6 +300,26 @@ def _(t):
     return rounded(N.pu_verdict_rank(N.pu_ranking(t.accel, UNITS)))
 
 
+def verdict_sql(column: int) -> str:
+    cases = " ".join(f"WHEN {sql_text(k)} THEN {sql_text(v[column])}" for k, v in VERDICTS.items())
+    return f"CASE metric || ' ' || said {cases} END"
+
+
+@query(
+    "pu_verdicts",
+    f"""WITH {BINS}, p AS ({ORACLES["pu_verdict_rank"]}),
+    said AS (SELECT p.year, p.unit, pick, metric, CASE WHEN place = 1 THEN 'first' WHEN place = total AND metric = 'hold' AND hold <= 0 THEN 'dry' WHEN place = total THEN 'last' ELSE 'second' END AS said, punch, hold
+      FROM p JOIN met ON met.year = p.year AND met.unit = p.unit),
+    told AS (SELECT year, unit, arg_min({verdict_sql(0)}, pick) AS headline,
+      string_agg(replace(replace({verdict_sql(1)}, '{{punch}}', coalesce(printf('%+.1f', punch), '')), '{{hold}}', coalesce(printf('%+.1f', hold), '')), '; ' ORDER BY pick) AS told FROM said GROUP BY ALL)
+    SELECT year, unit, CAST(row_number() OVER (PARTITION BY year ORDER BY punch DESC NULLS LAST, hold DESC NULLS LAST, unit) AS INT) AS place,
+      unit || ' power ' || coalesce(headline, {sql_text(VERDICT_NONE[0])}) AS header, coalesce(upper(told[1:1]) || told[2:] || '.', {sql_text(VERDICT_NONE[1])}) AS explanation
+    FROM met LEFT JOIN told USING (year, unit) WHERE (punch IS NOT NULL OR hold IS NOT NULL) AND year IN (SELECT year FROM p)""",
+)
+def _(t):
+    return N.pu_verdicts(N.pu_ranking(t.accel, UNITS))
+
+
 @query(
     "accel_scatter",
     """SELECT year, round, constructor, driver, lap_id, sample_idx, round(speed_kmh, 6) AS speed_kmh, round(accel_ms2, 6) AS accel_ms2 FROM

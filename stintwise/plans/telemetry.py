@@ -7,7 +7,7 @@ from stintwise.functions.kernels import lateral_accel, longitudinal_accel, lowpa
 from stintwise.operators import corners as K
 from stintwise.operators import telemetry as T
 from stintwise.plans.columns import rounded
-from stintwise.plans.registry import query
+from stintwise.plans.registry import ORACLES, query
 from stintwise.sources.landing import CORNERS
 
 GK = "year, round, session_type"
@@ -194,16 +194,39 @@ def _(t):
     "speed_profile",
     f"""WITH pr AS (SELECT *, CASE WHEN constructor_a = '{TEAM_B}' THEN delta_kmh ELSE -delta_kmh END AS d FROM attribution
       WHERE constructor_a IN ('{TEAM_A}', '{TEAM_B}') AND constructor_b IN ('{TEAM_A}', '{TEAM_B}') AND confidence >= 0.5 AND abs(delta_kmh) <= 15),
-    u AS (SELECT {GK}, speed_class AS item, 'cornering_kmh' AS channel, avg(d) AS delta,
-        string_agg(corner_number::VARCHAR, ',' ORDER BY corner_number) AS corner_numbers FROM pr GROUP BY ALL
+    u AS (SELECT {GK}, coalesce(speed_class, 'unclassified') AS item, 'cornering_kmh' AS channel, avg(d) AS delta,
+        string_agg(corner_number::VARCHAR, ',' ORDER BY corner_number) AS corner_numbers, count(*) AS n_corners FROM pr GROUP BY ALL
       UNION ALL SELECT {GK}, 'lap', 'top_speed_kmh', max(max_speed_kmh) FILTER (WHERE constructor = '{TEAM_B}')
-        - max(max_speed_kmh) FILTER (WHERE constructor = '{TEAM_A}') AS delta, '' FROM zone_speed GROUP BY {GK} HAVING abs(delta) <= 20
+        - max(max_speed_kmh) FILTER (WHERE constructor = '{TEAM_A}') AS delta, '', 0 FROM zone_speed GROUP BY {GK} HAVING abs(delta) <= 20
       UNION ALL SELECT {GK}, sector::VARCHAR, 'sector_s', min(best_time_s) FILTER (WHERE constructor = '{TEAM_B}')
-        - min(best_time_s) FILTER (WHERE constructor = '{TEAM_A}') AS delta, '' FROM sector_best GROUP BY {GK}, sector HAVING delta IS NOT NULL)
-    SELECT {GK}, item, channel, round_even(delta, 3) AS delta, corner_numbers FROM u""",
+        - min(best_time_s) FILTER (WHERE constructor = '{TEAM_A}') AS delta, '', 0 FROM sector_best GROUP BY {GK}, sector HAVING delta IS NOT NULL)
+    SELECT {GK}, item, channel, round_even(delta, 3) AS delta, coalesce(corner_numbers, '') AS corner_numbers, coalesce(n_corners, 0) AS n_corners,
+      count(delta) OVER (PARTITION BY {GK}) > 0 AS confident
+    FROM (SELECT DISTINCT {GK}, unnest(['cornering_kmh', 'top_speed_kmh', 'sector_s']) AS channel FROM laps) LEFT JOIN u USING ({GK}, channel)""",
 )
 def _(t):
-    return K.speed_profile(t.pairs, t.zones, t.sector_bests, TEAM_B, TEAM_A)
+    return K.speed_profile(t.sessions, t.pairs, t.zones, t.sector_bests, TEAM_B, TEAM_A)
+
+
+@query(
+    "corner_caps",
+    f"""SELECT {GK}, corner_number, constructor_a, constructor_b, round(delta_kmh, 6) AS delta_kmh,
+      coalesce(delta_kmh IS NOT NULL AND confidence IS NOT NULL AND abs(delta_kmh) <= 18, false) AS plausible, coalesce(confidence >= 0.5 AND abs(delta_kmh) <= 15, false) AS profiled
+    FROM attribution""",
+)
+def _(t):
+    return rounded(K.corner_caps(t.pairs))
+
+
+@query(
+    "straight_caps",
+    f"""SELECT *, fastest_kmh >= 300 AND deficit_kmh > 0 AND deficit_kmh <= 20 AS plausible FROM (
+      SELECT {GK}, zone, constructor, round(kmh, 6) AS kmh, round(fastest_kmh, 6) AS fastest_kmh, round(fastest_kmh - kmh, 6) AS deficit_kmh FROM (
+        SELECT *, max(kmh) OVER (PARTITION BY {GK}, zone) AS fastest_kmh FROM (
+          SELECT {GK}, zone, constructor, avg(max_speed_kmh) AS kmh FROM zone_speed WHERE constructor IS NOT NULL AND max_speed_kmh IS NOT NULL GROUP BY ALL)))""",
+)
+def _(t):
+    return rounded(K.straight_caps(t.zones))
 
 
 # --- sample kernels ---------------------------------------------------------
@@ -247,8 +270,7 @@ def _(t):
           WINDOW w AS (PARTITION BY lap_id ORDER BY sample_idx))""",
 )
 def _(t):
-    clock = T.time_from_distance(F.col("distance_m"), F.col("speed_kmh"))
-    return rounded(T.samples(t.telemetry.withColumn("time_s", clock), ["lap_id"], "time_s"))
+    return rounded(T.time_from_distance(t.telemetry))
 
 
 @query(
@@ -364,6 +386,17 @@ def _(t):
     )
 
 
+@query(
+    "trace_page",
+    f"""SELECT {LAP_SQL}, is_pole, round(any_value(lap_time_s), 6) AS lap_time_s, count(*) AS n_points, round(max(grid_m), 6) AS grid_end_m, round(arg_max(delta_s, sample_idx), 6) AS lost_s,
+      row_number() OVER (PARTITION BY {GK} ORDER BY any_value(lap_time_s), lap_id) AS place
+    FROM ({ORACLES["fraction_aligned_trace"]}) JOIN (SELECT lap_id, lap_time_s FROM fast_rep) USING (lap_id) GROUP BY {LAP_SQL}, is_pole""",
+)
+def _(t):
+    """The fight to pole: the main qualifying session's drivers, the fastest first."""
+    return rounded(T.trace_page(T.aligned_traces(t.telemetry.where(F.col("session_type") == "Q"))))
+
+
 @query(
     "trace_vs_pole",
     f"""WITH f AS (SELECT * FROM tel WHERE lap_id IN (SELECT lap_id FROM fast_rep)),

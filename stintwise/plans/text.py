@@ -2,15 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from stintwise.constants import SESSION_KEYS, WEEKEND_KEYS
+from stintwise.constants import QUALI_LIKE, SESSION_KEYS, WEEKEND_KEYS
 from stintwise.functions import expressions as X
 from stintwise.functions import text_rules as R
 from stintwise.operators import evidence as V
 from stintwise.operators import pace as P
-from stintwise.operators import reads as D
 from stintwise.operators import text as T
-from stintwise.plans.columns import rounded
-from stintwise.plans.registry import query
+from stintwise.plans.columns import rounded, sql_text
+from stintwise.plans.registry import ORACLES, query
 from stintwise.plans.season import LABEL
 from stintwise.plans.telemetry import GK
 from stintwise.sources.notes import incident_messages
@@ -22,10 +21,6 @@ def sql_list(items) -> str:
     return "[" + ", ".join("'" + i.replace("'", "''") + "'" for i in items) + "]"
 
 
-def sql_text(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 # --- scalar functions -------------------------------------------------------
 
 
@@ -344,20 +339,13 @@ def _(t):
 
 @query(
     "events_by_lap",
-    """SELECT CAST(month(ts) AS INT) AS round, TRY_CAST(CASE WHEN event_id % 9 = 0 THEN 'nan' ELSE (user_id % 60 + 1)::VARCHAR END AS INT) AS lap, event_type AS source, event_id FROM events
-    WHERE user_id % 100 = 7 AND event_type IN ('error', 'purchase')""",
+    f"""SELECT round, driver, lap, kind, message, row_number() OVER (PARTITION BY round, driver ORDER BY lap NULLS LAST, kind, message) AS nth
+    FROM ({ORACLES["incident_events"]})""",
 )
 def _(t):
-    mine = t.raw("events").where(
-        (F.col("user_id") % 100 == 7) & F.col("event_type").isin("error", "purchase")
-    )
-    rows = incident_messages(mine).withColumn("kind", T.message_kind(F.col("message")))
-    return rows.select(
-        "round",
-        F.col("lap_text").try_cast("int").alias("lap"),
-        F.when(F.col("kind") == "penalty", "purchase").otherwise("error").alias("source"),
-        F.col("seq").alias("event_id"),
-    ).orderBy("round", "lap")
+    """Every car's notable messages in the order of laps, from the incident table."""
+    incidents = T.incident_events(incident_messages(t.raw("events")), ["round"])
+    return T.events_by_lap(incidents, ["round"])
 
 
 # --- evidence ---------------------------------------------------------------
@@ -520,45 +508,37 @@ def _(t):
     )
 
 
+def cited_sql(pattern: str) -> str:
+    plain, option = pattern.removeprefix("(?i)"), ", 'i'" if pattern.startswith("(?i)") else ", ''"
+    return f"SELECT year, round, doc_id, unnest(regexp_extract_all(text, {sql_text(plain)}, 1{option}))::DOUBLE AS cited FROM notes"
+
+
+def matched_sql(kind: str, pattern: str, measured: str, tol: float, missing: str, least: int = 0) -> str:
+    return f"""SELECT year, round, '{kind}' AS kind, CASE WHEN EXISTS (SELECT 1 FROM ({measured}) v WHERE v.year = c.year AND v.round = c.round AND abs(v.m - cited) <= {tol}) THEN 'OK' ELSE {missing} END AS severity
+      FROM ({cited_sql(pattern)}) c WHERE cited >= {least}"""
+
+
 @query(
     "claim_audit",
-    r"""WITH c AS (SELECT year, round, doc_id, CAST(regexp_extract(text, '(\d+\.\d+) seconds off', 1) AS DOUBLE) AS cited FROM notes WHERE contains(text, 'seconds off')),
-    n AS (SELECT year, round, doc_id, cited, arg_min(p.gap_s, (abs(p.gap_s - cited), p.constructor)) AS gap_s FROM c JOIN team_pace p USING (year, round) WHERE p.session_type = 'R' GROUP BY ALL),
-    s AS (SELECT year, round, CASE WHEN abs(gap_s - cited) <= 0.02 THEN 'OK' WHEN abs(gap_s - cited) <= 0.1 THEN 'WARN' ELSE 'FAIL' END AS severity FROM n
-      UNION ALL SELECT year, round, CASE WHEN EXISTS (SELECT 1 FROM quali_row q WHERE q.year = m.year AND q.round = m.round AND q.session_type = 'Q' AND abs(q.top_speed_kmh - v) <= 0.6) THEN 'OK' ELSE 'FAIL' END
-        FROM (SELECT year, round, CAST(regexp_extract(text, '(\d+) km/h', 1) AS DOUBLE) AS v FROM notes WHERE contains(text, 'km/h')) m)
-    SELECT year, round, severity, count(*) AS claims FROM s GROUP BY ALL""",
-)
-def _(t):
-    pattern = r"(?i)(\d+(?:\.\d+)?)\s*(?:s(?:ec(?:ond)?s?)?)?\s*(?:a lap |per lap )?off"
-    found = T.matches(F.col("text"), pattern, 1)
-    gaps = t.notes.select(
-        *WEEKEND_KEYS, "doc_id", F.posexplode(found).alias("_i", "_v")
-    ).select(
-        *WEEKEND_KEYS,
-        F.concat_ws("#", "doc_id", "_i").alias("cite_id"),
-        F.col("_v").cast("double").alias("cited"),
-    )
-    race = t.team_pace.where(F.col("session_type") == "R")
-    near = D.nearest_value(
-        gaps, race.select(*WEEKEND_KEYS, "constructor", "gap_s"), WEEKEND_KEYS
-    )
-    paced = near.select(
-        *WEEKEND_KEYS, V.pace_severity(F.col("gap_s"), F.col("cited")).alias("severity")
-    )
-    speeds = t.notes.select(
-        *WEEKEND_KEYS,
-        "doc_id",
-        F.posexplode(T.matches(F.col("text"), r"(\d+(?:\.\d+)?)\s*km/h", 1)).alias("_i", "_v"),
-    ).select(
-        *WEEKEND_KEYS,
-        F.concat_ws("#", "doc_id", "_i").alias("cite_id"),
-        F.col("_v").cast("double").alias("cited"),
-    )
-    tops = t.quali_rows.where(F.col("session_type") == "Q").select(
-        *WEEKEND_KEYS, F.col("top_speed_kmh").alias("measured")
-    )
-    timed = D.tolerance_match(speeds, tops, WEEKEND_KEYS, 0.6).select(
-        *WEEKEND_KEYS, F.when(F.col("matched"), "OK").otherwise("FAIL").alias("severity")
+    f"""WITH c AS (SELECT *, row_number() OVER () AS n FROM ({cited_sql(R.PACE_CLAIM)})),
+    near AS (SELECT c.year, c.round, n, cited, arg_min(p.gap_s, (abs(p.gap_s - cited), p.constructor)) AS gap_s FROM c JOIN team_pace p USING (year, round) WHERE p.session_type = 'R' GROUP BY ALL),
+    s AS (SELECT year, round, 'pace' AS kind, CASE WHEN abs(gap_s - cited) <= 0.02 THEN 'OK' WHEN abs(gap_s - cited) <= 0.1 THEN 'WARN' ELSE 'FAIL' END AS severity FROM near
+      UNION ALL {matched_sql("speed", R.SPEED_CLAIM, "SELECT year, round, top_speed_kmh AS m FROM quali_row WHERE session_type IN ('Q', 'SQ')", 0.6, "'FAIL'")}
+      UNION ALL {matched_sql("clip", R.CLIP_CLAIM, "SELECT year, round, total_clip_m AS m FROM clip_total WHERE session_type IN ('Q', 'SQ')", 2.0, "CASE WHEN cited >= 100 THEN 'WARN' END", 50)}
+      UNION ALL {matched_sql("finish", R.FINISH_CLAIM, "SELECT year, round, gap_to_leader_s AS m FROM results WHERE session_type = 'R' AND gap_to_leader_s <> 0", 0.15, "'WARN'")})
+    SELECT year, round, kind, severity, count(*) AS claims FROM s WHERE severity IS NOT NULL GROUP BY ALL""",
+)
+def _(t):
+    def measured(rows, column: str, types: list[str]):
+        return rows.where(F.col("session_type").isin(types)).select(*WEEKEND_KEYS, F.col(column).alias("measured"))
+
+    race = t.team_pace.where(F.col("session_type") == "R").select(*WEEKEND_KEYS, "constructor", "gap_s")
+    claims = V.audited_claims(
+        t.notes,
+        WEEKEND_KEYS,
+        race,
+        measured(t.quali_rows, "top_speed_kmh", QUALI_LIKE),
+        measured(t.clips, "total_clip_m", QUALI_LIKE),
+        measured(t.results, "gap_to_leader_s", ["R"]),
     )
-    return V.claim_audit(paced.unionByName(timed), WEEKEND_KEYS)
+    return V.claim_audit(claims, WEEKEND_KEYS)

@@ -37,6 +37,7 @@ def notes(rows: DataFrame) -> DataFrame:
     text = (
         F.when(d % 20 == 1, say("%s was %.3f seconds off in qualifying through sector 2.", "constructor", "gap_s"))
         .when(d % 10 == 0, say("%s ran %.3f seconds off the pace in the race after just %d laps.", "constructor", "gap_s", "laps"))
+        .when(d % 40 == 39, say("%s finished %.3f seconds behind the winner.", "constructor", "gap_s"))
         .when(d % 10 == 1, say("%s ran %.3f seconds off the pace in the race.", "constructor", "gap_s"))
         .when(d % 10 == 2, say("%s retired on lap %d when it pulled off.", "constructor", "laps"))
         .when(d % 10 == 3, say("A collision for %s on lap %d was noted.", "constructor", "laps"))
