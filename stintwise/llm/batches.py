@@ -1,6 +1,8 @@
 """Arrow batches in pieces of bounded size."""
 
+import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +14,16 @@ from pyspark.sql.types import StructType
 PIECE = 2_000_000
 
 
+def give_back() -> None:
+    """Memory that a task has let go of goes back to the machine: Spark keeps Python workers from task to
+    task, and what one task freed inside a worker helps no other."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, size: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose values in a text or binary `column` hold about `size` bytes together; a
     longer row stands alone."""
@@ -32,9 +44,10 @@ def map_pieces(
     schema: str | StructType,
     column: str = "text",
     size: int = PIECE,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """`df` through a function of bounded pieces. `make` is called once per task, so that what it
-    sets up (memos, models) lives as long as the task."""
+    sets up (memos, models) lives as long as the task; `done` empties what lives longer."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -43,6 +56,10 @@ def map_pieces(
                 out = step(piece)
                 if out is not None and out.num_rows:
                     yield out
+        del step
+        if done is not None:
+            done()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -95,5 +112,7 @@ def map_groups(
             out = step(pa.concat_tables(held).combine_chunks())
             if out.num_rows:
                 yield out
+        held.clear()
+        give_back()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from stintwise.llm.batches import map_pieces
 
 MEMO = 200_000
+ROWS = 500_000
+"""Characters at a time where whole rows pass through, with all their columns."""
 _RUNS = re.compile(r"[^\W\d_]+|\d+|(\W|_)\1*")
 
 
@@ -314,4 +316,4 @@ def accepted(docs: DataFrame, labels: DataFrame, to: Settings = Settings()) -> D
 
         return step
 
-    return map_pieces(docs, make, docs.schema)
+    return map_pieces(docs, make, docs.schema, "text", ROWS)
