@@ -76,4 +76,63 @@ FROM a{rounds} JOIN rows USING (row) JOIN marks USING (c)
 """
 
 
-ORACLES: dict[str, str] = {"op11_phrase_collocations": OP11, "op13_centroid_clusters": op13()}
+OP3 = rf"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(text, '{CAPITALS}', '{CAPITALS.lower()}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS met
+    FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * met >= 75 * (p.n + q.n - met)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, b) AS component_id, coalesce(b >= doc_id, true) AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON a = doc_id
+"""
+
+OP9 = """
+WITH texts AS MATERIALIZED (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+windows AS MATERIALIZED (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM texts WHERE n >= 50)),
+met AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before
+  FROM windows JOIN (SELECT w, min(doc_id) AS first, max(doc_id) AS last FROM windows GROUP BY w HAVING first < last) USING (w)
+  WHERE doc_id > first),
+runs AS MATERIALIZED (
+  SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM (
+    SELECT doc_id, i, count(*) FILTER (before IS NULL OR i > before + 50) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM met)
+  GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, s, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS begin_at FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * begin_at + 1, 2 * (s - begin_at)), '' ORDER BY s) AS head FROM pieces JOIN texts USING (doc_id) GROUP BY doc_id),
+told AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last FROM runs GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM texts LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP10 = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, d, floor(64 * x::DOUBLE)::BIGINT AS x, n FROM (
+    SELECT vec_id, len(embedding) AS n, unnest(embedding) AS x, unnest(range(len(embedding))) AS d
+    FROM embeddings WHERE len(list_filter(embedding, lambda c: isfinite(c))) = len(embedding))),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.d = c.d AND q.n = c.n AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scores QUALIFY rank <= 20
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_minhash_near_dedup": OP3,
+    "op9_suffix_array_dedup": OP9,
+    "op10_exact_topk": OP10,
+    "op11_phrase_collocations": OP11,
+    "op13_centroid_clusters": op13(),
+}
