@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from stintwise.llm.topk import top_k
 
 SCHEMA = "vec_id bigint, embedding array<float>, score int, rank string"
@@ -48,3 +50,19 @@ def test_ranks_equal_brute_force(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert top_k(df).collect() == []
+
+
+def test_groups_of_queries(spark):
+    rows = corpus()
+    df = spark.createDataFrame([(*r, 1, "r") for r in rows], SCHEMA).repartition(3)
+    assert sorted(map(tuple, top_k(df, 3, group_bytes=200).collect())) == brute(rows, 3)
+
+
+def test_large_components_are_exact_and_too_large_scores_an_error(spark):
+    rows = [(20, [2.0**50, 0.0, 1.0]), (40, [0.0, 2.0**70, 1.0]), (1, [2.0**-6, 0.0, 3.0])]
+    rows += [(2, [-(2.0**-6), 0.0, 2.0**40]), (60, [0.0, 0.0, 0.25]), (3, [0.25, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(df, 4).collect())) == brute(rows, 4)
+    wide = [(20, [2.0**40]), (1, [2.0**40])]  # 2**92
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        top_k(spark.createDataFrame(wide, "vec_id long, embedding array<double>")).collect()
