@@ -137,13 +137,15 @@ def test_kernels_match_plain_loops(spark):
         N.lowpass("v", "t").alias("a"),
         N.longitudinal_accel("v", "t").alias("b"),
         T.gradient(F.col("v"), F.col("t")).alias("c"),
-        T.time_from_distance(F.col("t"), F.col("v")).alias("d"),
     ).collect()[0]
+    made = rows.select(F.lit(1).alias("lap_id"), F.col("t").alias("distance_m"), F.col("v").alias("speed_kmh"))
+    clock = T.time_from_distance(made).orderBy("sample_idx").collect()
     dt = float(np.median(np.diff(t)))
     assert got.a == pytest.approx(low_pass(v, dt))
     assert got.b == pytest.approx(accel(v, t))
     assert got.c == pytest.approx(np.gradient(v, t))
-    assert got.d == pytest.approx(
+    assert [r.sample_idx for r in clock] == list(range(1, 51))
+    assert [r.time_s for r in clock] == pytest.approx(
         np.concatenate([[0], np.cumsum(np.diff(t) / np.maximum(v[:-1] / 3.6, 1))])
     )
 
