@@ -1,5 +1,7 @@
 """Text functions, phrase and pattern flags, and incident messages. One row per text."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,20 +206,18 @@ def fix_hints(flags: DataFrame) -> DataFrame:
 
 
 def message_kind(message: Column) -> Column:
-    upper = F.upper(message)
-    has = lambda term: F.contains(upper, F.lit(term))
-    noise = F.lit(False)
-    for term in R.MESSAGE_NOISE:
-        noise = noise | has(term)
-    return (
-        F.when(noise, F.lit(None))
-        .when(has("PENALTY"), "penalty")
-        .when(has("COLLISION"), "collision")
-        .when(has("FORCING ANOTHER DRIVER OFF"), "forced_off")
-        .when(has("SAFETY CAR"), "safety_car")
-        .when(has("RETIRED") | has("STOPPED ON"), "retirement")
-        .when(has("INCIDENT") & has("NOTED"), "incident")
-    )
+    """The first kind of `MESSAGE_KINDS` whose terms are all in the message; null for noise. The message is
+    put in upper case once."""
+
+    def kind(upper: Column) -> Column:
+        has = lambda term: F.contains(upper, F.lit(term))
+        out = F.lit(None).cast("string")
+        for name, terms in reversed(R.MESSAGE_KINDS):
+            out = F.when(reduce(lambda a, b: a & b, map(has, terms)), name).otherwise(out)
+        noise = reduce(lambda a, b: a | b, map(has, R.MESSAGE_NOISE))
+        return F.when(~noise, out)
+
+    return F.transform(F.array(F.upper(message)), kind)[0]
 
 
 def incident_events(messages: DataFrame, keys: list[str]) -> DataFrame:

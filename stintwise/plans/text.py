@@ -273,13 +273,12 @@ def _(t):
 
 # --- flags ------------------------------------------------------------------
 
-WATCHED = [*R.PHRASES, "license", "whst the"]
-PHRASE_SQL = f"""SELECT doc_id, 'phrase' AS rule, detail FROM texts, (SELECT unnest({sql_list(WATCHED)}) AS detail) WHERE contains(lower(text), detail)"""
+PHRASE_SQL = f"""SELECT doc_id, 'phrase' AS rule, detail FROM texts, (SELECT unnest({sql_list(R.PHRASES)}) AS detail) WHERE contains(lower(text), detail)"""
 
 
 @query("phrase_flags", PHRASE_SQL)
 def _(t):
-    return T.phrase_flags(t.texts, WATCHED)
+    return T.phrase_flags(t.texts)
 
 
 @query("pattern_flags")
@@ -309,7 +308,7 @@ HINT_SQL = "\n".join(
     SELECT DISTINCT doc_id, hint FROM (SELECT doc_id, CASE {HINT_SQL} END AS hint FROM f) WHERE hint IS NOT NULL""",
 )
 def _(t):
-    flags = T.phrase_flags(t.texts, WATCHED).unionByName(V.session_codes(t.notes))
+    flags = T.phrase_flags(t.texts).unionByName(V.session_codes(t.notes))
     return T.fix_hints(flags)
 
 
