@@ -8,6 +8,8 @@ first (the longest) stays, a character without piece costs the least score less
 characters are one unknown piece, or their bytes if the vocabulary has them.
 """
 
+import itertools
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ MARK = "▁"
 UNKNOWN_COST = 10.0
 MEMO = 200_000
 TEXTS = 4_000_000
+SHORT, TOGETHER = 48, 20_000  # characters of words that are walked together, and so many words at once
+SEPARATOR = "\U0010fffe"  # no character
 
 
 def unigram_vocabulary(model_file: str) -> tuple[list[tuple[str, float]], int]:
@@ -29,37 +33,62 @@ def unigram_vocabulary(model_file: str) -> tuple[list[tuple[str, float]], int]:
     return [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.vocab_size())], sp.unk_id()
 
 
-class Counter(dict):
-    """Word to (pieces, score). Emptied when full, which only costs time."""
+class Counter:
+    """Pieces and score of words, known or worked out. Known words are kept in two generations: when the
+    newer one is full it becomes the older, and words met again move over, so the frequent stay."""
 
     def __init__(self, vocabulary: list[tuple[str, float]], unknown: int, byte_fallback: bool = True):
-        super().__init__()
-        self.automaton = ahocorasick.Automaton()
-        for i, (piece, score) in enumerate(vocabulary):
-            if i != unknown and piece:
-                self.automaton.add_word(piece, (len(piece), score))
+        kept = [(p, s) for i, (p, s) in enumerate(vocabulary) if i != unknown and p]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, (piece, _) in enumerate(kept):
+            self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
+        last = {p: s for p, s in kept}  # of equal pieces the last counts, as the automaton keeps it
+        self.length = np.array([len(p) for p, _ in kept], np.int64)
+        self.score = np.array([last[p] for p, _ in kept], np.float64)
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_COST
         names = {p for p, _ in vocabulary}
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in names for b in range(256))
-
-    def __missing__(self, word: str) -> tuple[int, float]:
+        self.apart = not any(SEPARATOR in p for p in names)
+        self.new: dict[str, tuple[int, float]] = {}
+        self.old: dict[str, tuple[int, float]] = {}
+
+    def known(self, words: list[str]) -> dict[str, tuple[int, float]]:
+        """(pieces, score) of all `words`, and perhaps of others."""
+        if len(self.new) >= MEMO:
+            self.old, self.new = self.new, {}
+        missing = set(words).difference(self.new)
+        for w in missing.intersection(self.old):
+            self.new[w] = self.old[w]
+        missing.difference_update(self.new)
+        short = [w for w in missing if len(w) <= SHORT and SEPARATOR not in w] if self.apart else []
+        for start in range(0, len(short), TOGETHER):
+            some = short[start : start + TOGETHER]
+            self.new.update(zip(some, self.walked(some), strict=True))
+        for w in missing.difference(short):
+            self.new[w] = self.walk(w)
+        return self.new
+
+    def walk(self, word: str) -> tuple[int, float]:
+        """One word, character by character."""
         n = len(word)
-        best: list[float | None] = [None] * (n + 1)
+        best: list[float] = [0.0] * (n + 1)
         count = [0] * (n + 1)
         run = [False] * (n + 1)  # an unknown character ends here
-        best[0] = 0.0
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        ends: list[list[int]] = [[] for _ in range(n)]
         for end, match in self.automaton.iter(word):
             ends[end].append(match)
+        length, score = self.length, self.score
         for end in range(1, n + 1):
-            # Longest first, so that of equal scores the piece that starts first stays.
+            # Longest first, as the automaton tells them, so that of equal scores the piece that starts
+            # first stays.
             top, size, known = None, 0, False
-            for length, score in sorted(ends[end - 1], reverse=True):
-                whole = best[end - length] + score
-                known |= length == 1
+            for match in ends[end - 1]:
+                reach = int(length[match])
+                whole = best[end - reach] + float(score[match])
+                known |= reach == 1
                 if top is None or whole > top:
-                    top, size = whole, length
+                    top, size = whole, reach
             if not known:
                 whole = best[end - 1] + self.unknown
                 if top is None or whole > top:
@@ -72,10 +101,50 @@ class Counter(dict):
             else:
                 count[end] = count[end - 1] + (not run[end - 1])
                 run[end] = True
-        if len(self) >= MEMO:
-            self.clear()
-        found = self[word] = (count[n], best[n])
-        return found
+        return count[n], best[n]
+
+    def walked(self, words: list[str]) -> list[tuple[int, float]]:
+        """Many words at once, by the same steps: the automaton goes over all of them in one string, then
+        all words are taken one character further together."""
+        text = SEPARATOR.join(words)
+        sizes = np.array([len(w) for w in words], np.int64)
+        first = np.cumsum(sizes + 1) - (sizes + 1)  # a word's node 0; node i is after its i-th character
+        found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(text)), np.int64)
+        end, match = found[::2] + 1, found[1::2]
+        reach, score = self.length[match], self.score[match]
+        lone = np.ones(len(text) + 1, bool)  # no piece of one character ends here
+        lone[end[reach == 1]] = False
+        lone[first] = False
+        bare = np.flatnonzero(lone)
+        node = np.concatenate([end, bare])
+        reach = np.concatenate([reach, np.ones(len(bare), np.int64)])
+        score = np.concatenate([score, np.full(len(bare), self.unknown)])
+        piece = np.concatenate([np.ones(len(end), bool), np.zeros(len(bare), bool)])
+        place = np.arange(len(text) + 1) - np.repeat(first, sizes + 1)
+        # by place, then by word, the longest piece first
+        order = np.argsort(((place[node] << 32) + node << 6) - reach, kind="stable")
+        node, reach, score, piece = node[order], reach[order], score[order], piece[order]
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        width = 1 + (codes > 0x7F) + (codes > 0x7FF).astype(np.int64) + (codes > 0xFFFF)
+        best, count = np.zeros(len(text) + 1), np.zeros(len(text) + 1, np.int64)
+        run = np.zeros(len(text) + 1, bool)
+        steps = np.flatnonzero(np.diff(place[node], prepend=-1)).tolist()
+        for a, b in zip(steps, [*steps[1:], len(node)], strict=True):
+            here = node[a:b]
+            whole = best[here - reach[a:b]] + score[a:b]
+            new = np.ones(b - a, bool)
+            new[1:] = here[1:] != here[:-1]
+            group = np.cumsum(new) - 1
+            top = np.maximum.reduceat(whole, np.flatnonzero(new))
+            at = np.flatnonzero(whole == top[group])
+            at = at[np.diff(group[at], prepend=-1) > 0]  # the first of equal ones is the longest
+            to, back, known = here[at], here[at] - reach[a:b][at], piece[a:b][at]
+            best[to] = top
+            more = width[to - 1] if self.bytes else (~run[back]).astype(np.int64)
+            count[to] = count[back] + np.where(known, 1, more)
+            run[to] = ~known & (not self.bytes)
+        last = first + sizes
+        return list(zip(count[last].tolist(), best[last].tolist(), strict=True))
 
 
 def marked_words(text: str | None) -> list[str]:
@@ -83,6 +152,9 @@ def marked_words(text: str | None) -> list[str]:
     every mark."""
     if not text:
         return []
+    if MARK not in text and SEPARATOR not in text:
+        body = text if text[0] == " " else " " + text
+        return body.replace(" ", SEPARATOR + MARK).split(SEPARATOR)[1:]
     marked = text.replace(" ", MARK)
     head, *rest = marked.split(MARK)
     return [MARK + w for w in (rest if marked.startswith(MARK) else [head, *rest])]
@@ -103,12 +175,17 @@ def token_counts(
 
         def step(piece: pa.RecordBatch) -> pa.RecordBatch:
             split = [marked_words(t) for t in piece.column("text").to_pylist()]
-            found = [counter[w] for words in split for w in words]
-            both = np.array(found or [(0, 0.0)], np.float64)
+            words = list(itertools.chain.from_iterable(split))
+            known = counter.known(words)
+            number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            told = [known[w] for w in number] or [(0, 0.0)]
+            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            pieces = np.array([c for c, _ in told], np.int64)[at]
+            scores = np.array([x for _, x in told], np.float64)[at]
             ends = np.cumsum([len(s) for s in split])
-            upto = np.concatenate([[0], np.cumsum(both[:, 0].astype(np.int64))])
+            upto = np.concatenate([[0], np.cumsum(pieces)])
             begins = np.concatenate([[0], ends[:-1]])
-            score = [float(both[a:b, 1].sum()) for a, b in zip(begins, ends, strict=True)]
+            score = [float(scores[a:b].sum()) for a, b in zip(begins, ends, strict=True)]
             return pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), pa.array(upto[ends] - upto[begins]), pa.array(score)],
                 ["doc_id", "n_tokens", "score"],

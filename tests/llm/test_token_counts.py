@@ -4,7 +4,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from stintwise.llm.token_counts import Counter, token_counts, unigram_vocabulary
+from stintwise.llm import token_counts as token_counts_module
+from stintwise.llm.token_counts import Counter, marked_words, token_counts, unigram_vocabulary
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -16,9 +17,10 @@ def library(vocabulary, unknown, fallback):
 
 
 def count(counter, text):
-    from stintwise.llm.token_counts import marked_words
-
-    return sum(counter[w][0] for w in marked_words(text))
+    words = marked_words(text)
+    known = counter.known(words)
+    assert all(known[w] == counter.walk(w) for w in words)  # together and one by one
+    return sum(known[w][0] for w in words)
 
 
 @pytest.mark.parametrize("seed", range(30))
@@ -33,6 +35,16 @@ def test_small_vocabularies_with_many_ties(seed):
         assert count(counter, text) == len(want.encode(text, add_special_tokens=False).ids), text
 
 
+def test_generations_of_known_words_and_words_that_hold_the_separator(monkeypatch):
+    monkeypatch.setattr(token_counts_module, "MEMO", 5)
+    vocabulary = [("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("▁ab", -2.0), ("b", -3.0)]
+    counter = Counter(vocabulary, 0, False)
+    for _ in range(3):
+        for text in ("ab a b", "a aa aaa ab abb", "b\U0010fffea ab", "x " + "ab" * 100):
+            assert count(counter, text) == sum(counter.walk(w)[0] for w in marked_words(text))
+    assert len(counter.old) <= 12
+
+
 @pytest.fixture(scope="module")
 def public():
     return unigram_vocabulary(MODEL)
