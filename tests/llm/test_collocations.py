@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from stintwise.llm import collocations as C
 
@@ -105,3 +106,24 @@ def test_long_text_is_cut_between_pieces(spark, monkeypatch):
     monkeypatch.setattr(C, "BLOCK", 100)
     text = ", ".join(f"w{i % 7} w{i % 3} w{i % 5}" for i in range(3000))
     assert got(spark, [(1, text, "en")], least=30) == brute([(1, text, "en")], 30)
+
+
+def test_a_full_bit_map_changes_nothing(spark, monkeypatch):
+    rows = texts(8, 120, 10)
+    monkeypatch.setattr(C, "BITS", 7)  # every bit is set: nothing is ruled out
+    assert got(spark, rows, least=2) == brute(rows, 2)
+
+
+def test_shared_hashes_are_seen_and_others_taken(spark, monkeypatch):
+    rows = texts(9, 60, 10)
+    seeds = []
+    plain = C.word_blocks
+
+    def poor(docs, seed):
+        seeds.append(seed)
+        found = plain(docs, seed)
+        return found.withColumn("id", F.col("id") * 0) if seed < 2 else found
+
+    monkeypatch.setattr(C, "word_blocks", poor)
+    assert got(spark, rows, least=2) == brute(rows, 2)
+    assert seeds == [0, 1, 2]
