@@ -18,6 +18,20 @@ def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
     return np.minimum.reduceat(padded, edges)[::2]
 
 
+def ranks(order: np.ndarray, starts: np.ndarray, symbols: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The ranks of `rows`, which hold `symbols`, in the stable order of a transform: `order` has each
+    symbol's rows in ascending order from `starts[symbol]` on."""
+    out = np.empty(len(rows), np.int64)
+    by = np.argsort(symbols, kind="stable")
+    cuts = np.flatnonzero(np.diff(symbols[by].astype(np.int64), prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True):
+        some = by[a:b]
+        symbol = int(symbols[some[0]])
+        first = int(starts[symbol])
+        out[some] = first + np.searchsorted(order[first : int(starts[symbol + 1])], rows[some])
+    return out
+
+
 def collection_bwt(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bwt, lcp, row) of the strings that `text` (bytes) holds one after another.
 
@@ -44,18 +58,19 @@ def collection_bwt(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
             bwt, lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
             old = len(bwt)
             order = np.argsort(bwt, kind="stable")
-            zeros = int((bwt == 0).sum())
-            rank = np.empty(old, np.int64)
-            rank[order] = np.arange(old)
-            at = rank[row[strings]]
+            starts = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=256))])
+            zeros = int(starts[1])
+            at = ranks(order, starts, bwt[row[strings]], row[strings])
             place = at - zeros + n  # the last-to-first mapping: marks come first
             # Prefixes change at the new rows and at the rows that come to stand behind them.
-            touched = np.unique(np.concatenate([at, at + 1]))
-            touched = touched[touched < old]
+            touch = np.zeros(old + 1, bool)
+            touch[at] = touch[at + 1] = True
+            touched = np.flatnonzero(touch[:old])
             here, prior = order[touched], order[touched - 1]
             same = (touched > 0) & (bwt[here] == bwt[prior])
-            by = np.argsort(here[same], kind="stable")
-            low, high = prior[same][by] + 1, here[same][by]
+            met = here[same]
+            by = np.argsort(met, kind="stable")
+            low, high = prior[same][by] + 1, met[by]
             found = np.zeros(len(touched), np.uint8)
             slots = np.flatnonzero(same)[by]
             found[slots] = np.minimum(_least_between(lcp, low, high), 254) + 1
@@ -63,14 +78,15 @@ def collection_bwt(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
             is_new = np.zeros(total, bool)
             is_new[place] = True
             new_bwt, new_lcp = np.empty(total, np.uint8), np.empty(total, np.uint8)
-            new_bwt[~is_new], new_lcp[~is_new] = bwt, lcp
+            stay = ~is_new
+            new_bwt[stay], new_lcp[stay] = bwt, lcp
             new_bwt[place] = before(strings, size)
             new_lcp[touched - zeros + n] = found
             new_bwt.tofile(bwt_file)
             new_lcp.tofile(lcp_file)
             # Whole strings keep their row, moved up by the rows put in before it.
-            moved = np.flatnonzero(~is_new)
-            row = moved[row]
+            put = np.sort(place)
+            row += np.searchsorted(put - np.arange(len(put)), row, side="right")
             row[strings] = place
         return np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8), row
 
