@@ -61,14 +61,14 @@ SEEDS = 8
 # A stored relation has a row with the places of each block, and rows with what stands there.
 # Places hold the block's own numbers of what stands there, `GAP` for nothing, and `ids` tells them.
 WORDS = "lang string, places binary, ids binary, id bigint, word string, count bigint"
-PAIRS = "places binary, ids binary, id bigint, left bigint, right bigint"
+PAIRS = "places binary, ids binary, id bigint, mark int"
 BLOCKS = "places binary, ids binary"
 
 
 def rows_of(schema: str, **columns: list | np.ndarray | str | None) -> Iterator[pa.RecordBatch]:
     """Record batches of `ROWS` rows at most; a plain string is the same in all rows, and what is left
     out is null."""
-    types = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
     size = next(len(c) for c in columns.values() if not isinstance(c, str))
     for start in range(0, size, ROWS):
         n = min(ROWS, size - start)
@@ -258,7 +258,8 @@ def pair_ids(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def extended(relation: DataFrame, groups: DataFrame) -> DataFrame:
     """The relation of one word more, as `PAIRS`: where pairs stand that the bit map of the frequent
-    `groups` does not rule out, and once a block those pairs with their ids."""
+    `groups` does not rule out, and once a block those pairs' ids, each with 32 more bits of the pair
+    that tell pairs of one id apart."""
     shared = relation.sparkSession.sparkContext.broadcast(bit_map(groups))
     size = BITS
 
@@ -272,9 +273,9 @@ def extended(relation: DataFrame, groups: DataFrame) -> DataFrame:
                     continue
                 places = np.full(len(old), GAP, dtype=np.int32)
                 places[at] = np.where(stays, np.cumsum(stays) - 1, GAP)[number]
-                left, right, ids = left[stays], right[stays], ids[stays]
+                ids, mark = ids[stays], pair_ids(right[stays], left[stays]).astype(np.int32)
                 yield from rows_of(PAIRS, places=[places.tobytes()], ids=[ids.tobytes()])
-                yield from rows_of(PAIRS, id=ids, left=left, right=right)
+                yield from rows_of(PAIRS, id=ids, mark=mark)
         give_back()
 
     return blocks_of(relation).mapInArrow(run, PAIRS)
@@ -346,9 +347,8 @@ def mined(
         kept.append(shorter)
         if length < longest:
             longer = work_table(extended(relation, frequent), "occurrences")
-            ends = [F.min("left") == F.max("left"), F.min("right") == F.max("right")]
-            same = longer.where("id is not null").groupBy("id").agg((ends[0] & ends[1]).alias("one"))
-            if not same.where(~F.col("one")).isEmpty():
+            marks = longer.where("id is not null").groupBy("id").agg(F.min("mark").alias("a"), F.max("mark").alias("b"))
+            if not marks.where("a != b").isEmpty():
                 raise SharedHash
             relation = longer
     return kept, totals
