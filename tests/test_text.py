@@ -1,9 +1,12 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from stintwise.functions import expressions as X
 from stintwise.operators import evidence as V
 from stintwise.operators import text as T
+from stintwise.plans import ORACLES, QUERIES
 
 
 def one(spark, text, fn):
@@ -171,3 +174,11 @@ def test_hints_once_per_text(spark):
     )
     got = [r.doc_id for r in T.fix_hints(flags).collect()]
     assert sorted(got) == ["0", "1"]
+
+
+def test_the_phrase_query_looks_for_all_watched_phrases(spark):
+    rows = [("a", "The License of the car"), ("b", "whst the first win"), ("c", "nothing")]
+    tables = SimpleNamespace(texts=spark.createDataFrame(rows, "doc_id string, text string"))
+    got = {(r["doc_id"], r["detail"]) for r in QUERIES["phrase_flags"](tables).collect()}
+    assert got == {("a", "license"), ("b", "whst the"), ("b", "first win")}
+    assert "'license'" in ORACLES["phrase_flags"] and "'whst the'" in ORACLES["phrase_flags"]
