@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sentencepiece_gumbel_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path(PIECES)
-    return sampled_segmentations(table(spark, sf_dir, "documents"), model, with_ids=False)
+    return sampled_segmentations(table(spark, sf_dir, "documents"), model)
 
 
 def op2_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

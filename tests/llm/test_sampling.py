@@ -1,5 +1,6 @@
 import itertools
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ import sentencepiece
 
 from stintwise.llm import sampling
 from stintwise.llm.lattice import SPACE, Lattices, Vocabulary
+from stintwise.llm.queries import op1_sentencepiece_gumbel_topk
 from stintwise.llm.sampling import decoded, draw, sampled_segmentations
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -123,3 +125,13 @@ def test_rows_decode_to_their_texts_and_do_not_depend_on_the_partition(spark):
     counts = Counter(r["doc_id"] for r in got)
     assert counts[1] == 6 and counts[2] == counts[3] == 1 and counts[4] == 3
     assert sampled_segmentations(df.limit(0), MODEL).collect() == []
+
+
+def test_the_query_returns_the_ids_that_it_sums_up(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Hello there, world."), (2, None)], "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = op1_sentencepiece_gumbel_topk(spark, str(tmp_path)).collect()
+    assert len(got) == 4
+    for r in got:
+        assert r["n_pieces"] == len(r["ids"])
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
