@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from stintwise.functions import skew
 from stintwise.operators import laps as L
+from stintwise.plans.marts import PACE, Marts
 from stintwise.sources.landing import HELD, land_laps
+from stintwise.streaming.ingest import land
 
 LINES = (
     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, "
@@ -121,3 +123,22 @@ def test_row_numbers_of_null_keys(spark):
     rows = spark.createDataFrame([(None, 3), (None, 1), ("a", 2), ("a", 5), (None, 2)], "k string, v int")
     got = {(r["k"], r["v"]): r["n"] for r in skew.row_numbers(rows, ["k"], [F.col("v")], "n").collect()}
     assert got == {(None, 1): 1, (None, 2): 2, (None, 3): 3, ("a", 2): 1, ("a", 5): 2}
+
+
+def test_rows_that_lie_by_session_are_landed_as_they_lie(spark, tmp_path):
+    """A file for each file that was there: no row is dealt anew."""
+    rows = spark.range(0, 40, 1, 4).select(
+        F.lit(2025).alias("year"),
+        F.lit(1).alias("round"),
+        F.when(F.col("id") < 20, "Q").otherwise("R").alias("session_type"),
+        F.col("id").alias("driver"),
+    )
+    land(rows, str(tmp_path / "landing"), ranged=True)
+    found = spark.read.parquet(str(tmp_path / "landing"))
+    assert found.count() == 40 and len(found.inputFiles()) == 4
+
+
+def test_the_pace_table_holds_what_pace_is_read_by(spark):
+    tables = Marts.of(spark, "/root/testdata/sf0.001")
+    assert set(tables.pace_table.columns) == {*PACE, "opening"}
+    assert not any("session_type=" in f for f in tables.pace_table.inputFiles())
