@@ -85,3 +85,25 @@ def test_one_large_group(spark, kind):
     row = theil_sen(points, ["g"], 5, 64, 200, 20_000).first()
     slope, intercept = brute(x, y)
     assert row.slope == slope and row.intercept == pytest.approx(intercept, abs=1e-9)
+
+
+def test_buckets_of_many_rows_go_over_blocks(spark):
+    """Groups of more rows than one task may hold go over blocks, and equal what one task finds."""
+    frames = [pd.DataFrame({"g": key, "x": x, "y": y}) for key, x, y in groups()]
+    points = spark.createDataFrame(pd.concat(frames), "g string, x double, y double")
+    dealt = {r.g: r for r in theil_sen(points, ["g"], 5, 8, 16, 100_000).collect()}
+    spread = {r.g: r for r in theil_sen(points, ["g"], 5, 8, 16, 100_000, held=30).collect()}
+    assert set(dealt) == set(spread) == {k for k, *_ in groups()} - {"flat"}
+    for key, row in dealt.items():
+        assert spread[key].slope == pytest.approx(row.slope, abs=1e-12)
+        assert spread[key].intercept == pytest.approx(row.intercept, abs=1e-9)
+        assert spread[key].n_laps == row.n_laps
+
+
+def test_ordinary_groups_are_dealt_once(spark):
+    """Points of groups that one task may hold are shuffled once, by their keys, and not joined."""
+    points = spark.range(4000).selectExpr("id % 500 AS g", "double(id % 8) AS x", "double(id * id % 101) AS y")
+    fits = theil_sen(points, ["g"], 5)
+    plan = fits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert fits.count() == 500
