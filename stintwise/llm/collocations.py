@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stintwise.llm.batches import give_back
+from stintwise.llm.batches import give_back, short_batches
 from stintwise.llm.shingles import mix
 from stintwise.session import work_table
 
@@ -213,7 +213,7 @@ def blocks_of(relation: DataFrame) -> DataFrame:
 def block_arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The places and ids of each block."""
     for places, ids in zip(batch.column("places"), batch.column("ids"), strict=True):
-        yield np.frombuffer(places.as_py(), np.int32), np.frombuffer(ids.as_py(), np.int64)
+        yield np.frombuffer(places.as_buffer(), np.int32), np.frombuffer(ids.as_buffer(), np.int64)
 
 
 def block_pairs(
@@ -406,7 +406,8 @@ def collocations(
     """
     for seed in range(SEEDS):
         try:
-            kept, totals = mined(docs, least, longest, seed)
+            with short_batches(docs.sparkSession):  # a block is a row
+                kept, totals = mined(docs, least, longest, seed)
             break
         except SharedHash:
             continue

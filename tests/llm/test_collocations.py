@@ -2,10 +2,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stintwise.llm import collocations as C
+from stintwise.llm.batches import short_batches
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -127,3 +129,25 @@ def test_shared_hashes_are_seen_and_others_taken(spark, monkeypatch):
     monkeypatch.setattr(C, "word_blocks", poor)
     assert got(spark, rows, least=2) == brute(rows, 2)
     assert seeds == [0, 1, 2]
+
+
+def test_a_batch_holds_few_blocks(spark):
+    """Blocks are rows of megabytes: what goes to a Python worker at once is bounded by bytes, and the
+    session is afterwards as it was."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(0, 12, 1, 1).selectExpr("repeat('a', 1500000) AS places")
+
+    def held(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": [batch.num_rows]})
+
+    with short_batches(spark):
+        assert max(r.n for r in rows.mapInArrow(held, "n long").collect()) <= 2
+    assert spark.conf.get(name) == before
+    seen = []
+    real = C.work_table
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(C, "work_table", lambda df, label: (seen.append(spark.conf.get(name)), real(df, label))[1])
+        got(spark, texts(5, 20, 4), least=2)
+    assert len(set(seen)) == 1 and seen[0] != before and spark.conf.get(name) == before
