@@ -54,3 +54,30 @@ def test_json_items_ask_for_the_key_not_the_value(spark):
     good, bad = T.parsed_items(texts, ["header"], 1)
     assert {(r["id"], r["header"]) for r in good.collect()} >= {(1, None)}
     assert 2 in {r["id"] for r in bad.collect()}
+
+
+def test_sector_bests_compare_numbers_before_names(spark):
+    kinds = (
+        "year int, round int, session_type string, driver bigint, constructor string, deleted boolean, "
+        "sector1_s double, sector2_s double, sector3_s double"
+    )
+    key = (2024, 1, "R", 1)
+    laps = [
+        (*key, "B", False, 30.0, 40.0, None),
+        (*key, "A", None, None, 39.5, None),
+        (*key, None, False, 29.0, None, None),
+        (*key, "A", True, 1.0, 1.0, 1.0),
+        (2024, 1, "R", None, None, False, None, None, 20.0),
+        (2024, 1, "R", None, None, False, None, None, 20.0),
+        (2024, 1, "R", 2, "C", False, None, None, None),
+    ]
+    best = L.sector_bests(spark.createDataFrame(laps, kinds))
+    found = sorted(map(tuple, best.collect()), key=str)
+    assert found == [
+        (*key, 1, "B", 29.0),
+        (*key, 2, "A", 39.5),
+        (2024, 1, "R", None, 3, None, 20.0),
+    ]
+    plan = best._jdf.queryExecution().sparkPlan().toString()
+    over_laps = [line for line in plan.splitlines() if "Aggregate(" in line][-1]
+    assert "HashAggregate" in over_laps  # a sort of every lap's sectors spilled
