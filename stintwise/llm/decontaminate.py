@@ -6,6 +6,7 @@ title-case words that start sentences, or sentences and lines, as plain words an
 slots of a match must agree: equal values of the item stand for equal values of the text.
 """
 
+import functools
 import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -137,6 +138,50 @@ def templates(ids: np.ndarray, first: np.ndarray, line: np.ndarray, words: Words
     return readings
 
 
+def window_hashes(hashed: np.ndarray, here: dict[int, np.ndarray], mark: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, index, hash) of the windows of each width of `here`, ascending, at the places that `here` marks
+    for it. A window's sum is that of the next narrower one and one term more, so all widths together
+    cost what the widest does."""
+    widths = sorted(here)
+    if not widths:
+        return
+    # Few places are gathered, many are summed up where they lie.
+    wanted = functools.reduce(np.logical_or, here.values())
+    at = np.flatnonzero(wanted)
+    dense = 4 * len(at) > len(hashed)
+    total = np.zeros(len(hashed) if dense else len(at), np.uint64)
+    done = 0
+    for width in widths:
+        for k in range(done, width):
+            if dense:
+                total[: max(len(hashed) - k, 0)] += hashed[k:] * _PLACES[k]
+            else:
+                total += hashed[np.minimum(at + k, len(hashed) - 1)] * _PLACES[k]
+        done = width
+        index = np.flatnonzero(here[width])
+        part = total[index] if dense else total[here[width][at]]
+        yield width, index, mix(part + np.uint64(mark + width)).view(np.int64)
+
+
+class Known:
+    """The sorted hashes that are looked for, with a bit for the highest bits of each: it rules out most
+    others before they are searched for."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        size = min(max(len(hashes), 1).bit_length() + 5, 24)
+        self.shift = np.uint64(64 - size)
+        self.marked = np.zeros(1 << size, bool)
+        self.marked[hashes.view(np.uint64) >> self.shift] = True
+
+    def among(self, mixed: np.ndarray) -> np.ndarray:
+        """The places of `mixed` that hold one of the hashes."""
+        near = np.flatnonzero(self.marked[mixed.view(np.uint64) >> self.shift])
+        found = mixed[near]
+        at = np.minimum(np.searchsorted(self.hashes, found), max(len(self.hashes) - 1, 0))
+        return near[self.hashes[at] == found] if len(self.hashes) else near[:0]
+
+
 def window_rows(
     docs: DataFrame,
     keys: list[str],
@@ -159,7 +204,7 @@ def window_rows(
 
     def make():
         words = Words()
-        among = None if sent is None else sent.value
+        among = None if sent is None else Known(sent.value)
 
         def step(piece: pa.RecordBatch) -> pa.RecordBatch | None:
             if len(words.core) > MEMO:
@@ -189,8 +234,7 @@ def window_rows(
             def among_known(index: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 if among is None:
                     return index, mixed
-                near = np.minimum(np.searchsorted(among, mixed), max(len(among) - 1, 0))
-                hit = among[near] == mixed if len(among) else np.zeros(len(mixed), bool)
+                hit = among.among(mixed)
                 return index[hit], mixed[hit]
 
             for reading, tokens in enumerate(templates(ids, first[:-1], line[:-1], words)):
@@ -201,17 +245,16 @@ def window_rows(
                 left = np.cumsum(np.bincount(text, minlength=len(n)))[text] - np.arange(many)
                 literal = np.concatenate([[0], np.cumsum(~tokens.slot)])
                 differs = np.concatenate([[0], np.cumsum(tokens.differs)])
+                marked = {}
                 for width in widths:
                     till = np.minimum(np.arange(many) + width, many)
                     here = left >= width
                     here &= literal[till] - literal[:-1] >= min(LITERAL, width - 1)
                     if reading:
                         here &= differs[till] > differs[:-1]
-                    index = np.flatnonzero(here)
-                    mixed = np.full(len(index), width, np.uint64)
-                    for k in range(width):
-                        mixed += tokens.hash[index + k] * _PLACES[k]
-                    index, mixed = among_known(index, mix(mixed).view(np.int64))
+                    marked[width] = here
+                for width, index, mixed in window_hashes(tokens.hash, marked):
+                    index, mixed = among_known(index, mixed)
                     slots = [
                         [
                             " ".join([core[j] for j in ids[tokens.begin[p] : tokens.end[p]]])
@@ -234,15 +277,14 @@ def window_rows(
             if exact is None:
                 bare = np.bincount(owner[np.cumsum(covered[:-1]) == 0], minlength=len(n)) > 0
                 open_ = bare | (n <= RUN)
+            marked = {}
             for width in range(EXACT, WINDOW + 1) if exact is None else exact:
                 here = left >= width
                 if exact is None:
                     here &= (open_ & ((n == width) | (width == WINDOW)))[owner]
-                index = np.flatnonzero(here)
-                mixed = np.full(len(index), WRITTEN + width, np.uint64)
-                for k in range(width):
-                    mixed += plain[index + k] * _PLACES[k]
-                index, mixed = among_known(index, mix(mixed).view(np.int64))
+                marked[width] = here
+            for width, index, mixed in window_hashes(plain, marked, WRITTEN):
+                index, mixed = among_known(index, mixed)
                 size = np.full(len(index), width)
                 parts.append((mixed, -size, index, size, [[]] * len(index), np.zeros(len(index), bool)))
             mixed, width, at, size, slots, late = zip(*parts, strict=True)

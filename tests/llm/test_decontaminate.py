@@ -1,6 +1,9 @@
 import random
 
-from stintwise.llm.decontaminate import clean, leaks
+import numpy as np
+
+from stintwise.llm.decontaminate import _PLACES, WRITTEN, Known, clean, leaks, window_hashes
+from stintwise.llm.shingles import mix
 
 ITEMS = [
     (1, "A train leaves Berlin at 40 km per hour and Anna waits 15 minutes for it at the gate."),
@@ -144,3 +147,27 @@ def test_no_rows(spark):
     right = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert leaks(left.limit(0), right).collect() == []
     assert leaks(left, right.limit(0)).collect() == []
+
+
+def test_window_hashes_add_up_over_widths():
+    rng = np.random.default_rng(5)
+    hashed = rng.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2)
+    for share in (0.02, 0.9):
+        here = {w: (rng.random(400) < share) & (np.arange(400) <= 400 - w) for w in (8, 5, 6)}
+        told = list(window_hashes(hashed, here, WRITTEN))
+        assert [width for width, *_ in told] == [5, 6, 8]
+        for width, index, mixed in told:
+            assert index.tolist() == np.flatnonzero(here[width]).tolist()
+            for i, value in zip(index.tolist(), mixed.tolist(), strict=True):
+                total = WRITTEN + width + sum(int(hashed[i + k]) * int(_PLACES[k]) for k in range(width))
+                assert value == mix(np.array([total % 2**64], np.uint64)).view(np.int64)[0]
+    assert list(window_hashes(hashed, {})) == []
+    assert [len(i) for _, i, _ in window_hashes(hashed[:3], {5: np.zeros(3, bool), 3: np.array([True, False, False])})] == [1, 0]
+
+
+def test_known_hashes_are_told_by_their_high_bits_first():
+    rng = np.random.default_rng(6)
+    hashes = np.sort(rng.integers(-(2**63), 2**63 - 1, 3000))
+    asked = np.concatenate([hashes[::7], rng.integers(-(2**63), 2**63 - 1, 5000), hashes[:3] + 1])
+    assert Known(hashes).among(asked).tolist() == np.flatnonzero(np.isin(asked, hashes)).tolist()
+    assert Known(hashes[:0]).among(asked).tolist() == []
