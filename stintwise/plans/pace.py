@@ -107,7 +107,7 @@ def _(t):
     USING (year, round, session_type, driver, stint_number)""",
 )
 def _(t):
-    return rounded(L.stint_summary(L.gap_to_car_ahead(t.laps)))
+    return rounded(L.stint_summary(L.gap_to_car_ahead(t.laps, prunable=True)))
 
 
 @query(

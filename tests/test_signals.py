@@ -143,6 +143,19 @@ def test_stint_keeps_only_pace_laps(spark):
     assert got.avg_pace_s == 90.5
 
 
+def test_stints_need_no_car_ahead(spark):
+    rows = spark.createDataFrame(
+        [lap(n, 90.0 + p, d, "R", position=p, session_time_s=90.0 * n + 2 * (p - 1))
+         for n in range(1, 9) for d, p in (("VER", 1), ("NOR", 2))],
+        LAP,
+    )
+    plain, grouped = L.gap_to_car_ahead(rows), L.gap_to_car_ahead(rows, prunable=True)
+    assert sorted(plain.collect()) == sorted(grouped.collect())
+    assert sorted(L.stint_summary(plain).collect()) == sorted(L.stint_summary(grouped).collect())
+    plan = L.stint_summary(grouped)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and "_ahead_s" not in plan
+
+
 def test_fuel_and_gaps_and_opening_lap(spark):
     rows = spark.createDataFrame(
         [lap(n, 90.0, d, "R", position=p, session_time_s=90.0 * n + 2 * (p - 1))
