@@ -10,11 +10,12 @@ Spark's commit makes a written set complete or absent, whichever executor is los
 """
 
 import functools
+import json
 import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,45 @@ CHUNK = 1 << 16
 LEVEL = 3
 END = 2
 MEMO = 300_000
+PIECES = 100_000
 TEXTS = 4_000_000
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
+# Byte-level pieces of text of these characters alone, of which the library and `re` think alike.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(rf"[ \n!-~{_LETTER}]+")
+_PIECE = re.compile(
+    rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^ \n0-9{_LETTER}]+|[ \n]+(?![^ \n])|[ \n]+"
+)
+
+
+def byte_signs() -> dict[int, str]:
+    """The sign that byte-level models have for each byte: itself where it can be seen."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_SIGNS = byte_signs()
+
+
+def plain_byte_level(tokenizer: Tokenizer) -> bool:
+    """Whether a text's ids are those of its byte-level pieces, each given to the model by itself."""
+    settings = json.loads(tokenizer.to_str())
+    cut = settings["pre_tokenizer"] or {}
+    return (
+        settings["model"]["type"] == "BPE"
+        and not settings["model"].get("dropout")
+        and settings["normalizer"] is None
+        and settings["truncation"] is None
+        and settings["padding"] is None
+        and cut.get("type") == "ByteLevel"
+        and cut.get("use_regex", True)
+        and not cut.get("add_prefix_space", True)
+    )
+
+
 CHUNKS = (
     "shard int, chunk int, n_ids int, bits int, width int, planes array<binary>, "
     "pieces array<struct<doc_id:bigint,ordinal:bigint,part:int,n:int>>"
@@ -60,13 +96,30 @@ def from_planes(planes: list[bytes], n: int, unit: int = 1) -> np.ndarray:
     return ids
 
 
+class Known(dict):
+    """Ids by word; `find` gives those of a word that is not there yet."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.find(word)
+        return ids
+
+
 class Encoder:
     """Ids of whole texts. A text is cut before single spaces between other characters, where byte-
-    level pieces always end, and equal words are encoded once."""
+    level pieces always end, and equal words are encoded once. Words of common characters go to the
+    library's model piece by piece, which spares them its cutting and offsets; others go to it whole."""
 
     def __init__(self, tokenizer_file: str):
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.known = Known(self.word_ids)
+        self.pieces: dict[str, bytes] = {}
+        self.by_piece = plain_byte_level(self.tokenizer)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def words(self, text: str) -> list[str]:
         if (
@@ -80,25 +133,33 @@ class Encoder:
             return [text] if text else []
         return text.replace(" ", "\x00 ").split("\x00") if text and "\x00" not in text else [text] * bool(text)
 
+    def plain(self, word: str) -> bool:
+        """Whether the word can go by its pieces."""
+        return self.by_piece and _PLAIN.fullmatch(word) is not None and not any(a in word for a in self.added)
+
+    def word_ids(self, word: str) -> bytes:
+        """The ids of a word that is not known yet."""
+        if not self.plain(word):
+            found = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)
+            return array("I", found[0].ids).tobytes()
+        known, out = self.pieces, []
+        for piece in _PIECE.findall(word):
+            ids = known.get(piece)
+            if ids is None:
+                signs = piece.encode().decode("latin-1").translate(_SIGNS)
+                ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+                if len(known) >= PIECES:
+                    known.clear()
+                known[piece] = ids
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.words(t) for t in texts]
-        needed: set[str] = set()
-        for words in split:
-            needed.update(words)
-        missing = needed - self.known.keys()
-        if len(self.known) + len(missing) > MEMO:
-            self.known.clear()
-            missing = needed
-        order = list(missing)
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            for w, e in zip(some, found, strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
-        known = self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(known, s)), "<u4") for s in split]
-        if len(self.known) > MEMO:
-            self.known.clear()
+        out, known = [], self.known
+        for text in texts:
+            out.append(np.frombuffer(b"".join(map(known.__getitem__, self.words(text))), "<u4"))
+            if len(known) > MEMO:
+                known.clear()
         return out
 
 

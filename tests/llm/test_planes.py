@@ -34,6 +34,22 @@ def test_crc_of_parts():
         assert crc_after(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
+def test_plain_words_go_to_the_model_by_their_pieces():
+    library, own = Tokenizer.from_file(FILE), Encoder(FILE)
+    own.tokenizer = None  # what cuts whole words
+    texts = ["It's über-plain, 'll we?\n\nYes 12a b3!!  ", "a b a b'd", " \n x", "ÀÿéÖ'S ~|_"]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_odd_texts_give_the_ids_of_the_library():
+    library, own, rng = Tokenizer.from_file(FILE), Encoder(FILE), random.Random(5)
+    signs = "ab'stremvldA09 \n\n  .,!<|>_-~éÿ×÷ßÀ\t\u00a0²ªµ漢\x00\x7f\x0b"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(3000)]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_words_give_the_ids_of_the_whole_text():
     library, own = Tokenizer.from_file(FILE), Encoder(FILE)
     texts = [t or "" for t in TEXTS]
