@@ -2,12 +2,23 @@
 column by column: each round puts one more symbol in front of every string's suffix. The transform
 and the prefixes live in external files that a round reads and writes from front to back."""
 
-import os
 import tempfile
+from typing import BinaryIO
 
 import numpy as np
 
 
+def _put(file: BinaryIO, values: np.ndarray) -> None:
+    """Over what the file has: files only grow, and cutting one short first would send it to disk."""
+    file.seek(0)
+    file.write(values.data)
+
+
+def _get(file: BinaryIO) -> np.ndarray:
+    file.seek(0)
+    return np.frombuffer(file.read(), np.uint8)
+
+
 def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """min(values[low..high]) of each closed interval; intervals in ascending order of `low`."""
     if not len(low):
@@ -48,14 +59,13 @@ def collection_bwt(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
         at = np.where(more, ends[strings] - size - 1, 0)
         return np.where(more, symbol[at] if len(symbol) else np.uint8(0), np.uint8(0))
 
-    with tempfile.TemporaryDirectory() as folder:
-        bwt_file, lcp_file = os.path.join(folder, "bwt"), os.path.join(folder, "lcp")
-        before(np.arange(n), 0).tofile(bwt_file)
-        np.zeros(n, np.uint8).tofile(lcp_file)
+    with tempfile.TemporaryFile() as bwt_file, tempfile.TemporaryFile() as lcp_file:
+        _put(bwt_file, before(np.arange(n), 0))
+        _put(lcp_file, np.zeros(n, np.uint8))
         row = np.arange(n)
         for size in range(1, int(lengths.max(initial=0)) + 1):
             strings = np.flatnonzero(lengths >= size)
-            bwt, lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
+            bwt, lcp = _get(bwt_file), _get(lcp_file)
             old = len(bwt)
             order = np.argsort(bwt, kind="stable")
             starts = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=256))])
@@ -82,13 +92,13 @@ def collection_bwt(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
             new_bwt[stay], new_lcp[stay] = bwt, lcp
             new_bwt[place] = before(strings, size)
             new_lcp[touched - zeros + n] = found
-            new_bwt.tofile(bwt_file)
-            new_lcp.tofile(lcp_file)
+            _put(bwt_file, new_bwt)
+            _put(lcp_file, new_lcp)
             # Whole strings keep their row, moved up by the rows put in before it.
             put = np.sort(place)
             row += np.searchsorted(put - np.arange(len(put)), row, side="right")
             row[strings] = place
-        return np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8), row
+        return _get(bwt_file), _get(lcp_file), row
 
 
 def first_to_last(bwt: np.ndarray, n: int) -> np.ndarray:

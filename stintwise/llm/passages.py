@@ -37,32 +37,38 @@ SEED_BYTES = 20
 REACH = LENGTH - SEED_BYTES + 1  # substrings in a window, and windows in a segment at most
 HOT = 50_000  # owners' segments of one key beyond which they are cut into windows
 BUCKET = 4_000_000  # bytes of text whose segments make one bucket
-COLLECTION = 2_000_000  # bytes of segments that make one collection
+COLLECTION = 1_000_000  # bytes of segments that make one collection
 TEXTS = 1_000_000
+SHORT = 100_000  # bytes of texts that are cut into segments together: their arrays stay in the caches
+BLOCK = 1 << 14
 FLUSH = 500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 3) for b in range(256)], np.uint64)
 
 
+def _powers(base: int) -> np.ndarray:
+    out = np.full(BLOCK + LENGTH, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
 def rolling(text: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
-    """Fingerprints of all substrings of each of the ascending `sizes`, by doubling."""
-    out: list[np.ndarray | None] = [None] * len(sizes)
-    covered = [0] * len(sizes)
-    power, size = _BYTES[text], 1
-    while size <= sizes[-1]:
-        for i, want in enumerate(sizes):
-            if want & size:
-                if out[i] is None:
-                    out[i] = power
-                else:
-                    n = max(len(text) - covered[i] - size + 1, 0)
-                    shift = np.uint64(pow(_BASE, size, 1 << 64))
-                    out[i] = out[i][:n] * shift + power[covered[i] : covered[i] + n]
-                covered[i] += size
-        shift = np.uint64(pow(_BASE, size, 1 << 64))
-        power = power[:-size] * shift + power[size:] if len(power) > size else power[:0]
-        size *= 2
+    """Fingerprints of all substrings of each of the ascending `sizes`, LENGTH at most: polynomials in
+    `_BASE`, as differences of running sums over blocks of the text."""
+    out = [np.empty(max(len(text) - size + 1, 0), np.uint64) for size in sizes]
+    sums = np.zeros(BLOCK + LENGTH, np.uint64)
+    for a in range(0, len(text), BLOCK):
+        part = text[a : a + BLOCK + sizes[-1] - 1]
+        np.cumsum(_BYTES[part] * _DOWN[: len(part)], out=sums[1 : len(part) + 1])
+        for size, prints in zip(sizes, out, strict=True):
+            m = min(BLOCK, len(part) - size + 1)
+            if m > 0:
+                np.subtract(sums[size : size + m], sums[:m], out=prints[a : a + m])
+                prints[a : a + m] *= _UP[size - 1 : size - 1 + m]
     return out
 
 
@@ -90,28 +96,45 @@ def segments(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     small, windows = rolling(text, [SEED_BYTES, LENGTH])
     key = sliding_least(mix(small), REACH)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    valid = owner[: len(windows)] == owner[LENGTH - 1 :]
+    # No window goes over a document's end, and no run of windows with one key does.
+    over = (ends[ends < len(text)][:, None] - np.arange(1, LENGTH)).ravel()
+    valid = np.ones(len(windows), bool)
+    valid[over[(over >= 0) & (over < len(windows))]] = False
     fresh = np.ones(len(windows), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | ~valid[:-1] | (owner[1 : len(windows)] != owner[: len(windows) - 1])
+    fresh[1:] = (key[1:] != key[:-1]) | ~valid[:-1]
     begin = np.flatnonzero(fresh)
-    run = np.repeat(begin, np.diff(np.append(begin, len(windows))))
-    start = np.flatnonzero(valid & ((np.arange(len(windows)) - run) % REACH == 0))
+    many = (np.diff(begin, append=len(windows)) + REACH - 1) // REACH
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    start = np.repeat(begin, many) + nth * REACH
+    start = start[valid[start]]
     # A segment ends where the next starts or its document's windows end.
     stop = np.append(start[1:], len(windows))
-    document = owner[start]
+    document = np.searchsorted(ends, start, side="right")
     stop = np.minimum(stop, (ends - LENGTH + 1)[document])
     n = stop - start
     return document, start - (ends - lengths)[document], n, key[start], segment_prints(windows, start, n)
 
 
+def repeated(ordered: np.ndarray) -> np.ndarray:
+    """Whether an ordered value stands there more than once."""
+    out = np.zeros(len(ordered), bool)
+    same = ordered[1:] == ordered[:-1]
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
 def held_by_smaller(
     key: np.ndarray, mark: np.ndarray, doc: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, same, later): entries sorted by key, print and document; the group number of equal
     segments; and whether a smaller document has the segment."""
-    order = np.lexsort((doc, mark, key))
-    k, m, d = key[order], mark[order], doc[order]
+    order = np.argsort(key)
+    k = key[order]
+    at = np.flatnonzero(repeated(k))
+    some = order[at]
+    order[at] = some[np.lexsort((doc[some], mark[some], key[some]))]
+    m, d = mark[order], doc[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
     same = np.cumsum(new) - 1
@@ -145,7 +168,7 @@ def print_rows(docs: DataFrame, buckets: int) -> DataFrame:
             home = (columns[0] % np.uint64(buckets)).astype(np.int64)
             home[later] = columns[2][later] % buckets
             group = home * 2 + later
-            by = np.argsort(group, kind="stable")
+            by = np.argsort(group.astype(np.uint16) if buckets < 1 << 15 else group, kind="stable")
             cuts = np.flatnonzero(np.diff(group[by], prepend=-1))
             rows = []
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)], strict=True):
@@ -159,10 +182,8 @@ def print_rows(docs: DataFrame, buckets: int) -> DataFrame:
             )
 
         for batch in batches:
-            for piece in pieces(batch, "text", TEXTS):
-                raw = [
-                    (t or "").encode("utf-8", "surrogatepass") for t in piece.column("text").to_pylist()
-                ]
+            for piece in pieces(batch, "text", SHORT):
+                raw = [t or b"" for t in piece.column("text").cast(pa.binary()).to_pylist()]
                 lengths = np.array([len(x) for x in raw], np.int64)
                 document, start, n, key, mark = segments(
                     np.frombuffer(b"".join(raw), np.uint8), lengths
@@ -195,17 +216,20 @@ def settle(rows: pa.Table) -> pa.RecordBatch:
         ]
 
     key, mark, doc, start, n = unpacked(~spans)
+    order = np.argsort(key)
+    order = order[repeated(key[order])]  # a key that stands once has nothing to tell
+    key, mark, doc, start, n = (c[order] for c in (key, mark, doc, start, n))
     order, same, later = held_by_smaller(key, mark, doc)
     key, mark, doc, start, n = (c[order] for c in (key, mark, doc, start, n))
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
     by_key = np.cumsum(first) - 1
-    size = int(by_key[-1]) + 1 if len(key) else 0
-    low, high = np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).min)
-    np.minimum.at(low, by_key, doc)
-    np.maximum.at(high, by_key, doc)
-    kinds = np.bincount(by_key, np.diff(same, prepend=-1), minlength=size)
-    ask = ~later & (low < high)[by_key] & (kinds > 1)[by_key]
+    ask = ~later
+    if len(key):
+        at = np.flatnonzero(first)
+        low, high = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
+        kinds = np.add.reduceat(np.diff(same, prepend=-1), at)
+        ask &= ((low < high) & (kinds > 1))[by_key]
     keep = ask | later
     old = unpacked(spans)
     columns = [
@@ -288,46 +312,83 @@ def cut_segments(docs: DataFrame, asked: DataFrame) -> DataFrame:
     )
 
 
+def each(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, inside) of the parts of things that have `n` parts each."""
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def window_runs(strings: list[bytes]) -> np.ndarray:
+    """For the windows of all strings, one after another, the number of their run of rows with common
+    prefixes of a window's length, from the transform."""
+    lengths = np.array([len(x) for x in strings], np.int64)
+    bwt, lcp, whole = collection_bwt(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(lengths))
+    shorter = first_to_last(bwt, len(strings))
+    n = lengths - LENGTH + 1
+    at = np.empty(n.sum(), np.int64)
+    row, live = whole, np.arange(len(strings))
+    offset = np.cumsum(n) - n
+    for k in range(int(n.max(initial=0))):
+        live = live[n[live] > k]
+        at[offset[live] + k] = row[live]
+        row = shorter[row]
+    return np.cumsum(lcp < LENGTH)[at]
+
+
 def collection_spans(rows: pa.Table) -> pa.RecordBatch:
     """Spans of windows that also start in a smaller document, from the transform of a collection of
-    segments."""
+    segments. A window whose fingerprint no other document has can be in no span, so segments go
+    into the collection from their first to their last window that may be in two documents, each
+    string once."""
     raw = rows.column("bytes").to_pylist()
     doc, start = rows.column("doc").to_numpy(), rows.column("start").to_numpy()
     lengths = np.array([len(x) for x in raw], np.int64)
-    ends = np.cumsum(lengths)
-    text = np.frombuffer(b"".join(raw), np.uint8)
-    bwt, lcp, whole = collection_bwt(text, ends)
-    shorter = first_to_last(bwt, len(raw))
-    run = np.cumsum(lcp < LENGTH)
+    begin = np.cumsum(lengths) - lengths
+    windows = rolling(np.frombuffer(b"".join(raw), np.uint8), [LENGTH])[0]
     n = lengths - LENGTH + 1
-    owner = np.repeat(np.arange(len(raw)), n)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    at = np.empty(len(owner), np.int64)
-    row, live = whole, np.arange(len(raw))
+    owner, inside = each(n)
+    prints = windows[begin[owner] + inside]
+    order = np.argsort(prints)
+    new = np.flatnonzero(np.diff(prints[order], prepend=~prints[order[:1]]))
+    docs = doc[owner[order]]
+    many = np.minimum.reduceat(docs, new) < np.maximum.reduceat(docs, new)
+    shared = np.empty(len(prints), bool)
+    shared[order] = np.repeat(many, np.diff(new, append=len(order)))
     offset = np.cumsum(n) - n
-    for k in range(int(n.max(initial=0))):
-        live = live[n[live] > k]
-        at[offset[live] + k] = row[live]
-        row = shorter[row]
-    run = run[at]
+    first = np.minimum.reduceat(np.where(shared, inside, REACH), offset)
+    last = np.maximum.reduceat(np.where(shared, inside, -1), offset)
+    live = np.flatnonzero(last >= 0)
+    doc, start, begin, first, last = (c[live] for c in (doc, start, begin, first, last))
+    found: dict[bytes, int] = {}
+    string = np.array(
+        [
+            found.setdefault(raw[i][a : b + LENGTH], len(found))
+            for i, a, b in zip(live.tolist(), first.tolist(), last.tolist(), strict=True)
+        ],
+        np.int64,
+    )
+    run = window_runs(list(found))
+    n = last - first + 1
+    size = np.empty(len(found), np.int64)
+    size[string] = n
+    owner, inside = each(n)
+    run = run[(np.cumsum(size) - size)[string[owner]] + inside]
     least = np.full(int(run.max(initial=0)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, run, doc[owner])
     hit = least[run] < doc[owner]
     edge = hit.copy()
     edge[1:] &= ~hit[:-1] | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(edge)
+    at = np.flatnonzero(edge)
     part = np.cumsum(edge)[hit] - 1
-    size = np.bincount(part, minlength=len(first))
-    prints = np.zeros(0, np.uint64)
-    if len(first):
-        windows = rolling(text, [LENGTH])[0]
-        prints = segment_prints(windows, (ends - lengths)[owner[first]] + inside[first], size)
+    size = np.bincount(part, minlength=len(at))
+    own, place = owner[at], first[owner[at]] + inside[at]
+    marks = segment_prints(windows, begin[own] + place, size)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(doc[owner[first]]),
-            pa.array((start[owner[first]] + inside[first]).astype(np.int32)),
+            pa.array(doc[own]),
+            pa.array((start[own] + place).astype(np.int32)),
             pa.array(size.astype(np.int32)),
-            pa.array(prints.view(np.int64)),
+            pa.array(marks.view(np.int64)),
         ],
         ["doc", "start", "n", "mark"],
     )

@@ -1,4 +1,5 @@
 import random
+import tempfile
 
 import numpy as np
 import pytest
@@ -42,3 +43,15 @@ def test_transform_prefixes_and_rows_equal_sorted_suffixes(seed):
         for _ in s:
             r = int(shorter[r])
         assert 0 <= r < len(strings)
+
+
+def test_rounds_write_over_their_files(monkeypatch):
+    """A file that is cut short and written anew goes to disk each time; a round writes over it."""
+    opened, make = [], tempfile.TemporaryFile
+    monkeypatch.setattr(tempfile, "TemporaryFile", lambda *a, **b: opened.append(1) or make(*a, **b))
+    strings = [b"banana", b"ananas", b"nab"]
+    bwt, lcp, row = collection_bwt(
+        np.frombuffer(b"".join(strings), np.uint8), np.cumsum([len(s) for s in strings])
+    )
+    assert (bwt.tolist(), lcp.tolist(), row.tolist()) == brute(strings)
+    assert len(opened) == 2

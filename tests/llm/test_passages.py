@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from stintwise.llm import passages
@@ -107,3 +109,41 @@ def test_given_documents_equal_brute_force(spark):
 
 def test_no_rows(spark):
     assert got(spark.createDataFrame([], SCHEMA)) == []
+
+
+def test_collections_hold_what_may_be_shared_once(monkeypatch):
+    """Segments that share 20 bytes and no window stay out of the transform, the others go in from their
+    first to their last shared window, equal ones once."""
+    given, transform = [], passages.collection_bwt
+    monkeypatch.setattr(
+        passages, "collection_bwt", lambda text, ends: given.append((text.tobytes(), len(ends))) or transform(text, ends)
+    )
+    shared = b"these bytes are the same in three of the documents here"  # 55
+    alone = [b"twenty bytes of seed" + bytes([97 + i]) * 40 for i in range(6)]
+    cuts = [b"AAAA" + shared + b"BBB", b"CC" + shared, shared + b"DDDDDD", *alone]
+    rows = pa.table(
+        {
+            "bytes": pa.array(cuts, pa.binary()),
+            "doc": pa.array([5, 3, 8, *range(20, 26)], pa.int64()),
+            "start": pa.array([100, 0, 7, *[0] * 6], pa.int32()),
+        }
+    )
+    out = passages.collection_spans(rows).to_pydict()
+    assert given == [(shared, 1)]
+    assert sorted(zip(out["doc"], out["start"], out["n"], strict=True)) == [(5, 104, 6), (8, 7, 6)]
+    assert passages.collection_spans(rows.slice(3)).num_rows == 0
+
+
+@pytest.mark.parametrize("size", [0, 19, 49, 50, passages.BLOCK + 19, 2 * passages.BLOCK + 50])
+def test_fingerprints_are_polynomials_across_blocks(size):
+    text = np.frombuffer(random.Random(size).randbytes(size), np.uint8)
+    for width, prints in zip([20, 50], passages.rolling(text, [20, 50]), strict=True):
+        values = [int(passages._BYTES[b]) for b in text]
+        some = {0, 1, size // 2, passages.BLOCK - width, passages.BLOCK - 1, passages.BLOCK, size - width}
+        at = [i for i in some if 0 <= i <= size - width]
+        want = [
+            sum(v * pow(passages._BASE, width - 1 - k, 1 << 64) for k, v in enumerate(values[i : i + width])) % (1 << 64)
+            for i in at
+        ]
+        assert len(prints) == max(size - width + 1, 0)
+        assert prints[at].tolist() == want
