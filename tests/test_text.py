@@ -1,12 +1,15 @@
+import random
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from stintwise.functions import expressions as X
+from stintwise.functions import text_rules as R
 from stintwise.operators import evidence as V
 from stintwise.operators import text as T
 from stintwise.plans import ORACLES, QUERIES
+from stintwise.plans.marts import Marts
 
 
 def one(spark, text, fn):
@@ -182,3 +185,70 @@ def test_the_phrase_query_looks_for_all_watched_phrases(spark):
     got = {(r["doc_id"], r["detail"]) for r in QUERIES["phrase_flags"](tables).collect()}
     assert got == {("a", "license"), ("b", "whst the"), ("b", "first win")}
     assert "'license'" in ORACLES["phrase_flags"] and "'whst the'" in ORACLES["phrase_flags"]
+
+
+HELD = [
+    "after just 12 laps", "after twelve laps", "completed 3 laps", "retired after 9", "pole to flag in the sprint",
+    "led from pole in the sprint", "231.5 km/h (x) slower", "DRS", "car's car", "it's it", "K's \u212a", "\u0130's i",
+    "Retired, due to an incident", "after an incident it retired", "retirement after incident", "traces to", "DNF",
+    "On Lap 7", "passed", "noted", "was 0.310\t seconds \x0boff in qualifying through sector 2", "3.5 seconds behind",
+    "lowest clip of the field at 310 m", "clip of 307 m and 355 Metres", "shortest clip at 99.5\tm", "shortest clip", "fewest ERS", "310 m", "300 metres", "99m", "in the grid", "clip",
+    "braking zone", "deployment", "in Q", "SQ", "in\u000bR", "\u212aq", "q\u0301", "\u00e9q", "SPRINT", "sprint", "7%",
+    "5 kph", "(42 mph)", "8 s", "8s", "8\x0bs", "9 Sec", "13.02 m/s\u00b2", "hit the wa\u212all", "chec\u212aED", "a", ".", "\n",
+    *R.PHRASES[::9],
+]
+
+
+def random_texts(count):
+    rng = random.Random(11)
+    held = [*HELD, *(h.upper() for h in HELD), *(h.title() for h in HELD)]
+    between = [" ", " ", " ", ", ", "", "\n", "\u00a0", "x", "\u0130"]
+    made = ["".join(p for h in rng.choices(held, k=rng.randint(1, 5)) for p in (h, rng.choice(between))) for _ in range(count)]
+    return [(f"{i}", t) for i, t in enumerate([*held, *made, None, "", "nothing to see here"])]
+
+
+CHECKS = {
+    "phrase": T.phrase_flags,
+    "pattern": T.pattern_flags,
+    "lap_context": T.lap_context_flags,
+    "weak_cluster": V.weak_cluster,
+    "session_code": V.session_codes,
+    "quantity": V.cited,
+    "false_causation": lambda t: V.false_causation(t, evidence_of(t)),
+    "sector_context": lambda t: V.sector_context_mismatch(t, evidence_of(t)),
+    "false_superlative": lambda t: V.false_superlative(t, evidence_of(t)),
+}
+
+
+def evidence_of(texts):
+    items = [
+        ("get_race_control_events", '{"kind":"incident","lap":1}'),
+        ("get_deployment", '{"total_clip_m":60,"max_clip_m":55}'),
+        ("get_deployment", '{"total_clip_m":70,"max_clip_m":65}'),
+        ("get_candidate_insights", '{"source_refs":{"refs":[{"type":"sector_delta","deficit_s":0.31}]}}'),
+    ]
+    tools = texts.sparkSession.createDataFrame(items, "tool string, item string")
+    return texts.select("doc_id").distinct().crossJoin(tools)
+
+
+@pytest.fixture(scope="module")
+def told(spark):
+    rows = spark.createDataFrame(random_texts(1500), "doc_id string, text string").repartition(4).cache()
+    return rows, T.suspects(rows).cache()
+
+
+@pytest.mark.parametrize("check", R.NEEDED)
+def test_suspects_hold_every_text_that_a_check_tells_of(told, check):
+    rows, suspects = told
+    want = sorted(map(str, CHECKS[check](rows).collect()))
+    assert want and sorted(map(str, CHECKS[check](T.suspected(suspects, check)).collect())) == want
+
+
+def test_texts_that_no_check_tells_of_are_no_suspects(spark):
+    rows = spark.createDataFrame([("a", "nothing 5 miles off"), ("b", None), ("c", "8 s")], "doc_id string, text string")
+    assert [(r["doc_id"], r["may"]) for r in T.suspects(rows).collect()] == [("c", 1 << list(R.NEEDED).index("quantity"))]
+
+
+def test_the_gates_scan_the_documents_once(spark):
+    flags = QUERIES["doc_flags"](Marts.of(spark, "/root/testdata/sf0.001"))
+    assert not [f for f in flags.inputFiles() if "documents" in f]
